@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
 from .fm_index import FMIndex
 
 #: Bytes of a shard's text, and of a benchmark block.
@@ -138,9 +139,10 @@ def _blocks(benchmark: DataFrame, window: int) -> list:
 
 
 def spotted(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text, the columns of keep, spans array<struct<s,e>> of words (merged) and items array<string>."""
+    """doc_id, text, the columns of keep, then array<struct<s,e>> of hit word spans (merged), and array<string> of items."""
     held = [c for c in dict.fromkeys(("doc_id", "text", *keep))]
-    empty = F.expr("cast(array() as array<struct<s:int,e:int>>)").alias("_spans"), F.expr("cast(array() as array<string>)").alias("_items")
+    spans_, items_ = fresh(docs, "_spans", "_items")
+    empty = F.expr("cast(array() as array<struct<s:int,e:int>>)").alias(spans_), F.expr("cast(array() as array<string>)").alias(items_)
     out = docs.select(*held, *empty)
     kind = out.schema
 
@@ -152,12 +154,12 @@ def spotted(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple
                     phrases = phrases or Phrases(block.value, window)
                     texts = [words(t.as_py()) for t in batch.column("text")]
                     spans, items = found(texts, phrases)
-                    old = batch.column("_spans").to_pylist(), batch.column("_items").to_pylist()
+                    old = batch.column(spans_).to_pylist(), batch.column(items_).to_pylist()
                     if any(map(len, old[1])) or any(map(len, old[0])):
                         spans = [merged([*((x["s"], x["e"]) for x in a), *b]) for a, b in zip(old[0], spans, strict=True)]
                         items = [{*a, *b} for a, b in zip(old[1], items, strict=True)]
-                    a = pa.array([[{"s": s, "e": e} for s, e in x] for x in spans], batch.schema.field("_spans").type)
-                    b = pa.array([sorted(x) for x in items], batch.schema.field("_items").type)
+                    a = pa.array([[{"s": s, "e": e} for s, e in x] for x in spans], batch.schema.field(spans_).type)
+                    b = pa.array([sorted(x) for x in items], batch.schema.field(items_).type)
                     yield pa.RecordBatch.from_arrays([*batch.columns[:-2], a, b], batch.schema.names)
 
         return scan
@@ -184,7 +186,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = [len(words(t.as_py())) for t in batch.column("text")]
-            spans, items = batch.column("_spans").to_pylist(), batch.column("_items").to_pylist()
+            spans, items = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             hit = [sum(x["e"] - x["s"] for x in s) for s in spans]
             sha = [hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]
             yield pa.RecordBatch.from_arrays([
@@ -205,7 +207,7 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFram
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {c: k for k, c in enumerate(columns)}
         for batch in batches:
-            spans, texts = batch.column("_spans").to_pylist(), batch.column("text")
+            spans, texts = batch.column(len(columns)).to_pylist(), batch.column("text")
             out, sizes, keep = [], batch.column("n_chars").to_pylist() if "n_chars" in at else None, []
             for k, (span, text) in enumerate(zip(spans, texts, strict=True)):
                 text = text.as_py()
@@ -221,7 +223,8 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFram
                 cols[at["n_chars"]] = pa.array(sizes, batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(cols, columns).filter(pa.array(keep))
 
-    return spotted(docs, benchmark, window, tuple(columns)).select(*columns, "_spans").mapInArrow(cut, docs.schema)
+    marked = spotted(docs, benchmark, window, tuple(columns))
+    return marked.select(*columns, marked.columns[-2]).mapInArrow(cut, docs.schema)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

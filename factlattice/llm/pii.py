@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_spans, spans_of, stored
+from .common import fresh, joined_spans, spans_of, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # The base patterns in a form that Java matches in linear time: a match can only start where a run of its
@@ -136,25 +136,26 @@ def sanitised(docs: DataFrame, **how) -> DataFrame:
     Texts without a finding are untouched, other columns too. Overlapping spans become one, named by the first.
     """
     columns = docs.columns
+    id_, key, own, cuts = fresh(docs, "_id", "_key", "_own", "_cut")
     found = found_spans(docs, **how).where(F.size("base") > 0)
     cut = F.concat(
         F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")).alias("to"))),
         F.transform("terms", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["act"] == "remove", F.lit("")).otherwise(F.lit("<TERM>")).alias("to"))),
     )
+    # Repeated rows have the same findings.
     found = found.groupBy("doc_id", "base_key").agg(F.first("base", True).alias("base"), F.first("terms", True).alias("terms"))
-    found = found.select(F.col("doc_id").alias("_id"), F.col("base_key").alias("_key"), F.array_sort(cut).alias("_cut"))
-    hit = docs.withColumn("_own", _key())
-    both = hit.join(found, hit["doc_id"].eqNullSafe(found["_id"]) & (hit["_own"] == found["_key"]), "left")
+    found = found.select(F.col("doc_id").alias(id_), F.col("base_key").alias(key), F.array_sort(cut).alias(cuts))
+    both = docs.withColumn(own, _key()).join(found, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(key)), "left")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, x):
-        fresh = x["s"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, x["s"] - acc["at"]), x["to"])).otherwise(acc["out"])
+        new = x["s"] >= acc["at"]
+        out = F.when(new, F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, x["s"] - acc["at"]), x["to"])).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"))
 
-    text = F.aggregate("_cut", zero, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.length("text"))))
-    both = both.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(text))
+    text = F.aggregate(cuts, zero, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.length("text"))))
+    both = both.withColumn("text", F.when(F.col(cuts).isNull(), F.col("text")).otherwise(text))
     if "n_chars" in columns:
         kind = docs.schema["n_chars"].dataType
-        both = both.withColumn("n_chars", F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+        both = both.withColumn("n_chars", F.when(F.col(cuts).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
     return both.select(*columns)

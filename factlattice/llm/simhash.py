@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, forest, partitions, stored
+from .common import components, forest, fresh, partitions, stored
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Shingles whose bits are counted at once, and pairs that are held at once.
@@ -166,9 +166,9 @@ def simhash(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: that of the least doc_id, one of them if rows repeat."""
     columns = docs.columns
-    kept = grouped(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).distinct()
-    ids = kept.groupBy("_id").agg(F.min("_fp").alias("_fp"))
-    both = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+    id_, first = fresh(docs, "_id", "_first")
+    kept = grouped(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(id_)).distinct()
+    both = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi")
     # Rows that share a doc_id are in the table once or belong together: the first of them stays.
-    first = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), *(c for c in columns if c not in ("doc_id", "text")))
-    return both.withColumn("_first", F.row_number().over(first)).where("_first = 1").select(*columns)
+    order = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), *(F.xxhash64(c) for c in columns if c not in ("doc_id", "text")))
+    return both.withColumn(first, F.row_number().over(order)).where(F.col(first) == 1).select(*columns)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, stored
 from .decontaminate import words
 
 #: Most labelled documents of a class that are learnt from: those with the least hash of their id.
@@ -250,10 +250,10 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs' columns with _score and _passages (first and last token of each significant passage)."""
+    """docs' columns, then the score, and the first and last token of each significant passage."""
     model = fitted(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast((model.score, model.lam, model.k, model.curve, model.prior))
-    names = docs.columns
+    names = [*docs.columns, *fresh(docs, "_score", "_passages")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*sent.value)
@@ -264,9 +264,9 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 score.append(own.probability(ws))
                 passages.append([{"first": a, "last": b} for _, a, b in own.passages(ws)] if own.score else [])
             kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64()), pa.array(passages, kind)], [*names, "_score", "_passages"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64()), pa.array(passages, kind)], names)
 
-    schema = docs.withColumn("_score", F.lit(0.0)).withColumn("_passages", F.expr("cast(array() as array<struct<first:int,last:int>>)")).schema
+    schema = docs.select("*", F.lit(0.0).alias(names[-2]), F.expr("cast(array() as array<struct<first:int,last:int>>)").alias(names[-1])).schema
     return docs.mapInArrow(scan, schema)
 
 
@@ -278,4 +278,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that are predicted toxic."""
-    return scored(docs, labels).where(F.col("_score") < THRESHOLD).select(*docs.columns)
+    out = scored(docs, labels)
+    return out.where(F.col(out.columns[-2]) < THRESHOLD).select(*docs.columns)
