@@ -56,13 +56,18 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame
     return rows.select("source", "source_size", "n", target.alias("target"))
 
 
+def text_key(seed: int = 17) -> Column:
+    """What a row's place in the sample is drawn from."""
+    return F.xxhash64(F.lit(seed), "doc_id", "text")
+
+
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17) -> DataFrame:
     """(doc_id, source, text_key, size, source_size, target, taken) for each row of docs.
 
     Only sizes and hashes are shuffled, never texts. Reruns agree: the keys come from the rows themselves.
     """
     size = words(F.col("text"))
-    rows = stored(docs.select("doc_id", "source", size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("text_key")))
+    rows = stored(docs.select("doc_id", "source", size.alias("size"), text_key(seed).alias("text_key")))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     aims = targets(sizes, weights).select(F.col("source").alias("_source"), "source_size", "n", "target")
     u = (F.shiftrightunsigned("text_key", 11).cast("double") + 0.5) / F.lit(float(2**53))
