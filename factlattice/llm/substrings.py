@@ -247,7 +247,8 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # One text's anchor counts once, however many copies of the text there are: a phrase needs two places.
     spot = F.xxhash64("t1", "run")
     prefix = places.select("h", spot.alias("spot")).groupBy("h").agg(F.min("spot").alias("a"), F.max("spot").alias("b"), F.count(F.lit(1)).alias("n"))
-    prefix = prefix.where("a <> b").select("h", (F.col("n") > GROUP).alias("wide"))
+    # Written, so that the join below reads both sides from shuffles that can be split at a hot phrase.
+    prefix = stored(prefix.where("a <> b").select("h", (F.col("n") > GROUP).alias("wide")))
     found = places.join(prefix, "h").groupBy("t1").agg(F.collect_set(F.struct("h", "run", "wide")).alias("found"))
     # One document speaks for all that have its text.
     speaker = table.groupBy("t1", "t2").agg(F.min("doc_id").alias("s_id"), F.count(F.lit(1)).alias("copies"))
