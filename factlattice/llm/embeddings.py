@@ -100,7 +100,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     links = found.groupBy("cid").agg(F.sum("n_links").alias("linked"))
     comp = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("cid"), "root")
     rooted = stored(classes.select("cid", "w", "least").join(comp, "cid", "left").join(links, "cid", "left").select("cid", "w", "least", F.coalesce("root", "cid").alias("root"), F.coalesce("linked", F.lit(0)).alias("linked")))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+    # Written, so that the join on a root that many classes have can be split.
+    ids_of = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    named = rooted.join(ids_of, "root")
     named = named.select("cid", (F.col("linked") + F.col("w") - 1).alias("n_links"), "component_id")
     out = ids.join(named, "cid", "left")
     component = F.coalesce("component_id", "vec_id")
