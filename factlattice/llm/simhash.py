@@ -153,7 +153,8 @@ def grouped(docs: DataFrame) -> DataFrame:
     fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     comp = components(linked(fps, fps.count())).select(F.col("node").alias("fp"), "root")
     rooted = stored(fps.join(comp, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written, so that the join on a root that many fingerprints have can be split.
+    ids = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = rooted.join(ids, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
