@@ -477,11 +477,11 @@ def _(f):
 
 @query("hazard_cache_coherence", """
 select distinct a.sym, a.key from (select enclosing as sym, resource as key from effect_events where operation = 'write' and event_id % 20 = 0) a
-where not exists (select 1 from w join effect_events e on e.enclosing = w.sym where w.seed = a.sym and e.resource = a.key and e.provider = 'refund')""", EDGES, closure_sql("w", "select distinct enclosing as seed, enclosing as sym, 0 as depth from effect_events where operation = 'write' and event_id % 20 = 0", 2))
+where not exists (select 1 from w join effect_events e on e.enclosing = w.sym where w.seed = a.sym and e.resource = a.key and e.provider = 'purchase' and e.event_id % 40 = 1)""", EDGES, closure_sql("w", "select distinct enclosing as seed, enclosing as sym, 0 as depth from effect_events where operation = 'write' and event_id % 20 = 0", 2))
 def _(f):
     anchors = f.effect_events.where("operation = 'write' and event_id % 20 = 0").select(F.col("enclosing").alias("sym"), F.col("resource").alias("key"))
     known = reach.reach(edges_of(f), anchors.select(F.col("sym").alias("seed"), "sym").distinct(), 2)
-    return hazards.missing_companions(anchors, f.effect_events.where("provider = 'refund'").select(F.col("enclosing").alias("sym"), F.col("resource").alias("key")), known)
+    return hazards.missing_companions(anchors, f.effect_events.where("provider = 'purchase' and event_id % 40 = 1").select(F.col("enclosing").alias("sym"), F.col("resource").alias("key")), known)
 
 
 SMALL = ("small_edges", "select distinct src, dst, kind from edges where line < 20 and receiver_type in ('T:Lib.S1', 'T:Lib.S2', 'T:Lib.S3', 'T:Lib.S4', 'T:Lib.S5')")
