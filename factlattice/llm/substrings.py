@@ -260,8 +260,11 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     contexts = stored(_contexts(held))
     narrow = contexts.where("not wide").select("h", "t1", "t2", "at", "size", "context").repartition("h").sortWithinPartitions("h")
     trees = narrow.mapInArrow(_trees, "t1 long, t2 long, at long, size long")
-    wide = contexts.where("wide").select("context", "t1", "t2", "at").distinct()
-    often = wide.groupBy("context").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("context")
+    wide = contexts.where("wide").select("context", "t1", "t2", "at")
+    # Two different places of a window; written, as a window of one word over and over may stand at very many.
+    spot = F.xxhash64("t1", "t2", "at")
+    often = wide.groupBy("context").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("context")
+    often = stored(often)
     wide = wide.join(often, "context").select("t1", "t2", "at", F.lit(1).cast("long").alias("size"))
     runs = trees.unionByName(wide).groupBy("t1", "t2").agg(F.collect_set(F.struct("at", "size")).alias("runs"))
     return table.join(speaker.select(F.col("t1").alias("c1"), F.col("t2").alias("c2"), "copies"), (F.col("t1") == F.col("c1")) & (F.col("t2") == F.col("c2"))), held, runs
