@@ -562,9 +562,9 @@ def _(f):
     return reports.effect_changes(*(reports.footprint(f.effect_events.where(f"event_id % 2 = {k}")) for k in (0, 1)))
 
 
-@query("impact_entrypoints", "select 'added' as change, route from (select route from h except select route from b) x union all select 'removed', route from (select route from b except select route from h) y", ("b", "select concat('/', name) as route from methods where part_key % 3 = 0"), ("h", "select concat('/', name) as route from methods where part_key % 7 = 0"))
+@query("impact_entrypoints", "select 'added' as change, route from (select route from h except select route from b) x union all select 'removed', route from (select route from b except select route from h) y", ("b", "select concat('/', symbol_id) as route from methods where part_key % 3 = 0"), ("h", "select concat('/', symbol_id) as route from methods where part_key % 7 = 0"))
 def _(f):
-    b, h = (f.methods.where(f"part_key % {k} = 0").select(F.concat(F.lit("/"), "name").alias("route")) for k in (3, 7))
+    b, h = (f.methods.where(f"part_key % {k} = 0").select(F.concat(F.lit("/"), "symbol_id").alias("route")) for k in (3, 7))
     return h.subtract(b).select(F.lit("added").alias("change"), "route").unionByName(b.subtract(h).select(F.lit("removed").alias("change"), "route"))
 
 
