@@ -7,18 +7,46 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import docid
+from ..sources import rules as rulebook
 
 INTRINSIC = ("alloc", "throw")
 
 
+def _first(*values):
+    """The first value that isn't blank."""
+    return F.coalesce(*(F.when(F.trim(v) != "", v) for v in values))
+
+
 def resource(strategy) -> F:
-    """A rule's resource of an invocation; a strategy that isn't known gives none."""
-    return (
-        F.when(strategy == "receiver_type", docid.simple_name(F.col("receiver_type"))).when(strategy == "declaring_type", docid.declaring_type(F.col("target")))
-        .when(strategy == "argument_name", F.col("argument")).when(strategy == "http_argument", docid.http_resource(F.col("argument")))
-        .when(strategy == "argument_type", F.regexp_extract("target", r"\(([^,)]*)", 1))
-        .when(strategy == "string_argument_or_receiver", F.coalesce("argument", docid.simple_name(F.col("receiver_type"))))
-    )
+    """A rule's resource of an invocation; null, and so no effect, where the strategy is unknown or finds nothing."""
+    receiver, generic, template = F.col("receiver_type"), F.col("type_arguments"), F.col("first_template")
+    declaring = docid.declaring_type(F.col("target"))
+    name = docid.listed(F.col("argument_names"), F.col("argument_index"))
+    text = F.when(F.col("argument_index").isNull(), template).otherwise(docid.listed(F.col("argument_templates"), F.col("argument_index")))
+    by_strategy = {
+        "receiver_type": receiver,
+        "declaring_type": declaring,
+        "type_argument": F.when(F.col("type_argument_index").isNull(), generic).otherwise(docid.part(generic, F.col("type_argument_index"))),
+        # A name that is marked as the surface of a composite expression identifies nothing.
+        "argument_name": F.when(F.col("argument_index").isNull(), F.col("argument")).when(~F.startswith(name, F.lit("~")), name),
+        "argument_type": F.col("first_type"),
+        "string_argument": text,
+        "string_argument_or_receiver": _first(text, receiver, declaring),
+        "http_argument": F.when(template.isNotNull(), docid.http_resource(template)).otherwise(F.coalesce(receiver, declaring)),
+        "ef_query_root": _first(generic, receiver, declaring),
+        "ef_context_receiver": _first(receiver, declaring),
+        "ef_dbset_receiver": _first(receiver, generic, declaring),
+        "ef_database_facade": _first(receiver, declaring),
+    }
+    out = F.lit(None).cast("string")
+    for named, value in by_strategy.items():
+        out = F.when(strategy == named, value).otherwise(out)
+    return out
+
+
+def executed(refs: DataFrame) -> DataFrame:
+    """Invocations with a caller that run as code: what is quoted in an expression tree is translated, not called."""
+    return refs.where((F.col("ref_kind") == "invocation") & F.col("enclosing").isNotNull() & ~F.col("in_expression_tree"))
 
 
 def by_invocation(refs: DataFrame, rules: DataFrame) -> DataFrame:
@@ -26,18 +54,19 @@ def by_invocation(refs: DataFrame, rules: DataFrame) -> DataFrame:
 
     Rules are broadcast: there are as many as people have typed. The row number is over one call site's matches.
     """
-    calls = refs.where((F.col("ref_kind") == "invocation") & F.col("enclosing").isNotNull())
-    found = calls.join(F.broadcast(rules.withColumnRenamed("resource", "strategy")), calls["target_name"] == F.col("method"))
+    found = executed(refs).join(F.broadcast(rules), F.col("target_name") == F.col("method"))
+    caller = docid.bare(F.col("enclosing"))
     found = found.where((F.size("receivers") == 0) | F.array_contains("receivers", F.col("receiver_type")))
+    found = found.where((F.size("containing") == 0) | F.exists("containing", lambda gate: docid.within(caller, gate)))
     found = found.withColumn("resource", resource(F.col("strategy"))).where("resource is not null")
     keys = ["enclosing", "target", "file_path", "line", "receiver_type", "argument"]
     first = W.partitionBy(*keys).orderBy("rule_no")
-    return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "method", "receivers", "strategy")
+    return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "method", "receivers", "containing", "strategy", "type_argument_index", "argument_index")
 
 
 def by_wrapper(refs: DataFrame, wrapped: list[str], provider: str, operation: str) -> DataFrame:
     """Methods that call one of the named are wrappers; the effect is at their call sites."""
-    calls = refs.where((F.col("ref_kind") == "invocation") & F.col("enclosing").isNotNull())
+    calls = executed(refs)
     wrappers = calls.where(F.col("target_name").isin(*wrapped)).select(F.col("enclosing").alias("target")).distinct()
     rows = calls.join(wrappers, "target", "left_semi")
     return rows.select(F.lit(provider).alias("provider"), F.lit(operation).alias("operation"), docid.simple_name(F.col("target")).alias("resource"), "enclosing", "file_path", "line").distinct()
@@ -70,24 +99,115 @@ def selected(effects: DataFrame, only: list[str] = (), exclude: list[str] = ())
     return effects.where(keep & ~hidden), effects.agg(F.count_if(hidden).alias("hidden"))
 
 
-def observations(effects: DataFrame) -> DataFrame:
-    """One row per effect and observation type, from the effect's structural columns."""
-    looped = F.col("loop_kind").isNotNull()
-    seen = F.array(
-        F.when(looped, F.struct(F.lit("looped_effect").alias("type"), F.col("loop_kind").alias("detail"))),
-        F.when(F.col("outer_call") == "M:Lib.Parallel.ForEach", F.struct(F.lit("parallel_fanout").alias("type"), F.col("outer_call").alias("detail"))),
-        F.when(F.col("outer_call") == "M:Lib.Policy.Execute", F.struct(F.lit("resilience_retry").alias("type"), F.col("outer_call").alias("detail"))),
-        F.when(F.col("catch_type") == "T:Lib.ConcurrencyException", F.struct(F.lit("concurrency_handled").alias("type"), F.col("catch_type").alias("detail"))),
-        F.when(F.col("scope_kind") == "lock", F.struct(F.lit("lock_held_across_effect").alias("type"), F.col("scope_kind").alias("detail"))),
-        F.when(F.col("scope_kind") == "transaction", F.struct(F.lit("transaction_spans_effect").alias("type"), F.col("scope_kind").alias("detail"))),
-        F.when((F.col("provider") == "queue") & F.contains("receiver_type", F.lit("S5")), F.struct(F.lit("unserializable_payload").alias("type"), F.col("receiver_type").alias("detail"))),
-        F.when(looped & (F.col("operation") == "read") & docid.whole_word(F.col("argument"), F.col("loop_variable")), F.struct(F.lit("n_plus_1").alias("type"), F.col("argument").alias("detail"))),
+def by_allocation(allocations: DataFrame) -> DataFrame:
+    """The compiler's allocation facts as effects; a delegate that is cached at its first use isn't looped."""
+    looped = F.col("cardinality") != "cached_first_use"
+    return allocations.select(
+        F.lit("alloc").alias("provider"), "operation", "resource", "enclosing", "file_path", "line", "cardinality", "shallow_size",
+        F.when(looped, F.col("loop_kind")).alias("loop_kind"), F.when(looped, F.col("loop_detail")).alias("loop_detail"),
     )
-    rows = effects.withColumn("o", F.explode(F.filter(seen, lambda o: o.isNotNull())))
-    return rows.select("provider", "operation", "resource", "enclosing", "file_path", "line", F.col("o.type").alias("type"), F.col("o.detail").alias("detail"))
 
 
-def iteration_fanout(refs: DataFrame) -> DataFrame:
-    """Call sites in a loop as events: the anchor is the site, the enclosing symbol the callee."""
-    rows = refs.where((F.col("ref_kind") == "invocation") & F.col("loop_kind").isNotNull() & F.col("target_in_source") & F.col("enclosing").isNotNull())
-    return rows.select(F.col("enclosing").alias("caller"), "file_path", "line", F.col("target").alias("enclosing")).distinct()
+OUTER = ["type", "method", "lambda"]
+SCOPE = ["kind", "type"]
+
+
+def _among(value, names):
+    return value.isin(*names) if names else F.lit(True)
+
+
+def _pattern(value, patterns):
+    """The first of the patterns that a text holds."""
+    out = F.lit(None).cast("string")
+    for p in reversed(patterns):
+        out = F.when(F.contains(value, F.lit(p)), p).otherwise(out)
+    return out
+
+
+def _names(text):
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def iterated(rows: DataFrame, rules: dict = rulebook.DEFAULT) -> DataFrame:
+    """rows with ``iteration``: kind, detail, names and source of the loop or enumerating lambda around a site; null without one.
+
+    A query over something that isn't enumerated (its bind method's type is not in the rules) binds once: no loop. A loop
+    statement names the iteration; the names that a lambda binds join those of the loop.
+    """
+    known = rules["observations"]["enumerating"]
+    types = [t for r in known for t in r["declaringTypes"]]
+    every = any(not r["declaringTypes"] for r in known)
+    single = F.lit(False) if every else (F.col("loop_kind") == "query") & (F.coalesce("loop_bind_type", F.lit("")) != "") & ~_among(F.col("loop_bind_type"), types or [""])
+    rows = rows.withColumn("_outer", docid.packed(F.coalesce("outer_calls", F.lit("")), OUTER))
+    rows = rows.withColumn("_loop", F.when(~F.coalesce(single, F.lit(False)), F.col("loop_kind"))).withColumn("_detail", F.when(F.col("_loop").isNotNull(), F.col("loop_detail")))
+
+    def enumerates(o):
+        hit = F.lit(False)
+        for r in known:
+            hit = hit | (_among(o["method"], r["methods"]) & _among(o["type"], r["declaringTypes"]))
+        return (F.coalesce(o["lambda"], F.lit("")) != "") & hit
+
+    rows = rows.withColumn("_lambda", F.get(F.filter("_outer", enumerates), F.lit(0)))
+    own, given = F.col("_lambda")["lambda"], F.instr(F.col("_detail"), " in ")
+    names = F.array_distinct(F.concat(
+        F.when(F.col("_loop").isin("foreach", "query") & (given > 1), _names(F.substring(F.col("_detail"), F.lit(1), given - 1))).otherwise(F.expr("cast(array() as array<string>)")),
+        F.coalesce(_names(own), F.expr("cast(array() as array<string>)")),
+    ))
+    detail = F.coalesce("_detail", F.concat(own, F.lit(" in "), F.col("_lambda")["method"]))
+    kind = F.coalesce("_loop", F.when(F.col("_lambda").isNotNull(), "lambda"))
+    rows = rows.withColumn("iteration", F.when(kind.isNotNull(), F.struct(
+        kind.alias("kind"), F.coalesce(detail, kind).alias("detail"), names.alias("names"),
+        F.when(F.instr(detail, " in ") > 0, F.trim(F.substring_index(detail, " in ", -1))).otherwise("").alias("source"))))
+    return rows.drop("_loop", "_detail", "_lambda").withColumnRenamed("_outer", "outer")
+
+
+def observations(effects: DataFrame, rules: dict = rulebook.DEFAULT) -> DataFrame:
+    """One row per effect and observation: type, context and detail, by the rules and the effect's structural columns."""
+    given = rules["observations"]
+    rows = iterated(effects, rules).withColumn("scope_list", docid.packed(F.coalesce("scopes", F.lit("")), SCOPE))
+    provider, operation, it = F.col("provider"), F.col("operation"), F.col("iteration")
+
+    def seen(test, type_, context, detail):
+        return F.when(test, F.struct(F.lit(type_).alias("type"), context.cast("string").alias("context"), detail.cast("string").alias("detail")))
+
+    def first(of):
+        return F.coalesce(*of) if of else F.lit(None)
+
+    # Innermost first: the call that matches any rule, named by its first rule.
+    def fan(o):
+        return first([F.when((o["type"] == r["receiverType"]) & _among(o["method"], r["methods"]), F.concat(F.lit(r["receiver"] + "."), o["method"])) for r in given["parallelFanout"]])
+
+    fanned = F.get(F.filter(F.transform("outer", fan), lambda x: x.isNotNull()), F.lit(0))
+    found = [seen(it.isNotNull(), "looped_effect", it["kind"], it["detail"]), seen(fanned.isNotNull(), "parallel_fanout", fanned, fanned)]
+    def wraps(r):
+        return lambda o: _among(o["method"], r["wrapperMethods"]) & _pattern(o["type"], r["receiverTypePatterns"]).isNotNull()
+
+    def holds(r):
+        return lambda s: (s["kind"] == r["scopeKind"]) & (_pattern(s["type"], r["scopeTypePatterns"]).isNotNull() if r["scopeTypePatterns"] else F.lit(True))
+
+    retries = []
+    for r in given["resilienceRetry"]:
+        call = F.get(F.filter("outer", wraps(r)), F.lit(0))
+        retries.append(seen(call.isNotNull(), "resilience_retry", _pattern(call["type"], r["receiverTypePatterns"]), call["type"]))
+    caught = []
+    for r in given["concurrencyHandled"]:
+        pattern = _pattern(F.col("catch_type"), r["catchTypePatterns"])
+        caught.append(seen(F.col("target_name").isin(*r["commitMethods"]) & pattern.isNotNull(), "concurrency_handled", pattern, F.col("catch_type")))
+    for r in given["resourceSpan"]:
+        scope = F.get(F.filter("scope_list", holds(r)), F.lit(0))
+        found.append(seen(scope.isNotNull() & ~provider.isin(*(r["excludeProviders"] or [""])), r["type"], F.lit(r["context"]), F.when(scope["type"] == "", r["context"]).otherwise(scope["type"])))
+    for r in given["serializationHazard"]:
+        pattern = _pattern(F.col("type_arguments"), r["unsupportedTypePatterns"])
+        found.append(seen(_among(provider, r["providers"]) & pattern.isNotNull(), "unserializable_payload", pattern, F.col("type_arguments")))
+    surfaces = [F.col(c) for c in ("argument", "first_template", "argument_names", "argument_templates")]
+    varying = F.get(F.filter(it["names"], lambda n: F.greatest(*(docid.whole_word(c, n) for c in surfaces))), F.lit(0))
+    keyed = [seen(_among(provider, r["providers"]) & _among(operation, r["operations"]) & varying.isNotNull(), "n_plus_1", varying, it["detail"]) for r in given["nPlusOne"]]
+    found += [first(part) for part in (retries, caught, keyed) if part]
+    rows = rows.withColumn("o", F.explode(F.filter(F.array(*found), lambda o: o.isNotNull())))
+    return rows.select("provider", "operation", "resource", "enclosing", "file_path", "line", F.col("o.type").alias("type"), F.col("o.context").alias("context"), F.col("o.detail").alias("detail"))
+
+
+def iteration_fanout(refs: DataFrame, rules: dict = rulebook.DEFAULT) -> DataFrame:
+    """Call sites in an iteration as events: the anchor is the site, the enclosing symbol the callee."""
+    rows = iterated(executed(refs).where("target_in_source"), rules).where("iteration is not null")
+    return rows.select(F.col("enclosing").alias("caller"), "file_path", "line", F.col("target").alias("enclosing"), F.col("iteration.kind").alias("kind"), F.col("iteration.source").alias("source")).distinct()

@@ -135,7 +135,8 @@ def call_tree(edges: DataFrame, root: str, max_depth: int = 50, max_nodes: int =
     known = reach(edges, spark.createDataFrame([(0, root)], "seed int, sym string"), max_depth, max_nodes)
     part = edges.join(known.select(F.col("sym").alias("src")), "src", "left_semi").select("src", "line", "dst").distinct()
     children: dict[str, list[tuple[int, str]]] = {}
-    for r in part.limit(max_nodes * 4).collect():
+    # As many rows as the nodes, whose number is bounded, have distinct calls.
+    for r in part.toLocalIterator():
         children.setdefault(r["src"], []).append((r["line"], r["dst"]))
     out: list[tuple[int, int, str, int, str]] = []
     done: set[str] = set()
@@ -150,3 +151,22 @@ def call_tree(edges: DataFrame, root: str, max_depth: int = 50, max_nodes: int =
             done.add(sym)
             stack += [(d, depth + 1, node) for _, d in reversed(below)]
     return out
+
+
+def one_hop(calls: DataFrame, dispatch: DataFrame, seeds: DataFrame, max_depth: int = 20) -> DataFrame:
+    """(sym, dispatched, depth): what sources (sym) reach if a member that dispatch has chosen isn't dispatched again.
+
+    How a member was reached is part of what is known: one that is both called and dispatched to has two rows.
+    """
+    steps = calls.select("src", "dst", F.lit(False).alias("to"), F.lit(None).cast("boolean").alias("only"))
+    steps = settled(steps.unionByName(dispatch.select("src", "dst", F.lit(True).alias("to"), F.lit(False).alias("only"))).distinct())
+    known = settled(seeds.select("sym", F.lit(False).alias("dispatched"), F.lit(0).alias("depth")).distinct())
+    frontier = known
+    for depth in range(1, max_depth + 1):
+        new = frontier.join(steps, (frontier["sym"] == steps["src"]) & (F.col("only").isNull() | ~F.col("dispatched")))
+        new = new.select(F.col("dst").alias("sym"), F.col("to").alias("dispatched")).distinct()
+        frontier = settled(new.join(known.select("sym", "dispatched"), ["sym", "dispatched"], "left_anti").withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
+            break
+        known = known.unionByName(frontier)
+    return known

@@ -34,18 +34,59 @@ select src, dst, kind from (
     union select m.src, d.target_member, m.kind, m.depth + 1 from m join dispatch d on d.source_member = m.dst and d.kind = m.kind where m.depth < 4)
   select distinct src, dst, kind from m where src <> dst) x""")
 EFFECT_RULES = ("effect_rules", " union all ".join(
-    f"select {k} as rule_no, '{r['provider']}' as provider, '{r['operation']}' as operation, '{m}' as method, {len(r['receivers'])} as n_receivers, '{','.join(r['receivers'])}' as receivers, '{r['resource']}' as strategy"
+    f"select {k} as rule_no, '{r['provider']}' as provider, '{r['operation']}' as operation, '{m}' as method, '{','.join(r.get('receivers', []))}' as receivers, '{','.join(r.get('containing', []))}' as containing, "
+    f"'{r['resource']}' as strategy, {r.get('type_argument_index', 'null')} as t_index, {r.get('argument_index', 'null')} as a_index"
     for k, r in enumerate(rulebook.DEFAULT["effects"]) for m in r["methods"]))
-EFFECTS = ("effects", """
+EFFECTS = ("effects", r"""
 select * from (
-  select x.*, row_number() over (partition by enclosing, target, file_path, line, receiver_type, argument order by rule_no) as nth from (
-    select r.enclosing, r.target, r.target_name, r.file_path, r.line, r.receiver_type, r.argument, r.loop_kind, r.loop_variable, r.scope_kind, r.catch_type, r.outer_call, u.rule_no, u.provider, u.operation,
-      case u.strategy when 'receiver_type' then regexp_extract(r.receiver_type, '([^.]+)$', 1) when 'declaring_type' then regexp_extract(r.target, '^M:(.*)[.][^.]+[(]', 1) when 'argument_name' then r.argument end as resource
+  select x.*, row_number() over (partition by enclosing, target, file_path, line, receiver_type, argument, type_arguments, loop_kind, loop_detail, loop_bind_type, scopes, outer_calls, catch_type order by rule_no) as nth from (
+    select r.*, u.rule_no, u.provider, u.operation, case u.strategy
+      when 'receiver_type' then r.receiver_type when 'argument_type' then r.first_type
+      when 'declaring_type' then regexp_extract(r.target, '^M:(.*)[.][^.]+[(]', 1)
+      when 'type_argument' then case t_index when 0 then regexp_extract(r.type_arguments, '^(Pair<[^>]*>),(.*)$', 1) when 1 then regexp_extract(r.type_arguments, '^(Pair<[^>]*>),(.*)$', 2) end
+      when 'argument_name' then case when a_index is null then r.argument when not starts_with(json_extract_string(r.argument_names, '$[1]'), '~') then json_extract_string(r.argument_names, '$[1]') end
+      when 'string_argument' then case when a_index is null then r.first_template else json_extract_string(r.argument_templates, '$[1]') end
+      when 'string_argument_or_receiver' then coalesce(r.first_template, r.receiver_type)
+      when 'http_argument' then coalesce(regexp_extract(rtrim(r.first_template, '/'), '(?:://|^/)(.*)$', 1), r.receiver_type)
+      when 'ef_query_root' then coalesce(r.type_arguments, r.receiver_type)
+      when 'ef_context_receiver' then r.receiver_type when 'ef_dbset_receiver' then r.receiver_type when 'ef_database_facade' then r.receiver_type end as resource
     from refs r join effect_rules u on u.method = r.target_name
-    where r.ref_kind = 'invocation' and r.enclosing is not null and (u.n_receivers = 0 or contains(concat(',', u.receivers, ','), concat(',', r.receiver_type, ',')))) x
+    where r.ref_kind = 'invocation' and r.enclosing is not null and not r.in_expression_tree and (u.receivers = '' or contains(concat(',', u.receivers, ','), concat(',', r.receiver_type, ',')))
+      and (u.containing = '' or len(list_filter(string_split(u.containing, ','), lambda g: starts_with(r.enclosing, concat('M:', g, '.')))) > 0)) x
   where resource is not null) y where nth = 1""")
 
 
+def iterated_sql(rows: str) -> str:
+    """rows with loop (its kind, null where a query binds once), lam (in an enumerating lambda) and detail."""
+    return f"""
+select *, coalesce(loop, case when lam then 'lambda' end) as it_kind, coalesce(case when loop is not null then loop_detail end, case when lam then 'y, z in Select' end, loop) as it_detail from (
+  select *, case when loop_kind = 'query' and loop_bind_type = 'Lib.Option' then null else loop_kind end as loop, coalesce(starts_with(outer_calls, 'Lib.Seq'), false) as lam from {rows}) x"""
+
+
+LOOPED = ("looped", iterated_sql("effects"))
+FANOUT = ("fanout", f"""
+select distinct enclosing as caller, file_path, line, target as enclosing, it_kind as kind, case when contains(it_detail, ' in ') then regexp_extract(it_detail, ' in (.*)$', 1) else '' end as source
+from ({iterated_sql("refs")}) i where ref_kind = 'invocation' and enclosing is not null and not in_expression_tree and target_in_source and it_kind is not null""")
+CALLS = ("calls", """
+select e.src, e.dst, e.kind, e.file_path, e.line, case when e.line % 3 = 0 then null when e.line % 3 = 1 then m.containing_symbol_id when e.line % 6 = 5 then c.containing_symbol_id else e.receiver_type end as receiver_type
+from edges e join methods m on m.symbol_id = e.dst join methods c on c.symbol_id = e.src""")
+TARGETS = ("targets", """
+select t.hub, t.dst, m.containing_symbol_id as type_id from (select src as hub, dst from mined union select distinct a.symbol_id, b.symbol_id from methods b join closure c on c.type_id = b.containing_symbol_id and c.depth > 0
+  join methods a on a.containing_symbol_id = c.ancestor and a.name = b.name where b.is_override and a.symbol_id not in (select src from mined)) t join methods m on m.symbol_id = t.dst""")
+NARROWED = ("narrowed", """
+select * from (with h as (select distinct c.dst as hub, c.receiver_type as receiver from calls c where starts_with(c.receiver_type, 'T:App') and c.dst in (select hub from targets)),
+own as (select distinct h.hub, h.receiver, t.dst from h join targets t on t.hub = h.hub join closure c on c.type_id = t.type_id and c.ancestor = h.receiver),
+up as (select h.hub, h.receiver, t.dst, c.depth from h join closure c on c.type_id = h.receiver and c.depth > 0 join targets t on t.hub = h.hub and t.type_id = c.ancestor
+  where not exists (select 1 from own where own.hub = h.hub and own.receiver = h.receiver))
+select hub, receiver, dst from own union all
+select distinct u.hub, u.receiver, u.dst from up u join (select hub, receiver, min(depth) as depth from up group by 1, 2) n on n.hub = u.hub and n.receiver = u.receiver and n.depth = u.depth) z""")
+FANS = ("fans", """
+select c.dst as hub, f.fan, count(*) as incoming_unnarrowed, count(*) filter (where c.receiver_type is null) as absent, count(*) filter (where c.receiver_type = m.containing_symbol_id) as base_typed, cast(0 as bigint) as type_parameter,
+  count(*) filter (where c.receiver_type is not null and c.receiver_type <> m.containing_symbol_id) as external, f.fan * count(*) as rank
+from calls c join (select hub, count(distinct dst) as fan from targets group by 1 having count(distinct dst) >= 2) f on f.hub = c.dst join methods m on m.symbol_id = c.dst
+left join (select hub, receiver, count(distinct dst) as n from narrowed group by 1, 2) x on x.hub = c.dst and x.receiver = c.receiver_type where c.kind <> 'handoff' and (x.n is null or x.n = f.fan) group by c.dst, f.fan""")
+
+
 def closure_sql(name: str, seeds: str, depth: int, edges: str = "edges") -> tuple[str, str]:
     """A table (seed, sym, depth) of least depths."""
     return name, f"""
@@ -89,6 +130,31 @@ def effects_of(f: source.Facts) -> DataFrame:
     return fx.by_invocation(f.refs, rulebook.effect_rules(f.refs.sparkSession))
 
 
+def calls_of(f: source.Facts) -> DataFrame:
+    """Call edges, some of whose receivers are types of the hierarchy or absent."""
+    own = f.methods.select(F.col("symbol_id").alias("dst"), F.col("containing_symbol_id").alias("own"))
+    caller = f.methods.select(F.col("symbol_id").alias("src"), F.col("containing_symbol_id").alias("of_caller"))
+    receiver = F.when(F.col("line") % 3 == 1, F.col("own")).when(F.col("line") % 6 == 5, F.col("of_caller")).when(F.col("line") % 3 != 0, F.col("receiver_type"))
+    return edges_of(f).join(own, "dst").join(caller, "src").withColumn("receiver_type", receiver).drop("own", "of_caller")
+
+
+def targets_of(f: source.Facts, ancestors: DataFrame) -> DataFrame:
+    mined = graph.mined_dispatch(f.dispatch)
+    both = mined.select(F.col("src").alias("hub"), "dst").union(graph.cha_dispatch(f.methods, ancestors, mined).select("src", "dst")).distinct()
+    return both.join(f.methods.select(F.col("symbol_id").alias("dst"), F.col("containing_symbol_id").alias("type_id")), "dst").select("hub", "dst", "type_id")
+
+
+def narrowed_of(calls: DataFrame, targets: DataFrame, ancestors: DataFrame) -> DataFrame:
+    hubs = calls.where(F.startswith("receiver_type", F.lit("T:App"))).select(F.col("dst").alias("hub"), F.col("receiver_type").alias("receiver")).distinct()
+    return graph.narrowed_dispatch(hubs.join(targets.select("hub").distinct(), "hub", "left_semi"), targets, ancestors)
+
+
+def fans_of(f: source.Facts) -> DataFrame:
+    ancestors = graph.closure(f.type_relations)
+    calls, targets = calls_of(f), targets_of(f, ancestors)
+    return reports.dispatch_fans(calls, targets, narrowed_of(calls, targets, ancestors), f.methods.select(F.col("containing_symbol_id").alias("type_id")))
+
+
 # Scans, projections, filters, search
 
 
@@ -340,25 +406,41 @@ def _(f):
     return graph.cha_dispatch(f.methods, graph.closure(f.type_relations), graph.mined_dispatch(f.dispatch))
 
 
-@query("dispatch_narrowed", """
-with t as (select d.source_member as hub, d.target_member as dst, m.containing_symbol_id as type_id from dispatch d join methods m on m.symbol_id = d.target_member),
-h as (select distinct d.source_member as hub, m.containing_symbol_id as receiver from dispatch d join methods m on m.part_key <= 30),
-own as (select distinct h.hub, h.receiver, t.dst from h join t on t.hub = h.hub join closure c on c.type_id = t.type_id and c.ancestor = h.receiver),
-up as (select h.hub, h.receiver, t.dst, c.depth from h join closure c on c.type_id = h.receiver and c.depth > 0 join t on t.hub = h.hub and t.type_id = c.ancestor
-  where not exists (select 1 from own where own.hub = h.hub and own.receiver = h.receiver))
-select hub, receiver, dst from own union all
-select distinct u.hub, u.receiver, u.dst from up u join (select hub, receiver, min(depth) as depth from up group by 1, 2) n on n.hub = u.hub and n.receiver = u.receiver and n.depth = u.depth""", CLOSURE)
+@query("dispatch_narrowed", "select hub, receiver, dst from narrowed", EDGES, CLOSURE, MINED, CALLS, TARGETS, NARROWED)
+def _(f):
+    ancestors = graph.closure(f.type_relations)
+    return narrowed_of(calls_of(f), targets_of(f, ancestors), ancestors)
+
+
+@query("dispatch_fans", "select * from fans", EDGES, CLOSURE, MINED, CALLS, TARGETS, NARROWED, FANS)
+def _(f):
+    return fans_of(f)
+
+
+@query("reach_one_hop", """
+select sym, dispatched, cast(min(depth) as bigint) as depth from (
+  with recursive w(sym, dispatched, depth) as (
+    select symbol_id, false, 0 from methods where part_key <= 6
+    union select s.dst, s.d, w.depth + 1 from w join (select distinct src, dst, false as d from edges union select distinct src, dst, true from mined) s on s.src = w.sym and not (s.d and w.dispatched) where w.depth < 4)
+  select * from w) x group by sym, dispatched""", EDGES, MINED)
+def _(f):
+    return reach.one_hop(edges_of(f), graph.mined_dispatch(f.dispatch), seeds(f), 4)
+
+
+@query("reach_all_hops", "select sym, cast(min(depth) as bigint) as depth from w group by sym", EDGES, MINED, ("hops", "select src, dst from edges union select src, dst from mined"), closure_sql("w", SEEDS, 4, "hops"))
 def _(f):
-    own = f.methods.select(F.col("symbol_id").alias("dst"), F.col("containing_symbol_id").alias("type_id"))
-    targets = f.dispatch.select(F.col("source_member").alias("hub"), F.col("target_member").alias("dst")).join(own, "dst").select("hub", "dst", "type_id")
-    receivers = f.methods.where("part_key <= 30").select(F.col("containing_symbol_id").alias("receiver")).distinct()
-    hubs = f.dispatch.select(F.col("source_member").alias("hub")).distinct().join(F.broadcast(receivers))
-    return graph.narrowed_dispatch(hubs, targets, graph.closure(f.type_relations))
+    hops = edges_of(f).select("src", "dst").union(graph.mined_dispatch(f.dispatch).select("src", "dst"))
+    return reach.reach_from(hops, seeds(f).select("sym"), 4)
 
 
-@query("dispatch_fans", "select d.hub, d.fan, e.incoming, d.fan * e.incoming as rank from (select source_member as hub, count(distinct target_member) as fan from dispatch group by 1) d join (select dst as hub, count(*) as incoming from edges group by 1) e on e.hub = d.hub", EDGES)
+@query("folded_edges", "select src, dst, kind, receiver_type, count(*) as sites, cast(min(line) as bigint) as line from edges group by 1, 2, 3, 4", EDGES)
 def _(f):
-    return reports.dispatch_fans(edges_of(f), f.dispatch)
+    return reports.folded(edges_of(f))
+
+
+@query("edge_bindings", "select e.src, e.dst, cast(e.line as bigint) as line, b.type_arguments from (select distinct src, dst, line from edges) e left join (select enclosing, target, line, min(type_arguments) as type_arguments from refs group by 1, 2, 3) b on b.enclosing = e.src and b.target = e.dst and b.line = e.line", EDGES)
+def _(f):
+    return reports.rebound(edges_of(f), f.refs.where("enclosing is not null").select(F.col("enclosing").alias("src"), F.col("target").alias("dst"), "line", "type_arguments"))
 
 
 # Effects and observations
@@ -369,7 +451,7 @@ def _(f):
     return effects_of(f).select("provider", "operation", "resource", "enclosing", "file_path", "line")
 
 
-@query("effects_wrapper", "select distinct 'db' as provider, 'wrapped' as operation, regexp_extract(r.target, '([^.(]+)[(]', 1) as resource, r.enclosing, r.file_path, cast(r.line as bigint) as line from refs r where r.ref_kind = 'invocation' and r.enclosing is not null and r.target in (select enclosing from refs where ref_kind = 'invocation' and target_name in ('Do1', 'Do2'))")
+@query("effects_wrapper", "select distinct 'db' as provider, 'wrapped' as operation, regexp_extract(r.target, '([^.(]+)[(]', 1) as resource, r.enclosing, r.file_path, cast(r.line as bigint) as line from refs r where r.ref_kind = 'invocation' and r.enclosing is not null and not r.in_expression_tree and r.target in (select enclosing from refs where ref_kind = 'invocation' and not in_expression_tree and target_name in ('Do1', 'Do2'))")
 def _(f):
     return fx.by_wrapper(f.refs, ["Do1", "Do2"], "db", "wrapped")
 
@@ -388,6 +470,13 @@ def _(f):
     return fx.by_kind(f.refs, "throw", "throw")
 
 
+@query("effects_alloc", """
+select 'alloc' as provider, operation, resource, enclosing, file_path, cast(line as bigint) as line, cardinality, shallow_size, case when cardinality <> 'cached_first_use' then loop_kind end as loop_kind,
+  case when cardinality <> 'cached_first_use' then loop_detail end as loop_detail from allocations""")
+def _(f):
+    return fx.by_allocation(f.allocations)
+
+
 @query("effects_field", "select distinct 'state' as provider, access as operation, cell as resource, enclosing, file_path, cast(line as bigint) as line from field_access where contains(concat(' ', modifiers, ' '), ' static ') and cell in (select cell from field_access where access = 'write')")
 def _(f):
     return fx.by_field(f.field_access)
@@ -409,37 +498,90 @@ def _(f):
 
 
 OBSERVED = ("observed", """
-select provider, operation, resource, enclosing, file_path, line, 'looped_effect' as type, loop_kind as detail from effects where loop_kind is not null
-union all select provider, operation, resource, enclosing, file_path, line, 'parallel_fanout', outer_call from effects where outer_call = 'M:Lib.Parallel.ForEach'
-union all select provider, operation, resource, enclosing, file_path, line, 'resilience_retry', outer_call from effects where outer_call = 'M:Lib.Policy.Execute'
-union all select provider, operation, resource, enclosing, file_path, line, 'concurrency_handled', catch_type from effects where catch_type = 'T:Lib.ConcurrencyException'
-union all select provider, operation, resource, enclosing, file_path, line, 'lock_held_across_effect', scope_kind from effects where scope_kind = 'lock'
-union all select provider, operation, resource, enclosing, file_path, line, 'transaction_spans_effect', scope_kind from effects where scope_kind = 'transaction'
-union all select provider, operation, resource, enclosing, file_path, line, 'unserializable_payload', receiver_type from effects where provider = 'queue' and contains(receiver_type, 'S5')
-union all select provider, operation, resource, enclosing, file_path, line, 'n_plus_1', argument from effects where loop_kind is not null and operation = 'read' and contains(concat('.', argument, '.'), concat('.', loop_variable, '.'))""")
-for _type, _name in (("looped_effect", "obs_looped"), ("parallel_fanout", "obs_parallel_fanout"), ("resilience_retry", "obs_retry"), ("concurrency_handled", "obs_concurrency"), ("unserializable_payload", "obs_unserializable"), ("n_plus_1", "obs_n_plus_1")):
-    query(_name, f"select provider, operation, resource, enclosing, file_path, cast(line as bigint) as line, type, detail from observed where type = '{_type}'", EFFECT_RULES, EFFECTS, OBSERVED)(lambda f, t=_type: fx.observations(effects_of(f)).where(F.col("type") == t))
+select provider, operation, resource, enclosing, file_path, line, unnest.type as type, unnest.context as context, unnest.detail as detail from (
+  select provider, operation, resource, enclosing, file_path, line, unnest(list_filter([
+    case when it_kind is not null then {'type': 'looped_effect', 'context': it_kind, 'detail': it_detail} end,
+    case when starts_with(outer_calls, 'Lib.Parallel') then {'type': 'parallel_fanout', 'context': 'Parallel.ForEach', 'detail': 'Parallel.ForEach'} when lam then {'type': 'parallel_fanout', 'context': 'Parallel.Invoke', 'detail': 'Parallel.Invoke'} end,
+    case when starts_with(outer_calls, 'Lib.Policy') then {'type': 'resilience_retry', 'context': 'Policy', 'detail': 'Lib.Policy'} end,
+    case when target_name in ('Do3', 'Do4', 'Do18') and catch_type is not null then {'type': 'concurrency_handled', 'context': 'Concurrency', 'detail': catch_type} end,
+    case when starts_with(scopes, 'transaction') and provider not in ('db', 'ef') then {'type': 'transaction_spans_effect', 'context': 'transaction', 'detail': 'System.TransactionScope'} end,
+    case when scopes is not null and provider <> 'async_block' then {'type': 'lock_held_across_effect', 'context': 'lock', 'detail': case when starts_with(scopes, 'lock') then 'lock' else 'Gate' end} end,
+    case when provider in ('queue', 'audit') and contains(type_arguments, 'K3') then {'type': 'unserializable_payload', 'context': 'K3', 'detail': type_arguments} end,
+    case when not ((provider in ('db', 'ef') and operation = 'read') or provider = 'http') then null when loop = 'query' and contains(first_template, '/p/') then {'type': 'n_plus_1', 'context': 'p', 'detail': it_detail}
+      when loop in ('foreach', 'query') and contains(concat('.', argument, '.'), concat('.', loop_variable, '.')) then {'type': 'n_plus_1', 'context': loop_variable, 'detail': it_detail} end], lambda o: o is not null)) as unnest from looped) x""")
+OBSERVING = (EFFECT_RULES, EFFECTS, LOOPED, OBSERVED)
+SEEN_SQL = "select provider, operation, resource, enclosing, file_path, cast(line as bigint) as line, type, context, detail from observed where type in "
+for _types, _name in (
+    ("looped_effect", "obs_looped"), ("parallel_fanout", "obs_parallel_fanout"), ("resilience_retry", "obs_retry"), ("concurrency_handled", "obs_concurrency"),
+    ("unserializable_payload", "obs_unserializable"), ("n_plus_1", "obs_n_plus_1"), ("lock_held_across_effect transaction_spans_effect", "obs_resource_span"),
+):
+    query(_name, SEEN_SQL + "(" + ", ".join(f"'{t}'" for t in _types.split()) + ")", *OBSERVING)(lambda f, t=_types.split(): fx.observations(effects_of(f)).where(F.col("type").isin(*t)))
+
+
+@query("iteration_fanout", "select caller, file_path, cast(line as bigint) as line, enclosing, kind, source from fanout", FANOUT)
+def _(f):
+    return fx.iteration_fanout(f.refs)
 
 
-@query("obs_resource_span", "select provider, operation, resource, enclosing, file_path, cast(line as bigint) as line, type, detail from observed where type in ('lock_held_across_effect', 'transaction_spans_effect')", EFFECT_RULES, EFFECTS, OBSERVED)
+def loops_of(f: source.Facts) -> DataFrame:
+    rows = fx.iterated(fx.executed(f.refs)).where("iteration is not null")
+    return reports.loop_depths(rows.select("enclosing", F.col("iteration.kind").alias("kind"), F.col("iteration.detail").alias("detail"), "line"))
+
+
+LOOPS = ("loops", f"""
+select a.enclosing, a.detail, count(b.detail) + 1 as depth from SPANS a left join SPANS b on b.enclosing = a.enclosing and b.detail <> a.detail and a.lo > b.lo and a.hi <= b.hi group by a.enclosing, a.detail""".replace(
+    "SPANS", f"(select enclosing, it_detail as detail, min(line) as lo, max(line) as hi from ({iterated_sql('refs')}) i where ref_kind = 'invocation' and enclosing is not null and not in_expression_tree and it_kind is not null group by 1, 2)"))
+
+
+@query("intra_loop_depth", "select enclosing, detail, depth from loops", LOOPS)
 def _(f):
-    return fx.observations(effects_of(f)).where(F.col("type").isin("lock_held_across_effect", "transaction_spans_effect"))
+    return loops_of(f)
 
 
-@query("iteration_fanout", "select distinct enclosing as caller, file_path, cast(line as bigint) as line, target as enclosing from refs where ref_kind = 'invocation' and loop_kind is not null and target_in_source and enclosing is not null")
+@query("amplify_buckets", """
+select bucket, cast(degree as bigint) as degree, provider, operation, file_path, cast(line as bigint) as line, cast(rank as bigint) as rank from (
+  select *, row_number() over (partition by bucket order by case when degree < 0 then 0 else 1 end, degree desc, weight desc, provider, operation, file_path, line) as rank from (
+    select *, case when provider in ('db', 'ef', 'http') then 2 when provider = 'async_block' then 1 else 0 end as weight, case when degree < 0 then 'recursion' when provider = 'async_block' then 'separate' else 'main' end as bucket from (
+      select distinct case when e.line % 17 = 0 then -1 else l.depth end as degree, e.provider, e.operation, e.file_path, e.line from looped e join loops l on l.enclosing = e.enclosing and l.detail = e.it_detail where e.provider <> 'gate') x) y) z where rank <= 20""", EFFECT_RULES, EFFECTS, LOOPED, LOOPS)
 def _(f):
-    return fx.iteration_fanout(f.refs)
+    rows = fx.iterated(effects_of(f)).where("iteration is not null").withColumn("detail", F.col("iteration.detail")).join(loops_of(f), ["enclosing", "detail"])
+    found = rows.select(F.when(F.col("line") % 17 == 0, -1).otherwise(F.col("depth")).cast("long").alias("degree"), "provider", "operation", "file_path", "line").distinct()
+    return reports.buckets(found, rulebook.DEFAULT["amplification"]["categories"], 1, 20).select("bucket", "degree", "provider", "operation", "file_path", "line", "rank")
 
 
 # Entry points, hazards
 
 
-@query("entry_points_class", """
-select 'class' as kind, method, concat('/', lower(regexp_extract(method, '[.](T[0-9]+)[.]', 1)), '/', lower(m.name)) as route, x.file_path, cast(x.line as bigint) as line from (
-  select min(symbol_id) as method, file_path, line from methods where containing_symbol_id in (select type_id from closure where ancestor = 'T:App.N2.T2' and depth > 0) and starts_with(modifiers, 'public') and not contains(modifiers, 'abstract') group by file_path, line) x
-join methods m on m.symbol_id = x.method""", CLOSURE)
+ENTRIES = ("entries", """
+select * from (select *, row_number() over (partition by file_path, line order by rule, route, symbol_id) as nth from (
+  select 1 as rule, 'page' as kind, 'PAGE' as method, replace(substr(containing_symbol_id, 7), '.', '/') as route, 'web' as requires, 'site' as services, file_path, line, symbol_id from (
+    select *, row_number() over (partition by containing_symbol_id order by file_path, line, symbol_id) as k, bool_and(contains(modifiers, 'abstract')) over (partition by containing_symbol_id) as off from methods
+    where containing_symbol_id in (select type_id from closure where ancestor = 'T:App.N2.T2')) m where k = 1 and not off
+  union all
+  select 2, 'action', 'POST', concat(replace(regexp_extract(enclosing, '^M:App[.](.*)[.][^.]+[(]', 1), '.', '/'), '.', regexp_extract(enclosing, '([^.(]+)[(]', 1)), 'web,api', 'site,gateway', file_path, line, enclosing from refs
+  where ref_kind = 'ctor' and (starts_with(target, 'M:App.N0') or starts_with(target, 'M:App.N3')) and concat('T:', regexp_extract(enclosing, '^M:(.*)[.][^.]+[(]', 1)) in (select type_id from closure where ancestor = 'T:App.N2.T2')
+  union all
+  select 3, 'handler', 'HANDLE', concat(substr(containing_symbol_id, 3), '.', name), '', 'site,gateway,worker', file_path, line, symbol_id from methods
+  where containing_symbol_id in (select type_id from closure where ancestor = 'T:App.I3' and depth > 0) and name in ('Do2', 'Do9', 'Do33')
+  union all
+  select 4, 'job', 'RUN', concat(substr(containing_symbol_id, 3), '.', name), 'queue', 'worker', file_path, line, symbol_id from methods where containing_symbol_id in (select type_id from closure where ancestor = 'T:App.N1.T1' and depth > 0) and is_override
+  union all
+  select 5, 'rpc', 'RPC', concat(substr(containing_symbol_id, 3), '.', name), 'API', 'gateway', file_path, line, symbol_id from methods where symbol_id in (select enclosing from refs where ref_kind = 'ctor' and starts_with(target, 'M:App.N4.T4.'))) x) y where nth = 1""")
+
+
+def entries_of(f: source.Facts) -> DataFrame:
+    attributes = f.refs.where("ref_kind = 'ctor' and enclosing is not null").select("enclosing", "target", "file_path", "line")
+    return hazards.activated(hazards.entry_points(f.methods, attributes, graph.closure(f.type_relations), rulebook.DEFAULT["entryPoints"]), rulebook.DEFAULT["deployments"])
+
+
+for _name, _kinds in (("entry_points_page", ["page"]), ("entry_points_action", ["action"]), ("entry_points_class", ["handler", "job", "rpc"])):
+    query(_name, "select kind, method, route, concat(kind, ' ', method, ' ', route) as display, file_path, cast(line as bigint) as line, symbol_id from entries where kind in (" + ", ".join(f"'{k}'" for k in _kinds) + ")", CLOSURE, ENTRIES)(
+        lambda f, k=_kinds: entries_of(f).where(F.col("kind").isin(*k)).select("kind", "method", "route", "display", "file_path", "line", "symbol_id"))
+
+
+@query("entry_point_services", "select kind, route, file_path, cast(line as bigint) as line, requires, services from entries", CLOSURE, ENTRIES)
 def _(f):
-    return hazards.entry_points(f.methods, graph.closure(f.type_relations), "T:App.N2.T2")
+    return entries_of(f).select("kind", "route", "file_path", "line", F.array_join("requires", ",").alias("requires"), F.array_join("services", ",").alias("services"))
 
 
 @query("entry_points_handoff", "select distinct dst as method from edges where kind = 'methodGroup' and delegate_consumer is not null", EDGES)
@@ -447,41 +589,62 @@ def _(f):
     return graph.handoffs(edges_of(f), rulebook.handoff_rules(f.refs.sparkSession).select("consumer", "tag")).where("kind = 'handoff'").select(F.col("dst").alias("method")).distinct()
 
 
-RACES = ("races", """
-select f.enclosing, f.cell, f.write_line, f.read_line, case when f.own then 'thread_local_context' when c.writes = 1 then 'lazy_init_race' else 'race_window' end as type, case when f.locked then 'low' else 'high' end as tier from (
-  select w.enclosing, w.cell, w.line as write_line, min(r.line) as read_line, bool_or(w.lock_held) as locked, bool_or(w.thread_static) as own from field_access w
-  join field_access r on r.enclosing = w.enclosing and r.cell = w.cell and r.access = 'read' and r.line > w.line
-  where w.access = 'write' and contains(concat(' ', w.modifiers, ' '), ' static ') group by 1, 2, 3) f
-join (select enclosing, cell, count(distinct line) as writes from field_access where access = 'write' group by 1, 2) c on c.enclosing = f.enclosing and c.cell = f.cell""")
+RACES = (("static_access", "select * from field_access where contains(concat(' ', modifiers, ' '), ' static ')"), ("races", """
+select enclosing, cell, file_path, write_line, read_file, read_line, case when own then 'thread_local_context' when lazy then 'lazy_init_race' else 'race_window' end as type,
+  case when own or lazy then 'low' when held and read_held then 'medium' else 'high' end as confidence,
+  case when own then 'thread_static_context' when lazy and locked then 'lazy_init_in_lock' when lazy then 'lazy_init_shape' when held and read_held then 'in_transaction' else 'no_isolation' end as reason from (
+  select w.*, r.line as read_line, r.file_path as read_file, r.transaction_held as read_held, l.line as last_locked,
+    contains(lower(regexp_extract(w.enclosing, '([^.(]+)[(]', 1)), 'init') or (ends_with(w.cell, '._instance') and count(*) over (partition by w.enclosing, w.cell) = 1) as lazy from (
+      select enclosing, cell, file_path, line as write_line, bool_or(lock_held) as locked, bool_or(transaction_held) as held, bool_or(thread_static) as own, bool_or(contains(modifiers, 'volatile')) as free from static_access where access = 'write' group by 1, 2, 3, 4) w
+    join (select *, row_number() over (partition by enclosing, cell order by line, file_path, transaction_held) as nth from static_access where access = 'read') r on r.enclosing = w.enclosing and r.cell = w.cell and r.nth = 1
+    left join (select enclosing, max(line) as line from static_access where lock_held group by 1) l on l.enclosing = w.enclosing) x
+where read_line < write_line and not coalesce(not own and lazy and locked and free and write_line >= last_locked, false)"""))
 for _type, _name in (("race_window", "hazard_race_window"), ("lazy_init_race", "hazard_lazy_init"), ("thread_local_context", "hazard_thread_local")):
-    query(_name, f"select enclosing, cell, cast(write_line as bigint) as write_line, cast(read_line as bigint) as read_line, type, tier from races where type = '{_type}'", RACES)(lambda f, t=_type: hazards.race_windows(f.field_access).where(F.col("type") == t))
+    query(_name, f"select enclosing, cell, file_path, cast(write_line as bigint) as write_line, read_file, cast(read_line as bigint) as read_line, type, confidence, reason from races where type = '{_type}'", *RACES)(lambda f, t=_type: hazards.race_windows(f.field_access).where(F.col("type") == t))
+
 
+def dual_of(f: source.Facts) -> DataFrame:
+    return hazards.dual_writes(f.effect_events, rulebook.DEFAULT["dualWrite"])
 
-@query("hazard_dual_write", """
-select g.enclosing, g.systems, cast(l.line as bigint) as line, l.provider from (
-  select enclosing, string_agg(provider, '+' order by provider) as systems from (select distinct enclosing, provider from effect_events where operation = 'write') x group by enclosing having count(*) >= 2) g
-join (select enclosing, line, provider, row_number() over (partition by enclosing order by line desc, provider desc) as nth from effect_events where operation = 'write') l on l.enclosing = g.enclosing and l.nth = 1""")
+
+DUAL = (("system_writes", "select * from (select *, case when provider = 'purchase' and operation = 'write' then 'db' when provider = 'click' and operation = 'write' then 'queue' when provider = 'signup' then 'search' end as system from effect_events) x where system is not null"), ("dual", """
+select g.enclosing, g.systems, t.sites, l.line, l.provider from (select enclosing, string_agg(system, '+' order by system) as systems from (select distinct enclosing, system from system_writes) x group by enclosing having count(*) >= 2) g
+join (select enclosing, string_agg(concat(file_path, ':', line), ',' order by line, file_path) as sites from (select distinct enclosing, file_path, line from system_writes) x group by enclosing) t on t.enclosing = g.enclosing
+join (select enclosing, line, provider, row_number() over (partition by enclosing order by line desc, provider desc) as nth from system_writes) l on l.enclosing = g.enclosing and l.nth = 1"""))
+WAITS = ("waits", "select e.enclosing, e.operation as context, e.file_path, e.line from effects e where e.provider = 'async_block' and e.enclosing in (select symbol_id from methods where contains(concat(' ', modifiers, ' '), ' async '))")
+CAPTURES = ("captures", "select distinct enclosing, resource, file_path, line from initialisers where (contains(resource, 'R1') or contains(resource, 'R4')) and enclosing in (select symbol_id from fields where contains(concat(' ', modifiers, ' '), ' static '))")
+
+
+def captures_of(f: source.Facts) -> DataFrame:
+    return hazards.static_captures(f.initialisers, f.fields, rulebook.DEFAULT["staticInitCapture"])
+
+
+@query("hazard_dual_write", "select enclosing, systems, sites, cast(line as bigint) as line, provider from dual", *DUAL)
 def _(f):
-    return hazards.dual_writes(f.effect_events)
+    return dual_of(f)
 
 
-@query("hazard_sync_over_async", "select distinct r.enclosing, r.target, r.file_path, cast(r.line as bigint) as line from refs r where r.ref_kind = 'invocation' and r.enclosing is not null and r.target_name in ('Do5', 'Do6', 'Do7') and exists (select 1 from refs t where t.enclosing = r.enclosing and t.ref_kind = 'invocation' and t.receiver_type in ('T:Lib.S6', 'T:Lib.S7'))")
+@query("hazard_sync_over_async", "select enclosing, context, file_path, cast(line as bigint) as line from waits", EFFECT_RULES, EFFECTS, WAITS)
 def _(f):
-    return hazards.sync_over_async(f.refs, ["Do5", "Do6", "Do7"])
+    return hazards.sync_over_async(effects_of(f), f.methods)
 
 
-@query("hazard_static_init", "select distinct cell, enclosing from field_access a where access = 'write' and contains(concat(' ', modifiers, ' '), ' static ') and not exists (select 1 from field_access r where r.access = 'read' and r.cell = a.cell and r.enclosing = a.enclosing)")
+@query("hazard_static_init", "select enclosing, resource, file_path, cast(line as bigint) as line from captures", CAPTURES)
 def _(f):
-    return hazards.static_captures(f.fields, f.field_access)
+    return captures_of(f)
+
+
+KEYED = ("keyed_events", "select *, regexp_extract(resource, '^App[.](R[0-9]+)', 1) as key from effect_events")
 
 
 @query("hazard_cache_coherence", """
-select distinct a.sym, a.key from (select enclosing as sym, resource as key from effect_events where operation = 'write' and event_id % 20 = 0) a
-where not exists (select 1 from w join effect_events e on e.enclosing = w.sym where w.seed = a.sym and e.resource = a.key and e.provider = 'purchase' and e.event_id % 40 = 1)""", EDGES, closure_sql("w", "select distinct enclosing as seed, enclosing as sym, 0 as depth from effect_events where operation = 'write' and event_id % 20 = 0", 2))
+select distinct a.sym, a.key from (select enclosing as sym, key from keyed_events where operation = 'write' and event_id % 20 = 0) a
+where not exists (select 1 from w join keyed_events e on e.enclosing = w.sym where w.seed = a.sym and e.key = a.key and e.provider = 'purchase' and e.event_id % 5 = 1)""", EDGES, KEYED, closure_sql("w", "select distinct enclosing as seed, enclosing as sym, 0 as depth from effect_events where operation = 'write' and event_id % 20 = 0", 2))
 def _(f):
-    anchors = f.effect_events.where("operation = 'write' and event_id % 20 = 0").select(F.col("enclosing").alias("sym"), F.col("resource").alias("key"))
+    keyed = f.effect_events.withColumn("key", docid.resource_key(F.col("resource"), rulebook.DEFAULT["suffixes"]))
+    anchors = keyed.where("operation = 'write' and event_id % 20 = 0").select(F.col("enclosing").alias("sym"), "key")
     known = reach.reach(edges_of(f), anchors.select(F.col("sym").alias("seed"), "sym").distinct(), 2)
-    return hazards.missing_companions(anchors, f.effect_events.where("provider = 'purchase' and event_id % 40 = 1").select(F.col("enclosing").alias("sym"), F.col("resource").alias("key")), known)
+    return hazards.missing_companions(anchors, keyed.where("provider = 'purchase' and event_id % 5 = 1").select(F.col("enclosing").alias("sym"), "key"), known)
 
 
 SMALL = ("small_edges", "select distinct src, dst, kind from edges where line < 20 and receiver_type in ('T:Lib.S1', 'T:Lib.S2', 'T:Lib.S3', 'T:Lib.S4', 'T:Lib.S5')")
@@ -507,13 +670,13 @@ select caller, file_path, cast(line as bigint) as line, provider, operation, cas
   select *, row_number() over (partition by caller, file_path, line order by depth, sym, provider, operation) as rank from (
     select caller, file_path, line, provider, operation, depth, min(sym) as sym from (
       select v.caller, v.file_path, v.line, e.provider, e.operation, w.depth, w.sym, min(w.depth) over (partition by v.caller, v.file_path, v.line, e.provider, e.operation) as least
-      from (select distinct enclosing as caller, file_path, line, target as enclosing from refs where ref_kind = 'invocation' and loop_kind is not null and target_in_source and enclosing is not null and line < 15) v
+      from (select distinct caller, file_path, line, enclosing from fanout where line < 15) v
       join w on w.seed = v.enclosing join (select distinct enclosing, provider, operation from effect_events) e on e.enclosing = w.sym) x where depth = least group by 1, 2, 3, 4, 5, 6) y) z where rank <= 3"""
 
 
-@query("cross_method_amplification", AMPLIFIED, EDGES, closure_sql("w", "select distinct target as seed, target as sym, 0 as depth from refs where ref_kind = 'invocation' and loop_kind is not null and target_in_source and enclosing is not null and line < 15", 3))
+@query("cross_method_amplification", AMPLIFIED, EDGES, FANOUT, closure_sql("w", "select distinct enclosing as seed, enclosing as sym, 0 as depth from fanout where line < 15", 3))
 def _(f):
-    events = fx.iteration_fanout(f.refs).where("line < 15")
+    events = fx.iteration_fanout(f.refs).where("line < 15").select("caller", "file_path", "line", "enclosing").distinct()
     known = reach.reach(edges_of(f), events.select(F.col("enclosing").alias("seed"), F.col("enclosing").alias("sym")).distinct(), 3)
     return hazards.amplified(events, f.effect_events, known)
 
@@ -522,17 +685,32 @@ def _(f):
 
 
 @query("hotspots", """
-select * from (select m.symbol_id, cast(greatest(1, m.end_line - m.line + 1) as bigint) as lines, coalesce(c.callers, 0) as callers, coalesce(c.sites, 0) as sites, coalesce(e.effect_sites, 0) as effect_sites, coalesce(e.effect_kinds, 0) as effect_kinds,
-  round(coalesce(e.effect_sites, 0) * 100.0 / greatest(1, m.end_line - m.line + 1), 6)::double as density from methods m
-left join (select dst, count(distinct src) as callers, count(distinct concat(src, '|', file_path, '|', line)) as sites from edges group by dst) c on c.dst = m.symbol_id
-left join (select enclosing, count(distinct concat(file_path, '|', line)) as effect_sites, count(distinct concat(provider, '|', operation)) as effect_kinds from effect_events group by enclosing) e on e.enclosing = m.symbol_id) x where callers + effect_sites > 0""", EDGES)
-def _(f):
-    return reports.hotspots(edges_of(f), f.methods, f.effect_events).withColumn("density", F.col("density").cast("double"))
-
-
-@query("dead_code", "select symbol_id, case when contains(concat(' ', modifiers, ' '), ' private ') then 'high' when contains(concat(' ', modifiers, ' '), ' internal ') then 'medium' else 'low' end as tier from methods where not contains(modifiers, 'abstract') and not contains(modifiers, 'virtual') and not regexp_matches(file_path, '[.]g[.]cs$') and symbol_id not in (select sym from w)", EDGES, closure_sql("w", SEEDS, 5))
+select m.symbol_id, cast(case when m.end_line >= m.line and m.line > 0 then m.end_line - m.line + 1 else 1 end as bigint) as lines, coalesce(i.callers, 0) as callers, coalesce(i.incoming, 0) as incoming, coalesce(o.callees, 0) as callees, coalesce(o.outgoing, 0) as outgoing,
+  coalesce(e.effect_sites, 0) as effect_sites, coalesce(e.effect_kinds, 0) as effect_kinds, coalesce(h.hazard_sites, 0) as hazard_sites, coalesce(h.hazard_kinds, 0) as hazard_kinds, coalesce(a.amplifying_sites, 0) as amplifying_sites,
+  coalesce(d.fan, 0) as fan, coalesce(d.incoming_unnarrowed, 0) as incoming_unnarrowed, coalesce(d.rank, 0) as rank, round(coalesce(e.effect_sites, 0) * 100.0 / (case when m.end_line >= m.line and m.line > 0 then m.end_line - m.line + 1 else 1 end), 6)::double as density
+from methods m
+left join (select dst, count(distinct src) as callers, count(distinct concat(src, '|', file_path, '|', line)) as incoming from edges group by 1) i on i.dst = m.symbol_id
+left join (select src, count(distinct dst) as callees, count(distinct concat(dst, '|', file_path, '|', line)) as outgoing from edges group by 1) o on o.src = m.symbol_id
+left join (select enclosing, count(distinct concat(provider, '|', operation, '|', resource, '|', file_path, '|', line)) as effect_sites, count(distinct concat(provider, '|', operation)) as effect_kinds from effects group by 1) e on e.enclosing = m.symbol_id
+left join (select enclosing, count(distinct concat(type, '|', file_path, '|', write_line)) as hazard_sites, count(distinct type) as hazard_kinds from races group by 1) h on h.enclosing = m.symbol_id
+left join (select enclosing, count(distinct concat(provider, '|', operation, '|', resource, '|', file_path, '|', line)) as amplifying_sites from observed
+  where type in ('looped_effect', 'n_plus_1') and (provider in ('db', 'ef') or (provider = 'http' and operation = 'call')) group by 1) a on a.enclosing = m.symbol_id
+left join fans d on d.hub = m.symbol_id""", EDGES, CLOSURE, MINED, CALLS, TARGETS, NARROWED, FANS, *OBSERVING, *RACES)
+def _(f):
+    effects = effects_of(f)
+    amplifying = reports.in_scope(fx.observations(effects).where(F.col("type").isin("looped_effect", "n_plus_1")), rulebook.DEFAULT["amplification"]["scope"])
+    risks = hazards.race_windows(f.field_access).select("enclosing", "type", "file_path", F.col("write_line").alias("line"))
+    return reports.hotspots(edges_of(f), f.methods, effects, risks, amplifying, fans_of(f))
+
+
+@query("dead_code", """
+select m.symbol_id, case when contains(concat(' ', modifiers, ' '), ' private ') then 'high' when contains(concat(' ', modifiers, ' '), ' public ') then 'low' else 'medium' end as tier,
+  case when c.n is null then 'uncalled' else 'only reached by dead code' end as reason, coalesce(c.n, 0) as callers
+from methods m left join (select dst, count(*) as n from edges group by 1) c on c.dst = m.symbol_id
+where not contains(modifiers, 'abstract') and not contains(modifiers, 'virtual') and not is_override and not regexp_matches(file_path, '[.]g[.]cs$') and symbol_id not in (select sym from w)""", EDGES, closure_sql("w", SEEDS, 5))
 def _(f):
-    return hazards.dead_code(f.methods, reach.reach_from(edges_of(f), seeds(f).select("sym"), 5))
+    edges = edges_of(f)
+    return hazards.dead_code(f.methods, reach.reach_from(edges, seeds(f).select("sym"), 5), edges)
 
 
 @query("file_effects", "select m.file_path, m.symbol_id, cast(min(w.depth) as bigint) as depth from w join methods m on m.symbol_id = w.sym group by 1, 2", EDGES, ("back", "select dst as src, src as dst from edges"), EFFECT_RULES, EFFECTS, closure_sql("w", "select distinct enclosing as seed, enclosing as sym, 0 as depth from effects where provider = 'queue'", 3, "back"))
@@ -542,24 +720,32 @@ def _(f):
     return f.methods.join(known, F.col("symbol_id") == F.col("sym")).select("file_path", "symbol_id", "depth")
 
 
+PAIRS = "select 'one' as label, (select max(symbol_id) from methods where part_key = 11) as a, (select max(symbol_id) from methods where part_key = 12) as b union all select 'two', (select max(symbol_id) from methods where part_key = 13), (select max(symbol_id) from methods where part_key = 14)"
+
+
 @query("effects_diff", """
-with a as (select distinct provider, operation, resource from effect_events where enclosing = (select max(symbol_id) from methods where part_key = 11)), b as (select distinct provider, operation, resource from effect_events where enclosing = (select max(symbol_id) from methods where part_key = 12))
-select 'only_first' as side, * from (select * from a except select * from b) x union all select 'only_second', * from (select * from b except select * from a) y""")
+with found as (select distinct w.seed, e.key, concat(e.provider, ':', e.operation) as category from w join keyed_events e on e.enclosing = w.sym),
+x as (select p.label, f.key, p.side, f.category from (select label, 'a' as side, a as seed from pairs union all select label, 'b', b from pairs) p join found f on f.seed = p.seed)
+select label, key as resource_key, concat(min(side), '_only') as side, string_agg(distinct category, ',' order by category) as categories from x group by label, key having count(distinct side) = 1""",
+       EDGES, KEYED, ("pairs", PAIRS), closure_sql("w", "select a as seed, a as sym, 0 as depth from pairs union select b, b, 0 from pairs", 1))
 def _(f):
-    one, two = (f.methods.where(f"part_key = {k}").first()["symbol_id"] for k in (11, 12))
-    return reports.effect_difference(f.effect_events, one, two)
+    one = {r["part_key"]: r["symbol_id"] for r in f.methods.where("part_key between 11 and 14").select("part_key", "symbol_id").collect()}
+    spark = f.refs.sparkSession
+    pairs = spark.createDataFrame([("one", one[11], one[12]), ("two", one[13], one[14])], "label string, a string, b string")
+    known = reach.reach(edges_of(f), spark.createDataFrame([(s, s) for s in one.values()], "seed string, sym string"), 1)
+    return reports.effect_difference(pairs, known, f.effect_events, rulebook.DEFAULT["suffixes"])
 
 
 def _foot(test):
     return f"select enclosing, provider, operation, count(*) as n, bool_or(in_loop) as in_loop from effect_events where {test} group by 1, 2, 3"
 
 
-@query("impact_footprint", """
+@query("impact_footprint", "select * from foot_changes", ("base", _foot("event_id % 2 = 0")), ("head", _foot("event_id % 2 = 1")), ("foot_changes", """
 select enclosing, provider, operation, change from (select coalesce(b.enclosing, h.enclosing) as enclosing, coalesce(b.provider, h.provider) as provider, coalesce(b.operation, h.operation) as operation,
   case when b.n is null then 'added' when h.n is null then 'removed' when h.n > b.n or (h.in_loop and not b.in_loop) then 'amplified' end as change
-  from base b full outer join head h on h.enclosing = b.enclosing and h.provider = b.provider and h.operation = b.operation) x where change is not null""", ("base", _foot("event_id % 2 = 0")), ("head", _foot("event_id % 2 = 1")))
+  from base b full outer join head h on h.enclosing = b.enclosing and h.provider = b.provider and h.operation = b.operation) x where change is not null"""))
 def _(f):
-    return reports.effect_changes(*(reports.footprint(f.effect_events.where(f"event_id % 2 = {k}")) for k in (0, 1)))
+    return foot_changes_of(f)
 
 
 @query("impact_entrypoints", "select 'added' as change, route from (select route from h except select route from b) x union all select 'removed', route from (select route from b except select route from h) y", ("b", "select concat('/', symbol_id) as route from methods where part_key % 3 = 0"), ("h", "select concat('/', symbol_id) as route from methods where part_key % 7 = 0"))
@@ -569,36 +755,113 @@ def _(f):
 
 
 @query("impact_reach", """
-select seed, count(*) filter (where h = 1 and b = 0) as added, count(*) filter (where b = 1 and h = 0) as removed from (
-  select seed, sym, max(b) as b, max(h) as h from (select seed, sym, 1 as b, 0 as h from wb union all select seed, sym, 0, 1 from wh) x group by 1, 2) y group by seed having count(*) filter (where h <> b) > 0""",
+with x as (select seed, sym, max(b) as b, max(h) as h from (select seed, sym, 1 as b, 0 as h from wb union all select seed, sym, 0, 1 from wh) y group by 1, 2),
+m as (select seed, count(*) filter (where h = 1) as added, count(*) filter (where b = 1) as removed from x where b <> h group by 1),
+p as (select seed, count(*) as in_place from x join methods on symbol_id = sym where b = 1 and h = 1 and body_hash <> concat('h', part_key * 7 % 999) group by 1)
+select coalesce(m.seed, p.seed) as seed, coalesce(added, 0) as added, coalesce(removed, 0) as removed, cast(0 as bigint) as changed, coalesce(in_place, 0) as in_place, coalesce(added, 0) + coalesce(removed, 0) + coalesce(in_place, 0) as delta,
+  case when m.seed is null then 'InPlace' else 'Other' end as cause from m full outer join p on p.seed = m.seed""",
        EDGES, ("eb", "select src, dst from edges where line <= 40"), ("eh", "select src, dst from edges where line >= 20"), closure_sql("wb", SEEDS, 3, "eb"), closure_sql("wh", SEEDS, 3, "eh"))
 def _(f):
     edges = edges_of(f)
-    return reports.reach_changes(reach.reach(edges.where("line <= 40"), seeds(f), 3), reach.reach(edges.where("line >= 20"), seeds(f), 3))
+    changed = reports.changed_bodies(f.methods, other_bodies(f))
+    return reports.reach_changes(reach.reach(edges.where("line <= 40"), seeds(f), 3), reach.reach(edges.where("line >= 20"), seeds(f), 3), changed)
+
+
+def other_bodies(f: source.Facts) -> DataFrame:
+    return f.methods.withColumn("body_hash", F.concat(F.lit("h"), F.col("part_key") * 7 % 999))
+
+
+GUARD_CHANGES = ("guard_changes", """
+select src, dst, change from (select src, dst, case when ((h_y and not b_y) or h_z) and b_y and not h_y then 'Changed' when (h_y and not b_y) or h_z then 'Narrowed' when b_y and not h_y then 'Widened' end as change
+from (select src, dst, bool_or(line % 3 = 0) as b_y, bool_or(line % 4 = 0) as h_y, bool_or(line % 5 = 0) as h_z from edges group by 1, 2) x) y where change is not null""")
+FOOT_CHANGES = ("foot_changes", """
+select enclosing, provider, operation, change from (select coalesce(b.enclosing, h.enclosing) as enclosing, coalesce(b.provider, h.provider) as provider, coalesce(b.operation, h.operation) as operation,
+  case when b.n is null then 'added' when h.n is null then 'removed' when h.n > b.n or (h.in_loop and not b.in_loop) then 'amplified' end as change
+  from base b full outer join head h on h.enclosing = b.enclosing and h.provider = b.provider and h.operation = b.operation) x where change is not null""")
+FOOTPRINTS = (("base", _foot("event_id % 2 = 0")), ("head", _foot("event_id % 2 = 1")), FOOT_CHANGES)
 
 
-GUARDED = """select src, dst, cast(max(case when {a} then 1 else 0 end) as int) as g1, cast(max(case when {b} then 1 else 0 end) as int) as g2 from edges group by src, dst"""
+def guards_of(f: source.Facts) -> DataFrame:
+    where = "concat('x > ', line % 2, '  /* && */ && (a||b && c)', {})"
+    sides = ("case when line % 3 = 0 then '&&y' else '' end", "case when line % 4 = 0 then ' && y // && q' else '' end, chr(10), case when line % 5 = 0 then '&& z' else '' end")
+    return reports.guard_changes(*(edges_of(f).selectExpr("src", "dst", where.format(more) + " as guard") for more in sides))
+
+
+def foot_changes_of(f: source.Facts) -> DataFrame:
+    return reports.effect_changes(*(reports.footprint(f.effect_events.where(f"event_id % 2 = {k}")) for k in (0, 1)))
 
 
-@query("impact_guards", """
-select src, dst, change from (select b.src, b.dst, case when (h.g1 > b.g1 or h.g2 > b.g2) and (h.g1 < b.g1 or h.g2 < b.g2) then 'Changed' when h.g1 > b.g1 or h.g2 > b.g2 then 'Narrowed' when h.g1 < b.g1 or h.g2 < b.g2 then 'Widened' end as change
-from gb b join gh h on h.src = b.src and h.dst = b.dst) x where change is not null""", EDGES, ("gb", GUARDED.format(a="line % 3 = 0", b="line % 5 = 0")), ("gh", GUARDED.format(a="line % 4 = 0", b="line % 6 = 0")))
+@query("impact_guards", "select * from guard_changes", EDGES, GUARD_CHANGES)
 def _(f):
-    def guards(a, b):
-        each = edges_of(f).groupBy("src", "dst").agg(F.bool_or(F.expr(a)).alias("a"), F.bool_or(F.expr(b)).alias("b"))
-        return each.select("src", "dst", F.filter(F.array(F.when(F.col("a"), "x > 0"), F.when(F.col("b"), "y > 0")), lambda g: g.isNotNull()).alias("guards"))
+    return guards_of(f)
 
-    return reports.guard_changes(guards("line % 3 = 0", "line % 5 = 0"), guards("line % 4 = 0", "line % 6 = 0"))
+
+@query("impact_gates", "select (select count(distinct enclosing) from foot_changes) as effect_changed, (select count(*) from guard_changes where change = 'Narrowed') as narrowed_guards", EDGES, GUARD_CHANGES, *FOOTPRINTS)
+def _(f):
+    return reports.gates(foot_changes_of(f), guards_of(f))
 
 
 @query("impact_body_changed", "select symbol_id from methods where body_hash <> concat('h', part_key * 7 % 999)")
 def _(f):
-    return reports.changed_bodies(f.methods, f.methods.withColumn("body_hash", F.concat(F.lit("h"), F.col("part_key") * 7 % 999)))
+    return reports.changed_bodies(f.methods, other_bodies(f))
+
+
+FOUND = (*OBSERVING, *RACES, *DUAL, WAITS, CAPTURES, ("found", """
+select type, 'high' as confidence, enclosing, context, detail, cast(line as bigint) as line, provider from observed
+union all select type, confidence, enclosing, cell, concat(read_file, ':', read_line), cast(write_line as bigint), 'state' from races
+union all select 'dual_write', 'medium', enclosing, systems, sites, cast(line as bigint), provider from dual
+union all select 'sync_over_async', 'high', enclosing, context, regexp_extract(enclosing, '([^.(]+)[(]', 1), cast(line as bigint), 'async_block' from waits
+union all select 'static_init_capture', 'medium', enclosing, resource, enclosing, cast(line as bigint), null from captures"""))
+
+
+def found_of(f: source.Facts) -> DataFrame:
+    effects = effects_of(f)
+    return reports.findings(fx.observations(effects), hazards.race_windows(f.field_access), dual_of(f), hazards.sync_over_async(effects, f.methods), captures_of(f))
+
+
+@query("findings", "select * from found", *FOUND)
+def _(f):
+    return found_of(f)
+
+
+@query("finding_groups", "select type, count(*) as n, count(distinct enclosing) as methods from found group by type", *FOUND)
+def _(f):
+    return hazards.grouped(found_of(f))
+
+
+@query("findings_outside", "select * from found where not starts_with(enclosing, 'M:App.N1.') and not starts_with(enclosing, 'F:App.S1.')", *FOUND)
+def _(f):
+    return hazards.excluded(found_of(f), ["App.N1", "App.S1"])
+
+
+@query("di_listing", "select distinct service, implementation, file_path, cast(line as bigint) as line from registrations")
+def _(f):
+    return reports.listing(f.registrations)
+
+
+@query("resource_keys", "select distinct resource, key from keyed_events", KEYED)
+def _(f):
+    return f.effect_events.select("resource", docid.resource_key(F.col("resource"), rulebook.DEFAULT["suffixes"]).alias("key")).distinct()
+
+
+@query("stores_selected", "select store_id, cast(run_id as bigint) as run_id from runs where starts_with(store_id, 's1')")
+def _(f):
+    return reports.chosen(f.runs, "s1").select("store_id", "run_id")
+
+
+@query("ambiguous_targets", "select distinct regexp_extract(symbol_id, '^M:([^(]*)', 1) as name from methods where contains(lower(symbol_id), 't2.p')")
+def _(f):
+    return reports.ambiguous(f.methods.select(F.col("symbol_id").alias("sym")), "T2.P")
+
+
+@query("references_to", "select enclosing, target, ref_kind, file_path, cast(line as bigint) as line from refs where target in (select symbol_id from methods where part_key between 20 and 30)")
+def _(f):
+    return reports.keyed(f.refs, f.methods.where("part_key between 20 and 30").select(F.col("symbol_id").alias("sym")), "target").select("enclosing", "target", "ref_kind", "file_path", "line")
 
 
-@query("findings", "select type, 'medium' as confidence, enclosing, detail, cast(line as bigint) as line, provider from observed union all select type, tier, enclosing, cell, cast(write_line as bigint), null from races", EFFECT_RULES, EFFECTS, OBSERVED, RACES)
+@query("references_from", "select enclosing, target, ref_kind, file_path, cast(line as bigint) as line from refs where enclosing in (select symbol_id from methods where part_key between 20 and 30)")
 def _(f):
-    return reports.findings(fx.observations(effects_of(f)), hazards.race_windows(f.field_access))
+    return reports.keyed(f.refs, f.methods.where("part_key between 20 and 30").select(F.col("symbol_id").alias("sym")), "enclosing").select("enclosing", "target", "ref_kind", "file_path", "line")
 
 
 @query("overlay_snapshot", """

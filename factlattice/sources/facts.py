@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 SCHEMA_VERSION = 7
 
 METHODS = """
-select concat('M:App.N', p_size % 5, '.T', p_size, '.P', p_partkey, '(System.Int32)') as symbol_id, 'method' as kind,
+select concat('M:App.N', p_size % 5, '.T', p_size, case when p_partkey % 13 = 0 then '.InitP' else '.P' end, p_partkey, '(System.Int32)') as symbol_id, 'method' as kind,
   concat('Do', p_partkey % 40) as name, concat('App.N', p_size % 5) as namespace,
   concat('T:App.N', p_size % 5, '.T', p_size) as containing_symbol_id,
-  case when p_partkey % 11 = 0 then 'public abstract' when p_partkey % 3 = 0 then 'private static' when p_partkey % 5 = 0 then 'internal' else 'public virtual' end as modifiers,
+  concat(case when p_partkey % 11 = 0 then 'public abstract' when p_partkey % 3 = 0 then 'private static' when p_partkey % 5 = 0 then 'internal' when p_partkey % 2 = 0 then 'public' else 'public virtual' end,
+    case when p_partkey % 4 <> 1 then ' async' else '' end) as modifiers,
   concat('src/N', p_size % 5, case when p_partkey % 17 = 0 then '/Gen.g.cs' else concat('/T', p_size, '.cs') end) as file_path,
   cast(p_partkey % 900 + 1 as int) as line, cast(p_partkey % 900 + 1 + p_partkey % 60 as int) as end_line,
   concat('Asm', p_size % 7) as defining_assembly, p_partkey % 6 = 0 as is_override, concat('h', p_partkey * 7 % 1000) as body_hash,
@@ -25,11 +26,18 @@ REFERENCES = """
 select case when l.l_suppkey % 13 = 0 then null else m1.symbol_id end as enclosing, m2.symbol_id as target, m2.name as target_name,
   case when l.k < 8 then 'invocation' when l.k < 10 then 'ctor' when l.k < 11 then 'methodGroup' when l.k < 13 then 'read' when l.k < 14 then 'write' when l.k < 15 then 'throw' else 'nameof' end as ref_kind,
   m2.defining_assembly as target_assembly, l.l_suppkey % 9 <> 0 as target_in_source, m1.file_path as file_path, cast(l.rn * 10 + l.l_orderkey % 10 as int) as line,
-  concat('T:Lib.S', l.l_suppkey % 20) as receiver_type, case when l.l_quantity <= 2 then 'foreach' end as loop_kind,
-  case when l.l_quantity <= 2 then concat('v', l.l_suppkey % 5) end as loop_variable, concat('item.v', l.l_partkey % 5, '.Id') as argument,
-  case when l.l_suppkey % 7 = 0 then 'lock' when l.l_suppkey % 7 = 1 then 'transaction' end as scope_kind,
+  concat('T:Lib.S', l.l_suppkey % 20) as receiver_type, case when l.l_quantity <= 1 then 'foreach' when l.l_quantity <= 2 then 'query' when l.l_quantity <= 3 and l.l_suppkey % 2 = 0 then 'while' end as loop_kind,
+  case when l.l_quantity <= 1 then concat('v', l.l_suppkey % 5, ' in items') when l.l_quantity <= 2 then concat('p, v', l.l_suppkey % 5, ' in rows') end as loop_detail,
+  case when l.l_quantity <= 2 and l.l_suppkey % 2 = 0 then 'System.Linq.Enumerable' when l.l_quantity <= 2 and l.l_suppkey % 3 = 0 then 'Lib.Option' end as loop_bind_type,
+  concat('v', l.l_suppkey % 5) as loop_variable, concat('item.v', l.l_partkey % 5, '.Id') as argument,
+  case when l.l_suppkey % 4 <> 0 then concat('Pair<A, B>,K', l.l_suppkey % 6) end as type_arguments,
+  case l.l_partkey % 3 when 0 then concat('https://h', l.l_suppkey % 4, '/p/') when 1 then concat('/q', l.l_suppkey % 4) end as first_template, concat('System.T', l.l_suppkey % 3) as first_type,
+  case when l.l_partkey % 2 = 0 then concat('["a,b","/seg', l.l_suppkey % 5, '"]') end as argument_templates,
+  case when l.l_suppkey % 5 = 0 then '["x","~A|b"]' else concat('["x","Rights.R', l.l_suppkey % 5, '"]') end as argument_names,
+  l.l_suppkey % 10 = 3 as in_expression_tree,
+  case when l.l_suppkey % 7 = 0 then concat('lock', chr(31), '') when l.l_suppkey % 7 = 1 then concat('transaction', chr(31), 'System.TransactionScope', chr(30), 'lock', chr(31), 'Gate') end as scopes,
   case when l.l_suppkey % 8 = 0 then 'T:Lib.ConcurrencyException' end as catch_type,
-  case when l.l_suppkey % 6 = 0 then 'M:Lib.Policy.Execute' when l.l_suppkey % 6 = 1 then 'M:Lib.Parallel.ForEach' end as outer_call,
+  case l.l_suppkey % 6 when 0 then concat('Lib.Policy', chr(31), 'Execute', chr(31), '') when 1 then concat('Lib.Parallel', chr(31), 'ForEach', chr(31), '') when 2 then concat('Lib.Seq', chr(31), 'Select', chr(31), 'y, z', chr(30), 'Lib.Parallel', chr(31), 'Invoke', chr(31), '') end as outer_calls,
   case when l.k = 10 and l.l_suppkey % 2 = 0 then 'M:Lib.Task.Run' when l.k = 10 then 'M:Lib.Bus.Subscribe' end as delegate_consumer,
   cast(l.l_orderkey as bigint) as order_key
 from (
@@ -58,7 +66,7 @@ select source_member, target_member, kind from (
 """
 
 FIELDS = """
-select concat('F:App.S', c_nationkey, '.f', c_custkey) as symbol_id, concat('T:App.S', c_nationkey) as containing_symbol_id,
+select concat('F:App.S', c_nationkey, case when c_custkey % 8 = 1 then concat('.K', c_custkey, '._instance') else concat('.f', c_custkey) end) as symbol_id, concat('T:App.S', c_nationkey) as containing_symbol_id,
   case when c_custkey % 4 = 0 then 'public static' when c_custkey % 4 = 1 then 'private static volatile' else 'private' end as modifiers,
   c_custkey % 10 = 0 as thread_static, cast(c_custkey as bigint) as field_key
 from customer
@@ -66,7 +74,7 @@ from customer
 
 FIELD_ACCESS = """
 select f.symbol_id as cell, m.symbol_id as enclosing, case when o_orderkey % 3 = 0 then 'write' else 'read' end as access, m.file_path as file_path,
-  cast(o_orderkey % 90 + 1 as int) as line, o_orderkey % 7 = 0 as lock_held, f.thread_static as thread_static, f.modifiers as modifiers
+  cast(o_orderkey % 90 + 1 as int) as line, o_orderkey % 7 = 0 as lock_held, o_orderkey % 5 < 3 as transaction_held, f.thread_static as thread_static, f.modifiers as modifiers
 from orders join fields f on f.field_key = o_custkey % 20 + 1 join methods m on m.part_key = o_orderkey * o_custkey % 97 + 1
 """
 
@@ -75,17 +83,34 @@ select concat('s', o_orderpriority) as store_id, min(o_orderkey) as run_id, coun
 """
 
 EFFECT_EVENTS = """
-select event_type as provider, case when event_id % 4 = 0 then 'write' else 'read' end as operation, concat('R', user_id % 9) as resource, m.symbol_id as enclosing,
+select event_type as provider, case when event_id % 4 = 0 then 'write' else 'read' end as operation, concat('App.R', user_id % 9, case when event_id % 2 = 0 then 'Repository' else '' end) as resource, m.symbol_id as enclosing,
   m.file_path as file_path, cast(event_id % 200 + 1 as int) as line, event_id % 5 = 0 as in_loop, event_id as event_id
 from events join methods m on m.part_key = user_id % 150 + 1
 """
 
+ALLOCATIONS = """
+select enclosing, case when order_key % 4 = 0 then 'delegate' when order_key % 4 = 1 then 'array' else 'object' end as operation, receiver_type as resource, file_path, line, loop_kind, loop_detail,
+  case when order_key % 4 = 0 then 'cached_first_use' else 'per_call' end as cardinality, cast(24 + order_key % 8 * 8 as bigint) as shallow_size
+from refs where ref_kind = 'ctor' and enclosing is not null
+"""
+
+INITIALISERS = """
+select f.symbol_id as enclosing, event_type as provider, concat('App.R', user_id % 9) as resource, concat('src/S', f.field_key, '.cs') as file_path, cast(event_id % 200 + 1 as int) as line
+from events join fields f on f.field_key = event_id % 40 + 1 where event_id % 3 = 0
+"""
+
+REGISTRATIONS = """
+select concat('T:Lib.S', s_suppkey % 20) as service, concat('T:App.Impl', s_suppkey % 7) as implementation, concat('src/Di', s_suppkey % 3, '.cs') as file_path, cast(s_suppkey % 50 + 1 as int) as line from supplier
+union all select concat('T:Lib.S', s_suppkey % 20), concat('T:App.Impl', s_suppkey % 7), concat('src/Di', s_suppkey % 3, '.cs'), cast(s_suppkey % 50 + 1 as int) from supplier where s_suppkey % 2 = 0
+"""
+
 #: Each table, in an order in which a text only names tables before it.
 TEXTS = {
     "methods": METHODS, "refs": REFERENCES, "type_relations": TYPE_RELATIONS, "dispatch": DISPATCH, "fields": FIELDS,
     "field_access": FIELD_ACCESS, "runs": RUNS, "effect_events": EFFECT_EVENTS,
+    "allocations": ALLOCATIONS, "initialisers": INITIALISERS, "registrations": REGISTRATIONS,
 }
-TABLES = ("part", "lineitem", "customer", "orders", "events")
+TABLES = ("part", "lineitem", "customer", "orders", "events", "supplier")
 
 
 @dataclass
@@ -98,6 +123,9 @@ class Facts:
     field_access: DataFrame
     runs: DataFrame
     effect_events: DataFrame
+    allocations: DataFrame
+    initialisers: DataFrame
+    registrations: DataFrame
 
 
 def load(spark: SparkSession, sf_dir: str) -> Facts:

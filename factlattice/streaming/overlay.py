@@ -34,8 +34,8 @@ class LiveFacts:
 
     def apply(self, edits: DataFrame, batch: int) -> None:
         """One burst of edits as one generation; a batch that is run again writes the same generation again."""
-        new = latest(edits)
-        overlaid(self.snapshot(), new.select(*self.snapshot().columns)).write.mode("overwrite").parquet(self.at(batch + 1))
+        before, new = self.spark.read.parquet(self.at(batch)), latest(edits)
+        overlaid(before, new.select(*before.columns)).write.mode("overwrite").parquet(self.at(batch + 1))
         self.revision = batch + 1
 
     def follow(self, edits: DataFrame, checkpoint: str, on_batch: Callable[[int], None] | None = None):

@@ -74,20 +74,113 @@ def test_symbol_ids(spark):
     assert re.match(docid.glob("src/**/*.cs"), "src/a/b.cs") and re.match(docid.glob("src/**/*.cs"), "src/b.cs") and not re.match(docid.glob("src/*.cs"), "src/a/b.cs")
 
 
+CALL = "enclosing string, target string, target_name string, ref_kind string, file_path string, line int, receiver_type string, argument string, type_arguments string, first_template string, first_type string, argument_names string, argument_templates string, loop_kind string, loop_detail string, loop_bind_type string, scopes string, outer_calls string, catch_type string, in_expression_tree boolean"
+
+
+def call(spark, **given):
+    base = dict(enclosing="M:A.B.C()", target="M:X.Y.Do8()", target_name="Do8", ref_kind="invocation", file_path="f", line=1, in_expression_tree=False)
+    names = [c.split()[0] for c in CALL.split(", ")]
+    return spark.createDataFrame([tuple({**base, **given}.get(n) for n in names)], CALL)
+
+
 def test_first_resolvable_rule_wins(spark):
-    """A rule whose resource can't be told gives way to the next."""
-    ref = [("M:A.B.C()", "M:X.Y.Do8()", "Do8", "invocation", "f", 1, "T:Lib.S5", "a")]
-    refs = spark.createDataFrame(ref, "enclosing string, target string, target_name string, ref_kind string, file_path string, line int, receiver_type string, argument string")
+    """A rule whose resource can't be told gives way to the next; what is quoted isn't called."""
+    refs = call(spark, receiver_type="T:Lib.S5", argument="a")
     got = effects.by_invocation(refs, rules.effect_rules(spark)).collect()
-    assert [(r.provider, r.operation, r.resource) for r in got] == [("queue", "publish", "S5")]
+    assert [(r.provider, r.operation, r.resource) for r in got] == [("queue", "publish", "T:Lib.S5")]
+    assert effects.by_invocation(call(spark, receiver_type="T:Lib.S5", in_expression_tree=True), rules.effect_rules(spark)).count() == 0
+
+
+@pytest.mark.parametrize("strategy, index, given, want", [
+    ("receiver_type", None, {"receiver_type": "R"}, "R"), ("declaring_type", None, {}, "X.Y"), ("argument_type", None, {"first_type": "int"}, "int"), ("nonsense", None, {"receiver_type": "R"}, None),
+    ("type_argument", None, {"type_arguments": "A,B"}, "A,B"), ("type_argument", 1, {"type_arguments": "F<A, (B, C)>, K[,] ,L"}, "K[,]"), ("type_argument", 3, {"type_arguments": "A,B"}, None), ("type_argument", 0, {"type_arguments": "(A, int),B"}, "(A, int)"),
+    ("argument_name", None, {"argument": "x.y"}, "x.y"), ("argument_name", 1, {"argument_names": '["a","R.X"]'}, "R.X"), ("argument_name", 0, {"argument_names": '["~a|b"]'}, None), ("argument_name", 0, {"argument_names": "broken"}, None),
+    ("string_argument", None, {"first_template": "t"}, "t"), ("string_argument", 1, {"argument_templates": '["a,b",null]'}, None), ("string_argument", 0, {"argument_templates": '["a,b",null]'}, "a,b"),
+    ("string_argument_or_receiver", None, {"first_template": " ", "receiver_type": "R"}, "R"), ("string_argument_or_receiver", None, {}, "X.Y"),
+    ("http_argument", None, {"first_template": "https://h/p//"}, "h/p"), ("http_argument", None, {"first_template": "/p/q"}, "p/q"), ("http_argument", None, {}, "X.Y"),
+    ("ef_query_root", None, {"type_arguments": "E", "receiver_type": "R"}, "E"), ("ef_dbset_receiver", None, {"type_arguments": "E"}, "E"), ("ef_context_receiver", None, {"type_arguments": "E"}, "X.Y"), ("ef_database_facade", None, {"receiver_type": "R"}, "R"),
+])
+def test_resources(spark, strategy, index, given, want):
+    rule = {"provider": "p", "operation": "o", "methods": ["Do8"], "resource": strategy, "type_argument_index": index, "argument_index": index}
+    got = effects.by_invocation(call(spark, **given), rules.effect_rules(spark, {"effects": [rule]})).collect()
+    assert [r.resource for r in got] == ([want] if want is not None else [])
+
+
+def test_containing_gate(spark):
+    rule = {"provider": "p", "operation": "o", "methods": ["Do8"], "resource": "declaring_type", "containing": ["A.B"]}
+    table = rules.effect_rules(spark, {"effects": [rule]})
+    assert [effects.by_invocation(call(spark, enclosing=e), table).count() for e in ("M:A.B.C()", "M:A.Bx.C()")] == [1, 0]
+
+
+def test_iterations(spark):
+    """A query over a single value binds once; a lambda of an enumerating method iterates; names join."""
+    lam = "Lib.Seq\x1fSelect\x1fy, z"
+    one = lambda **k: effects.iterated(call(spark, **k)).first()["iteration"]
+    assert one(loop_kind="query", loop_detail="a, b in xs", loop_bind_type="Lib.Option") is None
+    assert one(loop_kind="query", loop_detail="a, b in xs", loop_bind_type="System.Linq.Enumerable").asDict() == {"kind": "query", "detail": "a, b in xs", "names": ["a", "b"], "source": "xs"}
+    assert one(loop_kind="foreach", loop_detail="a in xs", outer_calls=lam).asDict() == {"kind": "foreach", "detail": "a in xs", "names": ["a", "y", "z"], "source": "xs"}
+    assert one(outer_calls=lam).asDict() == {"kind": "lambda", "detail": "y, z in Select", "names": ["y", "z"], "source": "Select"}
+    assert one(outer_calls="Lib.Option\x1fMap\x1fy") is None
+    assert one(loop_kind="while").asDict() == {"kind": "while", "detail": "while", "names": [], "source": ""}
+
+
+def test_loop_depths(spark):
+    """Nested spans add up, siblings don't, and the clauses of one query are one loop."""
+    rows = [("m", "foreach", "a in xs", k) for k in (1, 20)] + [("m", "foreach", "b in ys", k) for k in (3, 9)] + [("m", "foreach", "c in zs", k) for k in (10, 15)]
+    rows += [("q", "query", "p in ps", k) for k in (1, 30)] + [("q", "query", "p, r in ps", k) for k in (4, 20)] + [("q", "foreach", "d in ds", 8)]
+    got = {(r.enclosing, r.detail): r.depth for r in reports.loop_depths(spark.createDataFrame(rows, "enclosing string, kind string, detail string, line int")).collect()}
+    assert got == {("m", "a in xs"): 1, ("m", "b in ys"): 2, ("m", "c in zs"): 2, ("q", "p in ps"): 1, ("q", "p, r in ps"): 1, ("q", "d in ds"): 2}
+
+
+def test_conjuncts(spark):
+    df = spark.createDataFrame([('a /* && */ &&  (b || c && d) // x\n && s == "p && // q"',), ("a & b",), (" x&&x ",), ("f('\\'', \"\\\"&&\") && k[i && j]",)], "g string")
+    got = [r[0] for r in df.select(docid.conjuncts(df.g)).collect()]
+    assert got == [["(b || c && d)", "a", 's == "p && // q"'], ["a & b"], ["x"], ["f('\\'', \"\\\"&&\")", "k[i && j]"]]
+
+
+def test_one_hop(spark):
+    """What dispatch has chosen is called from, but isn't dispatched again."""
+    calls = spark.createDataFrame([("s", "a"), ("b", "c")], "src string, dst string")
+    dispatch = spark.createDataFrame([("a", "b"), ("b", "x"), ("c", "d")], "src string, dst string")
+    got = sorted(map(tuple, reach.one_hop(calls, dispatch, spark.createDataFrame([("s",)], "sym string")).collect()))
+    assert got == [("a", False, 1), ("b", True, 2), ("c", False, 3), ("d", True, 4), ("s", False, 0)]
 
 
 def test_races(spark):
-    """A read after a write is a window; before it, or with null enclosing, it isn't."""
-    kind = "cell string, enclosing string, access string, line int, lock_held boolean, thread_static boolean, modifiers string"
-    rows = [("c", "m", "write", 5, False, False, "public static"), ("c", "m", "read", 9, False, False, "public static"), ("c", "m", "read", 7, False, False, "public static"), ("c", "fixed", "read", 1, False, False, "public static"), ("c", "fixed", "write", 5, False, False, "public static"), ("c", None, "write", 1, False, False, "public static")]
-    got = hazards.race_windows(spark.createDataFrame(rows, kind)).collect()
-    assert [(r.enclosing, r.write_line, r.read_line, r.type) for r in got] == [("m", 5, 7, "lazy_init_race")]
+    """A read before a write, with the earliest read; static constructors, same lines and safe publishing are none."""
+    kind = "cell string, enclosing string, access string, file_path string, line int, lock_held boolean, transaction_held boolean, thread_static boolean, modifiers string"
+    rows = []
+
+    def site(cell, enclosing, access, line, lock=False, tx=False, thread=False, more=""):
+        rows.append((cell, enclosing, access, "f", line, lock, tx, thread, "public static" + more))
+
+    for enclosing, tx in (("M:A.Go()", False), ("M:A.Held()", True)):
+        for line in (3, 5):
+            site("F:A.c", enclosing, "read", line, tx=tx)
+        site("F:A.c", enclosing, "write", 9, tx=tx)
+    site("F:A.c", "M:A.After()", "write", 5), site("F:A.c", "M:A.After()", "read", 9)
+    site("F:A.c", "M:A.Same()", "write", 5), site("F:A.c", "M:A.Same()", "read", 5)
+    site("F:A.c", "M:A.#cctor()", "read", 1), site("F:A.c", "M:A.#cctor()", "write", 5)
+    site("F:A.c", "M:A.get_X()", "read", 1), site("F:A.c", "M:A.get_X()", "write", 5), site("F:A.c", "M:A.get_X()", "write", 7, lock=True)
+    site("F:A._instance", "M:A.Once()", "read", 1), site("F:A._instance", "M:A.Once()", "write", 5)
+    site("F:A._instance", "M:A.Twice()", "read", 1), site("F:A._instance", "M:A.Twice()", "write", 5), site("F:A._instance", "M:A.Twice()", "write", 6)
+    site("F:A.v", "M:A.InitV()", "read", 1), site("F:A.v", "M:A.InitV()", "write", 5, lock=True, more=" volatile")
+    site("F:A.t", "M:A.T()", "read", 1, thread=True), site("F:A.t", "M:A.T()", "write", 5, thread=True)
+    site("F:A.c", None, "read", 1), site("F:A.c", None, "write", 5)
+    got = sorted((r.enclosing[4:], r.write_line, r.read_line, r.type, r.confidence) for r in hazards.race_windows(spark.createDataFrame(rows, kind)).collect())
+    assert got == [
+        ("Go()", 9, 3, "race_window", "high"), ("Held()", 9, 3, "race_window", "medium"), ("Once()", 5, 1, "lazy_init_race", "low"), ("T()", 5, 1, "thread_local_context", "low"),
+        ("Twice()", 5, 1, "race_window", "high"), ("Twice()", 6, 1, "race_window", "high"), ("get_X()", 5, 1, "lazy_init_race", "low"), ("get_X()", 7, 1, "lazy_init_race", "low"),
+    ]
+
+
+def test_reach_changes(spark):
+    """Overloads are one stem; shapes of records and constructors are told; a side's own entry points are left out."""
+    pairs = lambda *rows: spark.createDataFrame(list(rows), "seed string, sym string")
+    base = pairs(("e", "M:A.f(int)"), ("e", "M:A.g()"), ("r", "M:A.get_X()"), ("c", "M:A.#ctor()"), ("p", "M:A.k()"), ("only", "M:A.g()"))
+    head = pairs(("e", "M:A.f(long)"), ("e", "M:A.g()"), ("r", "M:A.set_X()"), ("c", "M:A.#ctor(int)"), ("p", "M:A.k()"))
+    got = {r.seed: (r.added, r.removed, r.changed, r.in_place, r.cause) for r in reports.reach_changes(base, head, spark.createDataFrame([("M:A.k()",)], "symbol_id string")).collect()}
+    assert got == {"e": (0, 0, 1, 0, "Other"), "r": (1, 1, 0, 0, "RecordShape"), "c": (0, 0, 1, 0, "CtorSig"), "p": (0, 0, 0, 1, "InPlace")}
 
 
 def test_handoff_modes(spark):
@@ -104,10 +197,10 @@ def test_rules_and_schema(spark):
 
 
 def test_guard_changes(spark):
-    kind = "src string, dst string, guards array<string>"
-    base = spark.createDataFrame([("a", "b", ["x"]), ("a", "c", ["x", "y"]), ("a", "d", ["x"]), ("a", "e", ["x"])], kind)
-    head = spark.createDataFrame([("a", "b", ["x", "y"]), ("a", "c", ["x"]), ("a", "d", ["z"]), ("a", "e", ["x"])], kind)
-    assert sorted(map(tuple, reports.guard_changes(base, head).collect())) == [("a", "b", "Narrowed"), ("a", "c", "Widened"), ("a", "d", "Changed")]
+    kind = "src string, dst string, guard string"
+    base = spark.createDataFrame([("a", "b", "x"), ("a", "c", "x && y"), ("a", "d", "x"), ("a", "e", "x&&y"), ("a", "f", None), ("a", "g", "x")], kind)
+    head = spark.createDataFrame([("a", "b", "y && x"), ("a", "c", "x"), ("a", "d", "z"), ("a", "e", "y  &&  x"), ("a", "f", "q")], kind)
+    assert sorted(map(tuple, reports.guard_changes(base, head).collect())) == [("a", "b", "Narrowed"), ("a", "c", "Widened"), ("a", "d", "Changed"), ("a", "f", "Narrowed")]
 
 
 def test_live_facts(spark, tmp_path):
