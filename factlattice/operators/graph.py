@@ -64,6 +64,20 @@ def narrowed_dispatch(hubs: DataFrame, targets: DataFrame, ancestors: DataFrame)
     return own.unionByName(up.join(near, ["hub", "receiver", "depth"]).select("hub", "receiver", "dst").distinct())
 
 
+def dispatch_targets(methods: DataFrame, dispatch: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """(hub, dst, type_id): what a member may be dispatched to, whatever the receiver, and the target's type."""
+    mined = mined_dispatch(dispatch)
+    both = mined.select(F.col("src").alias("hub"), "dst").union(cha_dispatch(methods, ancestors, mined).select("src", "dst")).distinct()
+    return both.join(methods.select(F.col("symbol_id").alias("dst"), F.col("containing_symbol_id").alias("type_id")), "dst").select("hub", "dst", "type_id")
+
+
+def narrowed_calls(calls: DataFrame, targets: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """narrowed_dispatch for the receivers of calls that the hierarchy knows."""
+    known = ancestors.select(F.col("type_id").alias("receiver")).distinct()
+    hubs = calls.select(F.col("dst").alias("hub"), F.col("receiver_type").alias("receiver")).distinct().join(known, "receiver", "left_semi")
+    return narrowed_dispatch(hubs.join(targets.select("hub").distinct(), "hub", "left_semi"), targets, ancestors)
+
+
 def redirected(refs: DataFrame, rules: DataFrame) -> DataFrame:
     """(src, dst, line): references whose target's bare type matches a rule go to the rule's type instead."""
     bare = refs.withColumn("declaring", docid.declaring_type(F.col("target")))
@@ -75,7 +89,8 @@ def redirected(refs: DataFrame, rules: DataFrame) -> DataFrame:
 def handoffs(edges: DataFrame, rules: DataFrame) -> DataFrame:
     """Edges with kind handoff and a tag where a method group goes to a dispatcher of the rules; no edge is lost."""
     rows = edges.join(F.broadcast(rules), (edges["kind"] == "methodGroup") & (edges["delegate_consumer"] == rules["consumer"]), "left")
-    return rows.select("src", "dst", F.when(F.col("tag").isNotNull(), "handoff").otherwise(F.col("kind")).alias("kind"), "tag", "line")
+    more = [c for c in rules.columns if c not in ("consumer", "tag")]
+    return rows.select("src", "dst", F.when(F.col("tag").isNotNull(), "handoff").otherwise(F.col("kind")).alias("kind"), "tag", "line", *more)
 
 
 def cut_handoffs(edges: DataFrame, mode: str) -> DataFrame:

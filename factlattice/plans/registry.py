@@ -139,20 +139,13 @@ def calls_of(f: source.Facts) -> DataFrame:
 
 
 def targets_of(f: source.Facts, ancestors: DataFrame) -> DataFrame:
-    mined = graph.mined_dispatch(f.dispatch)
-    both = mined.select(F.col("src").alias("hub"), "dst").union(graph.cha_dispatch(f.methods, ancestors, mined).select("src", "dst")).distinct()
-    return both.join(f.methods.select(F.col("symbol_id").alias("dst"), F.col("containing_symbol_id").alias("type_id")), "dst").select("hub", "dst", "type_id")
-
-
-def narrowed_of(calls: DataFrame, targets: DataFrame, ancestors: DataFrame) -> DataFrame:
-    hubs = calls.where(F.startswith("receiver_type", F.lit("T:App"))).select(F.col("dst").alias("hub"), F.col("receiver_type").alias("receiver")).distinct()
-    return graph.narrowed_dispatch(hubs.join(targets.select("hub").distinct(), "hub", "left_semi"), targets, ancestors)
+    return graph.dispatch_targets(f.methods, f.dispatch, ancestors)
 
 
 def fans_of(f: source.Facts) -> DataFrame:
     ancestors = graph.closure(f.type_relations)
     calls, targets = calls_of(f), targets_of(f, ancestors)
-    return reports.dispatch_fans(calls, targets, narrowed_of(calls, targets, ancestors), f.methods.select(F.col("containing_symbol_id").alias("type_id")))
+    return reports.dispatch_fans(calls, targets, graph.narrowed_calls(calls, targets, ancestors), f.methods.select(F.col("containing_symbol_id").alias("type_id")))
 
 
 # Scans, projections, filters, search
@@ -409,7 +402,7 @@ def _(f):
 @query("dispatch_narrowed", "select hub, receiver, dst from narrowed", EDGES, CLOSURE, MINED, CALLS, TARGETS, NARROWED)
 def _(f):
     ancestors = graph.closure(f.type_relations)
-    return narrowed_of(calls_of(f), targets_of(f, ancestors), ancestors)
+    return graph.narrowed_calls(calls_of(f), targets_of(f, ancestors), ancestors)
 
 
 @query("dispatch_fans", "select * from fans", EDGES, CLOSURE, MINED, CALLS, TARGETS, NARROWED, FANS)

@@ -22,9 +22,16 @@ def latest(edits: DataFrame) -> DataFrame:
 class LiveFacts:
     """A fact table that follows a stream of edits; a generation's snapshot is written before it is named."""
 
-    def __init__(self, spark: SparkSession, folder: str, base: DataFrame):
+    def __init__(self, spark: SparkSession, folder: str, base: DataFrame | None = None):
+        """Begins with a base, or, without one, goes on from the last generation in the folder that is whole."""
         self.spark, self.folder, self.revision = spark, folder, 0
-        base.write.mode("overwrite").parquet(self.at(0))
+        if base is not None:
+            base.write.mode("overwrite").parquet(self.at(0))
+            return
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        whole = [s.getPath().getName() for s in fs.listStatus(path(folder)) if fs.exists(path(s.getPath(), "_SUCCESS"))]
+        self.revision = max(int(n.split("=")[1]) for n in whole if n.startswith("generation="))
 
     def at(self, revision: int) -> str:
         return f"{self.folder}/generation={revision}"

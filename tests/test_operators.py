@@ -211,3 +211,7 @@ def test_live_facts(spark, tmp_path):
     live = overlay.LiveFacts(spark, f"{tmp_path}/live", base)
     live.follow(spark.readStream.schema(edits.schema).parquet(f"{tmp_path}/edits"), f"{tmp_path}/state").awaitTermination(120)
     assert sorted((r.file_path, r.symbol_id) for r in live.snapshot().collect()) == [("f1", "new"), ("f2", "c"), ("f3", "d")]
+    resumed = overlay.LiveFacts(spark, f"{tmp_path}/live")
+    assert resumed.revision == live.revision and resumed.snapshot().count() == 3
+    resumed.apply(edits, 0)
+    assert resumed.snapshot().count() == 3
