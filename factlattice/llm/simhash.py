@@ -16,8 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, forest, fresh, partitions, stored
@@ -46,16 +45,23 @@ def fingerprint(text: str | None, n: int = 3) -> int:
     return int.from_bytes(np.packbits(sums * 2 > len(stop)).tobytes(), "big")
 
 
+def row_keys() -> tuple[Column, Column]:
+    """128 bits of a row's id and text: rows that agree in both share them, others don't."""
+    return tuple(F.xxhash64(F.lit(seed), "doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()) for seed in (7, 8))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, k1, k2, fp): the row's keys, and the fingerprint as a signed long."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "k1", "k2", "fp"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t.as_py()) for t in batch.column(3)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fp, pa.int64())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, fp long")
+    k1, k2 = row_keys()
+    return docs.select("doc_id", k1.alias("k1"), k2.alias("k2"), "text").mapInArrow(scan, f"doc_id {kind}, k1 long, k2 long, fp long")
 
 
 def _keys(deep: bool) -> list[tuple[int, int]]:
@@ -148,15 +154,18 @@ def linked(fps: DataFrame, n: int, most: int = 3) -> DataFrame:
 
 
 def grouped(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id), one row per row of docs. Only fingerprints are shuffled, never texts."""
+    """(doc_id, k1, k2, fp, root, component_id), one row per row of docs; root is the component's least fingerprint.
+
+    Only fingerprints and keys are shuffled, never texts.
+    """
     rows = stored(fingerprints(docs))
     fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     comp = components(linked(fps, fps.count())).select(F.col("node").alias("fp"), "root")
     rooted = stored(fps.join(comp, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     # Written, so that the join on a root that many fingerprints have can be split.
     ids = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(ids, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "k1", "k2", "fp", "root", "component_id")
 
 
 def simhash(docs: DataFrame) -> DataFrame:
@@ -165,11 +174,18 @@ def simhash(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of the least doc_id, one of them if rows repeat."""
+    """docs with one row of each component: that of the least doc_id, nulls last, then of the least keys.
+
+    Rows that share a null or other doc_id but no component each stay; of rows that agree in id and text one stays,
+    that of the least other columns.
+    """
     columns = docs.columns
-    id_, first = fresh(docs, "_id", "_first")
-    kept = grouped(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(id_)).distinct()
-    both = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi")
-    # Rows that share a doc_id are in the table once or belong together: the first of them stays.
-    order = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), *(F.xxhash64(c) for c in columns if c not in ("doc_id", "text")))
-    return both.withColumn(first, F.row_number().over(order)).where(F.col(first) == 1).select(*columns)
+    a, b, c, d, row = fresh(docs, "_a", "_b", "_c", "_d", "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("first")
+    # By fingerprint first: a component that holds a third of all rows is a few rows by then.
+    kept = grouped(docs).groupBy("root", "fp").agg(first).groupBy("root").agg(F.min("first").alias("first"))
+    kept = kept.select(F.col("first.k1").alias(a), F.col("first.k2").alias(b))
+    k1, k2 = row_keys()
+    both = docs.withColumns({c: k1, d: k2}).join(kept, (F.col(c) == F.col(a)) & (F.col(d) == F.col(b)), "left_semi")
+    one = both.groupBy(c, d).agg(F.min(F.struct(*columns)).alias(row))
+    return one.select(*(F.col(row)[n].alias(n) for n in columns))
