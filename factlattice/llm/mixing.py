@@ -4,8 +4,9 @@ A document's key is -ln(u) / w: u from a hash of its id and text, w its quality
 source, the documents are a weighted sample without replacement in every prefix, so a budget takes a prefix. Whole
 epochs come first, then the prefix that comes nearest to what is left of the target.
 
-The sort is by key buckets: a bucket is a range of keys, fixed by the source's size, so a hot source has many; running
-sums are taken inside a bucket and over the buckets' totals.
+The sort is by key buckets: a bucket is a range of keys, so a hot source has many; running sums are taken inside a
+bucket and over the buckets' totals. Light documents have larger keys, so equal steps of a key's rank under the weights
+that the source has bound the buckets: each holds about as many documents, whatever share of them is light.
 
 Defined results: null text has size 0; null source is a source of its own, last; a null doc_id has a key as any
 other; repeated rows are documents each; an empty table gives an empty result; a mix of no words takes nothing.
@@ -30,12 +31,12 @@ def words(text: Column) -> Column:
 
 
 def quality(size: Column) -> Column:
-    """Weight in (0, 1]: fragments count less, from 64 words on a document counts in full."""
+    """Weight in (0, 1], one of 65: fragments count less, from 64 words on a document counts in full."""
     return F.lit(0.1) + 0.9 * F.least(size / 64.0, F.lit(1.0))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """sizes (source, source_size, n) with target: all words dealt by weight, EPOCHS times a source's size at most.
+    """sizes (source, source_size, more) with target: all words dealt by weight, EPOCHS times a source's size at most.
 
     The deal's level is the least at which the targets make up the whole: sources reach their limit in the
     order of limit over weight, so running sums over that order give it without a loop.
@@ -53,7 +54,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame
     # The first source whose limit isn't reached at its level sets the level of all after it.
     rows = rows.withColumn("stop", F.min(F.when(F.col("level") * F.col("w") <= F.col("most"), F.struct(F.col("most") / F.col("w"), F.col("level")))).over(every))
     target = F.least(F.col("most"), F.coalesce(F.col("stop.level") * F.col("w"), F.col("most")))
-    return rows.select("source", "source_size", "n", target.alias("target"))
+    return rows.select(*sizes.columns, target.alias("target"))
 
 
 def text_key(seed: int = 17) -> Column:
@@ -61,6 +62,12 @@ def text_key(seed: int = 17) -> Column:
     return F.xxhash64(F.lit(seed), "doc_id", "text")
 
 
+def rank(key: Column) -> Column:
+    """The share of a source's documents that is expected below a key, by the source's weights; it never falls as keys grow."""
+    above = F.aggregate("levels", F.lit(0.0), lambda acc, x: acc + x["n"] * F.exp(-key * x["weight"]))
+    return F.greatest(F.lit(0.0), 1.0 - above / F.col("n"))
+
+
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17) -> DataFrame:
     """(doc_id, source, text_key, size, source_size, target, taken) for each row of docs.
 
@@ -68,11 +75,13 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17)
     """
     size = words(F.col("text"))
     rows = stored(docs.select("doc_id", "source", size.alias("size"), text_key(seed).alias("text_key")))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    aims = targets(sizes, weights).select(F.col("source").alias("_source"), "source_size", "n", "target")
+    rows = rows.withColumn("weight", quality(F.col("size")))
+    levels = rows.groupBy("source", "weight").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    sizes = levels.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("weight", "n"))).alias("levels"))
+    aims = targets(sizes, weights).withColumnRenamed("source", "_source")
     u = (F.shiftrightunsigned("text_key", 11).cast("double") + 0.5) / F.lit(float(2**53))
-    rows = rows.join(aims, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("key", -F.log(u) / quality(F.col("size")))
-    rows = rows.withColumn("bucket", F.floor((1.0 - F.exp(-F.col("key"))) * F.ceil(F.col("n") / float(BUCKET))))
+    rows = rows.join(aims, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("key", -F.log(u) / F.col("weight"))
+    rows = rows.withColumn("bucket", F.floor(rank(F.col("key")) * F.ceil(F.col("n") / float(BUCKET)))).drop("levels", "weight")
     rows = stored(rows)
     totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
     totals = totals.withColumn("earlier", F.coalesce(F.sum("in_bucket").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))

@@ -137,6 +137,18 @@ def test_mixing(docs):
     assert ordered([tuple(r) for r in got]) == ordered([tuple(r) for r in mixing.mixed(docs.repartition(5)).collect()])
 
 
+def test_mixing_buckets(spark):
+    """Light documents don't crowd the last buckets."""
+    docs = spark.range(60000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'w' else repeat('w ', 70) end as text", "'s' as source")
+    rows = docs.select("doc_id", "source", mixing.words(F.col("text")).alias("size"), mixing.text_key().alias("text_key"))
+    rows = rows.withColumn("weight", mixing.quality(F.col("size")))
+    levels = rows.groupBy("source", "weight").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n"), F.collect_list(F.struct("weight", "n")).alias("levels"))
+    u = (F.shiftrightunsigned("text_key", 11).cast("double") + 0.5) / F.lit(float(2**53))
+    held = rows.join(levels).withColumn("key", -F.log(u) / F.col("weight")).groupBy(F.floor(mixing.rank(F.col("key")) * 120).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).orderBy("b").collect()
+    assert len(held) == 120 and max(r.n for r in held) < 700
+    assert all(x.hi < y.lo for x, y in zip(held, held[1:]))
+
+
 def test_embeddings(spark, small):
     vectors = spark.read.parquet(f"{small}/embeddings.parquet")
     data = [(r.vec_id, r.embedding, r.label) for r in vectors.collect()]
@@ -235,6 +247,15 @@ def test_simhash_deduplicated(awkward, documents):
         assert sorted(str(r.doc_id) for r in out.collect()) == sorted(map(str, comps))
 
 
+def test_simhash_deduplicated_keys(spark):
+    """Null and shared ids: a row for each component, whatever ids its rows have."""
+    one, two, three = (" ".join(f"{c}{k}" for k in range(40)) for c in "abc")
+    data = [(None, one), (None, one), (None, two), (5, two), (5, three), (5, three), (6, three), (None, ""), (None, None)]
+    docs = spark.createDataFrame([(k, t, "en", s, 1, 1, 2) for s, (k, t) in enumerate(data)], DOCS.replace("source string", "source long"))
+    got = sorted((str(r.doc_id), r.text or "") for r in simhash.deduplicated(docs).collect())
+    assert got == sorted([("None", one), ("5", two), ("5", three), ("None", "")])
+
+
 def test_substrings(docs):
     assert rows(substrings.substrings(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == ordered(brute.substrings(pairs(docs)))
 
