@@ -38,9 +38,9 @@ def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     taken = mixing.mixed(docs).where("taken > 0")
     names = ("size", "source_size", "target", "taken")
     id_, source, key, own = fresh(docs, "_id", "_source", "_key", "_own")
-    # Repeated rows have the same key and size, and each its own share: they are taken as often as they are picked.
-    taken = taken.withColumn("_nth", F.row_number().over(mixing.W.partitionBy("text_key", "doc_id").orderBy(F.desc("taken"))))
-    taken = taken.where("_nth = 1").select(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("text_key").alias(key), *(F.col(n).alias(f"_{n}_mix") for n in names))
+    # Rows that agree in source, id and text are taken alike: as often as the one taken most.
+    taken = taken.groupBy("text_key", "doc_id", "source").agg(F.max("taken").alias("taken"), *(F.first(n).alias(n) for n in names[:3]))
+    taken = taken.select(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("text_key").alias(key), *(F.col(n).alias(f"_{n}_mix") for n in names))
     held = docs.withColumn(own, mixing.text_key())
     both = held.join(taken, (F.col(own) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source)))
     free = fresh(docs, *names)

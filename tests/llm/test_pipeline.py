@@ -58,3 +58,12 @@ def test_stages(spark, stages):
 def test_run(spark, stages):
     sf_dir, out = stages
     assert sorted(corpus_pipeline.run(spark, sf_dir).collect()) == sorted(out[-1].collect())
+
+
+def test_mixture_repeated_rows(spark):
+    """Rows of one id and text in two sources are each their own source's; repeated rows are taken alike."""
+    data = [(1, "a b c", "en", s, 5) for s in ("x", "y", "y", None)] + [(None, "d e", "en", "x", 3), (2, None, "en", "y", None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.mixture_stage(spark, docs, "").collect()
+    assert all(0 < r.taken <= 3 * r["size"] for r in got) and {r.source for r in got} == {"x", "y", None}
+    assert sum(r.source == "y" and r.doc_id == 1 for r in got) == 2
