@@ -153,24 +153,23 @@ def linked(fps: DataFrame, n: int, most: int = 3) -> DataFrame:
     return rows.mapInArrow(lambda it: _pairs(it, most), "a long, b long")
 
 
-def grouped(docs: DataFrame) -> DataFrame:
-    """(doc_id, k1, k2, fp, root, component_id), one row per row of docs; root is the component's least fingerprint.
+def classes(rows: DataFrame) -> DataFrame:
+    """(fp, root, component_id) for each fingerprint of rows (doc_id, fp); root is the component's least fingerprint.
 
-    Only fingerprints and keys are shuffled, never texts.
+    Only fingerprints and ids are shuffled, never texts.
     """
-    rows = stored(fingerprints(docs))
     fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     comp = components(linked(fps, fps.count())).select(F.col("node").alias("fp"), "root")
     rooted = stored(fps.join(comp, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     # Written, so that the join on a root that many fingerprints have can be split.
     ids = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = rooted.join(ids, "root").select("fp", "root", "component_id")
-    return rows.join(named, "fp").select("doc_id", "k1", "k2", "fp", "root", "component_id")
+    return rooted.join(ids, "root").select("fp", "root", "component_id")
 
 
 def simhash(docs: DataFrame) -> DataFrame:
     """The contract's columns, one row per row of docs."""
-    return grouped(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows = stored(fingerprints(docs))
+    return rows.join(classes(rows), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -182,8 +181,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     a, b, c, d, row = fresh(docs, "_a", "_b", "_c", "_d", "_row")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("first")
-    # By fingerprint first: a component that holds a third of all rows is a few rows by then.
-    kept = grouped(docs).groupBy("root", "fp").agg(first).groupBy("root").agg(F.min("first").alias("first"))
+    rows = stored(fingerprints(docs))
+    # By fingerprint before the join: a text that a third of all rows share is one row by then.
+    kept = rows.groupBy("fp").agg(first).join(classes(rows), "fp").groupBy("root").agg(F.min("first").alias("first"))
     kept = kept.select(F.col("first.k1").alias(a), F.col("first.k2").alias(b))
     k1, k2 = row_keys()
     both = docs.withColumns({c: k1, d: k2}).join(kept, (F.col(c) == F.col(a)) & (F.col(d) == F.col(b)), "left_semi")
