@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import docid
 from ..operators import effects as fx
-from ..operators import graph, hazards, reach, reports
+from ..operators import generics, graph, hazards, reach, reports
 from ..sources import facts as source
 from ..sources import rules as rulebook
 from ..streaming import overlay
@@ -382,6 +382,23 @@ def _(f):
     return graph.instantiations(f.refs.select(F.col("target").alias("method"), F.regexp_replace("receiver_type", "^T:", "").alias("binding")), 4).select("method", F.concat(F.lit("T:"), "binding").alias("binding"))
 
 
+@query("monomorphized_edges", """
+select e.src, coalesce(i.method || '~mono⟨;' || i.k || '⟩', e.dst) as dst, e.kind, cast(e.line as bigint) as line, e.receiver_type from bound e left join inst i on i.method = e.dst and e.token = concat('C:', i.k)
+union all select concat(e.src, '~mono⟨;', o.k, '⟩'), coalesce(n.method || '~mono⟨;' || n.k || '⟩', e.dst), e.kind, cast(e.line as bigint), case when e.receiver_type = 'T:Lib.S1' then concat('T:', o.k) else e.receiver_type end
+from bound e join inst o on o.method = e.src left join inst n on n.method = e.dst and n.k = case when e.token = 'M:0' then o.k when e.token like 'C:%' then substr(e.token, 3) end
+""", ("bound", "select enclosing as src, target as dst, ref_kind as kind, line, receiver_type, case when type_arguments is null then null when line % 3 = 0 then 'M:0' else concat('C:', regexp_extract(type_arguments, 'K[0-9]+')) end as token from refs where enclosing is not null and ref_kind in ('invocation', 'ctor', 'methodGroup')"),
+    ("inst", "select distinct dst as method, substr(token, 3) as k from bound where token like 'C:%' and dst in (select dst from bound where token like 'C:%' group by dst having count(distinct token) <= 50)"))
+def _(f):
+    token = F.when(F.col("line") % 3 == 0, F.lit("M:0")).otherwise(F.concat(F.lit("C:"), F.regexp_extract("type_arguments", "K[0-9]+", 0)))
+    edges = f.refs.where(F.col("enclosing").isNotNull() & F.col("ref_kind").isin(*graph.CALLS)).select(
+        F.col("enclosing").alias("src"), F.col("target").alias("dst"), F.col("ref_kind").alias("kind"), "line", "receiver_type",
+        F.expr("cast(array() as array<string>)").alias("declaring"), F.when(F.col("type_arguments").isNotNull(), F.array(token)).alias("own"),
+    )
+    sites = edges.where(F.startswith(F.col("own")[0], F.lit("C:"))).select(F.col("dst").alias("method"), F.substring(F.col("own")[0], 3, 1 << 30).alias("binding"))
+    made = graph.instantiations(sites).select("method", F.expr("cast(array() as array<string>)").alias("declaring"), F.array("binding").alias("own"), F.create_map(F.lit("Lib.S1"), "binding").alias("types"))
+    return generics.materialised(edges, made)
+
+
 # Dispatch
 
 
