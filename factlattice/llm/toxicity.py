@@ -82,15 +82,14 @@ class Model:
         self.score, self.lam, self.k, self.curve, self.prior = score, lam, k, curve, prior
 
     def places(self, ws: list[bytes]) -> list[tuple[int, float]]:
-        """Places and scores of the scoring tokens; a token scores where it stands first, repeats tell no more."""
+        """Places and scores of the scoring tokens, each time they stand; the law is fitted on texts with the same repeats."""
         get = self.score.get
-        out, seen = [], set()
+        out = []
         for i, w in enumerate(ws):
             s = get(w)
             if s is None and len(w) > STEM:
                 s = get(b"^" + w[:STEM])
-            if s is not None and w not in seen:
-                seen.add(w)
+            if s is not None:
                 out.append((i, s))
         return out
 
