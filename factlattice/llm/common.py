@@ -117,14 +117,15 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-def spans_of(text: Column, pattern: str) -> Column:
+def spans_of(text: Column, pattern: str | Column) -> Column:
     """The leftmost non-overlapping matches of a pattern in a text, as an array of
     (s, e, v, left, right): start and end in code points, the match, and the text up to its neighbours.
 
     The gaps between matches give the positions, so one pass of split and one of extraction suffice.
     """
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     piece = F.zip_with(
-        F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)),
         lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")),
     )
     kind = "array<struct<s:int,e:int,v:string,left:string,right:string>>"

@@ -1,9 +1,9 @@
 """Personal data: fixed patterns, and terms that corpus co-occurrence shows to disclose them.
 
-Built-in functions only. Protected entities are the values that the base patterns find. The words beside an
-entity, over all distinct contexts of the corpus, tell how much a term discloses: log2(p(e|t) / p(e)) out of
+Built-in functions only. Protected entities are the values that the base patterns find. The texts that have a
+term, over all distinct texts of the corpus, tell how much it discloses of an entity: log2(p(e|t) / p(e)) out of
 the -log2 p(e) bits that name the entity. Terms at or over ``disclose`` with enough support are generalised,
-those at or over ``remove`` are removed.
+those at or over ``remove`` are removed, wherever they stand.
 
 Defined results: null or empty text has no spans; a null doc_id and repeated rows keep a row each; an empty
 table gives an empty result; columns besides doc_id and text are not read by ``pii`` and kept by ``sanitised``.
@@ -23,9 +23,10 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-#: Code points of context read on each side of an entity, and words of it that count.
-REACH, WORDS = 48, 3
+LETTER = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"
+TERM = LETTER + "+"
+#: Code points on each side of an entity that tell its contexts apart.
+REACH = 48
 SPAN = "array<struct<ord:int,kind:string,s:int,e:int,v:string,left:string,right:string>>"
 
 
@@ -70,53 +71,89 @@ def _key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def _contexts(found: DataFrame) -> DataFrame:
-    """(doc_id, base_key, entity, ctx, term, s, e): the words beside each entity, with their places."""
-    one = found.where(F.size("base") > 0).select("doc_id", "base_key", F.explode("base").alias("b"))
-    one = one.select("doc_id", "base_key", F.lower("b.v").alias("entity"), F.xxhash64("b.v", "b.left", "b.right").alias("ctx"), F.col("b.s").alias("bs"), F.col("b.e").alias("be"), "b.left", "b.right")
-    # A word that the cut may have shortened is no term.
-    left = F.filter(spans_of(F.col("left"), TERM), lambda x: (x["s"] > 0) | (F.length("left") <= REACH))
-    right = F.filter(spans_of(F.col("right"), TERM), lambda x: (x["e"] <= REACH) | (F.length("right") <= REACH))
-    left = F.slice(F.reverse(left), 1, WORDS)
-    right = F.slice(right, 1, WORDS)
-    words = F.concat(
-        F.transform(left, lambda x: F.struct(F.lower(x["v"]).alias("term"), (F.col("bs") - F.length("left") + x["s"]).alias("s"), (F.col("bs") - F.length("left") + x["e"]).alias("e"))),
-        F.transform(right, lambda x: F.struct(F.lower(x["v"]).alias("term"), (F.col("be") + x["s"]).alias("s"), (F.col("be") + x["e"]).alias("e"))),
-    )
-    return one.select("doc_id", "base_key", "entity", "ctx", F.explode(words).alias("w")).select("doc_id", "base_key", "entity", "ctx", "w.*")
+def _masked(text: Column, base: Column) -> Column:
+    """The text with its base spans as blanks, so that positions stay."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc, x):
+        s = F.greatest(acc["at"], x["s"])
+        out = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s - acc["at"]), F.repeat(F.lit(" "), x["e"] - s))
+        return F.when(x["e"] > acc["at"], F.struct(x["e"].alias("at"), out.alias("out"))).otherwise(acc)
+
+    spans = F.array_sort(F.transform(base, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
+    return F.when(F.size(base) == 0, text).otherwise(F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text)))))
 
 
-def disclosing(contexts: DataFrame, disclose: float, support: int) -> DataFrame:
-    """(entity, term, bits): terms that disclose an entity, by all distinct contexts of the corpus.
+def _read(docs: DataFrame) -> DataFrame:
+    """(doc_id, base_key, text_key, text, base) for each row of docs, a null text as an empty one."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("doc_id", _key().alias("base_key"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    return rows.withColumn("base", base_spans(F.col("text")))
 
-    Copies of a context count once: a text repeated a thousand times tells no more than one.
+
+def _words() -> Column:
+    """The distinct words outside of base spans as they are spelt."""
+    return F.array_distinct(F.regexp_extract_all(_masked(F.col("text"), F.col("base")), F.lit(TERM), F.lit(0)))
+
+
+def disclosing(docs: DataFrame, found: DataFrame, disclose: float, support: int) -> DataFrame:
+    """(term, bits): terms that disclose an entity, and the share of its bits that they tell, by all distinct texts of docs.
+
+    found: (text_key, base, words) for each row, words where base has spans. A text has a term wherever it stands outside
+    of base spans. Texts in which an entity stands in the same contexts are one witness: copies of a passage tell no more
+    than one.
     """
-    seen = contexts.groupBy("entity", "term", "ctx").agg(F.count(F.lit(1)).alias("_n"))
-    pair = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"))
-    entity = contexts.groupBy("entity", "ctx").agg(F.count(F.lit(1)).alias("_n")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    term = pair.groupBy("term").agg(F.sum("n_et").alias("n_t"))
-    total = entity.agg(F.sum("n_e")).first()[0] or 1
-    told = pair.where(F.col("n_et") >= support).join(term, "term").join(entity, "entity").withColumn("n", F.lit(float(total)))
-    bits = F.log2((F.col("n_et") / F.col("n_t")) / (F.col("n_e") / F.col("n")))
-    told = told.withColumn("bits", F.when(F.col("n_e") < F.col("n"), bits / -F.log2(F.col("n_e") / F.col("n"))).otherwise(F.lit(0.0)))
-    return told.where(F.col("bits") >= disclose).select("entity", "term", "bits")
+    texts = found.where(F.size("base") > 0).groupBy("text_key").agg(F.first("base").alias("base"), F.first("words").alias("words"))
+    one = texts.select("text_key", F.explode("base").alias("b"))
+    one = one.select("text_key", F.lower("b.v").alias("entity"), F.xxhash64("b.v", "b.left", "b.right").alias("ctx"))
+    held = stored(one.groupBy("text_key", "entity").agg(F.xxhash64(F.array_sort(F.collect_set("ctx"))).alias("ctx")))
+    known = held.groupBy("entity", "ctx").agg(F.count(F.lit(1)).alias("n")).groupBy("entity").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("n_ctx"))
+    known = stored(known.where(F.col("n_ctx") >= support).select("entity", "n_e"))
+    most = known.agg(F.max("n_e")).first()[0] or 0
+    if not most:
+        return docs.sparkSession.createDataFrame([], "term string, bits double")
+    total = float(found.select("text_key").distinct().count())
+    # A term in more texts than this tells less than enough, even if it stands in all those of the most frequent entity.
+    bound = most ** disclose * total ** (1 - disclose) * (1 + 1e-9)
+    lower = F.explode(F.array_distinct(F.transform("words", F.lower))).alias("term")
+    # A row of a text that m rows have counts as 1 / m of it, so that only the few keys of repeated texts are joined.
+    copies = stored(found.groupBy("text_key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    rows = _read(docs).select("text_key", _words().alias("words")).join(copies, "text_key", "left")
+    count = rows.select(lower, (1.0 / F.coalesce("m", F.lit(1))).alias("share")).groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("n_t"))
+    count = stored(count.where(F.col("n_t").between(support, bound)))
+    held = stored(held.join(known, "entity"))
+    terms = texts.join(held.select("text_key").distinct(), "text_key", "left_semi").select("text_key", lower).join(count, "term")
+    pair = held.join(stored(terms), "text_key").groupBy("entity", "term", "ctx").agg(F.count(F.lit(1)).alias("n"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
+    pair = pair.groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("n_ctx"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
+    told = pair.where((F.col("n_ctx") >= support) & (F.col("n_e") < total))
+    told = told.withColumn("bits", F.log2((F.col("n_et") / F.col("n_t")) / (F.col("n_e") / total)) / -F.log2(F.col("n_e") / total))
+    return told.where(F.col("bits") >= disclose).groupBy("term").agg(F.max("bits").alias("bits"))
+
+
+def _places(docs: DataFrame, told: DataFrame, remove: float) -> DataFrame:
+    """(text_key, terms): where the terms told stand, in each text that has one, beside an entity or not."""
+    words = _read(docs).select("text_key", F.explode(_words()).alias("word")).withColumn("term", F.lower("word")).join(told, "term")
+    hit = words.groupBy("text_key").agg(F.sort_array(F.collect_set(F.struct("word", (F.col("bits") >= remove).alias("whole")))).alias("hit"))
+    rows = _read(docs).join(stored(hit), "text_key").withColumn("text", _masked(F.col("text"), F.col("base")))
+    any_word = F.concat(F.lit(f"(?<!{LETTER})(?:"), F.array_join(F.transform("hit", lambda x: x["word"]), "|"), F.lit(f")(?!{LETTER})"))
+    act = F.map_from_entries("hit")
+    terms = F.transform(spans_of(F.col("text"), any_word), lambda x: F.struct(
+        F.lit(4).alias("ord"), F.lit("term").alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.when(act[x["v"]], F.lit("remove")).otherwise(F.lit("generalise")).alias("act")))
+    return stored(rows.select("text_key", terms.alias("terms")).groupBy("text_key").agg(F.first("terms").alias("terms")))
 
 
 def found_spans(docs: DataFrame, disclose: float = 0.85, remove: float = 0.97, support: int = 3) -> DataFrame:
-    """(doc_id, base_key, base, terms) for each row of docs: base spans, and the disclosing terms beside them.
+    """(doc_id, base_key, base, terms) for each row of docs: base spans, and the disclosing terms wherever they stand.
 
-    The base spans are written once, without texts; every later step reads that small table.
+    Base spans are written once, without texts; these are read again to count terms, and to place those that were found.
     """
-    found = stored(docs.select("doc_id", _key().alias("base_key"), base_spans(F.coalesce(F.col("text"), F.lit(""))).alias("base")))
-    contexts = stored(_contexts(found))
-    told = disclosing(contexts, disclose, support)
-    near = contexts.join(told, ["entity", "term"]).groupBy("doc_id", "base_key").agg(
-        F.collect_set(F.struct(F.lit(4).alias("ord"), F.lit("term").alias("kind"), "s", "e", F.when(F.col("bits") >= remove, F.lit("remove")).otherwise(F.lit("generalise")).alias("act"))).alias("near")
-    )
-    near = near.select(F.col("doc_id").alias("n_id"), F.col("base_key").alias("n_key"), "near")
-    out = found.join(near, found["doc_id"].eqNullSafe(near["n_id"]) & (found["base_key"] == near["n_key"]), "left")
-    clear = F.filter("near", lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
-    return out.select("doc_id", "base_key", "base", F.coalesce(clear, F.expr("cast(array() as array<struct<ord:int,kind:string,s:int,e:int,act:string>>)")).alias("terms"))
+    found = stored(_read(docs).select("doc_id", "base_key", "text_key", "base", F.when(F.size("base") > 0, _words()).alias("words")))
+    told = stored(disclosing(docs, found, disclose, support))
+    none = F.expr("cast(array() as array<struct<ord:int,kind:string,s:int,e:int,act:string>>)")
+    if told.isEmpty():
+        return found.select("doc_id", "base_key", "base", none.alias("terms"))
+    out = found.select("doc_id", "base_key", "text_key", "base").join(_places(docs, told, remove), "text_key", "left")
+    return out.select("doc_id", "base_key", "base", F.coalesce("terms", none).alias("terms"))
 
 
 def pii(docs: DataFrame, **how) -> DataFrame:
@@ -137,7 +174,7 @@ def sanitised(docs: DataFrame, **how) -> DataFrame:
     """
     columns = docs.columns
     id_, key, own, cuts = fresh(docs, "_id", "_key", "_own", "_cut")
-    found = found_spans(docs, **how).where(F.size("base") > 0)
+    found = found_spans(docs, **how).where((F.size("base") > 0) | (F.size("terms") > 0))
     cut = F.concat(
         F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")).alias("to"))),
         F.transform("terms", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["act"] == "remove", F.lit("")).otherwise(F.lit("<TERM>")).alias("to"))),
