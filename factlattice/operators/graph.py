@@ -24,7 +24,7 @@ def nodes(edges: DataFrame, dispatch: DataFrame, methods: DataFrame) -> DataFram
     return ends.union(more).union(methods.select("symbol_id")).distinct()
 
 
-def closure(relations: DataFrame, max_depth: int = 10, strict: bool = False) -> DataFrame:
+def closure(relations: DataFrame, max_depth: int | None = None, strict: bool = False) -> DataFrame:
     """(type_id, ancestor, depth) over base and interface relations."""
     edges = relations.select(F.col("type_id").alias("src"), F.col("related_id").alias("dst"))
     seeds = edges.select("src").union(edges.select("dst")).distinct().select(F.col("src").alias("seed"), F.col("src").alias("sym"))
@@ -32,7 +32,7 @@ def closure(relations: DataFrame, max_depth: int = 10, strict: bool = False) ->
     return out.where("depth > 0") if strict else out
 
 
-def mined_dispatch(dispatch: DataFrame, kinds: tuple[str, ...] = ("impl", "override"), max_depth: int = 4) -> DataFrame:
+def mined_dispatch(dispatch: DataFrame, kinds: tuple[str, ...] = ("impl", "override"), max_depth: int | None = None) -> DataFrame:
     """(src, dst, kind): closure of each kind by itself; a step never crosses from one kind to another."""
     out = None
     for kind in kinds:

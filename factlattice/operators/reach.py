@@ -6,12 +6,18 @@ levels as one. No level is collected; a hub's edges are joined in parts where th
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.steps import settled
 
 
+#: Levels after which the union of levels is written as one table.
+LEVELS = 32
+
+
 class BudgetExceeded(Exception):
     """A traversal met more nodes than it may; nothing partial is returned."""
 
@@ -20,18 +26,23 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int = 20, max_nodes: int | None = None) -> DataFrame:
-    """(seed, sym, depth): least depth of each node from each seed; a seed is at depth 0. seeds: (seed, sym)."""
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = 20, max_nodes: int | None = None) -> DataFrame:
+    """(seed, sym, depth): least depth of each node from each seed; a seed is at depth 0. seeds: (seed, sym).
+
+    Levels up to max_depth are wanted; with None, all there are.
+    """
     edges = settled(edges.select("src", "dst").distinct())
     known = settled(seeds.select("seed", "sym", F.lit(0).alias("depth")).distinct())
     frontier = known
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         new = frontier.join(edges, frontier["sym"] == edges["src"]).select("seed", F.col("dst").alias("sym")).distinct()
         new = new.join(known.select("seed", "sym"), ["seed", "sym"], "left_anti").withColumn("depth", F.lit(depth))
         frontier = settled(new)
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier)
+        if depth % LEVELS == 0:
+            known = settled(known)
         if max_nodes is not None and known.count() > max_nodes:
             raise BudgetExceeded(f"more than {max_nodes} nodes at depth {depth}")
     return known
@@ -91,7 +102,7 @@ def carried(edges: DataFrame, seeds: DataFrame, max_depth: int = 20) -> DataFram
     return known
 
 
-def cycles(edges: DataFrame, marked: DataFrame, max_depth: int = 50) -> DataFrame:
+def cycles(edges: DataFrame, marked: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(cycle, sym): the strongly connected components that hold a marked edge (src, dst); cycle is their least symbol.
 
     A marked edge u -> v is on a cycle if v reaches u; its component is what v reaches and what reaches u as well.
@@ -104,25 +115,27 @@ def cycles(edges: DataFrame, marked: DataFrame, max_depth: int = 50) -> DataFram
     return members.groupBy("src", "dst").agg(F.min("sym").alias("cycle")).join(members, ["src", "dst"]).select("cycle", "sym").distinct()
 
 
-def longest_chain(anchors: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
+def longest_chain(anchors: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(sym, degree): weight of a node plus the most that a successor has; -1 for what is on, or leads into, a cycle.
 
-    anchors: (sym, weight). edges: between anchors. Values rise until nothing changes; a chain longer than the
-    number of rounds can only be a cycle's, and rounds bounds the anchors in a chain.
+    anchors: (sym, weight). edges: between anchors. What is on no cycle is a finite chain, so values settle; more rounds
+    than the given number raise, and nothing partial is returned.
     """
     value = settled(anchors.select("sym", F.col("weight").cast("long").alias("degree")))
     edges = settled(edges.select("src", "dst").distinct())
-    looped = cycles(edges, edges, rounds)
-    endless = reach(reversed_edges(edges), looped.select(F.lit(0).alias("seed"), "sym"), rounds).select("sym").distinct()
+    looped = cycles(edges, edges)
+    endless = reach(reversed_edges(edges), looped.select(F.lit(0).alias("seed"), "sym"), None).select("sym").distinct()
     endless = settled(endless)
     free = settled(edges.join(endless.select(F.col("sym").alias("src")), "src", "left_anti"))
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         best = free.join(value.select(F.col("sym").alias("dst"), "degree"), "dst").groupBy("src").agg(F.max("degree").alias("next"))
         after = settled(anchors.join(best, F.col("sym") == F.col("src"), "left").select("sym", (F.col("weight") + F.coalesce("next", F.lit(0))).cast("long").alias("degree")))
         same = after.exceptAll(value).isEmpty()
         value = after
         if same:
             break
+    else:
+        raise BudgetExceeded(f"degrees did not settle in {rounds} rounds")
     return value.join(endless.withColumn("endless", F.lit(True)), "sym", "left").select("sym", F.when(F.col("endless"), F.lit(-1).cast("long")).otherwise(F.col("degree")).alias("degree"))
 
 

@@ -672,7 +672,7 @@ def _(f):
 def _(f):
     few = edges_of(f).where(F.col("line") < 20).where(F.col("receiver_type").isin(*(f"T:Lib.S{k}" for k in range(1, 6)))).select("src", "dst").distinct()
     anchors = few.select(F.explode(F.array("src", "dst")).alias("sym")).distinct().withColumn("weight", F.lit(1))
-    return reach.longest_chain(anchors, few, 20)
+    return reach.longest_chain(anchors, few)
 
 
 AMPLIFIED = """
