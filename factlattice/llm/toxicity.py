@@ -104,7 +104,21 @@ class Model:
 
     def evidence(self, ws: list[bytes]) -> float:
         """Nats against clean text: of the best segment, and a quarter of the other significant ones'."""
-        return self.weigh([s for s, _, _ in maximal_segments(self.places(ws), DRIFT)], len(ws))
+        return self.weigh(self.damped(ws), len(ws))
+
+    def damped(self, ws: list[bytes]) -> list[float]:
+        """Scores of the segments in which a word scores once and its repeats cost what a word without a score does."""
+        places = self.places(ws)
+        out, k = [], 0
+        for _, a, b in maximal_segments(places, DRIFT):
+            while places[k][0] < a:
+                k += 1
+            own = {}
+            while k < len(places) and places[k][0] <= b:
+                own[ws[places[k][0]]] = places[k][1]
+                k += 1
+            out.append(sum(own.values()) - DRIFT * (b - a + 1 - len(own)))
+        return out
 
     def weigh(self, segments: list[float], n: int) -> float:
         nats = sorted((self.nats(s, n) for s in segments), reverse=True)
@@ -223,11 +237,11 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
             for text, y in zip(batch.column("text"), batch.column("y").to_pylist(), strict=True):
                 ws = words(text.as_py())
                 places = model.places(ws)
-                out.append((y, len(ws), [s for _, s in places], [s for s, _, _ in maximal_segments(places, DRIFT)]))
-            cols = list(zip(*out, strict=True)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.float64())), pa.array(cols[3], pa.list_(pa.float64()))], ["y", "n", "own", "segments"])
+                out.append((y, len(ws), [s for _, s in places], [s for s, _, _ in maximal_segments(places, DRIFT)], model.damped(ws)))
+            cols = list(zip(*out, strict=True)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.float64())), pa.array(cols[3], pa.list_(pa.float64())), pa.array(cols[4], pa.list_(pa.float64()))], ["y", "n", "own", "segments", "damped"])
 
-    seen = sample.select("text", "y", "judge").where("judge").select("text", "y").mapInArrow(judge, "y int, n long, own array<double>, segments array<double>").collect()
+    seen = sample.select("text", "y", "judge").where("judge").select("text", "y").mapInArrow(judge, "y int, n long, own array<double>, segments array<double>, damped array<double>").collect()
     clean = [r for r in seen if r["y"] == 0]
     own = Counter(round(s, 2) for r in clean for s in r["own"])
     n_words = max(1, sum(r["n"] for r in clean))
@@ -240,7 +254,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     beyond = sum(1 for r in clean for s in r["segments"] if s >= height)
     k = max(1e-9, (beyond + 0.5) / n_words * math.exp(lam * height))
     model = Model(score, lam, k, (0.0, 1.0), 0.0)
-    x = np.array([model.weigh(r["segments"], r["n"]) for r in seen], float)
+    x = np.array([model.weigh(r["damped"], r["n"]) for r in seen], float)
     y = np.array([r["y"] for r in seen], float)
     # Each class counts as often as it does among all labels, not as in the sample.
     w = np.where(y == 1, of_class[1] / min(SAMPLE, of_class[1]), of_class[0] / min(SAMPLE, of_class[0]))
