@@ -1,17 +1,19 @@
 """Toxicity: maximum-scoring segments over token log-odds, calibrated as extreme values.
 
-Token scores are log-odds of toxic against clean documents under an informative Dirichlet prior, for words and, where
-a word is unknown, for its beginning; all other tokens cost a little. A linear scan finds every maximal-scoring
-segment. Under clean text the best segment of n tokens follows an extreme-value law, P(S >= x) = 1 - exp(-K n e^(-lambda x)):
-segments that the law makes unlikely are the toxic passages, and their evidence is set against labels by a logistic
-curve.
+A word's score is its log-odds of toxic against clean documents under a Dirichlet prior that gives each class its share
+of PRIOR documents, so that a rare word stays near zero; from every token's score, known or not, DRIFT is taken, which
+makes clean text lose by going on. Scores have both signs, and words that lean to clean documents break a segment. A
+linear scan finds every maximal-scoring segment. Under clean text the best segment of n tokens follows an extreme-value
+law, P(S >= x) = 1 - exp(-K n e^(-lambda x)): segments that the law makes unlikely are the toxic passages. A document's
+segments are weighed together by the law of their sums, and an isotonic curve sets this evidence against labels.
 
 Labels are learnt from rows whose crc32(doc_id as text) mod 3 is not 1, and of those from a sample of at most SAMPLE
 documents of each class. No label, language, source or id enters a score.
 
 Defined results: null and empty texts score as texts without a passage; null labels teach nothing; a doc_id with
-several labels is toxic if one of them is; a null doc_id is not held out; without labels of both kinds every score is
-the share of toxic labels (0 without any); repeated rows keep a row each; an empty table gives an empty result.
+several labels is toxic if one of them is, one with several texts teaches by that of the least hash; a null doc_id is
+not held out; without labels of both kinds every score is the share of toxic labels (0 without any); without judged
+documents of both kinds the curve is FALLBACK; repeated rows keep a row each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,38 +33,27 @@ from .decontaminate import words
 
 #: Most labelled documents of a class that are learnt from: those with the least hash of their id.
 SAMPLE = 8000
-#: Toxic documents that must have a token, and the likelihood ratio (G squared) against even odds, for it to score.
-SUPPORT, SURE = 3, 12.0
-#: Log-odds under which a token isn't worth a score.
-LEAST = 1.0
-#: What a token without a score costs, the most that one gives, and the letters of a beginning.
-DRIFT, MOST, STEM = 0.4, 6.0, 4
-#: Mass of the Dirichlet prior, in documents' tokens.
-PRIOR = 200.0
+#: Documents' worth of the Dirichlet prior of a word, and the documents that a word needs for a score of its own.
+PRIOR, SUPPORT = 1.0, 2
+#: What each token costs, whatever its log-odds.
+DRIFT = 1.0
+#: Share of a score that rises with the evidence itself, so that documents of one step of the curve keep their order.
+RISE = 0.01
+#: Evidence and probability where nothing can be judged.
+FALLBACK = [(0.0, 0.0), (10.0, 1.0)]
 THRESHOLD = 0.7
 
 
-def stem(word: bytes) -> bytes:
-    return b"^" + word[:STEM]
-
-
-def maximal_segments(scores: list[tuple[int, float]], drift: float) -> list[tuple[float, int, int]]:
-    """All maximal-scoring segments (score, first, last) of a sequence in which only the given places, in order, have
-    a score of their own and every other place costs drift. Linear in the places: each candidate joins others once.
-    """
+def maximal_segments(x: np.ndarray) -> list[tuple[float, int, int]]:
+    """All maximal-scoring segments (score, first, last) of the scores, in order. Linear: each candidate joins others once."""
+    sums = np.concatenate(([0.0], np.cumsum(x)))
+    up = np.flatnonzero(x > 0)
     # A candidate: (sum before it, sum at its end, first, last).
     stack: list[tuple[float, float, int, int]] = []
     # For each candidate, the last one below it that starts lower.
     lower: list[int] = []
-    total, at = 0.0, 0
-    for place, score in scores:
-        total -= drift * (place - at)
-        at = place + 1
-        left, first = total, place
-        total += score
-        if score <= 0:
-            continue
-        right = total
+    for place, left, right in zip(up.tolist(), sums[up].tolist(), sums[up + 1].tolist(), strict=True):
+        first = place
         while True:
             j = len(stack) - 1
             while j >= 0 and stack[j][0] >= left:
@@ -76,63 +68,60 @@ def maximal_segments(scores: list[tuple[int, float]], drift: float) -> list[tupl
 
 
 class Model:
-    """Token scores, the extreme-value law and the logistic curve."""
+    """Token scores, the extreme-value law and the curve."""
 
-    def __init__(self, score: dict[bytes, float], lam: float, k: float, curve: tuple[float, float], prior: float):
+    def __init__(self, score: dict[bytes, float], lam: float, k: float, curve: list[tuple[float, float]], prior: float):
         self.score, self.lam, self.k, self.curve, self.prior = score, lam, k, curve, prior
 
-    def places(self, ws: list[bytes]) -> list[tuple[int, float]]:
-        """Places and scores of the scoring tokens, each time they stand; the law is fitted on texts with the same repeats."""
-        get = self.score.get
-        out = []
-        for i, w in enumerate(ws):
-            s = get(w)
-            if s is None and len(w) > STEM:
-                s = get(b"^" + w[:STEM])
-            if s is not None:
-                out.append((i, s))
-        return out
+    def scores(self, ws: list[bytes]) -> np.ndarray:
+        """The score of each token, each time it stands."""
+        return np.fromiter(map(self.score.get, ws, repeat(0.0)), np.float64, len(ws)) - DRIFT
 
     def passages(self, ws: list[bytes], level: float = 0.05) -> list[tuple[float, int, int]]:
         """(p value, first token, last token) of each significant segment."""
         found = []
-        for s, a, b in maximal_segments(self.places(ws), DRIFT):
-            p = -math.expm1(-min(700.0, self.k * max(1, len(ws)) * math.exp(-self.lam * s)))
+        for s, a, b in maximal_segments(self.scores(ws)):
+            p = -math.expm1(-math.exp(min(700.0, -self.nats(s, len(ws)))))
             if p <= level:
                 found.append((p, a, b))
         return found
 
-    def evidence(self, ws: list[bytes]) -> float:
-        """Nats against clean text: of the best segment, and a quarter of the other significant ones'."""
-        return self.weigh(self.damped(ws), len(ws))
+    def nats(self, s: float, n: int) -> float:
+        """A segment's height over the level that clean text of n tokens reaches."""
+        return self.lam * s - math.log(self.k * max(1, n))
 
     def damped(self, ws: list[bytes]) -> list[float]:
-        """Scores of the segments in which a word scores once and its repeats cost what a word without a score does."""
-        places = self.places(ws)
-        out, k = [], 0
-        for _, a, b in maximal_segments(places, DRIFT):
-            while places[k][0] < a:
-                k += 1
-            own = {}
-            while k < len(places) and places[k][0] <= b:
-                own[ws[places[k][0]]] = places[k][1]
-                k += 1
+        """Scores of the segments in which a word scores once, and costs DRIFT where it stands again."""
+        x = self.scores(ws)
+        out = []
+        for _, a, b in maximal_segments(x):
+            own = dict(zip(ws[a:b + 1], x[a:b + 1].tolist(), strict=True))
             out.append(sum(own.values()) - DRIFT * (b - a + 1 - len(own)))
         return out
 
-    def weigh(self, segments: list[float], n: int) -> float:
-        nats = sorted((self.nats(s, n) for s in segments), reverse=True)
-        return min(60.0, nats[0] + 0.25 * sum(x for x in nats[1:] if x > 3.0)) if nats else 0.0
-
-    def nats(self, s: float, n: int) -> float:
-        e = self.k * max(1, n) * math.exp(-self.lam * s)
-        return -math.log(max(1e-300, -math.expm1(-min(700.0, e)))) if e > 1e-12 else self.lam * s - math.log(self.k * max(1, n))
+    def evidence(self, ws: list[bytes]) -> float:
+        """Nats against clean text: -ln P of the r best segments' sum of heights, for the r that tells most.
+
+        P(sum >= t) of the r best is about e^-t t^(r-1) / (r! (r-1)!); trying r of them costs ln(r (r + 1) / 2).
+        """
+        best = total = 0.0
+        for r, s in enumerate(sorted(self.damped(ws), reverse=True), 1):
+            height = self.nats(s, len(ws))
+            if height <= 0:
+                break
+            total += height
+            if r == 1:
+                best = total
+            elif total > r:
+                best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) - math.log(r * (r + 1) / 2))
+        return best
 
     def probability(self, ws: list[bytes]) -> float:
         if not self.score:
             return self.prior
-        a, b = self.curve
-        return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, a + b * self.evidence(ws)))))
+        at, p = zip(*self.curve, strict=True)
+        x = self.evidence(ws)
+        return (1 - RISE) * float(np.interp(x, at, p)) + RISE * x / (x + 10.0)
 
 
 def held_out(doc_id: str) -> Column:
@@ -140,7 +129,7 @@ def held_out(doc_id: str) -> Column:
 
 
 def _sample(labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
-    """(id, y, fold) of the documents learnt from, and how many of each class there are."""
+    """(_id, y, judge) of the documents learnt from, and how many of each class there are."""
     rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     rows = rows.select(F.col("doc_id").alias("_id"), "y", F.xxhash64(F.lit(5), "doc_id").alias("h"))
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -149,14 +138,13 @@ def _sample(labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
 
 
 def _token_counts(sample: DataFrame) -> DataFrame:
-    """(token, clean, toxic): documents that have it; one partial count a task."""
+    """(token, clean, toxic): documents that have it; one partial count a batch."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n: tuple[Counter, Counter] = (Counter(), Counter())
             for text, y in zip(batch.column("text"), batch.column("y").to_pylist(), strict=True):
-                ws = set(words(text.as_py()))
-                n[y].update(ws | {stem(w) for w in ws if len(w) > STEM})
+                n[y].update(set(words(text.as_py())))
             both = list(n[0].keys() | n[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(both, pa.binary()), pa.array([n[0][w] for w in both], pa.int64()), pa.array([n[1][w] for w in both], pa.int64())], ["token", "clean", "toxic"])
 
@@ -164,30 +152,19 @@ def _token_counts(sample: DataFrame) -> DataFrame:
     return parts.groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
-def log_odds(counts: list[tuple[bytes, int, int]], n_clean: float, n_toxic: float) -> dict[bytes, float]:
-    """Scores of the tokens that are surely more toxic than even odds.
-
-    counts has (token, clean documents, toxic documents); the n are the classes' sums over all tokens. The prior gives
-    each token PRIOR's share of its frequency in both classes together.
-    """
-    out = {}
-    whole = n_clean + n_toxic
-    for token, clean, toxic in counts:
-        a = PRIOR * (clean + toxic) / whole
-        odds = math.log((toxic + a) / max(1e-9, n_toxic + PRIOR - toxic - a)) - math.log((clean + a) / max(1e-9, n_clean + PRIOR - clean - a))
-        n = clean + toxic
-        ratio = 2 * (toxic * math.log(toxic * whole / (n * n_toxic)) + (clean * math.log(clean * whole / (n * n_clean)) if clean else 0.0))
-        if odds >= LEAST and ratio >= SURE:
-            out[token] = min(MOST, odds)
-    return out
+def log_odds(counts: list[tuple[bytes, int, int]], n_clean: int, n_toxic: int) -> dict[bytes, float]:
+    """A word's log-odds of toxic documents beyond the classes' own, from (word, clean, toxic) document counts."""
+    share = n_toxic / (n_clean + n_toxic)
+    prior = math.log(share / (1 - share))
+    return {w: math.log((toxic + PRIOR * share) / (clean + PRIOR * (1 - share))) - prior for w, clean, toxic in counts}
 
 
 def tail(scores: np.ndarray, share: np.ndarray) -> float:
     """lambda of the extreme-value law: the positive root of sum(share * e^(lambda * score)) = 1."""
     total = lambda x: float((share * np.exp(x * scores)).sum()) - 1.0
-    low, high = 1e-6, 1.0
     if not (scores > 0).any():
         return 1.0
+    low, high = 1e-6, 1.0
     while total(high) < 0 and high < 64:
         high *= 2
     for _ in range(80):
@@ -196,70 +173,89 @@ def tail(scores: np.ndarray, share: np.ndarray) -> float:
     return high
 
 
-def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope by Newton steps, with a light ridge on the slope."""
-    a, b = 0.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
-        g = np.array([(w * (y - p)).sum(), (w * (y - p) * x).sum() - 1e-3 * b])
-        v = w * np.maximum(p * (1 - p), 1e-9)
-        h = np.array([[v.sum(), (v * x).sum()], [(v * x).sum(), (v * x * x).sum() + 1e-3]])
-        step = np.linalg.solve(h + 1e-9 * np.eye(2), g)
-        step = np.clip(step, -2, 2)
-        a, b = a + step[0], b + step[1]
-        if np.abs(step).max() < 1e-8:
+def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> list[tuple[float, float]]:
+    """Knots (evidence, probability) of the rising curve nearest to the weighted labels, by pooling what falls.
+
+    Each pool is drawn to the whole share by one document's weight, so that no curve says never or always. It rises by
+    construction, for separable evidence too, and there is nothing to converge.
+    """
+    share = float((w * y).sum() / w.sum())
+    pools: list[list[float]] = []
+    for at in np.unique(x):
+        own = x == at
+        mass = float(w[own].sum())
+        pools.append([float((w[own] * y[own]).sum()), mass, float(at), float(at)])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            hits, mass, _, last = pools.pop()
+            pools[-1] = [pools[-1][0] + hits, pools[-1][1] + mass, pools[-1][2], last]
+    # The pull towards the share may turn small neighbours round; the curve never falls.
+    level = np.maximum.accumulate([(hits + share) / (mass + 1) for hits, mass, _, _ in pools]).tolist()
+    return [(at, p) for (_, _, first, last), p in zip(pools, level, strict=True) for at in dict.fromkeys((first, last))]
+
+
+def _law(clean: DataFrame, sent) -> tuple[float, float]:
+    """lambda and K by clean documents: lambda from how scores are spread, K from how many segments reach a height.
+
+    Histograms come to the driver, in steps of a tenth, never rows.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(sent.value, 1.0, 1.0, FALLBACK, 0.0)
+        for batch in batches:
+            n: Counter = Counter()
+            for text in batch.column("text"):
+                x = model.scores(words(text.as_py()))
+                for what, values in ((0, x), (1, np.array([s for s, _, _ in maximal_segments(x)]))):
+                    step, count = np.unique(np.floor(values * 10).astype(np.int64), return_counts=True)
+                    n.update({(what, s): c for s, c in zip(step.tolist(), count.tolist(), strict=True)})
+            keys = list(n)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int64()), pa.array([n[k] for k in keys], pa.int64())], ["what", "step", "n"])
+
+    rows = clean.select("text").mapInArrow(spread, "what int, step long, n long").groupBy("what", "step").agg(F.sum("n").alias("n")).collect()
+    own = sorted((r["step"], r["n"]) for r in rows if r["what"] == 0)
+    tops = sorted(((r["step"], r["n"]) for r in rows if r["what"] == 1), reverse=True)
+    n_words = sum(n for _, n in own)
+    if not n_words or not tops:
+        return 1.0, 0.5 / max(1, n_words)
+    at = np.array([s / 10 + 0.05 for s, _ in own])
+    lam = tail(at, np.array([n for _, n in own], float) / n_words)
+    beyond, tenth = 0, sum(n for _, n in tops) / 10
+    for step, n in tops:
+        beyond += n
+        if beyond >= tenth:
             break
-    return float(a), float(b)
+    return lam, beyond / n_words * math.exp(lam * step / 10)
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model; what is brought to the driver is bounded by SAMPLE."""
+    """The model. The driver gets the words of at most 2 * SAMPLE documents that SUPPORT of them share, histograms, and
+    a number for each judged document."""
     ids, of_class = _sample(labels)
     if not of_class.get(0) or not of_class.get(1):
-        return Model({}, 1.0, 1.0, (0.0, 1.0), 1.0 if of_class.get(1) else 0.0)
+        return Model({}, 1.0, 1.0, FALLBACK, 1.0 if of_class.get(1) else 0.0)
     # The sample's ids are at most 2 * SAMPLE: they are sent to the texts, not the texts to them.
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("text", "y", "judge")
-    sample = stored(sample)
-    counts = stored(_token_counts(sample.where("not judge")))
-    sums = counts.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).first()
-    n_clean, n_toxic = float(sums["clean"] or 0), float(sums["toxic"] or 0)
-    rows = counts.where((F.col("toxic") >= SUPPORT) & (F.col("toxic") * n_clean > F.col("clean") * n_toxic)).collect()
-    score = log_odds([(bytes(r["token"]), r["clean"], r["toxic"]) for r in rows], n_clean, n_toxic) if n_clean and n_toxic else {}
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    sample = stored(sample.groupBy("_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y"), F.first("judge").alias("judge")))
+    seen = {(r["judge"], r["y"]): r["n"] for r in sample.groupBy("judge", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_clean, n_toxic = seen.get((False, 0), 0), seen.get((False, 1), 0)
+    rows = _token_counts(sample.where("not judge")).where(F.col("clean") + F.col("toxic") >= SUPPORT).collect() if n_clean and n_toxic else []
+    score = log_odds([(bytes(r["token"]), r["clean"], r["toxic"]) for r in rows], n_clean, n_toxic) if rows else {}
     if not score:
-        share = of_class[1] / (of_class[0] + of_class[1])
-        return Model({}, 1.0, 1.0, (0.0, 1.0), share)
+        return Model({}, 1.0, 1.0, FALLBACK, of_class[1] / (of_class[0] + of_class[1]))
     sent = docs.sparkSession.sparkContext.broadcast(score)
+    lam, k = _law(sample.where("judge and y = 0"), sent)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(sent.value, 1.0, 1.0, (0.0, 1.0), 0.0)
+        model = Model(sent.value, lam, k, FALLBACK, 0.0)
         for batch in batches:
-            out = []
-            for text, y in zip(batch.column("text"), batch.column("y").to_pylist(), strict=True):
-                ws = words(text.as_py())
-                places = model.places(ws)
-                out.append((y, len(ws), [s for _, s in places], [s for s, _, _ in maximal_segments(places, DRIFT)], model.damped(ws)))
-            cols = list(zip(*out, strict=True)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.float64())), pa.array(cols[3], pa.list_(pa.float64())), pa.array(cols[4], pa.list_(pa.float64()))], ["y", "n", "own", "segments", "damped"])
-
-    seen = sample.select("text", "y", "judge").where("judge").select("text", "y").mapInArrow(judge, "y int, n long, own array<double>, segments array<double>, damped array<double>").collect()
-    clean = [r for r in seen if r["y"] == 0]
-    own = Counter(round(s, 2) for r in clean for s in r["own"])
-    n_words = max(1, sum(r["n"] for r in clean))
-    plain = n_words - sum(own.values())
-    at = np.array([-DRIFT, *own], float)
-    share = np.array([plain + 1.0, *own.values()], float)
-    lam = tail(at, share / share.sum())
-    # K from the clean documents: the mean number of segments beyond a height is K n e^(-lambda x).
-    height = max(1e-6, min(score.values()))
-    beyond = sum(1 for r in clean for s in r["segments"] if s >= height)
-    k = max(1e-9, (beyond + 0.5) / n_words * math.exp(lam * height))
-    model = Model(score, lam, k, (0.0, 1.0), 0.0)
-    x = np.array([model.weigh(r["damped"], r["n"]) for r in seen], float)
-    y = np.array([r["y"] for r in seen], float)
+            x = [model.evidence(words(t.as_py())) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(x, pa.float64())], ["y", "x"])
+
+    judged = sample.where("judge").select("text", "y").mapInArrow(judge, "y int, x double").collect()
+    x, y = np.array([r["x"] for r in judged], float), np.array([r["y"] for r in judged], float)
     # Each class counts as often as it does among all labels, not as in the sample.
     w = np.where(y == 1, of_class[1] / min(SAMPLE, of_class[1]), of_class[0] / min(SAMPLE, of_class[0]))
-    model.curve = logistic(x, y, w) if 0 < y.sum() < len(y) else (-4.0, 1.0)
-    return model
+    return Model(score, lam, k, isotonic(x, y, w) if 0 < y.sum() < len(y) else FALLBACK, 0.0)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -140,3 +140,80 @@ def substrings(docs, window=35):
         gone = {p for k in range(len(ws) - window + 1) if seen[tuple(ws[k:k + window])] > 1 for p in range(k, k + window)}
         out.append((doc, len(ws), len(gone), sha(" ".join(w for p, w in enumerate(ws) if p not in gone))))
     return out
+
+
+def segments_linear(x):
+    """The maximal-scoring segments, each candidate joined with those before it."""
+    sums = np.concatenate(([0.0], np.cumsum(x)))
+    stack = []
+    for k, v in enumerate(x):
+        if v <= 0:
+            continue
+        new = [sums[k], sums[k + 1], k, k]
+        while True:
+            j = next((i for i in reversed(range(len(stack))) if stack[i][0] < new[0]), None)
+            if j is None or stack[j][1] >= new[1]:
+                stack.append(new)
+                break
+            new = [stack[j][0], new[1], stack[j][2], k]
+            del stack[j:]
+    return [(r - l, a, b) for l, r, a, b in stack]
+
+
+def toxic_scores(docs, sample, prior=1.0, support=2, drift=1.0, rise=0.01):
+    """Scores of docs (texts) by the model learnt from sample: (text, y, judge), with a weight of 1 each."""
+    from math import exp, lgamma, log
+
+    learn, judge = [(bench_words(t), y) for t, y, j in sample if not j], [(bench_words(t), y) for t, y, j in sample if j]
+    n = Counter(y for _, y in learn)
+    seen = (Counter(), Counter())
+    for ws, y in learn:
+        seen[y].update(set(ws))
+    share = n[1] / (n[0] + n[1])
+    score = {w: log((seen[1][w] + prior * share) / (seen[0][w] + prior * (1 - share))) - log(n[1] / n[0]) for w in seen[0] | seen[1] if seen[0][w] + seen[1][w] >= support}
+    scores = lambda ws: [score.get(w, 0.0) - drift for w in ws]
+    floors = Counter(np.floor(v * 10) for ws, y in judge if not y for v in np.array(scores(ws)))
+    tops = sorted((np.floor(s * 10) for ws, y in judge if not y for s, _, _ in segments_linear(scores(ws))), reverse=True)
+    words_ = sum(floors.values())
+    value = lambda lam: sum(c / words_ * exp(lam * (f / 10 + 0.05)) for f, c in floors.items()) - 1
+    low, high = 1e-6, 64.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if value(mid) < 0 else (low, mid)
+    lam = high
+    step = tops[max(0, int(np.ceil(len(tops) / 10)) - 1)]
+    k = sum(t >= step for t in tops) / words_ * exp(lam * step / 10)
+
+    def evidence(ws):
+        x, heights = scores(ws), []
+        for _, a, b in segments_linear(x):
+            own = {w: v for w, v in zip(ws[a:b + 1], x[a:b + 1])}
+            heights.append(lam * (sum(own.values()) - drift * (b - a + 1 - len(own))) - log(k * max(1, len(ws))))
+        heights = sorted((h for h in heights if h > 0), reverse=True)
+        tried = [0.0]
+        for r in range(1, len(heights) + 1):
+            t = sum(heights[:r])
+            if r == 1 or t > r:
+                tried.append(t - (r - 1) * log(t) + lgamma(r + 1) + lgamma(r) - log(r * (r + 1) / 2))
+        return max(tried)
+
+    both = sorted((evidence(ws), y) for ws, y in judge)
+    x, y = np.array([a for a, _ in both]), np.array([b for _, b in both], float)
+    whole = y.mean()
+    ranges = [(np.searchsorted(x, v, "left"), np.searchsorted(x, v, "right")) for v in np.unique(x)]
+    # The isotonic fit by its min-max formula, over the distinct values.
+    fit = [max(min(y[a:b].mean() for _, b in ranges[i:]) for a, _ in ranges[:i + 1]) for i in range(len(ranges))]
+    level = {}
+    for (a, b), p in zip(ranges, fit):
+        level.setdefault(round(p, 9), []).append((a, b))
+    smooth, last = {}, 0.0
+    for p in sorted(level):
+        a, b = level[p][0][0], level[p][-1][1]
+        last = max(last, (y[a:b].sum() + whole) / (b - a + 1))
+        smooth[p] = last
+    at, to = np.unique(x), [smooth[round(p, 9)] for p in fit]
+    out = []
+    for t in docs:
+        e = evidence(bench_words(t))
+        out.append((1 - rise) * float(np.interp(e, at, to)) + rise * e / (e + 10.0))
+    return out

@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -306,7 +307,8 @@ def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out").collect()
     assert _auc([(r.score, r.toxic) for r in got]) > 0.95
-    assert sum(r.predicted == r.toxic for r in got) / len(got) > 0.95
+    assert sum(r.predicted == r.toxic for r in got) / len(got) > 0.975
+    assert sum(r.predicted for r in got if r.toxic) > 0.8 * sum(r.toxic for r in got)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
 
 
@@ -329,15 +331,71 @@ def test_maximal_segments():
         _, _, a, b = best
         return naive(x, lo, a) + [(sum(x[a:b]), a, b - 1)] + naive(x, b, hi)
 
-    for _ in range(200):
-        n = rng.randint(1, 14)
-        places = sorted(rng.sample(range(n), rng.randint(0, n)))
-        own = [(p, rng.choice([0.7, 1.3, 2.9, -1.1])) for p in places]
-        x = [-0.4] * n
-        for p, s in own:
-            x[p] = s
-        got = toxicity.maximal_segments(own, 0.4)
-        assert [(round(s, 6), a, b) for s, a, b in got] == [(round(s, 6), a, b) for s, a, b in naive(x, 0, n)]
+    for _ in range(300):
+        x = [rng.choice([0.7, 1.3, 2.9, -1.1, -0.4, -0.4, -1.0]) for _ in range(rng.randint(1, 14))]
+        want = [(round(s, 6), a, b) for s, a, b in naive(x, 0, len(x))]
+        assert [(round(s, 6), a, b) for s, a, b in toxicity.maximal_segments(np.array(x))] == want
+        assert [(round(s, 6), a, b) for s, a, b in brute.segments_linear(x)] == want
+
+
+def test_toxicity_brute(spark):
+    """Log-odds, lambda, K, evidence and curve of the whole operator against plain versions of each."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    ids, _ = toxicity._sample(labels)
+    sample = [(r.text, r.y, r.judge) for r in docs.join(ids, docs.doc_id == ids._id).select("text", "y", "judge").collect()]
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    want = brute.toxic_scores(texts, sample)
+    got = [r.score for r in toxicity.toxicity(docs, labels).orderBy("doc_id").collect()]
+    assert len(got) == len(want) and max(abs(a - b) for a, b in zip(got, want)) < 1e-6
+    assert sum(x >= toxicity.THRESHOLD for x in want) >= 20
+
+
+def test_toxicity_curve():
+    """Separable, nearly separable, weighted, constant and tiny evidence: the curve rises, and splits what can be split."""
+    rng = np.random.default_rng(2)
+    for draw in range(200):
+        n, m = rng.integers(1, 200, 2)
+        weight = float(rng.choice([1, 3, 10]))
+        x = np.concatenate((rng.exponential(2, n), 20 + rng.exponential(30, m)))
+        y = np.concatenate((np.zeros(n), np.ones(m)))
+        if draw % 2:
+            y[rng.integers(0, len(y), 1 + len(y) // 50)] = 1 - y[0]
+        w = np.where(y == 1, 1.0, weight)
+        at, p = zip(*toxicity.isotonic(x, y, w))
+        assert all(a < b for a, b in zip(at, at[1:])) and all(a <= b for a, b in zip(p, p[1:])) and 0 <= p[0] and p[-1] <= 1
+        share = (w * y).sum() / w.sum()
+        if draw % 2 == 0:
+            low, high = np.interp(x[:n], at, p), np.interp(x[n:], at, p)
+            assert abs(low.max() - share / (n * weight + 1)) < 1e-9 and abs(high.min() - (m + share) / (m + 1)) < 1e-9
+    assert toxicity.isotonic(np.zeros(4), np.array([0.0, 1, 0, 1]), np.ones(4)) == [(0.0, 0.5)]
+
+
+def _corpus(spark, n):
+    """n documents of plain words, each tenth with a passage of words that only such documents have."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(n):
+        ws = [rng.choice("one two three four five six seven eight nine ten".split()) for _ in range(40)]
+        if k % 10 == 0:
+            ws[20:20] = [rng.choice(["vile", "scum", "filth", "trash"]) for _ in range(5)]
+        rows.append((k, " ".join(ws), int(k % 10 == 0)))
+    return spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string"), spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+
+
+def test_toxicity_more_labels_than_sample(spark, monkeypatch):
+    docs, labels = _corpus(spark, 3000)
+    for sample in (50, 300, 8000):
+        monkeypatch.setattr(toxicity, "SAMPLE", sample)
+        kept = toxicity.accepted(docs, labels).join(labels, "doc_id")
+        assert kept.where("toxic = 1").count() == 0 and kept.count() == 2700
+
+
+def test_toxicity_repeated_ids(spark):
+    """An id that most rows share teaches once, whatever its texts."""
+    docs, labels = _corpus(spark, 600)
+    many = docs.where("doc_id = 10").crossJoin(spark.range(2000)).select("doc_id", F.concat("text", F.lit(" "), F.col("id").cast("string")).alias("text"))
+    model = toxicity.fitted(docs.unionAll(many), labels)
+    assert model.score[b"vile"] > 3 and abs(model.score[b"one"]) < 0.5
 
 
 def test_quality(spark, awkward, nothing):
