@@ -14,9 +14,11 @@ SPACE = r"\x20\x09-\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one where none is set."""
+    """The folder that the driver and all executors share; a temporary one where none is set and Spark runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="factlattice-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -117,29 +119,70 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-def spans_of(text: Column, pattern: str | Column) -> Column:
-    """The leftmost non-overlapping matches of a pattern in a text, as an array of
-    (s, e, v, left, right): start and end in code points, the match, and the text up to its neighbours.
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    The gaps between matches give the positions, so one pass of split and one of extraction suffice.
+
+def before(values: Column, zero: int, join) -> Column:
+    """For each value of an array of longs, all those before it joined by an associative function; zero for the first.
+
+    In blocks of about the root of its size, so that what an aggregation copies to grow its result stays small: the work
+    grows with the 1.5th power of the array, where one aggregation over all of it would square it.
+    """
+    start = F.struct(F.lit(zero).cast("long").alias("at"), F.expr("cast(array() as array<long>)").alias("out"))
+
+    def scan(rows: Column, own) -> Column:
+        return F.aggregate(rows, start, lambda acc, x: F.struct(join(acc["at"], own(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    def blocks(v: Column) -> Column:
+        k = F.ceil(F.sqrt(F.size(v))).cast("int")
+        count = F.ceil(F.size(v) / k).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), count - 1), lambda c: scan(F.slice(v, c * k + 1, k), lambda x: x))
+        whole = let(parts, lambda p: F.zip_with(p, scan(p, lambda x: x["at"])["out"], lambda part, at: F.transform(part["out"], lambda x: join(at, x))))
+        return F.when(F.size(v) <= 32, scan(v, lambda x: x)["out"]).otherwise(F.flatten(whole))
+
+    return let(values, blocks)
+
+
+def spans_of(text: Column, pattern: str | Column, reach: int = 0) -> Column:
+    """The leftmost non-overlapping matches of a pattern in a text, as an array of (s, e, bs, be, v, left, right): start
+    and end in code points and in bytes, the match, and at most reach code points between it and its neighbours.
+
+    The lengths of the gaps between matches and of the matches give the positions, by running sums.
     """
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    piece = F.zip_with(
-        F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)),
-        lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")),
-    )
-    kind = "array<struct<s:int,e:int,v:string,left:string,right:string>>"
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("left"), F.lit(None).cast("string").alias("v"), F.expr(f"cast(array() as {kind})").alias("out"))
-
-    def step(acc, x):
-        # The match before this gap is complete now: its right-hand text is the gap.
-        out = F.when(acc["v"].isNull(), acc["out"]).otherwise(
-            F.concat(acc["out"], F.array(F.struct((acc["at"] - F.length(acc["v"])).alias("s"), acc["at"].alias("e"), acc["v"].alias("v"), acc["left"].alias("left"), x["gap"].alias("right"))))
-        )
-        at = acc["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["match"]), F.lit(0))
-        return F.struct(at.alias("at"), x["gap"].alias("left"), x["match"].alias("v"), out.alias("out"))
-
-    return F.aggregate(piece, zero, step, lambda acc: acc["out"])
+    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"))
+
+    def placed(x: Column) -> Column:
+        gaps, found = x["gaps"], x["found"]
+        add = lambda a, b: a + b
+        points = before(F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, v: (F.length(g) + F.length(v)).cast("long")), 0, add)
+        octets = before(F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, v: (F.octet_length(g) + F.octet_length(v)).cast("long")), 0, add)
+        rows = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("g"), found.alias("v"), F.slice(gaps, 2, F.size(found)).alias("r"), points.alias("p"), octets.alias("o"))
+        return F.transform(rows, lambda y: F.struct(
+            (y["p"] + F.length(y["g"])).cast("int").alias("s"), (y["p"] + F.length(y["g"]) + F.length(y["v"])).cast("int").alias("e"),
+            (y["o"] + F.octet_length(y["g"])).cast("int").alias("bs"), (y["o"] + F.octet_length(y["g"]) + F.octet_length(y["v"])).cast("int").alias("be"),
+            y["v"].alias("v"), F.right(y["g"], F.lit(reach)).alias("left"), F.left(y["r"], F.lit(reach)).alias("right"),
+        ))
+
+    none = F.expr("cast(array() as array<struct<s:int,e:int,bs:int,be:int,v:string,left:string,right:string>>)")
+    return let(both, lambda x: F.when(F.size(x["found"]) == 0, none).otherwise(placed(x)))
+
+
+def cut_out(text: Column, cuts: Column) -> Column:
+    """A text with the spans of cuts, structs (s, ..., bs, be, to) in the order of s, replaced by their to.
+
+    Overlapping spans become one, named by the first. By byte positions, which cost nothing to go to, and running maxima.
+    """
+    def made(x: Column) -> Column:
+        spans, raw = x["spans"], x["raw"]
+        ends = before(F.transform(spans, lambda y: y["be"].cast("long")), 0, lambda a, b: F.greatest(a, b))
+        parts = F.zip_with(spans, ends, lambda y, at: F.when(y["bs"] >= at, F.concat(F.substr(raw, (at + 1).cast("int"), (y["bs"] - at).cast("int")), F.encode(y["to"], "UTF-8"))).otherwise(F.lit(b"")))
+        tail = F.array_max(F.transform(spans, lambda y: y["be"]))
+        return F.concat(F.array_join(F.transform(parts, lambda p: p.cast("string")), ""), F.substr(raw, tail + 1, F.octet_length(raw)).cast("string"))
+
+    return let(F.struct(cuts.alias("spans"), text.cast("binary").alias("raw")), lambda x: F.when(F.size(x["spans"]) == 0, text).otherwise(made(x)))
 
 
 def joined_spans(spans: Column) -> Column:

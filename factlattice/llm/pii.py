@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, joined_spans, spans_of, stored
+from .common import cut_out, fresh, joined_spans, spans_of, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # The base patterns in a form that Java matches in linear time: a match can only start where a run of its
@@ -27,7 +27,7 @@ LETTER = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"
 TERM = LETTER + "+"
 #: Code points on each side of an entity that tell its contexts apart.
 REACH = 48
-SPAN = "array<struct<ord:int,kind:string,s:int,e:int,v:string,left:string,right:string>>"
+SPAN = "array<struct<ord:int,kind:string,s:int,e:int,bs:int,be:int,v:string,left:string,right:string>>"
 
 
 def _digits(v: Column) -> Column:
@@ -50,11 +50,8 @@ def _valid(kind: str, v: Column) -> Column:
 
 
 def _of_kind(text: Column, ord_: int, kind: str, pattern: str, sign: Column) -> Column:
-    matches = F.filter(F.when(sign, spans_of(text, pattern)), lambda x: _valid(kind, x["v"]))
-    spans = F.transform(matches, lambda x: F.struct(
-        F.lit(ord_).alias("ord"), F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"),
-        F.substring(x["left"], -REACH - 1, REACH + 1).alias("left"), F.substring(x["right"], 1, REACH + 1).alias("right"),
-    ))
+    matches = F.filter(F.when(sign, spans_of(text, pattern, REACH + 1)), lambda x: _valid(kind, x["v"]))
+    spans = F.transform(matches, lambda x: F.struct(F.lit(ord_).alias("ord"), F.lit(kind).alias("kind"), *(x[c].alias(c) for c in ("s", "e", "bs", "be", "v", "left", "right"))))
     return F.coalesce(spans, F.expr(f"cast(array() as {SPAN})"))
 
 
@@ -71,17 +68,10 @@ def _key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def _masked(text: Column, base: Column) -> Column:
-    """The text with its base spans as blanks, so that positions stay."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, x):
-        s = F.greatest(acc["at"], x["s"])
-        out = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s - acc["at"]), F.repeat(F.lit(" "), x["e"] - s))
-        return F.when(x["e"] > acc["at"], F.struct(x["e"].alias("at"), out.alias("out"))).otherwise(acc)
-
-    spans = F.array_sort(F.transform(base, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
-    return F.when(F.size(base) == 0, text).otherwise(F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text)))))
+def _masked(text: Column) -> Column:
+    """The text with its e-mail addresses as blanks, so that positions stay: other base spans have no letters."""
+    both = F.zip_with(F.split(text, F.lit(EMAIL), -1), F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0)), lambda gap, match: F.concat(gap, F.repeat(F.lit(" "), F.coalesce(F.octet_length(match), F.lit(0)))))
+    return F.when(F.contains(text, F.lit("@")), F.array_join(both, "")).otherwise(text)
 
 
 def _read(docs: DataFrame) -> DataFrame:
@@ -93,7 +83,7 @@ def _read(docs: DataFrame) -> DataFrame:
 
 def _words() -> Column:
     """The distinct words outside of base spans as they are spelt."""
-    return F.array_distinct(F.regexp_extract_all(_masked(F.col("text"), F.col("base")), F.lit(TERM), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(_masked(F.col("text")), F.lit(TERM), F.lit(0)))
 
 
 def disclosing(docs: DataFrame, found: DataFrame, disclose: float, support: int) -> DataFrame:
@@ -134,11 +124,11 @@ def _places(docs: DataFrame, told: DataFrame, remove: float) -> DataFrame:
     """(text_key, terms): where the terms told stand, in each text that has one, beside an entity or not."""
     words = _read(docs).select("text_key", F.explode(_words()).alias("word")).withColumn("term", F.lower("word")).join(told, "term")
     hit = words.groupBy("text_key").agg(F.sort_array(F.collect_set(F.struct("word", (F.col("bits") >= remove).alias("whole")))).alias("hit"))
-    rows = _read(docs).join(stored(hit), "text_key").withColumn("text", _masked(F.col("text"), F.col("base")))
+    rows = _read(docs).join(stored(hit), "text_key").withColumn("text", _masked(F.col("text")))
     any_word = F.concat(F.lit(f"(?<!{LETTER})(?:"), F.array_join(F.transform("hit", lambda x: x["word"]), "|"), F.lit(f")(?!{LETTER})"))
     act = F.map_from_entries("hit")
     terms = F.transform(spans_of(F.col("text"), any_word), lambda x: F.struct(
-        F.lit(4).alias("ord"), F.lit("term").alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.when(act[x["v"]], F.lit("remove")).otherwise(F.lit("generalise")).alias("act")))
+        F.lit(4).alias("ord"), F.lit("term").alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["bs"].alias("bs"), x["be"].alias("be"), F.when(act[x["v"]], F.lit("remove")).otherwise(F.lit("generalise")).alias("act")))
     return stored(rows.select("text_key", terms.alias("terms")).groupBy("text_key").agg(F.first("terms").alias("terms")))
 
 
@@ -149,7 +139,7 @@ def found_spans(docs: DataFrame, disclose: float = 0.85, remove: float = 0.97, s
     """
     found = stored(_read(docs).select("doc_id", "base_key", "text_key", "base", F.when(F.size("base") > 0, _words()).alias("words")))
     told = stored(disclosing(docs, found, disclose, support))
-    none = F.expr("cast(array() as array<struct<ord:int,kind:string,s:int,e:int,act:string>>)")
+    none = F.expr("cast(array() as array<struct<ord:int,kind:string,s:int,e:int,bs:int,be:int,act:string>>)")
     if told.isEmpty():
         return found.select("doc_id", "base_key", "base", none.alias("terms"))
     out = found.select("doc_id", "base_key", "text_key", "base").join(_places(docs, told, remove), "text_key", "left")
@@ -175,22 +165,16 @@ def sanitised(docs: DataFrame, **how) -> DataFrame:
     columns = docs.columns
     id_, key, own, cuts = fresh(docs, "_id", "_key", "_own", "_cut")
     found = found_spans(docs, **how).where((F.size("base") > 0) | (F.size("terms") > 0))
+    place = lambda x, to: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["ord"].alias("ord"), x["bs"].alias("bs"), x["be"].alias("be"), to.alias("to"))
     cut = F.concat(
-        F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")).alias("to"))),
-        F.transform("terms", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["act"] == "remove", F.lit("")).otherwise(F.lit("<TERM>")).alias("to"))),
+        F.transform("base", lambda x: place(x, F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")))),
+        F.transform("terms", lambda x: place(x, F.when(x["act"] == "remove", F.lit("")).otherwise(F.lit("<TERM>")))),
     )
     # Repeated rows have the same findings.
     found = found.groupBy("doc_id", "base_key").agg(F.first("base", True).alias("base"), F.first("terms", True).alias("terms"))
     found = found.select(F.col("doc_id").alias(id_), F.col("base_key").alias(key), F.array_sort(cut).alias(cuts))
     both = docs.withColumn(own, _key()).join(found, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(key)), "left")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, x):
-        new = x["s"] >= acc["at"]
-        out = F.when(new, F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, x["s"] - acc["at"]), x["to"])).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"))
-
-    text = F.aggregate(cuts, zero, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.length("text"))))
+    text = cut_out(F.col("text"), F.col(cuts))
     both = both.withColumn("text", F.when(F.col(cuts).isNull(), F.col("text")).otherwise(text))
     if "n_chars" in columns:
         kind = docs.schema["n_chars"].dataType
