@@ -1,22 +1,29 @@
 """Secrets: fixed patterns, and strings that zstandard can't predict from the code around them.
 
-A candidate is a long token with letters and digits that follows a sensitive word closely. Its novelty is the
-number of bytes it adds to a zstandard frame primed with an identifier dictionary and the surrounding text; where
-that is near the bytes of a random string, the candidate is reported as kind ``novel``.
+A candidate is a token of 16 or more characters that a sensitive word stands in or closely before. Its novelty is the
+number of bytes that it adds to a zstandard frame primed with a dictionary of identifiers and the text around, over the
+bytes that a random string of its length and alphabet adds there: long strings of few characters and short ones in a
+frame's overhead are so measured alike. Candidates at or over ``least`` are reported as kind ``novel``.
+
+The identifiers are those that stand around sensitive words anywhere in the corpus, by the documents that have them;
+they are shorter than a candidate, so that no string vouches for itself.
 
 Defined results: null or empty text has no spans; null doc_ids and repeated rows keep a row each; an empty table
-gives an empty result; other columns are not read.
+gives an empty result; other columns are not read; without identifiers the text around is the whole dictionary.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(?ia:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -25,14 +32,13 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 #: Words after which a string may be sensitive, and the candidates themselves.
 SENSITIVE = re.compile(r"(?ia:password|passwd|pwd|secret|token|api_?key|credential|bearer|private_?key|auth|signature)")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Identifiers that code around secrets repeats: the part of the dictionary that every document shares.
-IDENTIFIERS = b"".join(w + b" " for w in (
-    b"access_key", b"account", b"api_key", b"apikey", b"authorization", b"bearer", b"client_id", b"client_secret", b"config", b"connection", b"credential",
-    b"database", b"default", b"endpoint", b"environment", b"export", b"hostname", b"identifier", b"password", b"passwd", b"private_key", b"public", b"region",
-    b"request", b"response", b"return", b"secret", b"service", b"session", b"signature", b"string", b"token", b"username", b"value", b"version",
-))
+IDENTIFIER = re.compile(r"(?<![A-Za-z_])[A-Za-z_]{4,15}(?![A-Za-z_])")
 #: Code points of text before and after a candidate that prime the dictionary, and how far a sensitive word reaches.
 AROUND, REACH = 512, 64
+#: Bytes of the dictionary, and the documents that an identifier in it needs.
+DICTIONARY, SUPPORT = 8192, 3
+ALPHABETS = tuple(map(frozenset, ("0123456789", "0123456789abcdef", "0123456789ABCDEF")))
+CASES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "+/_=-")
 
 
 def assigned(text: str, low: str) -> list[tuple[int, int]]:
@@ -41,37 +47,65 @@ def assigned(text: str, low: str) -> list[tuple[int, int]]:
     return [m.span() for m in ASSIGN.finditer(text) if len(m[1]) >= 8]
 
 
+def alphabet(own: str) -> str:
+    """The characters that a string like this is drawn from: digits, hex digits, or the kinds of characters it has."""
+    held = set(own)
+    for few in ALPHABETS:
+        if held <= few:
+            return "".join(sorted(few))
+    return "".join(kind for kind in CASES if held & set(kind))
+
+
+def alike(own: str) -> str:
+    """A random string of the length and alphabet of own, the same one each time."""
+    letters, n = alphabet(own), len(own)
+    drawn = hashlib.shake_128(f"{letters}:{n}".encode()).digest(4 * n)
+    return "".join(letters[int.from_bytes(drawn[4 * k:4 * k + 4], "big") % len(letters)] for k in range(n))
+
+
 class Novelty:
-    """Marginal compressed bytes of a string, given what stands around it."""
+    """Marginal compressed bytes of a string over those of a random one, given what stands around it."""
 
-    def __init__(self, level: int = 3):
-        self.level = level
+    def __init__(self, identifiers: bytes = b"", level: int = 3):
+        self.identifiers, self.level = identifiers, level
 
-    def size(self, primer: bytes, data: bytes) -> int:
-        words = zstandard.ZstdCompressionDict(IDENTIFIERS + primer, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        made = zstandard.ZstdCompressor(level=self.level, dict_data=words, write_checksum=False, write_content_size=False, write_dict_id=False)
-        return len(made.compress(data))
+    def made(self, primer: bytes) -> zstandard.ZstdCompressor:
+        words = zstandard.ZstdCompressionDict(self.identifiers + primer, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return zstandard.ZstdCompressor(level=self.level, dict_data=words, write_checksum=False, write_content_size=False, write_dict_id=False)
 
-    def marginal(self, text: str, start: int, end: int) -> float:
-        """Bytes that the candidate adds to its line's beginning, over its own length."""
+    def share(self, text: str, start: int, end: int) -> float:
+        """Bytes that the candidate adds to its line's beginning, over those that a random string adds."""
         lead = text[max(0, start - REACH):start].encode("utf8", "surrogatepass")
         primer = (text[max(0, start - AROUND):max(0, start - REACH)] + text[end:end + AROUND]).encode("utf8", "surrogatepass")
-        own = text[start:end].encode("utf8", "surrogatepass")
-        return (self.size(primer, lead + own) - self.size(primer, lead)) / len(own)
+        own = text[start:end]
+        made = self.made(primer)
+        alone, with_own, with_any = (len(made.compress(lead + more.encode())) for more in ("", own, alike(own)))
+        return (with_own - alone) / max(1, with_any - alone)
+
+
+def sensitive_ends(text: str) -> list[int]:
+    return [w.end() for w in SENSITIVE.finditer(text)]
+
+
+def around(text: str) -> set[str]:
+    """Identifiers within AROUND of a sensitive word."""
+    windows: list[list[int]] = []
+    for end in sensitive_ends(text):
+        if windows and end - AROUND <= windows[-1][1]:
+            windows[-1][1] = end + AROUND
+        else:
+            windows.append([max(0, end - AROUND), end + AROUND])
+    return {w for start, stop in windows for w in IDENTIFIER.findall(text, start, stop)}
 
 
 def novel(text: str, novelty: Novelty, least: float) -> list[tuple[int, int]]:
+    ends = sensitive_ends(text)
+    if not ends:
+        return []
     found = []
-    ends = None
     for m in CANDIDATE.finditer(text):
-        token = m[0]
-        if token.isalpha() or not any(c.isdigit() for c in token) or not any(c.isalpha() for c in token):
-            continue
-        if ends is None:
-            ends = [w.end() for w in SENSITIVE.finditer(text)]
-        if not any(m.start() - REACH <= x <= m.end() for x in ends):
-            continue
-        if novelty.marginal(text, *m.span()) >= least:
+        k = bisect_left(ends, m.start() - REACH)
+        if k < len(ends) and ends[k] <= m.end() and novelty.share(text, *m.span()) >= least:
             found.append(m.span())
     return found
 
@@ -89,12 +123,37 @@ def spans(text: str | None, novelty: Novelty, least: float) -> list[tuple[int, i
     return sorted(out)
 
 
-def secrets(docs: DataFrame, least: float = 0.7) -> DataFrame:
-    """The contract's columns, and n_novel: one row per row of docs. One pass over each text, no shuffle."""
+def identifiers(docs: DataFrame) -> bytes:
+    """The dictionary: identifiers around sensitive words, the most common last, where they cost least to point to."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n: Counter = Counter()
+            for text in batch.column("text"):
+                text = text.as_py()
+                if text:
+                    n.update(around(text))
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+
+    rows = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= SUPPORT)
+    out, size = [], 0
+    # No word has under 4 letters, so that these rows fill the dictionary.
+    for r in rows.orderBy(F.desc("n"), "word").limit(DICTIONARY // 5).collect():
+        size += len(r["word"]) + 1
+        if size > DICTIONARY:
+            break
+        out.append(r["word"])
+    return "".join(w + " " for w in reversed(out)).encode()
+
+
+def secrets(docs: DataFrame, least: float = 0.85) -> DataFrame:
+    """The contract's columns, and n_novel: one row per row of docs. Two passes over each text, and only counts of
+    identifiers are shuffled."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    known = identifiers(docs)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty = Novelty(known)
         for batch in batches:
             rows = []
             for text in batch.column(1):

@@ -1,6 +1,7 @@
 """Each query's rows against the plain versions, over a whole small table and over rows made to be awkward."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -107,7 +108,40 @@ def test_secrets(docs):
 def test_secrets_novelty(awkward):
     got = {r.doc_id: r for r in secrets.secrets(awkward).collect()}
     assert got[17].n_novel == 1 and "novel:25:45" in got[17].spans
-    assert secrets.Novelty().marginal("value = " + "configuration_name " * 3, 27, 45) < 0.4
+    text = "value = " + "configuration_name " * 3
+    assert secrets.Novelty().share(text, 27, 45) < 0.4
+
+
+def test_secrets_recall(spark):
+    """Random strings of each alphabet and length after a sensitive word are found; what stands elsewhere in the text isn't."""
+    rng = random.Random(6)
+    documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    known = secrets.identifiers(documents)
+    assert 0 < len(known) <= secrets.DICTIONARY
+    novelty = secrets.Novelty(known)
+    prose = [r.text for r in documents.where("length(text) > 600").orderBy("doc_id").limit(40).collect()]
+    alphabets = ("0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789")
+    for letters in alphabets:
+        for n in (16, 32, 96, 256):
+            found = said = 0
+            for text in prose:
+                own = "".join(rng.choice(letters) for _ in range(n))
+                made = text[:300] + " bearer " + own + " " + text[300:]
+                found += novelty.share(made, 308, 308 + n) >= 0.85
+                said += novelty.share(own + " " + made, 309 + n, 309 + 2 * n) >= 0.85
+            assert found >= 38 and said <= 1, (letters, n, found, said)
+
+
+def test_very_long_texts(spark):
+    """A megabyte of numbers, and one of candidates, in time about in proportion."""
+    numbers = ", ".join(str(10000 + k % 90000) for k in range(150_000))
+    rng = random.Random(8)
+    keys = " ".join("token " + "".join(rng.choice("abcdefghij0123456789") for _ in range(20)) for _ in range(40_000))
+    for text, run in ((numbers, pii.pii), (numbers, pii.sanitised), (keys, secrets.secrets)):
+        docs = spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars int")
+        start = time.time()
+        assert run(docs).count() == 1 and len(run(docs).collect()) == 1
+        assert time.time() - start < 60
 
 
 def test_mixing(docs):
