@@ -217,3 +217,23 @@ def toxic_scores(docs, sample, prior=1.0, support=2, drift=1.0, rise=0.01):
         e = evidence(bench_words(t))
         out.append((1 - rise) * float(np.interp(e, at, to)) + rise * e / (e + 10.0))
     return out
+
+
+def five_word_shingles(text, n=5):
+    ws = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(ws[k:k + n]) for k in range(max(1, len(ws) - n + 1))} if ws else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def similar_pairs(texts, least):
+    """Pairs (i, j) of texts at a Jaccard similarity of least or more, with it, by an index of shingles."""
+    sets = [five_word_shingles(t) for t in texts]
+    of, common = defaultdict(list), Counter()
+    for i, own in enumerate(sets):
+        for sh in own or {None}:
+            common.update((j, i) for j in of[sh])
+            of[sh].append(i)
+    return {(i, j): v for (i, j) in common if (v := jaccard(sets[i], sets[j])) >= least}

@@ -274,12 +274,54 @@ def test_simhash_links(spark):
         assert old is simhash.partitions
 
 
-def test_simhash_deduplicated(awkward, documents):
-    for docs in (awkward, documents):
+def test_simhash_deduplicated(awkward, documents, nothing):
+    for docs in (awkward, documents, nothing):
         out = simhash.deduplicated(docs)
-        comps = {r.component_id for r in simhash.simhash(docs).collect()}
         assert out.columns == docs.columns
-        assert sorted(str(r.doc_id) for r in out.collect()) == sorted(map(str, comps))
+        own = [(r.doc_id, r.text) for r in docs.collect()]
+        kept = [(r.doc_id, r.text) for r in out.collect()]
+        assert len(kept) == len(set(kept)) and set(kept) <= set(own)
+        near = brute.similar_pairs([t for _, t in kept], 0.85)
+        assert not near
+        left = brute.similar_pairs([t for _, t in own], 0.6)
+        linked = {k for pair in left for k in pair}
+        # What is like nothing else stays.
+        assert {own[k] for k in range(len(own)) if k not in linked} <= set(kept)
+
+
+def test_simhash_similar(spark):
+    """Copies at a Jaccard similarity over 0.85 are found, and those under 0.7 are not; a group of many keeps one."""
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    texts = []
+    for k in range(300):
+        one = [rng.choice(vocabulary) for _ in range(rng.randint(60, 500))]
+        like = (0.55, 0.87, 0.95)[k % 3]
+        same = round((len(one) - 4) * 2 * like / (1 + like)) + 4
+        texts += [" ".join(one), " ".join(one[:same] + [rng.choice(vocabulary) for _ in one[same:]]).upper()]
+    many = [rng.choice(vocabulary) for _ in range(400)]
+    for k in range(200):
+        own = list(many)
+        own[rng.randrange(400)] = f"x{k}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.deduplicated(docs).collect()}
+    assert len([k for k in kept if k >= 600]) == 1
+    near = brute.similar_pairs(texts[:600], 0.8)
+    assert len(near) >= 190
+    missed = [p for p in near if p[1] in kept]
+    assert len(missed) <= 0.03 * len(near), [near[p] for p in missed]
+    assert all(2 * k in kept and 2 * k + 1 in kept for k in range(0, 300, 3))
+
+
+def test_simhash_blocks():
+    """A pair right at the similarity shares a block as often as RECALL says, at any number of fingerprints."""
+    rng = np.random.default_rng(3)
+    for n in (10, 10_000, 10**7):
+        tables = simhash.blocks(n, 0.8)
+        apart = rng.random((400, simhash.WIDE)) < simhash.share_apart(0.8)
+        met = np.any([~apart[:, own].any(axis=1) for own in tables], axis=0)
+        assert met.mean() > simhash.RECALL - 0.05
 
 
 def test_simhash_deduplicated_keys(spark):
