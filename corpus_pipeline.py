@@ -14,32 +14,44 @@ from factlattice.llm.common import fresh, stored
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
+    """Documents predicted toxic go: those with a score of 0.7 or more. Null and empty texts score as texts without a
+    passage; repeated rows are judged each; an empty table stays empty; without labels of both kinds the share of toxic
+    labels is every score. Columns besides doc_id and text are passed on as they are."""
     return toxicity.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the least id stays."""
+    """Of each group of near-duplicates (five-word shingles, a similarity of 0.8 or more) the document of the least id
+    stays. Null and empty texts are one group; rows that share a null or other id in different groups stay; rows that
+    agree in id and text are one; an empty table stays empty. Other columns are passed on as they are."""
     return simhash.deduplicated(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of the benchmark are cut out; documents that were nothing else go."""
+    """Passages of the benchmark are cut out, n_chars follows; documents that were nothing else go. Null and empty texts
+    have no words and stay; repeated rows are cut each; an empty table stays empty, and with an empty benchmark all stays.
+    Other columns are passed on as they are."""
     return decontaminate.cleaned(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and the terms that disclose it are replaced."""
+    """Personal data and the terms that disclose it are replaced, n_chars follows. Null and empty texts stay as they are;
+    repeated rows are treated alike; an empty table stays empty. Other columns are passed on as they are."""
     return pii.sanitised(docs)
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with size, target and words taken (repeats counted)."""
-    taken = mixing.mixed(docs).where("taken > 0")
+    """The documents that the mix takes, with size, source_size, target and words taken (repeats counted).
+
+    Null and empty texts have no words and aren't taken; a null source is a source of its own; rows that agree in source,
+    id and text share what is taken of them evenly; an empty table gives an empty mix. Where docs has columns of these
+    names, the new ones get an underscore more.
+    """
+    taken = mixing.mixed(docs)
     names = ("size", "source_size", "target", "taken")
     id_, source, key, own = fresh(docs, "_id", "_source", "_key", "_own")
-    # Rows that agree in source, id and text are taken alike: as often as the one taken most.
-    taken = taken.groupBy("text_key", "doc_id", "source").agg(F.max("taken").alias("taken"), *(F.first(n).alias(n) for n in names[:3]))
+    # Rows that agree in source, id and text can't be told apart: each takes the mean, so that their sum stays near.
+    taken = taken.groupBy("text_key", "doc_id", "source").agg(F.round(F.avg("taken")).cast("long").alias("taken"), *(F.first(n).alias(n) for n in names[:3])).where("taken > 0")
     taken = taken.select(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("text_key").alias(key), *(F.col(n).alias(f"_{n}_mix") for n in names))
     held = docs.withColumn(own, mixing.text_key())
     both = held.join(taken, (F.col(own) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source)))
