@@ -49,19 +49,49 @@ def executed(refs: DataFrame) -> DataFrame:
     return refs.where((F.col("ref_kind") == "invocation") & F.col("enclosing").isNotNull() & ~F.col("in_expression_tree"))
 
 
-def by_invocation(refs: DataFrame, rules: DataFrame) -> DataFrame:
-    """One effect per invocation: of the first rule that matches and whose resource can be told.
+def _gated(rows: DataFrame, ancestors: DataFrame | None) -> DataFrame:
+    """Rows whose declaring or receiver type the rule's type gates admit.
 
-    Rules are broadcast: there are as many as people have typed. The row number is over one call site's matches.
+    A base gate decides alone: the declaring type is one of the bases or below one. Else a declaring gate that names the
+    type, or a namespace of it, decides; else a receiver gate, by the receiver or the declaring type. The declaring type's
+    simple name has to end as the rule wants, unless only a receiver gate let it in.
     """
-    found = executed(refs).join(F.broadcast(rules), F.col("target_name") == F.col("method"))
+    declaring, receiver = F.col("_declaring"), docid.bare(F.col("receiver_type"))
+    suffix = (F.size("suffixes") == 0) | F.exists("suffixes", lambda x: F.endswith(F.substring_index(declaring, ".", -1), x))
+    named = F.exists("declaring", lambda gate: docid.within(declaring, gate))
+    received = F.exists("receivers", lambda gate: docid.within(declaring, docid.bare(gate)) | F.coalesce(docid.within(receiver, docid.bare(gate)), F.lit(False)))
+    free = (F.size("declaring") == 0) & (F.size("receivers") == 0)
+    rows = rows.withColumn("_declaring", docid.declaring_type(F.col("target")))
+    based = F.lit(False)
+    if ancestors is not None:
+        above = ancestors.groupBy(F.col("type_id").alias("_type")).agg(F.collect_set("ancestor").alias("_above"))
+        rows = rows.join(above, F.concat(F.lit("T:"), "_declaring") == F.col("_type"), "left").drop("_type")
+        based = F.coalesce(F.arrays_overlap("bases", "_above"), F.lit(False))
+    open_ = F.when(F.size("bases") > 0, based & suffix).when(free, suffix).when(named, suffix).otherwise(received)
+    return rows.where(open_).drop("_declaring", "_above")
+
+
+def by_rule(refs: DataFrame, rules: DataFrame, ancestors: DataFrame | None = None) -> DataFrame:
+    """One effect per reference, an invocation, construction or throw: of the first rule that matches and whose resource
+    can be told.
+
+    Rules are broadcast: there are as many as people have typed. Those that name members are joined by name, those that
+    don't by the kind of reference. ancestors (type_id, ancestor) serve rules with base gates. A reference is known by its
+    ref_id, or, where facts have none, by all its columns.
+    """
+    own = [c for c in refs.columns if c != "ref_id"] if "ref_id" not in refs.columns else ["ref_id"]
+    made = refs.where((F.col("ref_kind").isin("ctor", "throw")) & F.col("enclosing").isNotNull())
+    rows = executed(refs).unionByName(made)
+    by_name, by_kind = F.broadcast(rules.where("method is not null")), F.broadcast(rules.where("method is null"))
+    found = rows.join(by_name, (F.col("target_name") == F.col("method")) & (F.col("ref_kind") == F.col("on")))
+    found = found.unionByName(rows.join(by_kind, F.col("ref_kind") == F.col("on")))
     caller = docid.bare(F.col("enclosing"))
-    found = found.where((F.size("receivers") == 0) | F.array_contains("receivers", F.col("receiver_type")))
-    found = found.where((F.size("containing") == 0) | F.exists("containing", lambda gate: docid.within(caller, gate)))
+    found = _gated(found.where((F.size("containing") == 0) | F.exists("containing", lambda gate: docid.within(caller, gate))), ancestors)
+    given = F.size(F.from_json("argument_names", "array<string>"))
+    found = found.where(F.col("least_arguments").isNull() | (F.coalesce(F.when(given >= 0, given), F.lit(0)) >= F.col("least_arguments")))
     found = found.withColumn("resource", resource(F.col("strategy"))).where("resource is not null")
-    keys = ["enclosing", "target", "file_path", "line", "receiver_type", "argument"]
-    first = W.partitionBy(*keys).orderBy("rule_no")
-    return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "method", "receivers", "containing", "strategy", "type_argument_index", "argument_index")
+    first = W.partitionBy(*own).orderBy("rule_no")
+    return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", *(c for c in rules.columns if c not in ("provider", "operation", "rule_no")))
 
 
 def by_wrapper(refs: DataFrame, wrapped: list[str], provider: str, operation: str) -> DataFrame:

@@ -64,9 +64,8 @@ def narrowed_dispatch(hubs: DataFrame, targets: DataFrame, ancestors: DataFrame)
     return own.unionByName(up.join(near, ["hub", "receiver", "depth"]).select("hub", "receiver", "dst").distinct())
 
 
-def dispatch_targets(methods: DataFrame, dispatch: DataFrame, ancestors: DataFrame) -> DataFrame:
+def dispatch_targets(methods: DataFrame, mined: DataFrame, ancestors: DataFrame) -> DataFrame:
     """(hub, dst, type_id): what a member may be dispatched to, whatever the receiver, and the target's type."""
-    mined = mined_dispatch(dispatch)
     both = mined.select(F.col("src").alias("hub"), "dst").union(cha_dispatch(methods, ancestors, mined).select("src", "dst")).distinct()
     return both.join(methods.select(F.col("symbol_id").alias("dst"), F.col("containing_symbol_id").alias("type_id")), "dst").select("hub", "dst", "type_id")
 
@@ -81,7 +80,7 @@ def narrowed_calls(calls: DataFrame, targets: DataFrame, ancestors: DataFrame) -
 def redirected(refs: DataFrame, rules: DataFrame) -> DataFrame:
     """(src, dst, line): references whose target's bare type matches a rule go to the rule's type instead."""
     bare = refs.withColumn("declaring", docid.declaring_type(F.col("target")))
-    rows = bare.join(F.broadcast(rules), bare["declaring"] == rules["from_type"], "left")
+    rows = bare.join(rules, bare["declaring"] == rules["from_type"], "left")
     to = F.concat(F.lit("M:"), F.col("to_type"), F.lit("."), docid.member(F.col("target")))
     return rows.where(F.col("enclosing").isNotNull()).select(F.col("enclosing").alias("src"), F.coalesce(to, F.col("target")).alias("dst"), "line").distinct()
 
@@ -105,9 +104,9 @@ def cut_handoffs(edges: DataFrame, mode: str) -> DataFrame:
 
 
 def event_marks(edges: DataFrame, event_reads: DataFrame) -> DataFrame:
-    """Method groups at a site (src, line) that reads an event are subscriptions."""
-    sites = event_reads.select("src", "line").distinct().withColumn("subscribes", F.lit(True))
-    rows = edges.join(sites, ["src", "line"], "left")
+    """Method groups at a site (src, file_path, line) that reads an event are subscriptions."""
+    sites = event_reads.select("src", "file_path", "line").distinct().withColumn("subscribes", F.lit(True))
+    rows = edges.join(sites, ["src", "file_path", "line"], "left")
     return rows.select("src", "dst", F.when((F.col("kind") == "methodGroup") & F.col("subscribes"), "handoff").otherwise(F.col("kind")).alias("kind"), "line")
 
 
@@ -139,7 +138,7 @@ def cut(edges: DataFrame, patterns: list[str]) -> DataFrame:
 def external_leaves(refs: DataFrame, admitted: DataFrame, denied: list[str]) -> DataFrame:
     """(src, dst) to methods outside the source: those of admitted types, and others not under a denied prefix."""
     rows = refs.where(F.col("enclosing").isNotNull() & ~F.col("target_in_source") & F.col("ref_kind").isin(*CALLS) & F.startswith("target", F.lit("M:")))
-    rows = rows.withColumn("declaring", docid.declaring_type(F.col("target"))).join(F.broadcast(admitted.withColumn("named", F.lit(True))), "declaring", "left")
+    rows = rows.withColumn("declaring", docid.declaring_type(F.col("target"))).join(admitted.withColumn("named", F.lit(True)), "declaring", "left")
     off = F.lit(False)
     for d in denied:
         off = off | docid.within(F.col("declaring"), F.lit(d))

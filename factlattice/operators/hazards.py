@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import docid
+from .reach import nearest, strong
 
 
 def race_windows(access: DataFrame) -> DataFrame:
@@ -83,22 +85,35 @@ def grouped(findings: DataFrame) -> DataFrame:
     return findings.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("enclosing").alias("methods"))
 
 
-def missing_companions(anchors: DataFrame, companions: DataFrame, reach: DataFrame) -> DataFrame:
-    """Anchors (sym, key) from which no companion of the same key is reached. reach: (seed, sym)."""
-    met = reach.join(companions.select("sym", "key").distinct(), "sym").select(F.col("seed").alias("sym"), "key").distinct()
+def missing_companions(anchors: DataFrame, companions: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Anchors (sym, key) from which no companion (sym, key) of the same key is reached; walked back from the companions,
+    key by key, so that a row is a key and a node that reaches it."""
+    met = nearest(edges, companions.select(F.col("key").alias("seed"), "sym"), max_depth).select(F.col("seed").alias("key"), "sym")
     return anchors.select("sym", "key").distinct().join(met, ["sym", "key"], "left_anti")
 
 
-def amplified(events: DataFrame, effects: DataFrame, reach: DataFrame, top: int = 3) -> DataFrame:
-    """Looped call sites from which effects are reached: the nearest few of each site, with a confidence by depth.
+def event_cycles(edges: DataFrame, joins: dict[str, str]) -> DataFrame:
+    """(cycle, sym, confidence, deliveries): members of the cycles that a delivery closes, by their least member.
 
-    The few are kept by an aggregation that holds no more than them, not by sorting all of a site's effects.
+    edges: (src, dst, kind, tag, line), deliveries among them: handoffs whose tag is one of joins. A cycle is low if any
+    delivery in it is joined by a heuristic (low), else high.
     """
-    near = effects.select("enclosing", "provider", "operation").distinct()
-    met = events.join(reach.select(F.col("seed").alias("enclosing"), "sym", "depth"), "enclosing").join(near.withColumnRenamed("enclosing", "sym"), "sym")
-    best = met.groupBy("caller", "file_path", "line", "provider", "operation").agg(F.min(F.struct("depth", "sym")).alias("b"))
-    from pyspark.sql import Window as W
+    given = edges.where((F.col("kind") == "handoff") & F.col("tag").isin(*joins))
+    scc = strong(edges)
+    ends = given.join(scc.select(F.col("sym").alias("src"), "scc"), "src").join(scc.select(F.col("sym").alias("dst"), F.col("scc").alias("of_dst")), "dst").where("scc = of_dst")
+    doubtful = F.col("tag").isin(*(t for t, sure in joins.items() if sure == "low"))
+    closed = ends.groupBy("scc").agg(F.bool_or(doubtful).alias("low"), F.countDistinct("src", "dst", "line", "tag").alias("deliveries"))
+    return scc.join(closed, "scc").select(F.col("scc").alias("cycle"), "sym", F.when(F.col("low"), "low").otherwise("high").alias("confidence"), "deliveries")
+
 
+def amplified(events: DataFrame, effects: DataFrame, edges: DataFrame, max_depth: int | None = 6, top: int = 3) -> DataFrame:
+    """Looped call sites from which effects are reached: the nearest few of each site, with a confidence by depth.
+
+    The nearest are walked back from the effects, kind by kind. The few are kept by rank within a site's kinds.
+    """
+    kinds = effects.select(F.struct("provider", "operation").alias("seed"), F.col("enclosing").alias("sym")).distinct()
+    near = nearest(edges, kinds, max_depth).select(F.col("sym").alias("enclosing"), "seed.provider", "seed.operation", "depth", "origin")
+    best = events.join(near, "enclosing").groupBy("caller", "file_path", "line", "provider", "operation").agg(F.min(F.struct(F.col("depth"), F.col("origin").alias("sym"))).alias("b"))
     order = W.partitionBy("caller", "file_path", "line").orderBy("b", "provider", "operation")
     best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     level = F.when(F.col("b.depth") <= 1, "high").when(F.col("b.depth") <= 4, "medium").otherwise("low")

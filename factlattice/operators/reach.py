@@ -48,7 +48,7 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = 20, max_no
     return known
 
 
-def reach_from(edges: DataFrame, sources: DataFrame, max_depth: int = 20) -> DataFrame:
+def reach_from(edges: DataFrame, sources: DataFrame, max_depth: int | None = 20) -> DataFrame:
     """(sym, depth) from a set of sources (sym) taken together."""
     return reach(edges, sources.select(F.lit(0).alias("seed"), "sym"), max_depth).select("sym", "depth")
 
@@ -58,14 +58,14 @@ def roots(edges: DataFrame, members: DataFrame) -> DataFrame:
     return members.select("sym").join(edges.select(F.col("dst").alias("sym")), "sym", "left_anti").distinct()
 
 
-def seeds_reach(edges: DataFrame, seeds: DataFrame, targets: DataFrame, max_depth: int = 20) -> DataFrame:
+def seeds_reach(edges: DataFrame, seeds: DataFrame, targets: DataFrame, max_depth: int | None = 20) -> DataFrame:
     """(seed, hit): whether any of a seed's symbols reaches a target."""
     known = reach(edges, seeds, max_depth)
     hit = known.join(targets.select("sym").distinct(), "sym", "left_semi").select("seed").distinct().withColumn("hit", F.lit(True))
     return seeds.select("seed").distinct().join(hit, "seed", "left").select("seed", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, max_depth: int = 20) -> list[str]:
+def shortest_path(edges: DataFrame, start: str, goal: str, max_depth: int | None = 20) -> list[str]:
     """A shortest path by least predecessors, empty if there is none; a start is never its own goal.
 
     Only the path comes to the driver: a symbol for each level back.
@@ -83,7 +83,7 @@ def shortest_path(edges: DataFrame, start: str, goal: str, max_depth: int = 20)
     return path
 
 
-def carried(edges: DataFrame, seeds: DataFrame, max_depth: int = 20) -> DataFrame:
+def carried(edges: DataFrame, seeds: DataFrame, max_depth: int | None = 20) -> DataFrame:
     """(sym, depth, loops, via): least depth, with the loop nesting and handoff tag of the least edge of that depth.
 
     edges: (src, dst, in_loop, tag, line). Inherited: loops adds one at each looped edge, a tag stays once met.
@@ -91,7 +91,7 @@ def carried(edges: DataFrame, seeds: DataFrame, max_depth: int = 20) -> DataFram
     edges = settled(edges)
     known = settled(seeds.select("sym", F.lit(0).alias("depth"), F.lit(0).alias("loops"), F.lit(None).cast("string").alias("via")).distinct())
     frontier = known
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = frontier.join(edges, frontier["sym"] == edges["src"])
         best = step.groupBy("dst").agg(F.min(F.struct(F.col("src"), F.col("line"), (F.col("loops") + F.col("in_loop").cast("int")).alias("loops"), F.coalesce("via", "tag").alias("via"))).alias("b"))
         new = best.join(known.select(F.col("sym").alias("dst")), "dst", "left_anti")
@@ -102,41 +102,98 @@ def carried(edges: DataFrame, seeds: DataFrame, max_depth: int = 20) -> DataFram
     return known
 
 
-def cycles(edges: DataFrame, marked: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(cycle, sym): the strongly connected components that hold a marked edge (src, dst); cycle is their least symbol.
+def nearest(edges: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(seed, sym, depth, origin): for each label (seed) the least number of steps from a node to a source (seed, sym) of
+    it, and the least such source. One row a label and node: what many start points reach isn't listed for each of them."""
+    edges = settled(edges.select("src", "dst").distinct())
+    known = settled(sources.select("seed", "sym", F.lit(0).alias("depth"), F.col("sym").alias("origin")).distinct())
+    frontier = known
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
+        new = frontier.join(edges, frontier["sym"] == edges["dst"]).groupBy("seed", F.col("src").alias("sym")).agg(F.min("origin").alias("origin"))
+        new = new.join(known.select("seed", "sym"), ["seed", "sym"], "left_anti")
+        frontier = settled(new.select("seed", "sym", F.lit(depth).alias("depth"), "origin"))
+        if frontier.isEmpty():
+            break
+        known = known.unionByName(frontier)
+        if depth % LEVELS == 0:
+            known = settled(known)
+    return known
+
+
+def strong(edges: DataFrame) -> DataFrame:
+    """(sym, scc): the nodes on a cycle, with the least symbol of their strongly connected component.
 
-    A marked edge u -> v is on a cycle if v reaches u; its component is what v reaches and what reaches u as well.
+    Rounds of colouring: what has no way in or out goes; each node takes the least symbol that leads to it; a symbol that
+    is its own colour and what leads to it within that colour are a component, and edges between colours are on no
+    cycle. No node's reach is listed, so that the work grows with the edges, not with the pairs of nodes.
     """
-    marks = marked.select("src", "dst").distinct()
-    ahead = reach(edges, marks.select(F.col("dst").alias("seed"), F.col("dst").alias("sym")), max_depth).select("seed", "sym")
-    back = reach(reversed_edges(edges), marks.select(F.col("src").alias("seed"), F.col("src").alias("sym")), max_depth).select("seed", "sym")
-    closed = marks.join(ahead, (F.col("dst") == F.col("seed")) & (F.col("src") == F.col("sym"))).select("src", "dst")
-    members = closed.join(ahead.select(F.col("seed").alias("dst"), "sym"), "dst").join(back.select(F.col("seed").alias("src"), "sym"), ["src", "sym"])
-    return members.groupBy("src", "dst").agg(F.min("sym").alias("cycle")).join(members, ["src", "dst"]).select("cycle", "sym").distinct()
+    left = settled(edges.select("src", "dst").distinct())
+    loops = left.where("src = dst").select(F.col("src").alias("sym"))
+    out = None
+    while True:
+        size = left.count()
+        while size:
+            ins, outs = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
+            left = settled(left.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select("src", "dst"))
+            before, size = size, left.count()
+            if size == before:
+                break
+        if not size:
+            break
+        colour = settled(left.select(F.explode(F.array("src", "dst")).alias("sym")).distinct().select("sym", F.col("sym").alias("colour")))
+        while True:
+            led = left.join(colour, F.col("src") == F.col("sym")).groupBy("dst").agg(F.min("colour").alias("led"))
+            new = colour.join(led, F.col("sym") == F.col("dst"), "left").select("sym", F.least("colour", "led").alias("new"), "colour")
+            new = settled(new)
+            colour = new.select("sym", F.col("new").alias("colour"))
+            if new.where("new <> colour").isEmpty():
+                break
+        ends = left.join(colour.select(F.col("sym").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("sym").alias("dst"), F.col("colour").alias("b")), "dst")
+        same = settled(ends.where("a = b").select("src", "dst"))
+        found = reach(reversed_edges(same), colour.where("sym = colour").select(F.col("sym").alias("seed"), "sym"), None).select("sym", F.col("seed").alias("scc"))
+        out = found if out is None else out.unionByName(found)
+        gone = found.select("sym")
+        left = settled(same.join(gone.select(F.col("sym").alias("src")), "src", "left_anti").join(gone.select(F.col("sym").alias("dst")), "dst", "left_anti"))
+    if out is None:
+        return left.select(F.col("src").alias("sym"), F.col("dst").alias("scc"))
+    many = out.groupBy("scc").agg(F.count(F.lit(1)).alias("n"))
+    # One node by itself is on a cycle only if it calls itself.
+    kept = out.join(many, "scc").join(loops.withColumn("itself", F.lit(True)), "sym", "left").where("n > 1 or itself")
+    return settled(kept.select("sym", "scc"))
+
+
+def cycles(edges: DataFrame, marked: DataFrame) -> DataFrame:
+    """(cycle, sym): the strongly connected components that hold a marked edge (src, dst); cycle is their least symbol."""
+    scc = strong(edges)
+    closed = marked.select("src", "dst").distinct().join(scc.select(F.col("sym").alias("src"), "scc"), "src").join(scc.select(F.col("sym").alias("dst"), F.col("scc").alias("of_dst")), "dst")
+    held = closed.where("scc = of_dst").select("scc").distinct()
+    return scc.join(held, "scc", "left_semi").select(F.col("scc").alias("cycle"), "sym")
 
 
 def longest_chain(anchors: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(sym, degree): weight of a node plus the most that a successor has; -1 for what is on, or leads into, a cycle.
+    """(sym, degree, next): weight of a node plus the most that a successor has, and the least such successor, so that a
+    chain can be followed; -1 and no next for what is on, or leads into, a cycle.
 
     anchors: (sym, weight). edges: between anchors. What is on no cycle is a finite chain, so values settle; more rounds
     than the given number raise, and nothing partial is returned.
     """
-    value = settled(anchors.select("sym", F.col("weight").cast("long").alias("degree")))
     edges = settled(edges.select("src", "dst").distinct())
-    looped = cycles(edges, edges)
-    endless = reach(reversed_edges(edges), looped.select(F.lit(0).alias("seed"), "sym"), None).select("sym").distinct()
-    endless = settled(endless)
+    looped = strong(edges).select("sym")
+    endless = settled(reach(reversed_edges(edges), looped.select(F.lit(0).alias("seed"), "sym"), None).select("sym").distinct())
     free = settled(edges.join(endless.select(F.col("sym").alias("src")), "src", "left_anti"))
+    value = settled(anchors.select("sym", F.col("weight").cast("long").alias("degree"), F.lit(None).cast("string").alias("next")))
     for _ in count() if rounds is None else range(rounds):
-        best = free.join(value.select(F.col("sym").alias("dst"), "degree"), "dst").groupBy("src").agg(F.max("degree").alias("next"))
-        after = settled(anchors.join(best, F.col("sym") == F.col("src"), "left").select("sym", (F.col("weight") + F.coalesce("next", F.lit(0))).cast("long").alias("degree")))
+        best = free.join(value.select(F.col("sym").alias("dst"), "degree"), "dst").groupBy("src").agg(F.min(F.struct((-F.col("degree")).alias("less"), F.col("dst"))).alias("b"))
+        after = anchors.join(best, F.col("sym") == F.col("src"), "left").select("sym", (F.col("weight") - F.coalesce("b.less", F.lit(0))).cast("long").alias("degree"), F.col("b.dst").alias("next"))
+        after = settled(after)
         same = after.exceptAll(value).isEmpty()
         value = after
         if same:
             break
     else:
         raise BudgetExceeded(f"degrees did not settle in {rounds} rounds")
-    return value.join(endless.withColumn("endless", F.lit(True)), "sym", "left").select("sym", F.when(F.col("endless"), F.lit(-1).cast("long")).otherwise(F.col("degree")).alias("degree"))
+    ends = endless.withColumn("endless", F.lit(True))
+    return value.join(ends, "sym", "left").select("sym", F.when(F.col("endless"), F.lit(-1).cast("long")).otherwise(F.col("degree")).alias("degree"), F.when(F.col("endless").isNull(), F.col("next")).alias("next"))
 
 
 def call_tree(edges: DataFrame, root: str, max_depth: int = 50, max_nodes: int = 50_000) -> list[tuple[int, int, str, int, str]]:
@@ -166,7 +223,7 @@ def call_tree(edges: DataFrame, root: str, max_depth: int = 50, max_nodes: int =
     return out
 
 
-def one_hop(calls: DataFrame, dispatch: DataFrame, seeds: DataFrame, max_depth: int = 20) -> DataFrame:
+def one_hop(calls: DataFrame, dispatch: DataFrame, seeds: DataFrame, max_depth: int | None = 20) -> DataFrame:
     """(sym, dispatched, depth): what sources (sym) reach if a member that dispatch has chosen isn't dispatched again.
 
     How a member was reached is part of what is known: one that is both called and dispatched to has two rows.
@@ -175,7 +232,7 @@ def one_hop(calls: DataFrame, dispatch: DataFrame, seeds: DataFrame, max_depth:
     steps = settled(steps.unionByName(dispatch.select("src", "dst", F.lit(True).alias("to"), F.lit(False).alias("only"))).distinct())
     known = settled(seeds.select("sym", F.lit(False).alias("dispatched"), F.lit(0).alias("depth")).distinct())
     frontier = known
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         new = frontier.join(steps, (frontier["sym"] == steps["src"]) & (F.col("only").isNull() | ~F.col("dispatched")))
         new = new.select(F.col("dst").alias("sym"), F.col("to").alias("dispatched")).distinct()
         frontier = settled(new.join(known.select("sym", "dispatched"), ["sym", "dispatched"], "left_anti").withColumn("depth", F.lit(depth)))

@@ -39,8 +39,9 @@ def modal(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def search(methods: DataFrame, text: str, limit: int = 50) -> DataFrame:
-    """Symbols that hold a text, without regard to case and with no wildcards; lambdas aside. A top-k report."""
-    rows = methods.where(F.contains(F.lower("symbol_id"), F.lit(text.lower())) & ~F.contains("symbol_id", F.lit("~λ")))
+    """Symbols that hold a text in their id or name, without regard to case and with no wildcards; lambdas aside. A top-k report."""
+    held = F.contains(F.lower("symbol_id"), F.lit(text.lower())) | F.contains(F.lower("name"), F.lit(text.lower()))
+    rows = methods.where(held & ~F.contains("symbol_id", F.lit("~λ")))
     rank = F.when(F.lower("name") == text.lower(), 0).when(F.startswith(F.lower("name"), F.lit(text.lower())), 1).otherwise(2)
     return rows.select("symbol_id", "name", rank.alias("rank")).distinct().orderBy("rank", F.length("symbol_id"), "symbol_id").limit(limit)
 
@@ -168,9 +169,10 @@ def ranked(rows: DataFrame, group: list[str], order: list, top: int) -> DataFram
 
 
 def digests(methods: DataFrame) -> DataFrame:
-    """An order-independent digest of each assembly's symbols."""
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", "symbol_id", "body_hash")), 1, 7), 16, 10).cast("long")
-    return methods.groupBy("defining_assembly").agg(F.bit_xor(h).alias("x"), F.sum(h).alias("s"), F.count(F.lit(1)).alias("n"))
+    """An order-independent digest of each assembly's symbols: four xors of 60 bits each, a sum of 28 bits, and their number."""
+    hash_ = F.sha2(F.concat_ws("|", "symbol_id", "body_hash"), 256)
+    bits = lambda at, n: F.conv(F.substring(hash_, at, n), 16, 10).cast("long")
+    return methods.groupBy("defining_assembly").agg(*(F.bit_xor(bits(15 * k + 1, 15)).alias(f"x{k}") for k in range(4)), F.sum(bits(58, 7)).alias("s"), F.count(F.lit(1)).alias("n"))
 
 
 def findings(observed: DataFrame, races: DataFrame, dual: DataFrame, waits: DataFrame, captures: DataFrame) -> DataFrame:
@@ -192,7 +194,9 @@ def classified(files: DataFrame, excluded: list[str]) -> DataFrame:
     for p in excluded:
         out = out | F.col("file_path").rlike(docid.glob(p))
     status = F.when(F.col("file_path").rlike(r"\.g\.cs$"), "generated").when(F.contains("file_path", F.lit("/tests/")), "test").when(out, "excluded").otherwise("included")
-    return files.select("file_path").distinct().select("file_path", status.alias("status"))
+    own = F.when(F.col("status") == "generated", "name ends in .g.cs").when(F.col("status") == "test", "lies in a tests folder")
+    named = F.coalesce(*(F.when(F.col("file_path").rlike(docid.glob(p)), F.lit(f"matches {p}")) for p in excluded), F.lit(None).cast("string"))
+    return files.select("file_path").distinct().select("file_path", status.alias("status")).withColumn("reason", F.when(F.col("status") == "excluded", named).otherwise(own))
 
 
 def listing(registrations: DataFrame) -> DataFrame:

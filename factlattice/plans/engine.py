@@ -38,11 +38,11 @@ class Engine:
 
     @cached_property
     def ancestors(self) -> DataFrame:
-        return graph.closure(self.facts.type_relations)
+        return self.facts.kept("ancestors", lambda: graph.closure(self.facts.type_relations))
 
     @cached_property
     def dispatch(self) -> DataFrame:
-        return graph.dispatch_targets(self.facts.methods, self.facts.dispatch, self.ancestors)
+        return self.facts.kept("targets", lambda: graph.dispatch_targets(self.facts.methods, graph.mined_dispatch(self.facts.dispatch), self.ancestors))
 
     def graph(self) -> dict[str, DataFrame]:
         """The derived tables of a store."""
@@ -76,10 +76,21 @@ class Engine:
             return known.join(self.entrypoints().select(F.col("symbol_id").alias("sym")), "sym", "left_semi")
         return known
 
-    def confirmed(self, pattern: str, max_depth: int = 20) -> DataFrame:
-        """(seed, hit): callers found backwards, and whether the one-hop rule lets them get there forwards."""
-        back = self.callers(pattern, max_depth, "roots").select(F.col("sym").alias("seed"), "sym")
-        return reach.seeds_reach(self.calls.select("src", "dst"), back, self.seeds(pattern), max_depth)
+    def confirmed(self, pattern: str, max_depth: int | None = 20) -> DataFrame:
+        """(seed, hit): roots found backwards, and whether the one-hop rule lets them get there forwards.
+
+        Walked back from the goals in the same rule: a node is known as one that may still dispatch, or as one that
+        dispatch chose, which may not. What a goal is reached by in either form counts.
+        """
+        back = self.callers(pattern, max_depth, "roots").select(F.col("sym").alias("seed"))
+        step = lambda df, a, b: df.select(F.concat(F.lit(a), "src").alias("src"), F.concat(F.lit(b), "dst").alias("dst"))
+        chosen = self.dispatch.select(F.col("hub").alias("src"), "dst")
+        # "c:" stands for a called member, "d:" for one that dispatch chose.
+        calls = self.calls.select("src", "dst").distinct()
+        steps = step(calls, "c:", "c:").union(step(calls, "d:", "c:")).union(step(chosen, "c:", "d:"))
+        goals = self.seeds(pattern).select(F.explode(F.array(F.concat(F.lit("c:"), "sym"), F.concat(F.lit("d:"), "sym"))).alias("sym"))
+        met = reach.reach_from(reach.reversed_edges(steps), goals, max_depth).where("sym like 'c:%'").select(F.expr("substring(sym, 3)").alias("seed")).withColumn("hit", F.lit(True))
+        return back.join(met, "seed", "left").select("seed", F.coalesce("hit", F.lit(False)).alias("hit"))
 
     def path(self, start: str, goal: str, max_depth: int = 20) -> list[str]:
         return reach.shortest_path(self.hops, self._one(start), self._one(goal), max_depth)
@@ -96,26 +107,47 @@ class Engine:
     # Derivations
 
     def effects(self, only: list[str] = (), exclude: list[str] = ()) -> DataFrame:
-        return fx.selected(fx.by_invocation(self.facts.refs, rulebook.effect_rules(self.spark, self.rules)), only, exclude)[0]
+        return fx.selected(fx.by_rule(self.facts.refs, rulebook.effect_rules(self.spark, self.rules), self.ancestors), only, exclude)[0]
 
     def entrypoints(self, kind: str | None = None) -> DataFrame:
         attributes = self.facts.refs.where("ref_kind = 'ctor' and enclosing is not null").select("enclosing", "target", "file_path", "line")
         rows = hazards.activated(hazards.entry_points(self.facts.methods, attributes, self.ancestors, self.rules["entryPoints"]), self.rules["deployments"])
         return rows.where(F.col("kind") == kind) if kind else rows
 
+    def graph_findings(self) -> DataFrame:
+        """Findings along the whole call graph: event cycles, writes without the companion of their key, amplified loops.
+
+        Deliveries are edges here whatever the mode cuts, and no depth bounds a cycle.
+        """
+        rows = lambda df, type_, sure, context, detail, line, provider: df.select(
+            F.lit(type_).alias("type"), sure.alias("confidence"), "enclosing", context.cast("string").alias("context"), detail.cast("string").alias("detail"), line.cast("long").alias("line"), provider.cast("string").alias("provider"))
+        none = F.lit(None)
+        marked = graph.handoffs(graph.call_edges(self.facts.refs), rulebook.handoff_rules(self.spark, self.rules))
+        cycles = hazards.event_cycles(marked, {r["tag"]: r["delivery"] for r in self.rules["handoffs"]}).withColumnRenamed("sym", "enclosing")
+        out = rows(cycles, "event_cycle", F.col("confidence"), F.col("cycle"), F.col("deliveries"), none, none)
+        edges, effects = self.hops, self.effects()
+        keyed = effects.select(F.col("enclosing").alias("sym"), docid.resource_key(F.col("resource"), self.rules["suffixes"]).alias("key"), "operation")
+        for rule in self.rules.get("cacheCoherence", []):
+            wrote, cleared = (keyed.where(F.col("operation").isin(*rule[side])).select("sym", "key") for side in ("writes", "companions"))
+            lost = hazards.missing_companions(wrote, cleared, edges, rule["depth"]).withColumnRenamed("sym", "enclosing")
+            out = out.unionByName(rows(lost, "cache_coherence", F.lit("medium"), F.col("key"), F.lit(",".join(rule["companions"])), none, none))
+        events = fx.iteration_fanout(self.facts.refs, self.rules).select("caller", "file_path", "line", "enclosing").distinct()
+        loops = hazards.amplified(events, reports.in_scope(effects, self.rules["amplification"]["scope"]), edges).withColumnRenamed("caller", "enclosing")
+        return out.unionByName(rows(loops, "cross_method_amplification", F.col("confidence"), F.concat("provider", F.lit(":"), "operation"), F.concat("file_path", F.lit(":"), "line"), F.col("line"), F.col("provider")))
+
     def derive(self, outside: list[str] = ()) -> DataFrame:
-        """All findings, but for those in the namespaces given."""
+        """All findings, those along the call graph among them, but for those in the namespaces given."""
         effects = self.effects()
         found = reports.findings(
             fx.observations(effects, self.rules), hazards.race_windows(self.facts.field_access), hazards.dual_writes(effects, self.rules["dualWrite"]),
             hazards.sync_over_async(effects, self.facts.methods), hazards.static_captures(self.facts.initialisers, self.facts.fields, self.rules["staticInitCapture"]))
-        return hazards.excluded(found, list(outside))
+        return hazards.excluded(found.unionByName(self.graph_findings()), list(outside))
 
     def hazards(self, pattern: str, max_depth: int = 20) -> DataFrame:
         """Findings in the reach of a pattern."""
         return self.derive().join(self.reaches(pattern, max_depth).select(F.col("sym").alias("enclosing")), "enclosing", "left_semi")
 
-    def dead(self, pattern: str, max_depth: int = 50) -> DataFrame:
+    def dead(self, pattern: str, max_depth: int | None = None) -> DataFrame:
         return hazards.dead_code(self.facts.methods, reach.reach_from(self.hops, self.seeds(pattern), max_depth), self.calls)
 
     # Reports
@@ -128,7 +160,7 @@ class Engine:
     def hotspots(self, axis: str = "effects", top: int = 50) -> DataFrame:
         effects = self.effects()
         seen = fx.observations(effects, self.rules).where(F.col("type").isin("looped_effect", "n_plus_1"))
-        risks = self.derive().where(F.col("type").contains("race")).select("enclosing", "type", F.col("detail").alias("file_path"), "line")
+        risks = hazards.race_windows(self.facts.field_access).select("enclosing", "type", "file_path", F.col("write_line").alias("line"))
         rows = reports.hotspots(graph.call_edges(self.facts.refs), self.facts.methods, effects, risks, reports.in_scope(seen, self.rules["amplification"]["scope"]), self.dispatch_fans())
         return rows.orderBy(F.desc(AXES[axis]), "symbol_id").limit(top)
 
@@ -139,13 +171,13 @@ class Engine:
         found = rows.join(depths, ["enclosing", "detail"]).select(F.col("depth").cast("long").alias("degree"), "provider", "operation", "file_path", "line").distinct()
         return reports.buckets(found, self.rules["amplification"]["categories"], least, top)
 
-    def effects_diff(self, pairs: list[tuple[str, str, str]], max_depth: int = 20) -> DataFrame:
+    def effects_diff(self, pairs: list[tuple[str, str, str]], max_depth: int | None = None) -> DataFrame:
         """pairs: (label, a, b), each a symbol's id."""
         table = self.spark.createDataFrame(pairs, "label string, a string, b string")
         known = reach.reach(self.hops, table.select(F.explode(F.array("a", "b")).alias("seed")).distinct().select("seed", F.col("seed").alias("sym")), max_depth)
         return reports.effect_difference(table, known, self.effects(), self.rules["suffixes"])
 
-    def impact(self, head: Engine, max_depth: int = 20) -> DataFrame:
+    def impact(self, head: Engine, max_depth: int | None = None) -> DataFrame:
         """What the reach of the entry points of both stores gained and lost in head, largest first."""
         def closure(e: Engine) -> DataFrame:
             return reach.reach(e.hops, e.entrypoints().select(F.col("symbol_id").alias("seed"), F.col("symbol_id").alias("sym")), max_depth)

@@ -29,18 +29,27 @@ select type_id, ancestor, min(depth) as depth from (
   select * from c) x group by type_id, ancestor""")
 MINED = ("mined", """
 select src, dst, kind from (
-  with recursive m(src, dst, kind, depth) as (
-    select source_member, target_member, kind, 1 from dispatch where kind in ('impl', 'override')
-    union select m.src, d.target_member, m.kind, m.depth + 1 from m join dispatch d on d.source_member = m.dst and d.kind = m.kind where m.depth < 4)
+  with recursive m(src, dst, kind) as (
+    select source_member, target_member, kind from dispatch where kind in ('impl', 'override')
+    union select m.src, d.target_member, m.kind from m join dispatch d on d.source_member = m.dst and d.kind = m.kind)
   select distinct src, dst, kind from m where src <> dst) x""")
+
+
+def _listed(values) -> str:
+    return "'" + ",".join(values) + "'"
+
+
 EFFECT_RULES = ("effect_rules", " union all ".join(
-    f"select {k} as rule_no, '{r['provider']}' as provider, '{r['operation']}' as operation, '{m}' as method, '{','.join(r.get('receivers', []))}' as receivers, '{','.join(r.get('containing', []))}' as containing, "
-    f"'{r['resource']}' as strategy, {r.get('type_argument_index', 'null')} as t_index, {r.get('argument_index', 'null')} as a_index"
-    for k, r in enumerate(rulebook.DEFAULT["effects"]) for m in r["methods"]))
+    f"select {k} as rule_no, '{r['provider']}' as provider, '{r['operation']}' as operation, '{r.get('on', 'invocation')}' as on_kind, '{m}' as method, {_listed(r.get('receivers', []))} as receivers, "
+    f"{_listed(r.get('declaringTypes', []))} as declaring, {_listed(r.get('declaringTypeBaseTypes', []))} as bases, {_listed(r.get('declaringTypeNameEndsWith', []))} as suffixes, {_listed(r.get('containing', []))} as containing, "
+    f"'{r['resource']}' as strategy, {r.get('type_argument_index', 'null')} as t_index, {r.get('argument_index', 'null')} as a_index, {r.get('minArguments', 'null')} as least"
+    for k, r in enumerate(rulebook.DEFAULT["effects"]) for m in r["methods"] or [""]))
+_WITHIN = "len(list_filter(string_split({}, ','), lambda g: {} = replace(g, 'T:', '') or starts_with({}, concat(replace(g, 'T:', ''), '.')))) > 0"
+_SUFFIX = "(suffixes = '' or len(list_filter(string_split(suffixes, ','), lambda g: ends_with(regexp_extract(declared, '([^.]+)$', 1), g))) > 0)"
 EFFECTS = ("effects", r"""
 select * from (
-  select x.*, row_number() over (partition by enclosing, target, file_path, line, receiver_type, argument, type_arguments, loop_kind, loop_detail, loop_bind_type, scopes, outer_calls, catch_type order by rule_no) as nth from (
-    select r.*, u.rule_no, u.provider, u.operation, case u.strategy
+  select x.*, row_number() over (partition by ref_id order by rule_no) as nth from (
+    select r.*, u.* exclude (provider, operation, rule_no), u.rule_no, u.provider, u.operation, regexp_extract(r.target, '^M:(.*)[.][^.]+[(]', 1) as declared, case u.strategy
       when 'receiver_type' then r.receiver_type when 'argument_type' then r.first_type
       when 'declaring_type' then regexp_extract(r.target, '^M:(.*)[.][^.]+[(]', 1)
       when 'type_argument' then case t_index when 0 then regexp_extract(r.type_arguments, '^(Pair<[^>]*>),(.*)$', 1) when 1 then regexp_extract(r.type_arguments, '^(Pair<[^>]*>),(.*)$', 2) end
@@ -50,10 +59,12 @@ select * from (
       when 'http_argument' then coalesce(regexp_extract(rtrim(r.first_template, '/'), '(?:://|^/)(.*)$', 1), r.receiver_type)
       when 'ef_query_root' then coalesce(r.type_arguments, r.receiver_type)
       when 'ef_context_receiver' then r.receiver_type when 'ef_dbset_receiver' then r.receiver_type when 'ef_database_facade' then r.receiver_type end as resource
-    from refs r join effect_rules u on u.method = r.target_name
-    where r.ref_kind = 'invocation' and r.enclosing is not null and not r.in_expression_tree and (u.receivers = '' or contains(concat(',', u.receivers, ','), concat(',', r.receiver_type, ',')))
+    from refs r join effect_rules u on u.on_kind = r.ref_kind and (u.method = '' or u.method = r.target_name)
+    where r.enclosing is not null and (r.ref_kind <> 'invocation' or not r.in_expression_tree) and (u.least is null or json_array_length(r.argument_names) >= u.least)
       and (u.containing = '' or len(list_filter(string_split(u.containing, ','), lambda g: starts_with(r.enclosing, concat('M:', g, '.')))) > 0)) x
-  where resource is not null) y where nth = 1""")
+  where resource is not null and case when bases <> '' then exists (select 1 from closure c where c.type_id = concat('T:', declared) and contains(concat(',', bases, ','), concat(',', c.ancestor, ','))) and SUFFIX
+    when declaring = '' and receivers = '' then SUFFIX when DECLARING then SUFFIX else RECEIVERS_D or RECEIVERS_R end) y where nth = 1""".replace("SUFFIX", _SUFFIX).replace("DECLARING", "(declaring <> '' and " + _WITHIN.format("declaring", "declared", "declared") + ")")
+           .replace("RECEIVERS_D", _WITHIN.format("receivers", "declared", "declared")).replace("RECEIVERS_R", _WITHIN.format("receivers", "replace(receiver_type, 'T:', '')", "replace(receiver_type, 'T:', '')")))
 
 
 def iterated_sql(rows: str) -> str:
@@ -87,12 +98,12 @@ from calls c join (select hub, count(distinct dst) as fan from targets group by
 left join (select hub, receiver, count(distinct dst) as n from narrowed group by 1, 2) x on x.hub = c.dst and x.receiver = c.receiver_type where c.kind <> 'handoff' and (x.n is null or x.n = f.fan) group by c.dst, f.fan""")
 
 
-def closure_sql(name: str, seeds: str, depth: int, edges: str = "edges") -> tuple[str, str]:
-    """A table (seed, sym, depth) of least depths."""
+def closure_sql(name: str, seeds: str, edges: str = "edges", depth: int | None = None) -> tuple[str, str]:
+    """A table (seed, sym, depth) of least depths; all levels there are, or those of a bound that the question names."""
     return name, f"""
-select seed, sym, min(depth) as depth from (
-  with recursive w(seed, sym, depth) as ({seeds} union select w.seed, e.dst, w.depth + 1 from w join (select distinct src, dst from {edges}) e on e.src = w.sym where w.depth < {depth})
-  select * from w) x group by seed, sym"""
+with recursive w(seed, sym, depth) using key (seed, sym) as ({seeds} union (
+  select w.seed, e.dst, min(w.depth) + 1 from w join (select distinct src, dst from {edges}) e on e.src = w.sym left join recurring.w k on k.seed = w.seed and k.sym = e.dst
+  where k.sym is null{f" and w.depth < {depth}" if depth is not None else ""} group by w.seed, e.dst)) select seed, sym, depth from w"""
 
 
 def whole(df: DataFrame) -> DataFrame:
@@ -109,7 +120,8 @@ def query(name: str, sql: str | None = None, *more: tuple[str, str]):
 
         QUERIES[name] = run
         if sql:
-            SQL[name] = source.with_facts(sql, *more)
+            # Effects look types up: their closure comes first.
+            SQL[name] = source.with_facts(sql, *((CLOSURE, *(m for m in more if m is not CLOSURE)) if EFFECTS in more else more))
         return f
 
     return register
@@ -123,11 +135,28 @@ def seeds(f: source.Facts) -> DataFrame:
 
 
 def edges_of(f: source.Facts) -> DataFrame:
-    return graph.call_edges(f.refs)
+    return f.kept("edges", lambda: graph.call_edges(f.refs))
+
+
+def pairs_of(f: source.Facts) -> DataFrame:
+    """Who calls whom, once each: what traversals walk."""
+    return f.kept("pairs", lambda: edges_of(f).select("src", "dst").distinct())
+
+
+def ancestors_of(f: source.Facts) -> DataFrame:
+    return f.kept("ancestors", lambda: graph.closure(f.type_relations))
+
+
+def mined_of(f: source.Facts) -> DataFrame:
+    return f.kept("mined", lambda: graph.mined_dispatch(f.dispatch))
 
 
 def effects_of(f: source.Facts) -> DataFrame:
-    return fx.by_invocation(f.refs, rulebook.effect_rules(f.refs.sparkSession))
+    return f.kept("effects", lambda: fx.by_rule(f.refs, rulebook.effect_rules(f.refs.sparkSession), ancestors_of(f)))
+
+
+def observed_of(f: source.Facts) -> DataFrame:
+    return f.kept("observed", lambda: fx.observations(effects_of(f)))
 
 
 def calls_of(f: source.Facts) -> DataFrame:
@@ -138,14 +167,13 @@ def calls_of(f: source.Facts) -> DataFrame:
     return edges_of(f).join(own, "dst").join(caller, "src").withColumn("receiver_type", receiver).drop("own", "of_caller")
 
 
-def targets_of(f: source.Facts, ancestors: DataFrame) -> DataFrame:
-    return graph.dispatch_targets(f.methods, f.dispatch, ancestors)
+def targets_of(f: source.Facts) -> DataFrame:
+    return f.kept("targets", lambda: graph.dispatch_targets(f.methods, mined_of(f), ancestors_of(f)))
 
 
 def fans_of(f: source.Facts) -> DataFrame:
-    ancestors = graph.closure(f.type_relations)
-    calls, targets = calls_of(f), targets_of(f, ancestors)
-    return reports.dispatch_fans(calls, targets, graph.narrowed_calls(calls, targets, ancestors), f.methods.select(F.col("containing_symbol_id").alias("type_id")))
+    calls, targets = calls_of(f), targets_of(f)
+    return reports.dispatch_fans(calls, targets, graph.narrowed_calls(calls, targets, ancestors_of(f)), f.methods.select(F.col("containing_symbol_id").alias("type_id")))
 
 
 # Scans, projections, filters, search
@@ -174,10 +202,10 @@ def _(f):
 
 
 @query("search_symbols", """
-select symbol_id, name, cast(case when lower(name) = 'p1' then 0 when starts_with(lower(name), 'p1') then 1 else 2 end as bigint) as rank from methods
-where contains(lower(symbol_id), 'p1') order by 3, length(symbol_id), symbol_id limit 50""")
+select symbol_id, name, cast(case when lower(name) = 'do12' then 0 when starts_with(lower(name), 'do12') then 1 else 2 end as bigint) as rank from methods
+where contains(lower(symbol_id), 'do12') or contains(lower(name), 'do12') order by 3, length(symbol_id), symbol_id limit 50""")
 def _(f):
-    return reports.search(f.methods, "P1")
+    return reports.search(f.methods, "Do12")
 
 
 @query("find_references", "select distinct target, ref_kind, file_path, cast(line as bigint) as line from refs where target in (select symbol_id from methods where contains(lower(symbol_id), 'n1.t')) and target_in_source and ref_kind = 'read'")
@@ -197,13 +225,13 @@ def _(f):
     return f.runs.orderBy(F.desc("created_at"), "store_id").select("store_id", "run_id", "n_files")
 
 
-@query("skipped_files", "select distinct file_path, case when regexp_matches(file_path, '[.]g[.]cs$') then 'generated' when regexp_matches(file_path, '^src/N3/[^/]*$') then 'excluded' else 'included' end as status from methods")
+@query("skipped_files", "select distinct file_path, case when regexp_matches(file_path, '[.]g[.]cs$') then 'generated' when regexp_matches(file_path, '^src/N3/[^/]*$') then 'excluded' else 'included' end as status, case when regexp_matches(file_path, '[.]g[.]cs$') then 'name ends in .g.cs' when regexp_matches(file_path, '^src/N3/[^/]*$') then 'matches src/N3/*' end as reason from methods")
 def _(f):
     return reports.classified(f.methods, ["src/N3/*"])
 
 
-@query("assembly_digest", """
-select defining_assembly, cast(bit_xor(h) as bigint) as x, cast(sum(h) as bigint) as s, count(*) as n from (select defining_assembly, cast(concat('0x', substr(md5(concat(symbol_id, '|', body_hash)), 1, 7)) as bigint) as h from methods) m group by defining_assembly""")
+@query("assembly_digest", "select defining_assembly, " + ", ".join(f"cast(bit_xor(cast(concat('0x', substr(h, {15 * k + 1}, 15)) as bigint)) as bigint) as x{k}" for k in range(4)) + """,
+cast(sum(cast(concat('0x', substr(h, 58, 7)) as bigint)) as bigint) as s, count(*) as n from (select defining_assembly, sha256(concat(symbol_id, '|', body_hash)) as h from methods) m group by defining_assembly""")
 def _(f):
     return reports.digests(f.methods)
 
@@ -252,74 +280,74 @@ def _(f):
 # Closures
 
 
-@query("reach_forward_depth", "select sym, cast(min(depth) as bigint) as depth from w group by sym", EDGES, closure_sql("w", SEEDS, 6))
+@query("reach_forward_depth", "select sym, cast(min(depth) as bigint) as depth from w group by sym", EDGES, closure_sql("w", SEEDS))
 def _(f):
-    return reach.reach_from(edges_of(f), seeds(f).select("sym"), 6)
+    return reach.reach_from(pairs_of(f), seeds(f).select("sym"), None)
 
 
-@query("reach_reverse_depth", "select sym, cast(min(depth) as bigint) as depth from w group by sym", EDGES, ("back", "select dst as src, src as dst from edges"), closure_sql("w", SEEDS, 6, "back"))
+@query("reach_reverse_depth", "select sym, cast(min(depth) as bigint) as depth from w group by sym", EDGES, ("back", "select dst as src, src as dst from edges"), closure_sql("w", SEEDS, "back"))
 def _(f):
-    return reach.reach_from(reach.reversed_edges(edges_of(f)), seeds(f).select("sym"), 6)
+    return reach.reach_from(reach.reversed_edges(pairs_of(f)), seeds(f).select("sym"), None)
 
 
-@query("multi_seed_reach", "select seed, sym, cast(depth as bigint) as depth from w", EDGES, closure_sql("w", SEEDS, 4))
+@query("multi_seed_reach", "select seed, sym, cast(depth as bigint) as depth from w", EDGES, closure_sql("w", SEEDS))
 def _(f):
-    return reach.reach(edges_of(f), seeds(f), 4)
+    return reach.reach(pairs_of(f), seeds(f), None)
 
 
-@query("entry_roots", "select distinct sym from w where not exists (select 1 from edges e where e.dst = w.sym)", EDGES, ("back", "select dst as src, src as dst from edges"), closure_sql("w", SEEDS, 5, "back"))
+@query("entry_roots", "select distinct sym from w where not exists (select 1 from edges e where e.dst = w.sym)", EDGES, ("back", "select dst as src, src as dst from edges"), closure_sql("w", SEEDS, "back"))
 def _(f):
-    edges = edges_of(f)
-    return reach.roots(edges, reach.reach_from(reach.reversed_edges(edges), seeds(f).select("sym"), 5))
+    edges = pairs_of(f)
+    return reach.roots(edges, reach.reach_from(reach.reversed_edges(edges), seeds(f).select("sym"), None))
 
 
-@query("seeds_reach_target", "select seed, bool_or(sym in (select symbol_id from methods where part_key % 10 = 9)) as hit from w group by seed", EDGES, closure_sql("w", SEEDS, 4))
+@query("seeds_reach_target", "select seed, bool_or(sym in (select symbol_id from methods where part_key % 10 = 9)) as hit from w group by seed", EDGES, closure_sql("w", SEEDS))
 def _(f):
-    return reach.seeds_reach(edges_of(f), seeds(f), f.methods.where("part_key % 10 = 9").select(F.col("symbol_id").alias("sym")), 4)
+    return reach.seeds_reach(pairs_of(f), seeds(f), f.methods.where("part_key % 10 = 9").select(F.col("symbol_id").alias("sym")), None)
 
 
-@query("reach_set_sync", "select distinct sym from w", EDGES, ("sync", "select src, dst from edges where kind <> 'methodGroup'"), closure_sql("w", SEEDS, 6, "sync"))
+@query("reach_set_sync", "select distinct sym from w", EDGES, ("sync", "select src, dst from edges where kind <> 'methodGroup'"), closure_sql("w", SEEDS, "sync"))
 def _(f):
     marked = edges_of(f).select("src", "dst", F.when(F.col("kind") == "methodGroup", "handoff").otherwise(F.col("kind")).alias("kind"))
-    return reach.reach_from(graph.cut_handoffs(marked, "SyncCut"), seeds(f).select("sym"), 6).select("sym").distinct()
+    return reach.reach_from(graph.cut_handoffs(marked, "SyncCut"), seeds(f).select("sym"), None).select("sym").distinct()
 
 
 @query("reach_with_tags")
 def _(f):
     tagged = edges_of(f).select("src", "dst", F.col("loop_kind").isNotNull().alias("in_loop"), F.when(F.col("kind") == "methodGroup", F.col("delegate_consumer")).alias("tag"), "line")
-    return reach.carried(tagged, seeds(f).select("sym"), 5)
+    return reach.carried(tagged, seeds(f).select("sym"), None)
 
 
-@query("shortest_path_length", "select cast(min(depth) as bigint) as length from w where sym in (select max(sym) from w)", EDGES, closure_sql("w", "select symbol_id as seed, symbol_id as sym, 0 as depth from methods where part_key = 1", 5))
+@query("shortest_path_length", "select cast(min(depth) as bigint) as length from w where sym in (select max(sym) from w)", EDGES, closure_sql("w", "select symbol_id as seed, symbol_id as sym, 0 as depth from methods where part_key = 1"))
 def _(f):
     spark = f.refs.sparkSession
-    edges = edges_of(f)
+    edges = pairs_of(f)
     start = f.methods.where("part_key = 1").first()["symbol_id"]
-    known = reach.reach_from(edges, spark.createDataFrame([(start,)], "sym string"), 5)
+    known = reach.reach_from(edges, spark.createDataFrame([(start,)], "sym string"), None)
     goal = known.agg(F.max("sym")).first()[0]
-    return spark.createDataFrame([(max(0, len(reach.shortest_path(edges, start, goal, 5)) - 1),)], "length long")
+    return spark.createDataFrame([(max(0, len(reach.shortest_path(edges, start, goal, None)) - 1),)], "length long")
 
 
 @query("call_tree")
 def _(f):
     root = f.methods.where("part_key = 1").first()["symbol_id"]
-    return f.refs.sparkSession.createDataFrame(reach.call_tree(edges_of(f), root, 5), "node long, parent long, sym string, depth long, truncated string")
+    return f.refs.sparkSession.createDataFrame(reach.call_tree(edges_of(f), root), "node long, parent long, sym string, depth long, truncated string")
 
 
 @query("type_closure", "select type_id, ancestor, cast(depth as bigint) as depth from closure", CLOSURE)
 def _(f):
-    return graph.closure(f.type_relations)
+    return ancestors_of(f)
 
 
 @query("type_closure_strict", "select type_id, ancestor, cast(depth as bigint) as depth from closure where depth > 0", CLOSURE)
 def _(f):
-    return graph.closure(f.type_relations, strict=True)
+    return ancestors_of(f).where("depth > 0")
 
 
-@query("project_closure", "select sym, cast(min(depth) as bigint) as depth from w group by sym", ("uses", "select distinct m.defining_assembly as src, r.target_assembly as dst from refs r join methods m on m.symbol_id = r.enclosing where m.defining_assembly < r.target_assembly"), closure_sql("w", "select 'Asm0' as seed, 'Asm0' as sym, 0 as depth", 5, "uses"))
+@query("project_closure", "select sym, cast(min(depth) as bigint) as depth from w group by sym", ("uses", "select distinct m.defining_assembly as src, r.target_assembly as dst from refs r join methods m on m.symbol_id = r.enclosing where m.defining_assembly < r.target_assembly"), closure_sql("w", "select 'Asm0' as seed, 'Asm0' as sym, 0 as depth", "uses"))
 def _(f):
     used = reports.usage_edges(f.refs, f.methods).where("from_assembly < to_assembly").select(F.col("from_assembly").alias("src"), F.col("to_assembly").alias("dst"))
-    return reach.reach_from(used, f.refs.sparkSession.createDataFrame([("Asm0",)], "sym string"), 5)
+    return reach.reach_from(used, f.refs.sparkSession.createDataFrame([("Asm0",)], "sym string"), None)
 
 
 # Shaping
@@ -336,9 +364,9 @@ def _(f):
     return graph.handoffs(edges_of(f), rulebook.handoff_rules(f.refs.sparkSession).select("consumer", "tag"))
 
 
-@query("event_handoffs", "select e.src, e.dst, case when e.kind = 'methodGroup' and s.src is not null then 'handoff' else e.kind end as kind, cast(e.line as bigint) as line from edges e left join (select distinct enclosing as src, line from refs where ref_kind = 'read') s on s.src = e.src and s.line = e.line", EDGES)
+@query("event_handoffs", "select e.src, e.dst, case when e.kind = 'methodGroup' and s.src is not null then 'handoff' else e.kind end as kind, cast(e.line as bigint) as line from edges e left join (select distinct enclosing as src, file_path, line from refs where ref_kind = 'read') s on s.src = e.src and s.file_path = e.file_path and s.line = e.line", EDGES)
 def _(f):
-    reads = f.refs.where("ref_kind = 'read' and enclosing is not null").select(F.col("enclosing").alias("src"), "line")
+    reads = f.refs.where("ref_kind = 'read' and enclosing is not null").select(F.col("enclosing").alias("src"), "file_path", "line")
     return graph.event_marks(edges_of(f), reads)
 
 
@@ -377,9 +405,9 @@ def _(f):
     return graph.factories(edges_of(f).select("src", "dst", F.col("receiver_type").alias("type_argument")), made)
 
 
-@query("instantiations", "select distinct i.target as method, i.receiver_type as binding from refs i join (select target from (select distinct target, receiver_type from refs) x group by target having count(*) <= 4) f on f.target = i.target")
+@query("instantiations", "select distinct i.target as method, i.receiver_type as binding from refs i join (select target from (select distinct target, receiver_type from refs) x group by target having count(*) <= 50) f on f.target = i.target")
 def _(f):
-    return graph.instantiations(f.refs.select(F.col("target").alias("method"), F.regexp_replace("receiver_type", "^T:", "").alias("binding")), 4).select("method", F.concat(F.lit("T:"), "binding").alias("binding"))
+    return graph.instantiations(f.refs.select(F.col("target").alias("method"), F.regexp_replace("receiver_type", "^T:", "").alias("binding")), 50).select("method", F.concat(F.lit("T:"), "binding").alias("binding"))
 
 
 @query("monomorphized_edges", """
@@ -404,7 +432,7 @@ def _(f):
 
 @query("dispatch_edges_mined", "select src, dst, kind from mined", MINED)
 def _(f):
-    return graph.mined_dispatch(f.dispatch)
+    return mined_of(f)
 
 
 CHA = """select distinct a.symbol_id as src, b.symbol_id as dst from methods b join closure c on c.type_id = b.containing_symbol_id and c.depth > 0
@@ -413,13 +441,12 @@ join methods a on a.containing_symbol_id = c.ancestor and a.name = b.name where
 
 @query("dispatch_edges_cha", CHA, CLOSURE, MINED)
 def _(f):
-    return graph.cha_dispatch(f.methods, graph.closure(f.type_relations), graph.mined_dispatch(f.dispatch))
+    return graph.cha_dispatch(f.methods, ancestors_of(f), mined_of(f))
 
 
 @query("dispatch_narrowed", "select hub, receiver, dst from narrowed", EDGES, CLOSURE, MINED, CALLS, TARGETS, NARROWED)
 def _(f):
-    ancestors = graph.closure(f.type_relations)
-    return graph.narrowed_calls(calls_of(f), targets_of(f, ancestors), ancestors)
+    return graph.narrowed_calls(calls_of(f), targets_of(f), ancestors_of(f))
 
 
 @query("dispatch_fans", "select * from fans", EDGES, CLOSURE, MINED, CALLS, TARGETS, NARROWED, FANS)
@@ -428,19 +455,20 @@ def _(f):
 
 
 @query("reach_one_hop", """
-select sym, dispatched, cast(min(depth) as bigint) as depth from (
-  with recursive w(sym, dispatched, depth) as (
+select sym, dispatched, cast(depth as bigint) as depth from (
+  with recursive w(sym, dispatched, depth) using key (sym, dispatched) as (
     select symbol_id, false, 0 from methods where part_key <= 6
-    union select s.dst, s.d, w.depth + 1 from w join (select distinct src, dst, false as d from edges union select distinct src, dst, true from mined) s on s.src = w.sym and not (s.d and w.dispatched) where w.depth < 4)
-  select * from w) x group by sym, dispatched""", EDGES, MINED)
+    union (select s.dst, s.d, min(w.depth) + 1 from w join (select distinct src, dst, false as d from edges union select distinct src, dst, true from mined) s on s.src = w.sym and not (s.d and w.dispatched)
+      left join recurring.w k on k.sym = s.dst and k.dispatched = s.d where k.sym is null group by s.dst, s.d))
+  select * from w) x""", EDGES, MINED)
 def _(f):
-    return reach.one_hop(edges_of(f), graph.mined_dispatch(f.dispatch), seeds(f), 4)
+    return reach.one_hop(pairs_of(f), mined_of(f), seeds(f), None)
 
 
-@query("reach_all_hops", "select sym, cast(min(depth) as bigint) as depth from w group by sym", EDGES, MINED, ("hops", "select src, dst from edges union select src, dst from mined"), closure_sql("w", SEEDS, 4, "hops"))
+@query("reach_all_hops", "select sym, cast(min(depth) as bigint) as depth from w group by sym", EDGES, MINED, ("hops", "select src, dst from edges union select src, dst from mined"), closure_sql("w", SEEDS, "hops"))
 def _(f):
-    hops = edges_of(f).select("src", "dst").union(graph.mined_dispatch(f.dispatch).select("src", "dst"))
-    return reach.reach_from(hops, seeds(f).select("sym"), 4)
+    hops = pairs_of(f).union(mined_of(f).select("src", "dst"))
+    return reach.reach_from(hops, seeds(f).select("sym"), None)
 
 
 @query("folded_edges", "select src, dst, kind, receiver_type, count(*) as sites, cast(min(line) as bigint) as line from edges group by 1, 2, 3, 4", EDGES)
@@ -525,7 +553,7 @@ for _types, _name in (
     ("looped_effect", "obs_looped"), ("parallel_fanout", "obs_parallel_fanout"), ("resilience_retry", "obs_retry"), ("concurrency_handled", "obs_concurrency"),
     ("unserializable_payload", "obs_unserializable"), ("n_plus_1", "obs_n_plus_1"), ("lock_held_across_effect transaction_spans_effect", "obs_resource_span"),
 ):
-    query(_name, SEEN_SQL + "(" + ", ".join(f"'{t}'" for t in _types.split()) + ")", *OBSERVING)(lambda f, t=_types.split(): fx.observations(effects_of(f)).where(F.col("type").isin(*t)))
+    query(_name, SEEN_SQL + "(" + ", ".join(f"'{t}'" for t in _types.split()) + ")", *OBSERVING)(lambda f, t=_types.split(): observed_of(f).where(F.col("type").isin(*t)))
 
 
 @query("iteration_fanout", "select caller, file_path, cast(line as bigint) as line, enclosing, kind, source from fanout", FANOUT)
@@ -581,7 +609,14 @@ select * from (select *, row_number() over (partition by file_path, line order b
 
 def entries_of(f: source.Facts) -> DataFrame:
     attributes = f.refs.where("ref_kind = 'ctor' and enclosing is not null").select("enclosing", "target", "file_path", "line")
-    return hazards.activated(hazards.entry_points(f.methods, attributes, graph.closure(f.type_relations), rulebook.DEFAULT["entryPoints"]), rulebook.DEFAULT["deployments"])
+    return hazards.activated(hazards.entry_points(f.methods, attributes, ancestors_of(f), rulebook.DEFAULT["entryPoints"]), rulebook.DEFAULT["deployments"])
+
+
+ENTRY_SEEDS = "select distinct symbol_id as seed, symbol_id as sym, 0 as depth from entries"
+
+
+def entry_seeds(f: source.Facts) -> DataFrame:
+    return entries_of(f).select(F.col("symbol_id").alias("sym")).distinct()
 
 
 for _name, _kinds in (("entry_points_page", ["page"]), ("entry_points_action", ["action"]), ("entry_points_class", ["handler", "job", "rpc"])):
@@ -648,47 +683,46 @@ KEYED = ("keyed_events", "select *, regexp_extract(resource, '^App[.](R[0-9]+)',
 
 
 @query("hazard_cache_coherence", """
-select distinct a.sym, a.key from (select enclosing as sym, key from keyed_events where operation = 'write' and event_id % 20 = 0) a
-where not exists (select 1 from w join keyed_events e on e.enclosing = w.sym where w.seed = a.sym and e.key = a.key and e.provider = 'purchase' and e.event_id % 5 = 1)""", EDGES, KEYED, closure_sql("w", "select distinct enclosing as seed, enclosing as sym, 0 as depth from effect_events where operation = 'write' and event_id % 20 = 0", 2))
+select distinct a.sym, a.key from (select enclosing as sym, key from keyed_events where operation = 'write') a
+where not exists (select 1 from w join (select symbol_id, containing_symbol_id from methods) m on m.symbol_id = w.seed where w.sym = a.sym and w.key = a.key)""", EDGES, KEYED, ("w", """
+with c as (select distinct enclosing as seed, key from keyed_events where operation = 'invalidate')
+select seed, key, seed as sym from c union select c.seed, c.key, e.src from c join edges e on e.dst = c.seed"""))
 def _(f):
     keyed = f.effect_events.withColumn("key", docid.resource_key(F.col("resource"), rulebook.DEFAULT["suffixes"]))
-    anchors = keyed.where("operation = 'write' and event_id % 20 = 0").select(F.col("enclosing").alias("sym"), "key")
-    known = reach.reach(edges_of(f), anchors.select(F.col("sym").alias("seed"), "sym").distinct(), 2)
-    return hazards.missing_companions(anchors, keyed.where("provider = 'purchase' and event_id % 5 = 1").select(F.col("enclosing").alias("sym"), "key"), known)
-
+    companions = keyed.where("operation = 'invalidate'").select(F.col("enclosing").alias("sym"), "key")
+    return hazards.missing_companions(keyed.where("operation = 'write'").select(F.col("enclosing").alias("sym"), "key"), companions, pairs_of(f), 1)
 
-SMALL = ("small_edges", "select distinct src, dst, kind from edges where line < 20 and receiver_type in ('T:Lib.S1', 'T:Lib.S2', 'T:Lib.S3', 'T:Lib.S4', 'T:Lib.S5')")
 
-
-@query("hazard_event_cycle", """
-with c as (select distinct m.src, m.dst from small_edges m join w on w.seed = m.dst and w.sym = m.src where m.kind = 'methodGroup' or m.kind = 'invocation')
-select distinct (select min(b.sym) from w b join w x on x.seed = b.sym and x.sym = c.src where b.seed = c.dst) as cycle, a.sym from c join w a on a.seed = c.dst join w t on t.seed = a.sym and t.sym = c.src""", EDGES, SMALL, closure_sql("w", "select distinct src as seed, src as sym, 0 as depth from small_edges", 12, "small_edges"))
+@query("hazard_event_cycle")
 def _(f):
-    few = edges_of(f).where(F.col("line") < 20).where(F.col("receiver_type").isin(*(f"T:Lib.S{k}" for k in range(1, 6)))).select("src", "dst").distinct()
-    return reach.cycles(few, few, 12)
+    marked = graph.handoffs(edges_of(f), rulebook.handoff_rules(f.refs.sparkSession))
+    return hazards.event_cycles(marked, {r["tag"]: r["delivery"] for r in rulebook.DEFAULT["handoffs"]})
 
 
 @query("amplification_degree")
 def _(f):
-    few = edges_of(f).where(F.col("line") < 20).where(F.col("receiver_type").isin(*(f"T:Lib.S{k}" for k in range(1, 6)))).select("src", "dst").distinct()
-    anchors = few.select(F.explode(F.array("src", "dst")).alias("sym")).distinct().withColumn("weight", F.lit(1))
-    return reach.longest_chain(anchors, few)
+    """Calls in loops: how deep loops may nest along them."""
+    looped = fx.iteration_fanout(f.refs).select(F.col("caller").alias("src"), F.col("enclosing").alias("dst")).distinct()
+    depths = loops_of(f).groupBy(F.col("enclosing").alias("sym")).agg(F.max("depth").alias("weight"))
+    anchors = looped.select(F.explode(F.array("src", "dst")).alias("sym")).distinct().join(depths, "sym", "left").na.fill(0, ["weight"])
+    return reach.longest_chain(anchors, looped)
 
 
 AMPLIFIED = """
 select caller, file_path, cast(line as bigint) as line, provider, operation, cast(depth as bigint) as depth, case when depth <= 1 then 'high' when depth <= 4 then 'medium' else 'low' end as confidence, cast(rank as bigint) as rank from (
-  select *, row_number() over (partition by caller, file_path, line order by depth, sym, provider, operation) as rank from (
-    select caller, file_path, line, provider, operation, depth, min(sym) as sym from (
-      select v.caller, v.file_path, v.line, e.provider, e.operation, w.depth, w.sym, min(w.depth) over (partition by v.caller, v.file_path, v.line, e.provider, e.operation) as least
-      from (select distinct caller, file_path, line, enclosing from fanout where line < 15) v
-      join w on w.seed = v.enclosing join (select distinct enclosing, provider, operation from effect_events) e on e.enclosing = w.sym) x where depth = least group by 1, 2, 3, 4, 5, 6) y) z where rank <= 3"""
+  select *, row_number() over (partition by caller, file_path, line order by depth, origin, provider, operation) as rank from (
+    select distinct v.caller, v.file_path, v.line, w.provider, w.operation, first_value(w.depth) over o as depth, first_value(w.origin) over o as origin
+    from fanout v join w on w.sym = v.enclosing window o as (partition by v.caller, v.file_path, v.line, w.provider, w.operation order by w.depth, w.origin)) x) y where rank <= 3"""
 
 
-@query("cross_method_amplification", AMPLIFIED, EDGES, FANOUT, closure_sql("w", "select distinct enclosing as seed, enclosing as sym, 0 as depth from fanout where line < 15", 3))
+@query("cross_method_amplification", AMPLIFIED, EDGES, FANOUT, ("w", """
+with recursive w(provider, operation, sym, depth, origin) using key (provider, operation, sym) as (
+  select distinct provider, operation, enclosing, 0, enclosing from effect_events union (
+  select w.provider, w.operation, e.src, min(w.depth) + 1, min(w.origin) from w join (select distinct src, dst from edges) e on e.dst = w.sym left join recurring.w k on k.provider = w.provider and k.operation = w.operation and k.sym = e.src
+  where k.sym is null and w.depth < 6 group by w.provider, w.operation, e.src)) select * from w"""))
 def _(f):
-    events = fx.iteration_fanout(f.refs).where("line < 15").select("caller", "file_path", "line", "enclosing").distinct()
-    known = reach.reach(edges_of(f), events.select(F.col("enclosing").alias("seed"), F.col("enclosing").alias("sym")).distinct(), 3)
-    return hazards.amplified(events, f.effect_events, known)
+    events = fx.iteration_fanout(f.refs).select("caller", "file_path", "line", "enclosing").distinct()
+    return hazards.amplified(events, f.effect_events, pairs_of(f), 6)
 
 
 # Reports, differences, incremental refresh
@@ -708,7 +742,7 @@ left join (select enclosing, count(distinct concat(provider, '|', operation, '|'
 left join fans d on d.hub = m.symbol_id""", EDGES, CLOSURE, MINED, CALLS, TARGETS, NARROWED, FANS, *OBSERVING, *RACES)
 def _(f):
     effects = effects_of(f)
-    amplifying = reports.in_scope(fx.observations(effects).where(F.col("type").isin("looped_effect", "n_plus_1")), rulebook.DEFAULT["amplification"]["scope"])
+    amplifying = reports.in_scope(observed_of(f).where(F.col("type").isin("looped_effect", "n_plus_1")), rulebook.DEFAULT["amplification"]["scope"])
     risks = hazards.race_windows(f.field_access).select("enclosing", "type", "file_path", F.col("write_line").alias("line"))
     return reports.hotspots(edges_of(f), f.methods, effects, risks, amplifying, fans_of(f))
 
@@ -717,16 +751,15 @@ def _(f):
 select m.symbol_id, case when contains(concat(' ', modifiers, ' '), ' private ') then 'high' when contains(concat(' ', modifiers, ' '), ' public ') then 'low' else 'medium' end as tier,
   case when c.n is null then 'uncalled' else 'only reached by dead code' end as reason, coalesce(c.n, 0) as callers
 from methods m left join (select dst, count(*) as n from edges group by 1) c on c.dst = m.symbol_id
-where not contains(modifiers, 'abstract') and not contains(modifiers, 'virtual') and not is_override and not regexp_matches(file_path, '[.]g[.]cs$') and symbol_id not in (select sym from w)""", EDGES, closure_sql("w", SEEDS, 5))
+where not contains(modifiers, 'abstract') and not contains(modifiers, 'virtual') and not is_override and not regexp_matches(file_path, '[.]g[.]cs$') and symbol_id not in (select sym from w)""", EDGES, CLOSURE, ENTRIES, closure_sql("w", ENTRY_SEEDS))
 def _(f):
-    edges = edges_of(f)
-    return hazards.dead_code(f.methods, reach.reach_from(edges, seeds(f).select("sym"), 5), edges)
+    return hazards.dead_code(f.methods, reach.reach_from(pairs_of(f), entry_seeds(f), None), edges_of(f))
 
 
-@query("file_effects", "select m.file_path, m.symbol_id, cast(min(w.depth) as bigint) as depth from w join methods m on m.symbol_id = w.sym group by 1, 2", EDGES, ("back", "select dst as src, src as dst from edges"), EFFECT_RULES, EFFECTS, closure_sql("w", "select distinct enclosing as seed, enclosing as sym, 0 as depth from effects where provider = 'queue'", 3, "back"))
+@query("file_effects", "select m.file_path, m.symbol_id, cast(min(w.depth) as bigint) as depth from w join methods m on m.symbol_id = w.sym group by 1, 2", EDGES, ("back", "select dst as src, src as dst from edges"), EFFECT_RULES, EFFECTS, closure_sql("w", "select distinct enclosing as seed, enclosing as sym, 0 as depth from effects where provider = 'queue'", "back"))
 def _(f):
     sources = effects_of(f).where("provider = 'queue'").select(F.col("enclosing").alias("sym")).distinct()
-    known = reach.reach_from(reach.reversed_edges(edges_of(f)), sources, 3)
+    known = reach.reach_from(reach.reversed_edges(pairs_of(f)), sources, None)
     return f.methods.join(known, F.col("symbol_id") == F.col("sym")).select("file_path", "symbol_id", "depth")
 
 
@@ -737,12 +770,12 @@ PAIRS = "select 'one' as label, (select max(symbol_id) from methods where part_k
 with found as (select distinct w.seed, e.key, concat(e.provider, ':', e.operation) as category from w join keyed_events e on e.enclosing = w.sym),
 x as (select p.label, f.key, p.side, f.category from (select label, 'a' as side, a as seed from pairs union all select label, 'b', b from pairs) p join found f on f.seed = p.seed)
 select label, key as resource_key, concat(min(side), '_only') as side, string_agg(distinct category, ',' order by category) as categories from x group by label, key having count(distinct side) = 1""",
-       EDGES, KEYED, ("pairs", PAIRS), closure_sql("w", "select a as seed, a as sym, 0 as depth from pairs union select b, b, 0 from pairs", 1))
+       EDGES, KEYED, ("pairs", PAIRS), closure_sql("w", "select a as seed, a as sym, 0 as depth from pairs union select b, b, 0 from pairs", depth=1))
 def _(f):
     one = {r["part_key"]: r["symbol_id"] for r in f.methods.where("part_key between 11 and 14").select("part_key", "symbol_id").collect()}
     spark = f.refs.sparkSession
     pairs = spark.createDataFrame([("one", one[11], one[12]), ("two", one[13], one[14])], "label string, a string, b string")
-    known = reach.reach(edges_of(f), spark.createDataFrame([(s, s) for s in one.values()], "seed string, sym string"), 1)
+    known = reach.reach(pairs_of(f), spark.createDataFrame([(s, s) for s in one.values()], "seed string, sym string"), 1)
     return reports.effect_difference(pairs, known, f.effect_events, rulebook.DEFAULT["suffixes"])
 
 
@@ -770,11 +803,11 @@ m as (select seed, count(*) filter (where h = 1) as added, count(*) filter (wher
 p as (select seed, count(*) as in_place from x join methods on symbol_id = sym where b = 1 and h = 1 and body_hash <> concat('h', part_key * 7 % 999) group by 1)
 select coalesce(m.seed, p.seed) as seed, coalesce(added, 0) as added, coalesce(removed, 0) as removed, cast(0 as bigint) as changed, coalesce(in_place, 0) as in_place, coalesce(added, 0) + coalesce(removed, 0) + coalesce(in_place, 0) as delta,
   case when m.seed is null then 'InPlace' else 'Other' end as cause from m full outer join p on p.seed = m.seed""",
-       EDGES, ("eb", "select src, dst from edges where line <= 40"), ("eh", "select src, dst from edges where line >= 20"), closure_sql("wb", SEEDS, 3, "eb"), closure_sql("wh", SEEDS, 3, "eh"))
+       EDGES, ("eb", "select src, dst from edges where line <= 40"), ("eh", "select src, dst from edges where line >= 20"), closure_sql("wb", SEEDS, "eb"), closure_sql("wh", SEEDS, "eh"))
 def _(f):
     edges = edges_of(f)
     changed = reports.changed_bodies(f.methods, other_bodies(f))
-    return reports.reach_changes(reach.reach(edges.where("line <= 40"), seeds(f), 3), reach.reach(edges.where("line >= 20"), seeds(f), 3), changed)
+    return reports.reach_changes(reach.reach(edges.where("line <= 40"), seeds(f), None), reach.reach(edges.where("line >= 20"), seeds(f), None), changed)
 
 
 def other_bodies(f: source.Facts) -> DataFrame:
@@ -826,7 +859,7 @@ union all select 'static_init_capture', 'medium', enclosing, resource, enclosing
 
 def found_of(f: source.Facts) -> DataFrame:
     effects = effects_of(f)
-    return reports.findings(fx.observations(effects), hazards.race_windows(f.field_access), dual_of(f), hazards.sync_over_async(effects, f.methods), captures_of(f))
+    return reports.findings(observed_of(f), hazards.race_windows(f.field_access), dual_of(f), hazards.sync_over_async(effects, f.methods), captures_of(f))
 
 
 @query("findings", "select * from found", *FOUND)
@@ -883,14 +916,14 @@ def _(f):
     return overlay.overlaid(base, edits)
 
 
-@query("dirty_projects", "select distinct sym from w", ("uses", "select distinct r.target_assembly as src, m.defining_assembly as dst from refs r join methods m on m.symbol_id = r.enclosing where m.defining_assembly < r.target_assembly"), closure_sql("w", "select 'Asm5' as seed, 'Asm5' as sym, 0 as depth", 5, "uses"))
+@query("dirty_projects", "select distinct sym from w", ("uses", "select distinct r.target_assembly as src, m.defining_assembly as dst from refs r join methods m on m.symbol_id = r.enclosing where m.defining_assembly < r.target_assembly"), closure_sql("w", "select 'Asm5' as seed, 'Asm5' as sym, 0 as depth", "uses"))
 def _(f):
     depends = reports.usage_edges(f.refs, f.methods).where("from_assembly < to_assembly").select(F.col("from_assembly").alias("src"), F.col("to_assembly").alias("dst"))
-    return overlay.dirty_projects(f.refs.sparkSession.createDataFrame([("Asm5",)], "sym string"), depends, 5)
+    return overlay.dirty_projects(f.refs.sparkSession.createDataFrame([("Asm5",)], "sym string"), depends, None)
 
 
-@query("entry_point_effects", "select e.provider, e.operation, count(*) as n from effects e where e.enclosing in (select sym from w) group by 1, 2", EDGES, EFFECT_RULES, EFFECTS, closure_sql("w", SEEDS, 6))
+@query("entry_point_effects", "select e.provider, e.operation, count(*) as n from effects e where e.enclosing in (select sym from w) group by 1, 2", EDGES, CLOSURE, EFFECT_RULES, EFFECTS, ENTRIES, closure_sql("w", ENTRY_SEEDS))
 def _(f):
-    """What the seeds touch: their closure, and the effects in it."""
-    known = reach.reach_from(edges_of(f), seeds(f).select("sym"), 6)
+    """What the entry points touch: their closure, and the effects in it."""
+    known = reach.reach_from(pairs_of(f), entry_seeds(f), None)
     return fx.summary(effects_of(f).join(known.withColumnRenamed("sym", "enclosing"), "enclosing", "left_semi"))

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
+from ..sources.shared import written
+
 
 def settled(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder that spark.checkpoint.dir names; a temporary one only where none is set."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="factlattice-"))
-    return df.checkpoint()
+    """df written to the shared folder and read again: computed once, and safe from lost executors."""
+    return written(df)

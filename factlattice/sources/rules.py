@@ -29,6 +29,11 @@ DEFAULT = {
         {"provider": "ef", "operation": "raw", "methods": ["Do19"], "resource": "ef_database_facade"},
         {"provider": "gate", "operation": "check", "methods": ["Do20"], "resource": "argument_type"},
         {"provider": "rights", "operation": "check", "methods": ["Do21"], "resource": "argument_name", "argument_index": 1},
+        {"provider": "cache", "operation": "get", "methods": ["Do22", "Do23"], "declaringTypes": ["App.N1", "App.N2"], "declaringTypeNameEndsWith": ["1", "2", "7"], "resource": "declaring_type"},
+        {"provider": "cache", "operation": "set", "methods": ["Do23", "Do24"], "declaringTypes": ["App.N3"], "receivers": ["T:Lib.S6", "T:Lib.S7"], "resource": "receiver_type"},
+        {"provider": "proxy", "operation": "call", "methods": ["Do25", "Do26"], "declaringTypeBaseTypes": ["T:App.N1.T1"], "resource": "declaring_type", "minArguments": 2},
+        {"provider": "io", "operation": "open", "on": "ctor", "methods": [], "declaringTypes": ["App.N2.T12", "App.N4"], "declaringTypeNameEndsWith": ["T12", "4"], "resource": "declaring_type"},
+        {"provider": "error", "operation": "raise", "on": "throw", "methods": [], "declaringTypeBaseTypes": ["T:App.N3.T3"], "resource": "declaring_type"},
     ],
     "observations": {
         "enumerating": [{"methods": ["Select"], "declaringTypes": ["Lib.Seq"]}, {"methods": [], "declaringTypes": ["System.Linq.Enumerable"]}],
@@ -43,6 +48,7 @@ DEFAULT = {
         "nPlusOne": [{"providers": ["db", "ef"], "operations": ["read"]}, {"providers": ["http"], "operations": []}],
     },
     "dualWrite": {"purchase:write": "db", "click:write": "queue", "signup": "search"},
+    "cacheCoherence": [{"writes": ["write", "set"], "companions": ["get"], "depth": 1}],
     "staticInitCapture": ["R1", "R4"],
     "entryPoints": {
         "pages": [{"kind": "page", "method": "PAGE", "baseTypes": ["T:App.N2.T2"], "namespacePrefix": "App.", "requires": ["web"]}],
@@ -88,9 +94,11 @@ def problems(rules: dict) -> list[str]:
     """What is wrong with a rule set; empty if it can be used."""
     found = []
     for k, rule in enumerate(rules.get("effects", [])):
-        for key in ("provider", "operation", "methods", "resource"):
+        for key in ("provider", "operation", "resource", *(["methods"] if rule.get("on", "invocation") == "invocation" else [])):
             if not rule.get(key):
                 found.append(f"effects[{k}]: {key} is missing")
+        if rule.get("on", "invocation") not in ("invocation", "ctor", "throw"):
+            found.append(f"effects[{k}]: no such kind of reference: {rule['on']}")
     return found
 
 
@@ -99,12 +107,14 @@ def fingerprint(rules: dict) -> str:
 
 
 def effect_rules(spark: SparkSession, rules: dict = DEFAULT) -> DataFrame:
-    """One row per rule and method name; rule_no orders the rules. A rule set is small by nature: it is typed by hand."""
+    """One row per rule and member name, or one of no name; rule_no orders the rules. A rule set is small by nature: it is typed by hand."""
     rows = [
-        (k, r["provider"], r["operation"], m, r.get("receivers", []), r.get("containing", []), r["resource"], r.get("type_argument_index"), r.get("argument_index"))
-        for k, r in enumerate(rules["effects"]) for m in r["methods"]
+        (k, r["provider"], r["operation"], r.get("on", "invocation"), m, r.get("receivers", []), r.get("declaringTypes", []), r.get("declaringTypeBaseTypes", []), r.get("declaringTypeNameEndsWith", []),
+         r.get("containing", []), r["resource"], r.get("type_argument_index"), r.get("argument_index"), r.get("minArguments"))
+        for k, r in enumerate(rules["effects"]) for m in r.get("methods") or [None]
     ]
-    return spark.createDataFrame(rows, "rule_no int, provider string, operation string, method string, receivers array<string>, containing array<string>, strategy string, type_argument_index int, argument_index int")
+    return spark.createDataFrame(rows, "rule_no int, provider string, operation string, on string, method string, receivers array<string>, declaring array<string>, bases array<string>, suffixes array<string>, "
+                                 "containing array<string>, strategy string, type_argument_index int, argument_index int, least_arguments int")
 
 
 def handoff_rules(spark: SparkSession, rules: dict = DEFAULT) -> DataFrame:

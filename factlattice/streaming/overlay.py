@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.shared import path_of
 
 
 def overlaid(base: DataFrame, edits: DataFrame) -> DataFrame:
@@ -19,35 +25,114 @@ def latest(edits: DataFrame) -> DataFrame:
     return edits.join(last, ["file_path", "generation"])
 
 
-class LiveFacts:
-    """A fact table that follows a stream of edits; a generation's snapshot is written before it is named."""
+class Conflict(Exception):
+    """Another writer has published since: take its generation and edit that."""
 
-    def __init__(self, spark: SparkSession, folder: str, base: DataFrame | None = None):
-        """Begins with a base, or, without one, goes on from the last generation in the folder that is whole."""
-        self.spark, self.folder, self.revision = spark, folder, 0
-        if base is not None:
-            base.write.mode("overwrite").parquet(self.at(0))
-            return
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        whole = [s.getPath().getName() for s in fs.listStatus(path(folder)) if fs.exists(path(s.getPath(), "_SUCCESS"))]
-        self.revision = max(int(n.split("=")[1]) for n in whole if n.startswith("generation="))
 
-    def at(self, revision: int) -> str:
-        return f"{self.folder}/generation={revision}"
+class LiveFacts:
+    """A fact table that follows a stream of edits.
+
+    Rows lie in buckets by a hash of their file. A generation is a manifest, a file named by its number that tells which
+    folder holds each bucket and which batch of which stream made it: an edit writes the buckets of its files only. The
+    manifest is created and never overwritten, so that of two writers who go on from one generation the second fails
+    (compare and swap), and it is written last, so that what is half done is never read. A batch that a restarted
+    stream runs again is found in the manifests, wherever the generations have got to by then.
+    """
 
-    def snapshot(self) -> DataFrame:
-        return self.spark.read.parquet(self.at(self.revision))
+    BUCKETS = 16
 
-    def apply(self, edits: DataFrame, batch: int) -> None:
-        """One burst of edits as one generation; a batch that is run again writes the same generation again."""
-        before, new = self.spark.read.parquet(self.at(batch)), latest(edits)
-        overlaid(before, new.select(*before.columns)).write.mode("overwrite").parquet(self.at(batch + 1))
-        self.revision = batch + 1
+    def __init__(self, spark: SparkSession, folder: str, base: DataFrame | None = None):
+        """Begins with a base, or, without one, goes on from the last generation in the folder."""
+        self.spark, self.folder = spark, folder
+        if base is not None:
+            self.schema = base.schema
+            self.revision = -1
+            self._publish(0, self._written(base, list(range(self.BUCKETS))), "", -1)
+        else:
+            self.revision = max(self._numbers())
+            self.schema = T.StructType.fromJson(self._manifest(self.revision)["schema"])
+
+    def _path(self, name: str):
+        return path_of(self.spark, f"{self.folder}/{name}")
+
+    def _numbers(self) -> list[int]:
+        where, fs = self._path("manifests")
+        return [int(n.split(".")[0]) for n in (s.getPath().getName() for s in fs.listStatus(where)) if n.endswith(".json")]
+
+    def _manifest(self, revision: int) -> dict:
+        where, fs = self._path(f"manifests/{revision:010}.json")
+        with_ = fs.open(where)
+        try:
+            return json.loads(bytes(with_.readAllBytes()).decode())
+        finally:
+            with_.close()
+
+    def _bucketed(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_bucket", F.pmod(F.xxhash64("file_path"), F.lit(self.BUCKETS)).cast("int"))
+
+    def _written(self, rows: DataFrame, buckets: list[int]) -> dict[str, str]:
+        """The rows, all of the buckets given, in a new folder; where each bucket lies."""
+        name = f"data-{uuid.uuid4().hex}"
+        self._bucketed(rows).write.partitionBy("_bucket").parquet(f"{self.folder}/{name}")
+        return {str(b): name for b in buckets}
+
+    def _publish(self, revision: int, where: dict[str, str], stream: str, batch: int) -> None:
+        path, fs = self._path(f"manifests/{revision:010}.json")
+        text = json.dumps({"buckets": where, "stream": stream, "batch": batch, "schema": self.schema.jsonValue()})
+        try:
+            out = fs.create(path, False)
+        except Py4JJavaError as error:
+            raise Conflict(f"generation {revision} is there already") from error
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        self.revision = revision
+
+    def _read(self, manifest: dict, buckets: list[int] | None = None) -> DataFrame:
+        folders: dict[str, list[int]] = {}
+        for b, name in manifest["buckets"].items():
+            if buckets is None or int(b) in buckets:
+                folders.setdefault(name, []).append(int(b))
+        out = self.spark.createDataFrame([], self.schema)
+        for name, own in folders.items():
+            rows = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("_bucket", T.IntegerType())])).parquet(f"{self.folder}/{name}")
+            out = out.unionByName(rows.where(F.col("_bucket").isin(*own)).select(*self.schema.names))
+        return out
+
+    def snapshot(self, revision: int | None = None) -> DataFrame:
+        """The rows of a generation, the last one that this reader knows if none is named."""
+        return self._read(self._manifest(self.revision if revision is None else revision))
+
+    def apply(self, edits: DataFrame, batch: int, stream: str = "") -> bool:
+        """One burst of edits as one generation on top of the one that this writer knows; false for a batch that is in already.
+
+        Raises Conflict if another writer has published on it; refresh() takes that up.
+        """
+        for revision in sorted(self._numbers(), reverse=True):
+            known = self._manifest(revision)
+            if stream and known["stream"] == stream:
+                if known["batch"] >= batch:
+                    return False
+                break
+        before, new = self._manifest(self.revision), latest(edits)
+        # As many numbers as buckets come to the driver.
+        touched = [r["_bucket"] for r in self._bucketed(new.select("file_path")).select("_bucket").distinct().collect()]
+        if touched:
+            rows = overlaid(self._read(before, touched), new.select(*self.schema.names))
+            before["buckets"].update(self._written(rows, touched))
+        self._publish(self.revision + 1, before["buckets"], stream, batch)
+        return True
+
+    def refresh(self) -> int:
+        self.revision = max(self._numbers())
+        return self.revision
 
     def follow(self, edits: DataFrame, checkpoint: str, on_batch: Callable[[int], None] | None = None):
+        """Follows a stream; the checkpoint names it, so that its batches count from where they did before a restart."""
         def each(batch: DataFrame, number: int) -> None:
-            self.apply(batch, number)
+            self.refresh()
+            self.apply(batch, number, checkpoint)
             if on_batch:
                 on_batch(number)
 

@@ -55,7 +55,8 @@ def test_event_cycle(spark):
 def test_longest_chain(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("p", "q"), ("q", "p"), ("o", "p")], "src string, dst string")
     anchors = spark.createDataFrame([(k, 2 if k == "b" else 1) for k in "abcopq"], "sym string, weight int")
-    assert {r.sym: r.degree for r in reach.longest_chain(anchors, edges).collect()} == {"a": 4, "b": 3, "c": 1, "o": -1, "p": -1, "q": -1}
+    got = {r.sym: (r.degree, r.next) for r in reach.longest_chain(anchors, edges).collect()}
+    assert got == {"a": (4, "b"), "b": (3, "c"), "c": (1, None), "o": (-1, None), "p": (-1, None), "q": (-1, None)}
 
 
 def test_call_tree(spark):
@@ -86,9 +87,9 @@ def call(spark, **given):
 def test_first_resolvable_rule_wins(spark):
     """A rule whose resource can't be told gives way to the next; what is quoted isn't called."""
     refs = call(spark, receiver_type="T:Lib.S5", argument="a")
-    got = effects.by_invocation(refs, rules.effect_rules(spark)).collect()
+    got = effects.by_rule(refs, rules.effect_rules(spark)).collect()
     assert [(r.provider, r.operation, r.resource) for r in got] == [("queue", "publish", "T:Lib.S5")]
-    assert effects.by_invocation(call(spark, receiver_type="T:Lib.S5", in_expression_tree=True), rules.effect_rules(spark)).count() == 0
+    assert effects.by_rule(call(spark, receiver_type="T:Lib.S5", in_expression_tree=True), rules.effect_rules(spark)).count() == 0
 
 
 @pytest.mark.parametrize("strategy, index, given, want", [
@@ -102,14 +103,14 @@ def test_first_resolvable_rule_wins(spark):
 ])
 def test_resources(spark, strategy, index, given, want):
     rule = {"provider": "p", "operation": "o", "methods": ["Do8"], "resource": strategy, "type_argument_index": index, "argument_index": index}
-    got = effects.by_invocation(call(spark, **given), rules.effect_rules(spark, {"effects": [rule]})).collect()
+    got = effects.by_rule(call(spark, **given), rules.effect_rules(spark, {"effects": [rule]})).collect()
     assert [r.resource for r in got] == ([want] if want is not None else [])
 
 
 def test_containing_gate(spark):
     rule = {"provider": "p", "operation": "o", "methods": ["Do8"], "resource": "declaring_type", "containing": ["A.B"]}
     table = rules.effect_rules(spark, {"effects": [rule]})
-    assert [effects.by_invocation(call(spark, enclosing=e), table).count() for e in ("M:A.B.C()", "M:A.Bx.C()")] == [1, 0]
+    assert [effects.by_rule(call(spark, enclosing=e), table).count() for e in ("M:A.B.C()", "M:A.Bx.C()")] == [1, 0]
 
 
 def test_iterations(spark):
