@@ -1,13 +1,14 @@
 """Quality by hierarchical empirical Bayes: a document's own evidence with its site's and its path's posteriors.
 
-A logistic classifier over shape features gives each document's evidence. The evidence of all documents of a host
-(the source) and of a path (source and language) makes beta-binomial posteriors: a host's mean is shrunk to the
+A logistic classifier over shape features gives each document's evidence. The evidence of all documents of a host and of
+a path below it makes beta-binomial posteriors; documents have no addresses here, so a source stands for the host, and
+a language of a source for a path (both are parameters): a host's mean is shrunk to the
 global mean, a path's to its host's, each by as many pseudo-documents as the moments of the groups call for, so that
 sparse sites stay near their parents. The document's log-odds are its evidence plus what its path's mean, without
 itself, differs from the global mean.
 
 Labels are learnt from rows whose crc32(doc_id as text) mod 3 is not 1, of those from at most SAMPLE documents: the
-ones with the least hash of their id.
+ones with the least hash of their id, one text an id.
 
 Defined results: null and empty texts have all features 0 and the evidence of such texts; null sources and languages
 are groups of their own; null labels teach nothing; without labels of both kinds all evidence is the share of good
@@ -37,7 +38,7 @@ FEATURES = 8
 
 
 def features(text: str | None) -> list[float]:
-    """Shares of letters, capitals, digits, symbols; distinct words and lines; mean word length; log of the words."""
+    """Shares of letters, capitals, digits, symbols; distinct words and lines; mean word length and words, both bent to below 1."""
     data = text.encode("utf8", "surrogatepass") if text else b""
     ws = data.split()
     if not ws:
@@ -50,7 +51,7 @@ def features(text: str | None) -> list[float]:
     lines = [x for x in data.split(b"\n") if x.strip()]
     return [
         letters / n, upper / max(1, letters), digits / n, (n - letters - digits - spaces) / n, len(set(ws)) / len(ws) ** 0.9,
-        len(set(lines)) / len(lines), min(20.0, (n - spaces) / len(ws)) / 20, min(12.0, float(np.log1p(len(ws)))) / 12,
+        len(set(lines)) / len(lines), (n - spaces) / (n - spaces + 5 * len(ws)), float(1 - 1 / np.log1p(1 + len(ws))),
     ]
 
 
@@ -79,8 +80,8 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, n
     return centre, spread, w
 
 
-def _evidence(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, source, lang, p): each document's evidence, written once without texts."""
+def _evidence(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
+    """(doc_id, source, lang, p), host and path under these names: each document's evidence, written once without texts."""
     spark = docs.sparkSession
     good = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out("doc_id")).groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
     # At most SAMPLE ids are sent to the texts.
@@ -91,7 +92,9 @@ def _evidence(docs: DataFrame, labels: DataFrame) -> DataFrame:
             x = [features(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("y", "text").mapInArrow(measure, "y int, x array<double>").collect()
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    sample = sample.groupBy("_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y"))
+    sample = sample.select("y", "text").mapInArrow(measure, "y int, x array<double>").collect()
     y = np.array([r["y"] for r in sample], float)
     model = fit(np.array([r["x"] for r in sample], float), y) if 0 < y.sum() < len(y) else None
     share = float(y.mean()) if len(y) else 0.5
@@ -109,7 +112,8 @@ def _evidence(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("lang"), pa.array(np.clip(p, FLOOR, 1 - FLOOR), pa.float64())], ["doc_id", "source", "lang", "p"])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return stored(docs.select("doc_id", "source", "lang", "text").mapInArrow(judge, f"doc_id {kinds['doc_id']}, source {kinds['source']}, lang {kinds['lang']}, p double"))
+    rows = docs.select("doc_id", F.col(host).alias("source"), F.col(path).alias("lang"), "text")
+    return stored(rows.mapInArrow(judge, f"doc_id {kinds['doc_id']}, source {kinds[host]}, lang {kinds[path]}, p double"))
 
 
 def pull(groups: DataFrame, mean: str) -> float:
@@ -125,20 +129,20 @@ def pull(groups: DataFrame, mean: str) -> float:
     return float(min(1e4, max(1.0, level / over - 1))) if over > 0 else 1e4
 
 
-def quality(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
-    """doc_id, evidence, host, path (posterior means), score and keep, one row per row of docs."""
-    rows = _evidence(docs, labels)
+def quality(docs: DataFrame, labels: DataFrame, keep: float = KEEP, host: str = "source", path: str = "lang") -> DataFrame:
+    """doc_id, evidence, host, path (posterior means), score and keep, one row per row of docs. host and path name columns."""
+    rows = _evidence(docs, labels, host, path)
     logit = lambda p: F.log(p / (1 - p))
-    path = rows.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("hits"))
-    host = path.groupBy("source").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
-    all_ = host.agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).first()
+    paths = rows.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("hits"))
+    hosts = paths.groupBy("source").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    all_ = hosts.agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).first()
     mean = min(1 - FLOOR, max(FLOOR, all_["hits"] / all_["n"])) if all_["n"] else 0.5
-    a = pull(host.withColumn("mean", F.lit(mean)), "mean")
-    host = host.withColumn("host", (F.col("hits") + a * mean) / (F.col("n") + a)).select(F.col("source").alias("h_source"), "host")
-    path = path.join(host, F.col("source").eqNullSafe(F.col("h_source")))
-    b = pull(path, "host")
-    path = path.select(F.col("source").alias("p_source"), F.col("lang").alias("p_lang"), F.col("n").alias("p_n"), F.col("hits").alias("p_hits"), "host")
-    out = rows.join(path, F.col("source").eqNullSafe(F.col("p_source")) & F.col("lang").eqNullSafe(F.col("p_lang")))
+    a = pull(hosts.withColumn("mean", F.lit(mean)), "mean")
+    hosts = hosts.withColumn("host", (F.col("hits") + a * mean) / (F.col("n") + a)).select(F.col("source").alias("h_source"), "host")
+    paths = paths.join(hosts, F.col("source").eqNullSafe(F.col("h_source")))
+    b = pull(paths, "host")
+    paths = paths.select(F.col("source").alias("p_source"), F.col("lang").alias("p_lang"), F.col("n").alias("p_n"), F.col("hits").alias("p_hits"), "host")
+    out = rows.join(paths, F.col("source").eqNullSafe(F.col("p_source")) & F.col("lang").eqNullSafe(F.col("p_lang")))
     own = (F.col("p_hits") - F.col("p") + b * F.col("host")) / (F.col("p_n") - 1 + b)
     out = out.withColumn("path", F.greatest(F.lit(FLOOR), F.least(F.lit(1 - FLOOR), own)))
     score = 1 / (1 + F.exp(-(logit(F.col("p")) + logit(F.col("path")) - logit(F.lit(mean)))))

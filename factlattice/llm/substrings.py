@@ -2,16 +2,17 @@
 
 Only suffixes that can begin a repeated window are gathered. Each window of 35 words has an anchor, its least hashed
 8-word phrase: equal windows have equal anchors, so an anchor phrase that stands at one place of the corpus has no
-repeated window. The suffixes of the others are dealt by that phrase, their prefix as seen from the anchor. A group of
-few suffixes becomes a suffix tree in one task (held as a suffix array with the ranks of its 35-word prefixes: equal
-neighbours are the tree's inner nodes at least that deep, the repeats). A group of many is split by longer prefixes, up
-to the 35 words themselves, at which a node is a count that needs no gathering.
+repeated window. The suffixes of the others are dealt by that phrase, their prefix as seen from the anchor. A group that
+fits a task's memory becomes a suffix tree there: a suffix array, the lengths of its neighbours' common prefixes, and the
+intervals of these, which are the tree's inner nodes. Those at least 35 words deep are the repeats, and all leaves below
+them are repeated windows. A group of more than GROUP runs is split by longer prefixes, the 35 words themselves, at which
+a node is a count that needs no gathering.
 
 Texts that are equal as a whole are one text with a count. Texts move once, compressed, and only those with a
 candidate are kept for the end. Text identity and the longest prefixes are 128-bit digests; all else compares words.
 
 Defined results: null and empty texts have no words; fewer than 35 words have no window; null doc_ids and repeated rows
-keep a row each (a repeated row is a copy); an empty table gives an empty result.
+keep a row each (a repeated row is a copy); an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 from .common import stored
 
 WINDOW, GRAM = 35, 8
-#: Suffixes of one prefix that a task takes as a tree; text bytes and words that are worked on at once.
-GROUP, BYTES, WORDS = 256, 4 << 20, 1 << 20
+#: Runs of windows of one prefix that a task takes as a tree, at most 62 words each; text bytes and words that are worked
+#: on at once; documents of one text that one task is to join.
+GROUP, BYTES, WORDS, COPIES = 1 << 14, 4 << 20, 1 << 20, 4096
 R = np.uint64(0x9E3779B97F4A7C15)
 R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 Q = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -188,31 +190,65 @@ def _contexts(held: DataFrame) -> DataFrame:
     return held.select("t1", "t2", "z", "found").mapInArrow(scan, "h long, t1 long, t2 long, at long, size int, context binary, wide boolean")
 
 
-def deep_nodes(contexts: list[list[bytes]], windows: list[int], depth: int = WINDOW) -> list[np.ndarray]:
-    """Which of each context's first windows[k] suffixes lie below an inner node of the suffix tree at that depth.
+def suffix_tree(contexts: list[list[bytes]], windows: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes that begin each context's first windows[k] windows, numbered through, in the order of their words, and
+    how many words each has in common with the next: the leaves of their tree, and the depths at which neighbours part.
 
-    The suffixes are ranked by their first 1, 2, 4 ... words, then by depth words: suffixes of one rank share a node.
+    Places are ranked by their first 1, 2, 4 ... words; the ranks give the order, and, from the longest on, the common
+    prefixes. A mark of its own ends each context, so that no prefix leads out of it.
     """
     name: dict[bytes, int] = {}
-    flat = np.concatenate([np.fromiter((name.setdefault(w, len(name) + 1) for w in ws), np.int64, len(ws)) for ws in contexts])
-    rank, width = flat, 1
-
-    def doubled(rank: np.ndarray, by: int) -> np.ndarray:
-        after = np.zeros_like(rank)
-        after[: len(rank) - by] = rank[by:]
-        return np.unique(rank * (rank.max() + 2) + after, return_inverse=True)[1].astype(np.int64) + 1
-
-    while width * 2 <= depth:
-        rank = doubled(rank, width)
+    longest = max(map(len, contexts)) + 1
+    flat = np.concatenate([np.fromiter((name.setdefault(w, len(name)) for w in [*ws, b""]), np.int64, len(ws) + 1) for ws in contexts])
+    ends = np.cumsum([len(ws) + 1 for ws in contexts]) - 1
+    flat[ends] = len(name) + np.arange(len(ends))
+    ranks, width = [np.unique(flat, return_inverse=True)[1].astype(np.int64)], 1
+    while width < longest:
+        rank = ranks[-1]
+        after = np.full_like(rank, -1)
+        after[: len(rank) - width] = rank[width:]
+        ranks.append(np.unique(rank * (rank.max() + 2) + after + 1, return_inverse=True)[1].astype(np.int64))
         width *= 2
-    if width < depth:
-        rank = doubled(rank, depth - width)
-    begin = np.cumsum([0, *map(len, contexts)])[:-1]
+    begin = np.concatenate(([0], ends[:-1] + 1))
     size = np.array(windows)
     own = np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    children = np.bincount(rank[own])
-    deep = children[rank[own]] > 1
-    return np.split(deep, np.cumsum(size)[:-1])
+    order = np.argsort(ranks[-1][own], kind="stable")
+    left, right = own[order][:-1].copy(), own[order][1:].copy()
+    common = np.zeros(len(left), np.int64)
+    for k in reversed(range(len(ranks))):
+        inside = (left < len(flat)) & (right < len(flat))
+        same = np.zeros(len(left), bool)
+        same[inside] = ranks[k][left[inside]] == ranks[k][right[inside]]
+        step = same * (1 << k)
+        common, left, right = common + step, left + step, right + step
+    return order, common
+
+
+def inner_nodes(common: np.ndarray, least: int = 1) -> list[tuple[int, int, int]]:
+    """(depth, first leaf, last leaf) of each inner node at least so deep, from the common prefixes of neighbouring leaves."""
+    out: list[tuple[int, int, int]] = []
+    stack: list[tuple[int, int]] = []
+    for place, depth in enumerate([*common.tolist(), 0]):
+        first = place
+        while stack and stack[-1][0] > depth:
+            deep, first = stack.pop()
+            if deep >= least:
+                out.append((deep, first, place))
+        if depth and (not stack or stack[-1][0] < depth):
+            stack.append((depth, first))
+    return out
+
+
+def deep_nodes(contexts: list[list[bytes]], windows: list[int], depth: int = WINDOW) -> list[np.ndarray]:
+    """Which of each context's first windows[k] suffixes lie below an inner node of the suffix tree at least that deep."""
+    order, common = suffix_tree(contexts, windows)
+    change = np.zeros(len(order) + 1, np.int64)
+    for _, first, last in inner_nodes(np.minimum(common, depth), depth):
+        change[first] += 1
+        change[last + 1] -= 1
+    deep = np.zeros(len(order), bool)
+    deep[order] = np.cumsum(change[:-1]) > 0
+    return np.split(deep, np.cumsum(windows)[:-1])
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,8 +276,9 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield grown(held)
 
 
-def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The document table; candidate texts; and (t1, t2, runs) of the repeated windows in each distinct text."""
+def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The document table; the distinct texts with their copies; candidate texts; and (t1, t2, runs) of the repeated windows
+    in each distinct text."""
     table = _table(docs)
     places = table.select("t1", "t2", F.explode(F.arrays_zip("hashes", "runs")).alias("x")).select(F.col("x.hashes").alias("h"), "t1", F.col("x.runs").alias("run"))
     # One text's anchor counts once, however many copies of the text there are: a phrase needs two places.
@@ -267,7 +304,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     often = stored(often)
     wide = wide.join(often, "context").select("t1", "t2", "at", F.lit(1).cast("long").alias("size"))
     runs = trees.unionByName(wide).groupBy("t1", "t2").agg(F.collect_set(F.struct("at", "size")).alias("runs"))
-    return table.join(speaker.select(F.col("t1").alias("c1"), F.col("t2").alias("c2"), "copies"), (F.col("t1") == F.col("c1")) & (F.col("t2") == F.col("c2"))), held, runs
+    return table, speaker, held, runs
 
 
 def kept_words(ws: list[bytes], runs: list[tuple[int, int]]) -> list[bytes]:
@@ -282,7 +319,7 @@ def kept_words(ws: list[bytes], runs: list[tuple[int, int]]) -> list[bytes]:
 
 def substrings(docs: DataFrame) -> DataFrame:
     """The contract's columns, one row per row of docs."""
-    table, held, runs = repeats(docs)
+    table, speaker, held, runs = repeats(docs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,7 +332,16 @@ def substrings(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("t1"), batch.column("t2"), pa.array(n, pa.int64()), pa.array(sha, pa.string())], ["r1", "r2", "gone", "rest"])
 
     cleaned = held.join(runs, ["t1", "t2"]).select("t1", "t2", "z", "runs").dropDuplicates(["t1", "t2"]).mapInArrow(cut, "r1 long, r2 long, gone long, rest string")
-    out = table.join(cleaned, (F.col("t1") == F.col("r1")) & (F.col("t2") == F.col("r2")), "left")
+    known = speaker.select("t1", "t2", "copies").join(cleaned, (F.col("t1") == F.col("r1")) & (F.col("t2") == F.col("r2")), "left").drop("r1", "r2")
+    known = known.withColumn("parts", F.ceil(F.col("copies") / float(COPIES)).cast("int"))
+    known = stored(known)
+    # Of a text that many documents have, the documents are dealt in parts: there are few such texts, and Spark sends
+    # this table to all only if it is small.
+    many = stored(known.where("parts > 1").select(F.col("t1").alias("m1"), F.col("t2").alias("m2"), F.col("parts").alias("of")))
+    dealt = table.join(many, (F.col("t1") == F.col("m1")) & (F.col("t2") == F.col("m2")), "left")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.coalesce("of", F.lit(1))).cast("int")).drop("m1", "m2", "of", "hashes", "runs")
+    known = known.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    out = dealt.join(known, ["t1", "t2", "part"])
     copy = (F.col("copies") > 1) & (F.col("n_words") >= WINDOW)
     return out.select(
         "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).cast("long").alias("n_removed"),

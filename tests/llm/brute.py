@@ -237,3 +237,37 @@ def similar_pairs(texts, least):
             common.update((j, i) for j in of[sh])
             of[sh].append(i)
     return {(i, j): v for (i, j) in common if (v := jaccard(sets[i], sets[j])) >= least}
+
+
+def site_posteriors(rows, floor):
+    """rows: (host, path, evidence). A function from a document's to its host's and path's posterior means and its score."""
+    from math import exp, log
+
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for host, path, p in rows:
+        hosts[host].append(p)
+        paths[host, path].append(p)
+    mean = min(1 - floor, max(floor, sum(p for *_, p in rows) / len(rows)))
+
+    def pull(groups):
+        """groups: (evidence, prior mean); pseudo-documents by moments."""
+        n = sum(len(g) for g, _ in groups)
+        if len(groups) < 2:
+            return 100.0
+        between = sum(len(g) * (sum(g) / len(g) - m) ** 2 for g, m in groups)
+        chance = sum(m * (1 - m) for _, m in groups)
+        over = (between - chance) / max(1e-9, n - sum(len(g) ** 2 for g, _ in groups) / n)
+        level = sum(len(g) * m * (1 - m) for g, m in groups) / n
+        return min(1e4, max(1.0, level / over - 1)) if over > 0 else 1e4
+
+    a = pull([(g, mean) for g in hosts.values()])
+    host_of = {h: (sum(g) + a * mean) / (len(g) + a) for h, g in hosts.items()}
+    b = pull([(g, host_of[h]) for (h, _), g in paths.items()])
+    logit = lambda p: log(p / (1 - p))
+
+    def of(host, path, p):
+        g = paths[host, path]
+        own = min(1 - floor, max(floor, (sum(g) - p + b * host_of[host]) / (len(g) - 1 + b)))
+        return host_of[host], own, 1 / (1 + exp(-(logit(p) + logit(own) - logit(mean))))
+
+    return of

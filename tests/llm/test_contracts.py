@@ -337,6 +337,51 @@ def test_substrings(docs):
     assert rows(substrings.substrings(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == ordered(brute.substrings(pairs(docs)))
 
 
+def test_suffix_tree():
+    """Order, common prefixes and inner nodes against sorted lists of words."""
+    rng = random.Random(5)
+    for _ in range(60):
+        contexts = [[rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(3, 20))] for _ in range(rng.randint(1, 6))]
+        windows = [rng.randint(1, len(c)) for c in contexts]
+        own = [(c[k:], i, k) for i, c in enumerate(contexts) for k in range(windows[i])]
+        order, common = substrings.suffix_tree(contexts, windows)
+        words = [own[k][0] for k in order]
+        both = [next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(words, words[1:])]
+        assert common.tolist() == both
+        assert sorted(words) == sorted(w for w, *_ in own)
+        nodes = set(substrings.inner_nodes(common))
+        want = set()
+        for depth in range(1, 21):
+            k = 0
+            while k < len(both):
+                if both[k] >= depth:
+                    end = k
+                    while end < len(both) and both[end] >= depth:
+                        end += 1
+                    if min(both[k:end]) == depth:
+                        want.add((depth, k, end))
+                    k = end
+                k += 1
+        assert nodes == want
+        deep = substrings.deep_nodes(contexts, windows, 3)
+        seen = {}
+        for i, c in enumerate(contexts):
+            for k in range(windows[i]):
+                if k + 3 <= len(c):
+                    seen.setdefault(tuple(c[k:k + 3]), []).append((i, k))
+        again = {x for v in seen.values() if len(v) > 1 for x in v}
+        assert {(i, int(k)) for i, d in enumerate(deep) for k in np.flatnonzero(d)} == again
+
+
+def test_substrings_many_copies(spark, monkeypatch):
+    """A text that most documents have: its documents are dealt in parts."""
+    monkeypatch.setattr(substrings, "COPIES", 16)
+    hot, other = " ".join(f"h{k}" for k in range(50)), " ".join(f"o{k}" for k in range(50))
+    data = [(k % 150, hot) for k in range(200)] + [(900, other), (901, "x " + other), (None, hot), (902, "short"), (903, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    assert rows(substrings.substrings(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == ordered(brute.substrings(pairs(docs)))
+
+
 def test_substrings_wide_groups(documents, monkeypatch):
     monkeypatch.setattr(substrings, "GROUP", 1)
     assert rows(substrings.substrings(documents), "doc_id", "n_words", "n_removed", "kept_sha256") == ordered(brute.substrings(pairs(documents)))
@@ -480,4 +525,46 @@ def test_quality(spark, awkward, nothing):
     assert _auc([(r.score, r.quality) for r in got]) > 0.95
     assert sum(r.keep for r in got if r.quality) / sum(r.quality for r in got) > 0.98
     assert quality.quality(awkward, labels).count() == awkward.count() and quality.quality(nothing, labels).count() == 0
-    assert quality.quality(awkward, labels.limit(0)).count() == awkward.count()
+    assert {r.evidence for r in quality.quality(awkward, labels.limit(0)).collect()} == {0.5}
+
+
+def test_quality_brute(spark, awkward):
+    """Posteriors and scores from the evidence, by plain empirical Bayes; nulls are sites of their own, repeated rows count each."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    for df in (docs, awkward):
+        out = quality.quality(df, labels).join(df.select("doc_id", "source", "lang").distinct(), "doc_id").collect()
+        if df is awkward:
+            out = [r for r in out if r.doc_id is not None]
+            whole = quality._evidence(df, labels).collect()
+        else:
+            whole = [(r.doc_id, r.source, r.lang, r.evidence) for r in out]
+        want = brute.site_posteriors([(s, lang, p) for _, s, lang, p in whole], quality.FLOOR)
+        for r in out:
+            host, path, score = want(r.source, r.lang, r.evidence)
+            assert abs(r.host - host) < 1e-9 and abs(r.path - path) < 1e-9 if hasattr(r, "path") else True
+            assert abs(r.score - score) < 1e-9 and r.keep == (r.score >= 0.5)
+        assert len(out) >= len(whole) - 5
+
+
+def test_quality_sites(spark):
+    """A site of one document stays at its parent's mean; one of many goes to its own; the document itself is left out of its path."""
+    rows = [("big", "en", 0.9)] * 400 + [("big", "de", 0.2)] * 400 + [("tiny", "en", 0.01)] + [(f"s{k}", "en", 0.5 + 0.3 * (-1) ** k) for k in range(60)]
+    want = brute.site_posteriors(rows, quality.FLOOR)
+    big_host, big_path, _ = want("big", "en", 0.9)
+    tiny_host, tiny_path, _ = want("tiny", "en", 0.01)
+    assert abs(big_host - 0.55) < 0.02 and big_path > 0.85
+    assert tiny_path > 0.2
+
+
+def test_quality_fit():
+    """The penalised likelihood is at its height: its gradient is zero."""
+    rng = np.random.default_rng(4)
+    x = rng.random((300, quality.FEATURES))
+    y = (x[:, 0] + 0.3 * rng.normal(size=300) > 0.5).astype(float)
+    for ys in (y, (x[:, 0] > 0.5).astype(float)):
+        centre, spread, w = quality.fit(x, ys)
+        z = (quality.expanded(x) - centre) / spread
+        p = 1 / (1 + np.exp(-z @ w))
+        pull = np.ones(len(w))
+        pull[0] = 1e-6
+        assert np.abs(z.T @ (ys - p) - pull * w).max() < 1e-4
