@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -28,7 +29,7 @@ from .common import fresh
 from .fm_index import FMIndex
 
 #: Bytes of a shard's text, and of a benchmark block.
-SHARD, BLOCK = 8 << 20, 16 << 20
+SHARD, BLOCK = 8 << 20, 4 << 20
 #: Lower-cases A-Z, and makes a space of each byte that is no word byte.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -38,25 +39,56 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf8", "surrogatepass").translate(WORD_BYTES).split() if text else []
 
 
+class Owners:
+    """Names of the items that have each of some phrases, as arrays."""
+
+    def __init__(self, phrase: np.ndarray, item: np.ndarray, n: int, names: list[str | None]):
+        both = np.unique(phrase * (len(names) + 1) + item)
+        self.item = (both % (len(names) + 1)).astype(np.int32)
+        self.first = np.searchsorted(both // (len(names) + 1), np.arange(n + 1))
+        self.names = names
+
+    def __len__(self) -> int:
+        return len(self.first) - 1
+
+    def __getitem__(self, k: int) -> list[str]:
+        return [self.names[i] for i in self.item[self.first[k]:self.first[k + 1]] if self.names[i] is not None]
+
+
 class Phrases:
-    """The windows of a block of benchmark items, as symbols."""
+    """The distinct windows of a block of benchmark items, as rows of symbols, with the items that have them."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int):
         self.symbol: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            own = [self.symbol.setdefault(w, len(self.symbol) + 2) for w in words(text)]
-            n = min(window, len(own))
-            for k in range(len(own) - n + 1 if n else 0):
-                owners.setdefault(tuple(own[k:k + n]), set()).update([] if item is None else [str(item)])
-        self.groups = []
-        for n in sorted({len(p) for p in owners}):
-            group = [p for p in owners if len(p) == n]
-            self.groups.append((n, np.array(group, np.int64), [sorted(owners[p]) for p in group]))
+        names = [None if item is None else str(item) for item, _ in items]
+        found: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for k, (_, text) in enumerate(items):
+            own = np.array([self.symbol.setdefault(w, len(self.symbol) + 2) for w in words(text)], np.int32)
+            if len(own):
+                found.setdefault(min(window, len(own)), []).append((own, k))
+        self.groups: list[tuple[int, np.ndarray, Owners]] = []
+        for n in sorted(found):
+            rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(own, n) for own, _ in found[n]])
+            item = np.repeat([k for _, k in found[n]], [len(own) - n + 1 for own, _ in found[n]])
+            order = np.lexsort(rows.T[::-1])
+            rows, item = rows[order], item[order]
+            new = np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1)))
+            self.groups.append((n, rows[new], Owners(np.cumsum(new) - 1, item, int(new.sum()), names)))
         self.shortest = min((n for n, _, _ in self.groups), default=0)
 
 
-def hits(texts: list[list[bytes]], phrases: Phrases) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[list[str]]]]:
+#: The phrases that this Python worker has built last, by their block's name: tasks of one worker share them.
+_BUILT: dict[tuple[str, int], Phrases] = {}
+
+
+def built(name: str, block, window: int) -> Phrases:
+    if (name, window) not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name, window] = Phrases(block.value, window)
+    return _BUILT[name, window]
+
+
+def hits(texts: list[list[bytes]], phrases: Phrases) -> Iterator[tuple[int, np.ndarray, np.ndarray, Owners]]:
     """For each group of equally long phrases: its length, the word places where one starts (over all texts laid end
     to end), which phrase it is, and the phrases' items."""
     if not phrases.groups or not texts:
@@ -101,7 +133,7 @@ def found(texts: list[list[bytes]], phrases: Phrases) -> tuple[list[list[tuple[i
         np.add.at(cover, starts + n, -1)
         doc = np.searchsorted(ends, starts, side="right")
         for pair in np.unique(doc * len(owners) + which):
-            items[pair // len(owners)].update(owners[pair % len(owners)])
+            items[pair // len(owners)].update(owners[int(pair % len(owners))])
     covered = np.concatenate(([0], (np.cumsum(cover)[:-1] > 0).astype(np.int8), [0]))
     edge = np.diff(covered)
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -128,14 +160,14 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(begin)
 
 
-def _blocks(benchmark: DataFrame, window: int) -> list:
-    """The benchmark's phrases, a broadcast for each block of at most about BLOCK bytes."""
+def _blocks(benchmark: DataFrame) -> list:
+    """The benchmark's items, a name and a broadcast for each block of about BLOCK bytes."""
     spark = benchmark.sparkSession
     rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // BLOCK)
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [spark.sparkContext.broadcast([(r.item_id, r.text) for r in rows.where(part == k).toLocalIterator()]) for k in range(n)]
+    return [(uuid.uuid4().hex, spark.sparkContext.broadcast([(r.item_id, r.text) for r in rows.where(part == k).toLocalIterator()])) for k in range(n)]
 
 
 def spotted(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -146,12 +178,11 @@ def spotted(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple
     out = docs.select(*held, *empty)
     kind = out.schema
 
-    def search(block):
+    def search(name, block):
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            phrases = None
             for whole in batches:
                 for batch in _slices(whole):
-                    phrases = phrases or Phrases(block.value, window)
+                    phrases = built(name, block, window)
                     texts = [words(t.as_py()) for t in batch.column("text")]
                     spans, items = found(texts, phrases)
                     old = batch.column(spans_).to_pylist(), batch.column(items_).to_pylist()
@@ -164,8 +195,8 @@ def spotted(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple
 
         return scan
 
-    for block in _blocks(benchmark, window):
-        out = out.mapInArrow(search(block), kind)
+    for name, block in _blocks(benchmark):
+        out = out.mapInArrow(search(name, block), kind)
     return out
 
 

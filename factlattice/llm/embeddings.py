@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import components, forest, stored
 
-#: Vectors in a chunk: a tile of products has at most its square.
-CHUNK = 1024
+#: Vectors in a chunk, at most and at least, and the rows of products that a task has at once. A vector is sent to as many
+#: tasks as its label has chunks.
+CHUNK, FEW, BLOCK = 8192, 1024, 512
 
 
 def quantised(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,15 +42,21 @@ def close(u: np.ndarray, x: np.ndarray, v: np.ndarray, y: np.ndarray, least: flo
     qu, su, eu = quantised(u)
     qv, sv, ev = quantised(v)
     exact = np.float32 if u.shape[1] * 127 * 127 < 1 << 24 else np.float64
-    about = (qu.astype(exact) @ qv.astype(exact).T).astype(np.float64) * su[:, None] * sv[None, :]
-    bound = eu[:, None] + (1 + eu)[:, None] * ev[None, :] + 1e-9
-    a, b = np.nonzero(about + bound >= least)
-    sure = np.empty(len(a), bool)
-    for k in range(0, len(a), 1 << 15):
-        s = slice(k, k + (1 << 15))
-        p, q = x[a[s]], y[b[s]]
-        sure[s] = (p * q).sum(axis=1) / (np.sqrt((p * p).sum(axis=1)) * np.sqrt((q * q).sum(axis=1))) >= least
-    return a[sure], b[sure]
+    right = qv.astype(exact).T
+    out = []
+    for at in range(0, len(u), BLOCK):
+        rows = slice(at, at + BLOCK)
+        about = (qu[rows].astype(exact) @ right).astype(np.float64) * su[rows, None] * sv[None, :]
+        bound = eu[rows, None] + (1 + eu[rows])[:, None] * ev[None, :] + 1e-9
+        a, b = np.nonzero(about + bound >= least)
+        a += at
+        sure = np.empty(len(a), bool)
+        for k in range(0, len(a), 1 << 15):
+            s = slice(k, k + (1 << 15))
+            p, q = x[a[s]], y[b[s]]
+            sure[s] = (p * q).sum(axis=1) / (np.sqrt((p * p).sum(axis=1)) * np.sqrt((q * q).sum(axis=1))) >= least
+        out.append((a[sure], b[sure]))
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
 def _tile(table: pa.Table, least: float) -> pa.Table:
@@ -62,6 +69,8 @@ def _tile(table: pa.Table, least: float) -> pa.Table:
     weight = table.column("w").to_numpy()
     emb = table.column("embedding").combine_chunks()
     x = np.asarray(emb.flatten(), dtype=np.float64).reshape(len(cid), -1)
+    # By powers of two, which change no digit: squares then stay within doubles, and cosines as they were.
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
     u = x / np.abs(x).max(axis=1)[:, None]
     u = u / np.linalg.norm(u, axis=1)[:, None]
     i, j = int(table.column("i")[0].as_py()), int(table.column("j")[0].as_py())
@@ -88,7 +97,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     ids = stored(rows.select("vec_id", "cid"))
     classes = stored(rows.where("cid is not null").groupBy("cid").agg(F.count(F.lit(1)).alias("w"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("embedding").alias("embedding")).withColumn("dim", F.size("embedding")))
     held = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    part = classes.join(held, ["label", "dim"]).withColumn("chunks", F.ceil(F.col("held") / float(CHUNK)).cast("int"))
+    part = classes.join(held, ["label", "dim"]).withColumn("chunks", F.ceil(F.col("held") / F.least(F.lit(float(CHUNK)), F.greatest(F.lit(float(FEW)), F.col("held") / 8.0))).cast("int"))
     part = part.withColumn("c", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
     part = part.select("cid", "w", "label", "dim", "embedding", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("d"))
     part = part.withColumn("i", F.least("c", "d")).withColumn("j", F.greatest("c", "d")).drop("d")

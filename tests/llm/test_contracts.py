@@ -203,10 +203,45 @@ def test_embeddings_in_chunks(spark, small, monkeypatch):
     df = df.unionAll(df.select((F.col("vec_id") + 5000).alias("vec_id"), F.transform("embedding", lambda x: (x * 1.001 + 0.002).cast("float")).alias("embedding"), "label"))
     want = rows(embeddings.near_duplicates(df), "vec_id", "n_links", "component_id", "kept")
     monkeypatch.setattr(embeddings, "CHUNK", 16)
+    monkeypatch.setattr(embeddings, "FEW", 8)
+    monkeypatch.setattr(embeddings, "BLOCK", 5)
     assert rows(embeddings.near_duplicates(df), "vec_id", "n_links", "component_id", "kept") == want
     assert want == ordered(brute.near_vectors([(r.vec_id, r.embedding, r.label) for r in df.collect()]))
 
 
+def test_embeddings_extremes(spark):
+    """Doubles far from 1, whose squares have no double, link as their directions do; columns beside are not read."""
+    base = [0.3, -0.7, 0.1, 0.9]
+    data = [(1, base, 1), (2, [x * 1e200 for x in base], 1), (3, [x * 1e-200 for x in base], 1), (4, [-x * 1e300 for x in base], 1), (5, [x * 5e-320 for x in base], 1)]
+    df = spark.createDataFrame([(*r, 7, 8) for r in data], "vec_id long, embedding array<double>, label int, n_links int, cid int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1)}
+
+
+def test_phrases():
+    """Distinct windows with their items, in arrays; a block of many items stays small."""
+    import tracemalloc
+
+    rng = random.Random(2)
+    vocabulary = [f"word{k}" for k in range(4000)]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([3, 10, 40])))) for k in range(300)] + [(7, "a b"), (None, "a b"), (8, None), (9, "")]
+    want = {}
+    for item, text in items:
+        ws = brute.bench_words(text)
+        n = min(10, len(ws))
+        for k in range(len(ws) - n + 1 if n else 0):
+            want.setdefault(tuple(ws[k:k + n]), set()).update([] if item is None else [str(item)])
+    made = decontaminate.Phrases(items, 10)
+    names = {v: k.decode() for k, v in made.symbol.items()}
+    got = {tuple(names[x] for x in row): set(owners[k]) for _, group, owners in made.groups for k, row in enumerate(group.tolist())}
+    assert got == want and made.shortest == 2
+    text = " ".join(rng.choice(vocabulary) for _ in range(250_000))
+    tracemalloc.start()
+    decontaminate.Phrases([(1, text)], 10)
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
+
+
 def test_decontaminate(spark, docs, small):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     kind = spark.read.parquet(f"{small}/benchmark.parquet").schema["item_id"].dataType.simpleString()
@@ -541,7 +576,7 @@ def test_quality_brute(spark, awkward):
         want = brute.site_posteriors([(s, lang, p) for _, s, lang, p in whole], quality.FLOOR)
         for r in out:
             host, path, score = want(r.source, r.lang, r.evidence)
-            assert abs(r.host - host) < 1e-9 and abs(r.path - path) < 1e-9 if hasattr(r, "path") else True
+            assert abs(r.host - host) < 1e-9 and abs(r.path - path) < 1e-9
             assert abs(r.score - score) < 1e-9 and r.keep == (r.score >= 0.5)
         assert len(out) >= len(whole) - 5
 
