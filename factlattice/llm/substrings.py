@@ -2,11 +2,12 @@
 
 Only suffixes that can begin a repeated window are gathered. Each window of 35 words has an anchor, its least hashed
 8-word phrase: equal windows have equal anchors, so an anchor phrase that stands at one place of the corpus has no
-repeated window. The suffixes of the others are dealt by that phrase, their prefix as seen from the anchor. A group that
-fits a task's memory becomes a suffix tree there: a suffix array, the lengths of its neighbours' common prefixes, and the
-intervals of these, which are the tree's inner nodes. Those at least 35 words deep are the repeats, and all leaves below
-them are repeated windows. A group of more than GROUP runs is split by longer prefixes, the 35 words themselves, at which
-a node is a count that needs no gathering.
+repeated window. The suffixes of the others are dealt by that phrase, their prefix as seen from the anchor; runs of the
+same words are one leaf, which repeats as a whole if it stands at two places. A group that fits a task's memory becomes a
+suffix tree there: a suffix array, the lengths of its neighbours' common prefixes, and the intervals of these, which are
+the tree's inner nodes. Those at least 35 words deep are the repeats, and all leaves below them are repeated windows. A
+group of more than GROUP leaves is split by longer prefixes, the 35 words themselves, at which a node is a count that
+needs no gathering.
 
 Texts that are equal as a whole are one text with a count. Texts move once, compressed, and only those with a
 candidate are kept for the end. Text identity and the longest prefixes are 128-bit digests; all else compares words.
@@ -163,11 +164,11 @@ def _unpacked(z: bytes) -> list[bytes]:
 
 
 def _contexts(held: DataFrame) -> DataFrame:
-    """(h, t1, t2, at, size, context, wide): the words of each candidate run; wide runs come as digests of their windows."""
+    """(h, t1, t2, at, size, d1, d2, context): the words of each candidate run, and their digest."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "t1", "t2", "at", "size", "context", "wide"]
-        kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary(), pa.bool_()]
+        names = ["h", "t1", "t2", "at", "size", "d1", "d2", "context"]
+        kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
             rows: list[tuple] = []
             size = 0
@@ -175,19 +176,31 @@ def _contexts(held: DataFrame) -> DataFrame:
                 ws = _unpacked(z)
                 for run in runs:
                     at, n = (run["run"] >> 8) & 0xFFFFFFFF, run["run"] & 0xFF
-                    if run["wide"]:
-                        for k in range(at, at + n):
-                            rows.append((0, t1, t2, k, 1, xxhash.xxh128_digest(b" ".join(ws[k:k + WINDOW])), True))
-                    else:
-                        rows.append((run["h"], t1, t2, at, n, b" ".join(ws[at:at + n + WINDOW - 1]), False))
-                    size += n * 16 + 256
+                    context = b" ".join(ws[at:at + n + WINDOW - 1])
+                    rows.append((run["h"], t1, t2, at, n, *_identity(context), context))
+                    size += len(context) + 64
                 if size > BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                     rows, size = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return held.select("t1", "t2", "z", "found").mapInArrow(scan, "h long, t1 long, t2 long, at long, size int, context binary, wide boolean")
+    return held.select("t1", "t2", "z", "found").mapInArrow(scan, "h long, t1 long, t2 long, at long, size int, d1 long, d2 long, context binary")
+
+
+def _windows(contexts: DataFrame) -> DataFrame:
+    """(t1, t2, at, prefix): each window of the contexts by itself, with a digest of its words."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for t1, t2, at, n, context in zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "at", "size", "context")), strict=True):
+                ws = context.split()
+                rows += [(t1, t2, at + k, xxhash.xxh128_digest(b" ".join(ws[k:k + WINDOW]))) for k in range(n)]
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["t1", "t2", "at", "prefix"])
+
+    return contexts.select("t1", "t2", "at", "size", "context").mapInArrow(scan, "t1 long, t2 long, at long, prefix binary")
 
 
 def suffix_tree(contexts: list[list[bytes]], windows: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -257,9 +270,10 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = 0
 
     def grown(rows: list[tuple]) -> pa.RecordBatch:
-        rows = list({(t1, t2, at): (t1, t2, at, n, c) for _, t1, t2, at, n, c in rows}.values())
+        # Rows that agree in id and text bring their runs twice.
+        rows = list({r[1:4]: r for r in rows}.values())
         out: list[tuple[int, int, int, int]] = []
-        for (t1, t2, at, n, _), deep in zip(rows, deep_nodes([r[4].split() for r in rows], [r[3] for r in rows]), strict=True):
+        for (_, t1, t2, at, _, _), deep in zip(rows, deep_nodes([r[5].split() for r in rows], [r[4] for r in rows]), strict=True):
             edge = np.flatnonzero(np.diff(np.concatenate(([0], deep.astype(np.int8), [0]))))
             out += [(t1, t2, at + int(a), int(b - a)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
         cols = list(zip(*out, strict=True)) or [()] * 4
@@ -283,27 +297,33 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
     places = table.select("t1", "t2", F.explode(F.arrays_zip("hashes", "runs")).alias("x")).select(F.col("x.hashes").alias("h"), "t1", F.col("x.runs").alias("run"))
     # One text's anchor counts once, however many copies of the text there are: a phrase needs two places.
     spot = F.xxhash64("t1", "run")
-    prefix = places.select("h", spot.alias("spot")).groupBy("h").agg(F.min("spot").alias("a"), F.max("spot").alias("b"), F.count(F.lit(1)).alias("n"))
+    prefix = places.select("h", spot.alias("spot")).groupBy("h").agg(F.min("spot").alias("a"), F.max("spot").alias("b"))
     # Written, so that the join below reads both sides from shuffles that can be split at a hot phrase.
-    prefix = stored(prefix.where("a <> b").select("h", (F.col("n") > GROUP).alias("wide")))
-    found = places.join(prefix, "h").groupBy("t1").agg(F.collect_set(F.struct("h", "run", "wide")).alias("found"))
+    prefix = stored(prefix.where("a <> b").select("h"))
+    found = places.join(prefix, "h").groupBy("t1").agg(F.collect_set(F.struct("h", "run")).alias("found"))
     # One document speaks for all that have its text.
-    speaker = table.groupBy("t1", "t2").agg(F.min("doc_id").alias("s_id"), F.count(F.lit(1)).alias("copies"))
-    speaker = stored(speaker)
+    speaker = stored(table.groupBy("t1", "t2").agg(F.min("doc_id").alias("s_id"), F.count(F.lit(1)).alias("copies")))
     known = speaker.join(found, "t1").select(F.col("t1").alias("k1"), F.col("t2").alias("k2"), "s_id", "found")
     texts = _packed(docs)
     held = texts.join(known, (texts["t1"] == known["k1"]) & (texts["t2"] == known["k2"]) & texts["doc_id"].eqNullSafe(known["s_id"]))
     held = stored(held.select("t1", "t2", "z", "found"))
     contexts = stored(_contexts(held))
-    narrow = contexts.where("not wide").select("h", "t1", "t2", "at", "size", "context").repartition("h").sortWithinPartitions("h")
+    # Runs of the same words are one leaf, and repeat as a whole if they are two: a passage that very many texts share is
+    # counted before anything of it is gathered.
+    spot = F.xxhash64("t1", "t2", "at")
+    same = stored(contexts.groupBy("d1", "d2").agg(F.min(spot).alias("a"), F.max(spot).alias("b")))
+    whole = contexts.select("t1", "t2", "at", "size", "d1", "d2").join(same.where("a <> b").select("d1", "d2"), ["d1", "d2"], "left_semi")
+    whole = whole.select("t1", "t2", "at", F.col("size").cast("long").alias("size"))
+    leaves = stored(contexts.withColumn("spot", spot).join(same.select("d1", "d2", F.col("a").alias("spot")), ["d1", "d2", "spot"], "left_semi").drop("d1", "d2", "spot"))
+    wide = stored(leaves.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("h"))
+    narrow = leaves.join(wide, "h", "left_anti").select("h", "t1", "t2", "at", "size", "context").repartition("h").sortWithinPartitions("h")
     trees = narrow.mapInArrow(_trees, "t1 long, t2 long, at long, size long")
-    wide = contexts.where("wide").select("context", "t1", "t2", "at")
-    # Two different places of a window; written, as a window of one word over and over may stand at very many.
+    # Of the others, each window is a prefix of its own; two different places make it an inner node.
+    windows = _windows(leaves.join(wide, "h", "left_semi"))
     spot = F.xxhash64("t1", "t2", "at")
-    often = wide.groupBy("context").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("context")
-    often = stored(often)
-    wide = wide.join(often, "context").select("t1", "t2", "at", F.lit(1).cast("long").alias("size"))
-    runs = trees.unionByName(wide).groupBy("t1", "t2").agg(F.collect_set(F.struct("at", "size")).alias("runs"))
+    often = stored(windows.groupBy("prefix").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("prefix"))
+    alone = windows.join(often, "prefix", "left_semi").select("t1", "t2", "at", F.lit(1).cast("long").alias("size"))
+    runs = trees.unionByName(alone).unionByName(whole).groupBy("t1", "t2").agg(F.collect_set(F.struct("at", "size")).alias("runs"))
     return table, speaker, held, runs
 
 

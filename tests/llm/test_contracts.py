@@ -372,6 +372,13 @@ def test_substrings(docs):
     assert rows(substrings.substrings(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == ordered(brute.substrings(pairs(docs)))
 
 
+def test_substrings_longer_prefixes(documents, awkward, monkeypatch):
+    """Groups too large for a task are split by whole windows, with the same result."""
+    monkeypatch.setattr(substrings, "GROUP", 1)
+    for docs in (documents, awkward):
+        assert rows(substrings.substrings(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == ordered(brute.substrings(pairs(docs)))
+
+
 def test_suffix_tree():
     """Order, common prefixes and inner nodes against sorted lists of words."""
     rng = random.Random(5)
@@ -412,7 +419,8 @@ def test_substrings_many_copies(spark, monkeypatch):
     """A text that most documents have: its documents are dealt in parts."""
     monkeypatch.setattr(substrings, "COPIES", 16)
     hot, other = " ".join(f"h{k}" for k in range(50)), " ".join(f"o{k}" for k in range(50))
-    data = [(k % 150, hot) for k in range(200)] + [(900, other), (901, "x " + other), (None, hot), (902, "short"), (903, None)]
+    data = [(950, " ".join(f"r{k}" for k in range(60)))] * 2 + [(951, " ".join(f"q{k}" for k in range(60)) + " " + " ".join(f"r{k}" for k in range(10)))]
+    data += [(k % 150, hot) for k in range(200)] + [(900, other), (901, "x " + other), (None, hot), (902, "short"), (903, None)]
     docs = spark.createDataFrame(data, "doc_id long, text string")
     assert rows(substrings.substrings(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == ordered(brute.substrings(pairs(docs)))
 
