@@ -175,8 +175,8 @@ def test_mixing(docs):
 def test_mixing_buckets(spark):
     """Light documents don't crowd the last buckets."""
     docs = spark.range(60000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'w' else repeat('w ', 70) end as text", "'s' as source")
-    rows = docs.select("doc_id", "source", mixing.words(F.col("text")).alias("size"), mixing.text_key().alias("text_key"))
-    rows = rows.withColumn("weight", mixing.quality(F.col("size")))
+    rows = docs.select("doc_id", "source", mixing.words(F.col("text")).alias("size"), mixing.text_key().alias("text_key"), "text")
+    rows = rows.withColumn("weight", mixing.quality(F.col("text"), F.col("size")))
     levels = rows.groupBy("source", "weight").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n"), F.collect_list(F.struct("weight", "n")).alias("levels"))
     u = (F.shiftrightunsigned("text_key", 11).cast("double") + 0.5) / F.lit(float(2**53))
     held = rows.join(levels).withColumn("key", -F.log(u) / F.col("weight")).groupBy(F.floor(mixing.rank(F.col("key")) * 120).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).orderBy("b").collect()
@@ -184,6 +184,32 @@ def test_mixing_buckets(spark):
     assert all(x.hi < y.lo for x, y in zip(held, held[1:]))
 
 
+def test_mixing_weights(spark):
+    """What is taken follows the weights: of weight w, 1 - e^(-w t) of the documents lie below a key t."""
+    text = "case when id % 2 = 0 then repeat('word ', 64) else repeat('w0,1 ', 64) end"
+    docs = spark.range(20000).selectExpr("id as doc_id", f"{text} as text", "case when id < 15000 then 'a' else 'b' end as source")
+    got = mixing.mixed(docs).where("source = 'a'").collect()
+    share = [sum(r.taken > 0 for r in got if r.doc_id % 2 == k) / sum(r.doc_id % 2 == k for r in got) for k in (0, 1)]
+    heavy, light = (r[0] for r in docs.where("doc_id < 2").orderBy("doc_id").select(mixing.quality(F.col("text"), mixing.words(F.col("text")))).collect())
+    t = -np.log(1 - share[0]) / heavy
+    assert heavy == 1.0 and light == 0.25 and 0.3 < share[0] < 0.9
+    assert abs(share[1] - (1 - np.exp(-light * t))) < 0.02
+
+
+def test_mixing_equal_rows(spark, monkeypatch):
+    """Equal rows, most of a source, are dealt out in parts, and their source comes near its target all the same."""
+    monkeypatch.setattr(mixing, "PART", 7)
+    monkeypatch.setattr(mixing, "SHELF", 2)
+    monkeypatch.setattr(mixing, "BUCKET", 5)
+    data = [(None, "one two three", "a")] * 100 + [(k, f"w{k} and more", "a") for k in range(60)] + [(k, "x " * 30, "b") for k in range(20)] + [(5, None, "b")] * 9
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = mixing.mixed(docs).collect()
+    assert len(got) == len(data) and sum(r.doc_id is None for r in got) == 100
+    for s, most in (("a", 3), ("b", 30)):
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= most / 2 + 1 and len({r.taken for r in own if r["size"] == most}) <= 2
+
+
 def test_embeddings(spark, small):
     vectors = spark.read.parquet(f"{small}/embeddings.parquet")
     data = [(r.vec_id, r.embedding, r.label) for r in vectors.collect()]
