@@ -33,14 +33,15 @@ def closure(relations: DataFrame, max_depth: int | None = None, strict: bool = F
 
 
 def mined_dispatch(dispatch: DataFrame, kinds: tuple[str, ...] = ("impl", "override"), max_depth: int | None = None) -> DataFrame:
-    """(src, dst, kind): closure of each kind by itself; a step never crosses from one kind to another."""
-    out = None
-    for kind in kinds:
-        own = dispatch.where(F.col("kind") == kind).select(F.col("source_member").alias("src"), F.col("target_member").alias("dst"))
-        far = reach(own, own.select(F.col("src").alias("seed"), F.col("src").alias("sym")).distinct(), max_depth).where("depth > 0")
-        rows = far.select(F.col("seed").alias("src"), F.col("sym").alias("dst"), F.lit(kind).alias("kind"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """(src, dst, kind): closure of each kind by itself; a step never crosses from one kind to another.
+
+    All kinds go through one walk, each in nodes of its own.
+    """
+    node = lambda c: F.concat("kind", F.lit("\u001f"), c)
+    own = dispatch.where(F.col("kind").isin(*kinds)).select(node("source_member").alias("src"), node("target_member").alias("dst"))
+    far = reach(own, own.select(F.col("src").alias("seed"), F.col("src").alias("sym")).distinct(), max_depth).where("depth > 0")
+    bare = lambda c: F.substring_index(c, "\u001f", -1)
+    return far.select(bare("seed").alias("src"), bare("sym").alias("dst"), F.substring_index("seed", "\u001f", 1).alias("kind"))
 
 
 def cha_dispatch(methods: DataFrame, ancestors: DataFrame, mined: DataFrame) -> DataFrame:
@@ -77,6 +78,22 @@ def narrowed_calls(calls: DataFrame, targets: DataFrame, ancestors: DataFrame) -
     return narrowed_dispatch(hubs.join(targets.select("hub").distinct(), "hub", "left_semi"), targets, ancestors)
 
 
+def narrowed_hops(calls: DataFrame, targets: DataFrame, narrowed: DataFrame) -> DataFrame:
+    """(src, dst): a call's member, and what the call may be dispatched to there: by its receiver where that narrows the
+    member, else all of the member's targets. A walk over these, forwards or backwards, never dispatches twice in a row.
+    """
+    own = calls.select("src", F.col("dst").alias("hub"), F.col("receiver_type").alias("receiver")).distinct()
+    by_receiver = own.join(narrowed, ["hub", "receiver"]).select("src", "dst")
+    rest = own.join(narrowed.select("hub", "receiver").distinct(), ["hub", "receiver"], "left_anti")
+    return own.select("src", F.col("hub").alias("dst")).unionByName(by_receiver).unionByName(rest.join(targets.select("hub", "dst"), "hub").select("src", "dst")).distinct()
+
+
+def source_edges(edges: DataFrame) -> DataFrame:
+    """(src, dst, kind, line) with instantiations ``id~mono...`` folded back to their members, once each."""
+    own = lambda c: F.substring_index(c, "~mono", 1).alias(c)
+    return edges.select(own("src"), own("dst"), "kind", "line").distinct()
+
+
 def redirected(refs: DataFrame, rules: DataFrame) -> DataFrame:
     """(src, dst, line): references whose target's bare type matches a rule go to the rule's type instead."""
     bare = refs.withColumn("declaring", docid.declaring_type(F.col("target")))

@@ -285,3 +285,57 @@ def chosen(stores: DataFrame, ref: str) -> DataFrame:
         return stores.orderBy(F.desc("created_at"), "store_id").limit(1)
     both = stores.withColumn("_exact", F.col("store_id") == ref).where(F.col("_exact") | F.startswith("store_id", F.lit(ref)))
     return both.withColumn("_any", F.max("_exact").over(W.partitionBy(F.lit(0)))).where("_exact or not _any").drop("_exact", "_any")
+
+
+def at_sites(sites: DataFrame, methods: DataFrame) -> DataFrame:
+    """sites (file_path, line, ...) with the members that stand there."""
+    return sites.join(methods.select("file_path", "line", "symbol_id").distinct(), ["file_path", "line"]).select(*sites.columns, "symbol_id")
+
+
+def ends(methods: DataFrame, lambdas: DataFrame) -> DataFrame:
+    """(symbol_id, file_path, line, end_line, nested) of methods and of the lambdas in them; no end before its beginning."""
+    rows = lambda df, nested: df.select("symbol_id", "file_path", "line", F.greatest("line", "end_line").alias("end_line"), F.lit(nested).alias("nested"))
+    return rows(methods, False).unionByName(rows(lambdas, True))
+
+
+def signatures(methods: DataFrame, refs: DataFrame) -> DataFrame:
+    """(symbol_id, signature, bindings) of the members that are called with type arguments, and with how many of them."""
+    bound = refs.where("type_arguments is not null").groupBy(F.col("target").alias("symbol_id")).agg(F.countDistinct("type_arguments").alias("bindings"))
+    return methods.select("symbol_id", F.regexp_extract("symbol_id", r"\((.*)\)", 1).alias("signature")).join(bound, "symbol_id")
+
+
+def seed_notices(patterns: list[str], names: DataFrame, edges: DataFrame) -> DataFrame:
+    """(pattern, notice, matches): why a walk from a pattern may be empty: it names nothing, or nothing that calls.
+
+    One pass over the names for all patterns, which a user types.
+    """
+    leads = edges.select(F.col("src").alias("sym")).distinct().withColumn("leads", F.lit(True))
+    hit = F.filter(F.array(*(F.when(F.contains(F.lower("sym"), F.lit(p.lower())), F.lit(p)) for p in patterns)), lambda p: p.isNotNull())
+    found = names.join(leads, "sym", "left").select(F.explode(hit).alias("pattern"), "leads").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count("leads").alias("leads"))
+    rows = names.sparkSession.createDataFrame([(p,) for p in patterns], "pattern string").join(found, "pattern", "left")
+    notice = F.when(F.col("n").isNull(), "no match").when(F.col("leads") == 0, "no calls out of it").otherwise("found")
+    return rows.select("pattern", notice.alias("notice"), F.coalesce("n", F.lit(0)).cast("long").alias("matches"))
+
+
+def guards_only(guards: DataFrame, footprint: DataFrame, access: DataFrame) -> DataFrame:
+    """Guard changes (src, dst, change) of members whose effects stayed as they were, and whether the member writes shared state."""
+    quiet = guards.join(footprint.select(F.col("enclosing").alias("src")).distinct(), "src", "left_anti")
+    writes = access.where((F.col("access") == "write") & F.array_contains(F.split("modifiers", " "), "static")).select(F.col("enclosing").alias("src")).distinct().withColumn("shared", F.lit(True))
+    return quiet.join(writes, "src", "left").select("src", "dst", "change", F.coalesce("shared", F.lit(False)).alias("shared_mutation"))
+
+
+def entry_footprint(reach: DataFrame, effects: DataFrame) -> DataFrame:
+    """(seed, provider, operation, n, in_loop): of each entry point's reach (seed, sym), the members that produce an effect."""
+    own = effects.groupBy(F.col("enclosing").alias("sym"), "provider", "operation").agg(F.bool_or("in_loop").alias("in_loop"))
+    return reach.select("seed", "sym").join(own, "sym").groupBy("seed", "provider", "operation").agg(F.count(F.lit(1)).alias("n"), F.bool_or("in_loop").alias("in_loop"))
+
+
+def entry_changes(base: DataFrame, head: DataFrame) -> DataFrame:
+    """(seed, provider, operation, change, delta) between two footprints of the entry points that both have: added, removed,
+    or amplified, by more producers or by a loop."""
+    keys = ["seed", "provider", "operation"]
+    both = base.select(*keys, F.col("n").alias("b_n"), F.col("in_loop").alias("b_loop")).join(head.select(*keys, F.col("n").alias("h_n"), F.col("in_loop").alias("h_loop")), keys, "full_outer")
+    ends_ = base.select("seed").distinct().join(head.select("seed").distinct(), "seed", "left_semi")
+    change = F.when(F.col("b_n").isNull(), "added").when(F.col("h_n").isNull(), "removed").when((F.col("h_n") > F.col("b_n")) | (F.col("h_loop") & ~F.col("b_loop")), "amplified")
+    rows = both.join(ends_, "seed", "left_semi").withColumn("change", change).where("change is not null")
+    return rows.select(*keys, "change", (F.coalesce("h_n", F.lit(0)) - F.coalesce("b_n", F.lit(0))).alias("delta"))

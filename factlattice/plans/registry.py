@@ -927,3 +927,7 @@ def _(f):
     """What the entry points touch: their closure, and the effects in it."""
     known = reach.reach_from(pairs_of(f), entry_seeds(f), None)
     return fx.summary(effects_of(f).join(known.withColumnRenamed("sym", "enclosing"), "enclosing", "left_semi"))
+
+
+# The rest of the queries, which use the tables above.
+from . import inquiries  # noqa: E402,F401
