@@ -7,11 +7,11 @@ import uuid
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.shared import path_of
+from ..sources.shared import path_of, written
 
 
 def overlaid(base: DataFrame, edits: DataFrame) -> DataFrame:
@@ -139,8 +139,62 @@ class LiveFacts:
         return edits.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def dirty_projects(changed: DataFrame, depends: DataFrame, max_depth: int = 20) -> DataFrame:
+def dirty_projects(changed: DataFrame, depends: DataFrame, max_depth: int | None = 20) -> DataFrame:
     """Projects to look at again: those of the changed files and all that depend on them."""
     from ..operators.reach import reach_from, reversed_edges
 
     return reach_from(reversed_edges(depends), changed.select("sym"), max_depth).select("sym").distinct()
+
+
+class Declined(Exception):
+    """Some projects are owed a look: the live facts can't answer exactly, and don't answer in part."""
+
+
+class LiveHost:
+    """Answers over live facts, exact or none.
+
+    depends (src, dst) says which project uses which. An edit makes the projects of its files owed; where the surface of a
+    project changes, what others can see of it, all that depend on it are owed too. What is owed stays so until it is
+    settled, after which answers are given again. Answers are kept for the generation that they were asked of.
+    """
+
+    def __init__(self, facts: LiveFacts, depends: DataFrame, project: Column, surface: list[str]):
+        """project tells a row's project; surface names the columns that others can see."""
+        self.facts, self.depends, self.project, self.surface = facts, depends, project, surface
+        self.owed: set[str] = set()
+        self.known: dict[tuple[int, str], DataFrame] = {}
+
+    def surfaces(self, revision: int) -> DataFrame:
+        """(sym, mark) of each project: an order-independent digest of what others can see."""
+        rows = self.facts.snapshot(revision).select(self.project.alias("sym"), *self.surface).distinct()
+        own = F.sha2(F.to_json(F.struct(*(F.col(c) for c in self.surface))), 256)
+        bits = lambda at: F.conv(F.substring(own, at, 15), 16, 10).cast("long")
+        return rows.groupBy("sym").agg(*(F.bit_xor(bits(15 * k + 1)).alias(f"x{k}") for k in range(4)), F.count(F.lit(1)).alias("n")).select("sym", F.struct("x0", "x1", "x2", "x3", "n").alias("mark"))
+
+    def edit(self, edits: DataFrame, batch: int, stream: str = "") -> bool:
+        """Applies a burst; its projects, and those that its changed surfaces reach, are owed from then on."""
+        before = self.facts.revision
+        if not self.facts.apply(edits, batch, stream):
+            return False
+        files = edits.select("file_path").distinct()
+        both = self.facts.snapshot(before).unionByName(self.facts.snapshot())
+        changed = both.join(files, "file_path", "left_semi").select(self.project.alias("sym")).distinct()
+        old, new = self.surfaces(before), self.surfaces(self.facts.revision)
+        seen = old.select("sym", F.col("mark").alias("a")).join(new.select("sym", F.col("mark").alias("b")), "sym", "full_outer").where("not (a <=> b)").select("sym")
+        # As many rows as projects are owed come to the driver.
+        self.owed |= {r["sym"] for r in changed.union(dirty_projects(seen, self.depends, None)).distinct().collect()}
+        return True
+
+    def settle(self, projects: list[str] | None = None) -> None:
+        """The projects given, or all that are owed, have been looked at again."""
+        self.owed -= set(self.owed if projects is None else projects)
+
+    def ask(self, name: str, question: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """The answer to a question about the facts, kept for this generation; Declined while anything is owed."""
+        if self.owed:
+            raise Declined(f"owed a look: {', '.join(sorted(self.owed))}")
+        key = (self.facts.revision, name)
+        if key not in self.known:
+            self.known = {k: v for k, v in self.known.items() if k[0] == key[0]}
+            self.known[key] = written(question(self.facts.snapshot()))
+        return self.known[key]

@@ -134,3 +134,41 @@ def test_confirmed(spark, small):
     for seed, hit in got.items():
         assert hit == bool({(goal, False), (goal, True)} & reachable(steps, (seed, False)))
     assert any(got.values())
+
+
+def test_live_host(spark, tmp_path):
+    """A body's edit owes its own project, a surface's edit all that depend on it; nothing is answered while any is owed."""
+    kind = "file_path string, symbol_id string, modifiers string, body_hash string"
+    base = spark.createDataFrame([("p1/a", "M:A", "public", "h1"), ("p2/b", "M:B", "public", "h1"), ("p3/c", "M:C", "private", "h1"), ("p4/d", "M:D", "public", "h1")], kind)
+    depends = spark.createDataFrame([("p2", "p1"), ("p3", "p2")], "src string, dst string")
+    host = overlay.LiveHost(overlay.LiveFacts(spark, f"file://{tmp_path}/live", base), depends, F.substring_index("file_path", "/", 1), ["symbol_id", "modifiers"])
+    made = []
+
+    def question(df):
+        made.append(1)
+        return df.agg(F.count(F.lit(1)).alias("n"))
+
+    assert [host.ask("n", question).first()["n"] for _ in range(2)] == [4, 4] and len(made) == 1
+    edit = lambda *row: spark.createDataFrame([(*row, 1)], kind + ", generation int")
+    assert host.edit(edit("p1/a", "M:A", "public", "h2"), 0, "s") and host.owed == {"p1"}
+    with pytest.raises(overlay.Declined):
+        host.ask("n", question)
+    host.settle()
+    assert host.ask("n", question).first()["n"] == 4 and len(made) == 2
+    assert host.edit(edit("p1/a", "M:A2", "public", "h2"), 1, "s") and host.owed == {"p1", "p2", "p3"}
+    host.settle(["p1", "p2"])
+    with pytest.raises(overlay.Declined, match="p3"):
+        host.ask("n", question)
+    assert not host.edit(edit("p4/d", "M:D", "public", "h9"), 1, "s") and host.owed == {"p3"}
+    host.settle()
+    assert host.ask("n", question).first()["n"] == 4
+
+
+def test_narrowed_hops(spark):
+    """A receiver that narrows leads to its targets only; others lead to all; the member itself is always reached."""
+    from factlattice.operators import graph
+
+    calls = spark.createDataFrame([("a", "hub", "T1"), ("b", "hub", None), ("c", "plain", "T1")], "src string, dst string, receiver_type string")
+    targets = spark.createDataFrame([("hub", "x"), ("hub", "y")], "hub string, dst string")
+    narrowed = spark.createDataFrame([("hub", "T1", "x")], "hub string, receiver string, dst string")
+    assert sorted(map(tuple, graph.narrowed_hops(calls, targets, narrowed).collect())) == [("a", "hub"), ("a", "x"), ("b", "hub"), ("b", "x"), ("b", "y"), ("c", "plain")]
