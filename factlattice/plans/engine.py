@@ -52,15 +52,30 @@ class Engine:
     def hops(self) -> DataFrame:
         return self.calls.select("src", "dst").union(self.dispatch.select(F.col("hub").alias("src"), "dst")).distinct()
 
+    @cached_property
+    def narrow(self) -> DataFrame:
+        """(src, dst) of calls and of what each call may be dispatched to by its receiver."""
+        own = graph.call_edges(self.facts.refs).join(self.calls.select("src", "dst").distinct(), ["src", "dst"], "left_semi")
+        return graph.narrowed_hops(own, self.dispatch, graph.narrowed_calls(own, self.dispatch, self.ancestors))
+
+    def ahead(self, seeds: DataFrame) -> DataFrame:
+        """The narrowed graph as seen from start points: what they may be dispatched to themselves has no receiver to narrow it."""
+        own = self.dispatch.join(seeds.select(F.col("sym").alias("hub")), "hub", "left_semi").select(F.col("hub").alias("src"), "dst")
+        return self.narrow.union(own)
+
     def seeds(self, pattern: str) -> DataFrame:
         return graph.matched(self.facts.methods.select(F.col("symbol_id").alias("sym")).distinct(), pattern)
 
     # Traversals
 
     def reaches(self, pattern: str, max_depth: int = 20) -> DataFrame:
-        """(sym, depth) from what a pattern names; a member that dispatch chose is not dispatched again."""
-        steps = self.dispatch.select(F.col("hub").alias("src"), "dst")
-        return reach.one_hop(self.calls.select("src", "dst"), steps, self.seeds(pattern), max_depth).groupBy("sym").agg(F.min("depth").alias("depth"))
+        """(sym, depth) from what a pattern names; a call is dispatched by its receiver, and what that chose not again."""
+        seeds = self.seeds(pattern)
+        return reach.reach_from(self.ahead(seeds), seeds, max_depth)
+
+    def notices(self, patterns: list[str]) -> DataFrame:
+        """Why walks from patterns may be empty."""
+        return reports.seed_notices(patterns, self.facts.methods.select(F.col("symbol_id").alias("sym")).distinct(), self.calls)
 
     def touches(self, pattern: str, max_depth: int = 20, only: list[str] = (), exclude: list[str] = ()) -> DataFrame:
         """Effects in the reach of a pattern, counted by provider and operation."""
@@ -69,9 +84,9 @@ class Engine:
 
     def callers(self, pattern: str, max_depth: int = 20, lens: str = "flat") -> DataFrame:
         """(sym, depth) of what reaches a pattern; lens roots: those that nothing calls, entrypoints: those that are entries."""
-        known = reach.reach_from(reach.reversed_edges(self.hops), self.seeds(pattern), max_depth)
+        known = reach.reach_from(reach.reversed_edges(self.narrow), self.seeds(pattern), max_depth)
         if lens == "roots":
-            return known.join(reach.roots(self.hops, known), "sym", "left_semi")
+            return known.join(reach.roots(self.narrow, known), "sym", "left_semi")
         if lens == "entrypoints":
             return known.join(self.entrypoints().select(F.col("symbol_id").alias("sym")), "sym", "left_semi")
         return known
@@ -93,7 +108,8 @@ class Engine:
         return back.join(met, "seed", "left").select("seed", F.coalesce("hit", F.lit(False)).alias("hit"))
 
     def path(self, start: str, goal: str, max_depth: int = 20) -> list[str]:
-        return reach.shortest_path(self.hops, self._one(start), self._one(goal), max_depth)
+        first = self._one(start)
+        return reach.shortest_path(self.ahead(self.spark.createDataFrame([(first,)], "sym string")), first, self._one(goal), max_depth)
 
     def tree(self, pattern: str, max_depth: int = 50, max_nodes: int = 50_000) -> list[tuple[int, int, str, int, str]]:
         return reach.call_tree(self.calls, self._one(pattern), max_depth, max_nodes)
@@ -185,6 +201,16 @@ class Engine:
         changed = reports.changed_bodies(self.facts.methods, head.facts.methods)
         return reports.reach_changes(closure(self), closure(head), changed).orderBy(F.desc("delta"), "seed")
 
+    def footprint(self, max_depth: int | None = None) -> DataFrame:
+        """(seed, provider, operation, n, in_loop): effects in the reach of each entry point, by how many members produce them."""
+        seeds = self.entrypoints().select(F.col("symbol_id").alias("seed"), F.col("symbol_id").alias("sym")).distinct()
+        looped = fx.iterated(self.effects(), self.rules).select("enclosing", "provider", "operation", F.col("iteration").isNotNull().alias("in_loop"))
+        return reports.entry_footprint(reach.reach(self.ahead(seeds), seeds, max_depth), looped)
+
+    def footprint_changes(self, head: Engine, max_depth: int | None = None) -> DataFrame:
+        """What the entry points of both stores do more, less or in a loop in head."""
+        return reports.entry_changes(self.footprint(max_depth), head.footprint(max_depth))
+
     # Listings
 
     def symbols(self, text: str, limit: int = 50) -> DataFrame:
