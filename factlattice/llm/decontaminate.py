@@ -29,7 +29,7 @@ from .common import fresh
 from .fm_index import FMIndex
 
 #: Bytes of a shard's text, and of a benchmark block.
-SHARD, BLOCK = 8 << 20, 4 << 20
+SHARD, BLOCK = 3 << 20, 4 << 20
 #: Lower-cases A-Z, and makes a space of each byte that is no word byte.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")

@@ -30,10 +30,14 @@ class WaveletMatrix:
     def __init__(self, seq: np.ndarray, symbols: int):
         self.levels = max(1, int(symbols - 1).bit_length())
         self.ones, self.zeros = [], []
+        # A shard has far fewer than 2^31 symbols: half the width of places will do for counts.
+        seq = seq.astype(np.int32)
         for level in reversed(range(self.levels)):
             bit = (seq >> level) & 1
-            self.ones.append(np.concatenate(([0], np.cumsum(bit, dtype=np.int64))))
-            self.zeros.append(int(len(seq) - bit.sum()))
+            ones = np.zeros(len(seq) + 1, np.int32)
+            np.cumsum(bit, out=ones[1:])
+            self.ones.append(ones)
+            self.zeros.append(len(seq) - int(ones[-1]))
             seq = np.concatenate((seq[bit == 0], seq[bit == 1]))
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
