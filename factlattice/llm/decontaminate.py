@@ -170,15 +170,20 @@ def _blocks(benchmark: DataFrame) -> list:
     return [(uuid.uuid4().hex, spark.sparkContext.broadcast([(r.item_id, r.text) for r in rows.where(part == k).toLocalIterator()])) for k in range(n)]
 
 
-def spotted(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text, the columns of keep, then array<struct<s,e>> of hit word spans (merged), and array<string> of items."""
+def spotted(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[str, ...] = (), last=None, schema=None) -> DataFrame:
+    """doc_id, text, the columns of keep, then array<struct<s,e>> of hit word spans (merged), and array<string> of items.
+
+    last(batch, spans, items), if given, makes the result's batches, of the schema given, from such a batch and the names of
+    its last two columns, in the same Python worker as the last search.
+    """
     held = [c for c in dict.fromkeys(("doc_id", "text", *keep))]
     spans_, items_ = fresh(docs, "_spans", "_items")
     empty = F.expr("cast(array() as array<struct<s:int,e:int>>)").alias(spans_), F.expr("cast(array() as array<string>)").alias(items_)
     out = docs.select(*held, *empty)
     kind = out.schema
+    finish = (lambda batch: last(batch, spans_, items_)) if last else None
 
-    def search(name, block):
+    def search(name, block, then):
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in _slices(whole):
@@ -191,12 +196,18 @@ def spotted(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple
                         items = [{*a, *b} for a, b in zip(old[1], items, strict=True)]
                     a = pa.array([[{"s": s, "e": e} for s, e in x] for x in spans], batch.schema.field(spans_).type)
                     b = pa.array([sorted(x) for x in items], batch.schema.field(items_).type)
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:-2], a, b], batch.schema.names)
+                    made = pa.RecordBatch.from_arrays([*batch.columns[:-2], a, b], batch.schema.names)
+                    yield then(made) if then else made
 
         return scan
 
-    for name, block in _blocks(benchmark):
-        out = out.mapInArrow(search(name, block), kind)
+    blocks = _blocks(benchmark)
+    for name, block in blocks[:-1]:
+        out = out.mapInArrow(search(name, block, None), kind)
+    for name, block in blocks[-1:]:
+        out = out.mapInArrow(search(name, block, finish), schema if last else kind)
+    if last and not blocks:
+        out = out.mapInArrow(lambda batches: map(finish, batches), schema)
     return out
 
 
@@ -214,18 +225,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     """The contract's columns, one row per row of docs. No shuffle: each text passes once through each block."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = [len(words(t.as_py())) for t in batch.column("text")]
-            spans, items = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            hit = [sum(x["e"] - x["s"] for x in s) for s in spans]
-            sha = [hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()),
-                pa.array(sha, pa.string()), pa.array([h > 0 for h in hit], pa.bool_()),
-            ], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+    def digest(batch: pa.RecordBatch, spans_: str, items_: str) -> pa.RecordBatch:
+        n = [len(words(t.as_py())) for t in batch.column("text")]
+        spans, items = batch.column(spans_).to_pylist(), batch.column(items_).to_pylist()
+        hit = [sum(x["e"] - x["s"] for x in s) for s in spans]
+        sha = [hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]
+        return pa.RecordBatch.from_arrays([
+            batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()),
+            pa.array(sha, pa.string()), pa.array([h > 0 for h in hit], pa.bool_()),
+        ], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return spotted(docs, benchmark, window).mapInArrow(digest, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return spotted(docs, benchmark, window, last=digest, schema=f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -235,27 +245,22 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFram
     """
     columns = docs.columns
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = {c: k for k, c in enumerate(columns)}
-        for batch in batches:
-            spans, texts = batch.column(len(columns)).to_pylist(), batch.column("text")
-            out, sizes, keep = [], batch.column("n_chars").to_pylist() if "n_chars" in at else None, []
-            for k, (span, text) in enumerate(zip(spans, texts, strict=True)):
-                text = text.as_py()
-                if span:
-                    text = without(text, [(x["s"], x["e"]) for x in span])
-                    if sizes is not None:
-                        sizes[k] = len(text)
-                out.append(text)
-                keep.append(not span or bool(words(text)))
-            cols = [batch.column(c) for c in columns]
-            cols[at["text"]] = pa.array(out, batch.schema.field("text").type)
-            if sizes is not None:
-                cols[at["n_chars"]] = pa.array(sizes, batch.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays(cols, columns).filter(pa.array(keep))
-
-    marked = spotted(docs, benchmark, window, tuple(columns))
-    return marked.select(*columns, marked.columns[-2]).mapInArrow(cut, docs.schema)
+    def cut(batch: pa.RecordBatch, spans_: str, items_: str) -> pa.RecordBatch:
+        spans, texts = batch.column(spans_).to_pylist(), batch.column("text")
+        out, sizes, keep = [], batch.column("n_chars").to_pylist() if "n_chars" in columns else None, []
+        for k, (span, text) in enumerate(zip(spans, texts, strict=True)):
+            text = text.as_py()
+            if span:
+                text = without(text, [(x["s"], x["e"]) for x in span])
+                if sizes is not None:
+                    sizes[k] = len(text)
+            out.append(text)
+            keep.append(not span or bool(words(text)))
+        new = {"text": out, "n_chars": sizes}
+        cols = [pa.array(new[c], batch.schema.field(c).type) if new.get(c) is not None else batch.column(c) for c in columns]
+        return pa.RecordBatch.from_arrays(cols, columns).filter(pa.array(keep, pa.bool_()))
+
+    return spotted(docs, benchmark, window, tuple(columns), cut, docs.schema)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
