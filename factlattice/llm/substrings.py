@@ -6,8 +6,9 @@ repeated window. The suffixes of the others are dealt by that phrase, their pref
 same words are one leaf, which repeats as a whole if it stands at two places. A group that fits a task's memory becomes a
 suffix tree there: a suffix array, the lengths of its neighbours' common prefixes, and the intervals of these, which are
 the tree's inner nodes. Those at least 35 words deep are the repeats, and all leaves below them are repeated windows. A
-group of more than GROUP leaves is split by longer prefixes, the 35 words themselves, at which a node is a count that
-needs no gathering.
+group of more than GROUP leaves is split by its suffixes' own first words, as many as PREFIXES says at a time: a suffix
+that shares its prefix with no other is done, a group that fits now becomes a tree, and only larger ones go on to the
+next length. At the last, 35 words, a node is a count that needs no gathering.
 
 Texts that are equal as a whole are one text with a count. Texts move once, compressed, and only those with a
 candidate are kept for the end. Text identity and the longest prefixes are 128-bit digests; all else compares words.
@@ -34,6 +35,8 @@ WINDOW, GRAM = 35, 8
 #: Runs of windows of one prefix that a task takes as a tree, at most 62 words each; text bytes and words that are worked
 #: on at once; documents of one text that one task is to join.
 GROUP, BYTES, WORDS, COPIES = 1 << 14, 4 << 20, 1 << 20, 4096
+#: Words of the prefixes that split a larger group, one after the other; the last is always a whole window.
+PREFIXES = (16, 24)
 R = np.uint64(0x9E3779B97F4A7C15)
 R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 Q = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -188,19 +191,50 @@ def _contexts(held: DataFrame) -> DataFrame:
     return held.select("t1", "t2", "z", "found").mapInArrow(scan, "h long, t1 long, t2 long, at long, size int, d1 long, d2 long, context binary")
 
 
-def _windows(contexts: DataFrame) -> DataFrame:
-    """(t1, t2, at, prefix): each window of the contexts by itself, with a digest of its words."""
+def _suffixes(contexts: DataFrame) -> DataFrame:
+    """(t1, t2, at, context): the words of each window of the contexts by itself."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
+            size = 0
             for t1, t2, at, n, context in zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "at", "size", "context")), strict=True):
                 ws = context.split()
-                rows += [(t1, t2, at + k, xxhash.xxh128_digest(b" ".join(ws[k:k + WINDOW]))) for k in range(n)]
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["t1", "t2", "at", "prefix"])
+                for k in range(n):
+                    rows.append((t1, t2, at + k, b" ".join(ws[k:k + WINDOW])))
+                    size += len(rows[-1][3]) + 64
+                if size > BYTES:
+                    yield made(rows)
+                    rows, size = [], 0
+            yield made(rows)
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["t1", "t2", "at", "context"])
 
-    return contexts.select("t1", "t2", "at", "size", "context").mapInArrow(scan, "t1 long, t2 long, at long, prefix binary")
+    return contexts.select("t1", "t2", "at", "size", "context").mapInArrow(scan, "t1 long, t2 long, at long, context binary")
+
+
+def _split(contexts: DataFrame) -> DataFrame:
+    """(t1, t2, at, size): the repeated windows of contexts in groups too large for a task, by longer and longer prefixes."""
+    one = F.lit(1).cast("long").alias("size")
+    spot = F.xxhash64("t1", "t2", "at")
+    open_, out = _suffixes(contexts), None
+    for length in (*PREFIXES, WINDOW):
+        keyed = open_.withColumn("prefix", F.md5(F.substring_index(F.col("context").cast("string"), " ", length)))
+        if length == WINDOW:
+            keyed = keyed.drop("context")
+        # Prefixes at two places; written, so that the join on one that very many suffixes have can be split.
+        nodes = stored(keyed.groupBy("prefix").agg(F.min(spot).alias("a"), F.max(spot).alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("prefix", "n"))
+        met = keyed.join(nodes, "prefix")
+        if length == WINDOW:
+            done = met.select("t1", "t2", "at", one)
+        else:
+            fits = met.where(F.col("n") <= GROUP).select(F.col("prefix").alias("h"), "t1", "t2", "at", F.lit(1).alias("size"), "context")
+            done = fits.repartition("h").sortWithinPartitions("h").mapInArrow(_trees, "t1 long, t2 long, at long, size long")
+            open_ = stored(met.where(F.col("n") > GROUP).select("t1", "t2", "at", "context"))
+        out = done if out is None else out.unionByName(done)
+    return out
 
 
 def suffix_tree(contexts: list[list[bytes]], windows: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -311,19 +345,18 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
     # Runs of the same words are one leaf, and repeat as a whole if they are two: a passage that very many texts share is
     # counted before anything of it is gathered.
     spot = F.xxhash64("t1", "t2", "at")
-    same = stored(contexts.groupBy("d1", "d2").agg(F.min(spot).alias("a"), F.max(spot).alias("b")))
-    whole = contexts.select("t1", "t2", "at", "size", "d1", "d2").join(same.where("a <> b").select("d1", "d2"), ["d1", "d2"], "left_semi")
-    whole = whole.select("t1", "t2", "at", F.col("size").cast("long").alias("size"))
+    same = stored(contexts.groupBy("d1", "d2").agg(F.min(spot).alias("a"), F.max(spot).alias("b"), F.ceil(F.count(F.lit(1)) / float(COPIES)).cast("int").alias("parts")))
+    # Places of a run that very many texts have are dealt in parts, like documents of one text below.
+    hot = stored(same.where("parts > 1").select("d1", "d2", "parts"))
+    whole = contexts.select("t1", "t2", "at", F.col("size").cast("long").alias("size"), "d1", "d2").join(hot, ["d1", "d2"], "left")
+    whole = whole.withColumn("part", F.pmod(spot, F.coalesce("parts", F.lit(1))).cast("int"))
+    often = same.where("a <> b").select("d1", "d2", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    whole = whole.join(often, ["d1", "d2", "part"], "left_semi").select("t1", "t2", "at", "size")
     leaves = stored(contexts.withColumn("spot", spot).join(same.select("d1", "d2", F.col("a").alias("spot")), ["d1", "d2", "spot"], "left_semi").drop("d1", "d2", "spot"))
     wide = stored(leaves.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("h"))
     narrow = leaves.join(wide, "h", "left_anti").select("h", "t1", "t2", "at", "size", "context").repartition("h").sortWithinPartitions("h")
     trees = narrow.mapInArrow(_trees, "t1 long, t2 long, at long, size long")
-    # Of the others, each window is a prefix of its own; two different places make it an inner node.
-    windows = _windows(leaves.join(wide, "h", "left_semi"))
-    spot = F.xxhash64("t1", "t2", "at")
-    often = stored(windows.groupBy("prefix").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("prefix"))
-    alone = windows.join(often, "prefix", "left_semi").select("t1", "t2", "at", F.lit(1).cast("long").alias("size"))
-    runs = trees.unionByName(alone).unionByName(whole).groupBy("t1", "t2").agg(F.collect_set(F.struct("at", "size")).alias("runs"))
+    runs = trees.unionByName(_split(leaves.join(wide, "h", "left_semi"))).unionByName(whole).groupBy("t1", "t2").agg(F.collect_set(F.struct("at", "size")).alias("runs"))
     return table, speaker, held, runs
 
 

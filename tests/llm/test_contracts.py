@@ -398,9 +398,12 @@ def test_substrings(docs):
     assert rows(substrings.substrings(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == ordered(brute.substrings(pairs(docs)))
 
 
-def test_substrings_longer_prefixes(documents, awkward, monkeypatch):
-    """Groups too large for a task are split by whole windows, with the same result."""
-    monkeypatch.setattr(substrings, "GROUP", 1)
+@pytest.mark.parametrize(("group", "prefixes"), [(1, (16, 24)), (3, (12, 30, 34))])
+def test_substrings_longer_prefixes(documents, awkward, monkeypatch, group, prefixes):
+    """Groups too large for a task are split by longer prefixes, whichever they are, with the same result."""
+    monkeypatch.setattr(substrings, "GROUP", group)
+    monkeypatch.setattr(substrings, "PREFIXES", prefixes)
+    monkeypatch.setattr(substrings, "COPIES", 2)
     for docs in (documents, awkward):
         assert rows(substrings.substrings(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == ordered(brute.substrings(pairs(docs)))
 
@@ -451,9 +454,20 @@ def test_substrings_many_copies(spark, monkeypatch):
     assert rows(substrings.substrings(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == ordered(brute.substrings(pairs(docs)))
 
 
-def test_substrings_wide_groups(documents, monkeypatch):
-    monkeypatch.setattr(substrings, "GROUP", 1)
-    assert rows(substrings.substrings(documents), "doc_id", "n_words", "n_removed", "kept_sha256") == ordered(brute.substrings(pairs(documents)))
+def test_substrings_near_passages(spark, monkeypatch):
+    """Passages that differ in a word here and there: some windows part within a prefix, some after it, some never."""
+    monkeypatch.setattr(substrings, "GROUP", 4)
+    rng = random.Random(11)
+    base = [f"w{k % 17}" for k in range(90)]
+    data = []
+    for k in range(60):
+        ws = list(base)
+        for at in rng.sample(range(90), rng.randint(0, 3)):
+            ws[at] = f"x{rng.randint(0, 1)}"
+        data.append((k, " ".join(ws)))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = rows(substrings.substrings(docs), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == ordered(brute.substrings(pairs(docs))) and len({r[2] for r in got}) > 3
 
 
 def _unigram(pieces):
