@@ -15,22 +15,23 @@ select c.src, t.dst from calls c join targets t on t.hub = c.dst where not exist
 NARROWING = (r.EDGES, r.CLOSURE, r.MINED, r.CALLS, r.TARGETS, r.NARROWED, NARROW_HOPS)
 
 
-def hops_of(f):
-    def made():
-        calls, targets = r.calls_of(f), r.targets_of(f)
-        return graph.narrowed_hops(calls, targets, graph.narrowed_calls(calls, targets, r.ancestors_of(f)))
-
-    return f.kept("narrowed_hops", made)
+def ways_of(f):
+    """The narrowed graph: calls, ways into the nodes of dispatch, ways out of them."""
+    made = lambda: graph.narrowed_ways(r.calls_of(f), *r.groups_of(f), r.narrowed_of(f)[1])
+    return r.pairs_of(f), f.kept("narrowed_into", lambda: made()[0]), f.kept("narrowed_out", lambda: made()[1])
 
 
 @query("reach_narrowed_forward", "select sym, cast(min(depth) as bigint) as depth from w group by sym", *NARROWING, r.closure_sql("w", r.SEEDS, "hops"))
 def _(f):
-    return reach.reach_from(hops_of(f), r.seeds(f).select("sym"), None)
+    edges, into, out = ways_of(f)
+    return reach.reach_by(edges, into, out, r.seeds(f).withColumn("seed", F.lit(0))).select("sym", "depth")
 
 
 @query("reach_narrowed_reverse", "select sym, cast(min(depth) as bigint) as depth from w group by sym", *NARROWING, ("back", "select dst as src, src as dst from hops"), r.closure_sql("w", r.SEEDS, "back"))
 def _(f):
-    return reach.reach_from(reach.reversed_edges(hops_of(f)), r.seeds(f).select("sym"), None)
+    edges, into, out = ways_of(f)
+    back = lambda df, a, b: df.select(F.col(a).alias("src" if b == "node" else "node"), F.col(b).alias("node" if b == "node" else "dst"))
+    return reach.reach_by(reach.reversed_edges(edges), back(out, "dst", "node"), back(into, "node", "src"), r.seeds(f).withColumn("seed", F.lit(0))).select("sym", "depth")
 
 
 @query("entry_site_methods", "select e.kind, e.route, e.file_path, cast(e.line as bigint) as line, m.symbol_id from entries e join methods m on m.file_path = e.file_path and m.line = e.line", r.CLOSURE, r.ENTRIES)
