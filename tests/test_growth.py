@@ -51,3 +51,11 @@ def test_pairs_in_blocks(spark):
     right = spark.createDataFrame([(k % 4, f"r{k}") for k in range(40)], "token int, dst string")
     got = sorted(map(tuple, graph.paired(left, right, ["token"], 4).select("token", "src", "dst").collect()))
     assert got == sorted(map(tuple, left.join(right, "token").collect())) and len(got) == 500
+
+
+def test_busy_slot(spark):
+    """A slot's sites that repeat are one before the join."""
+    many = lambda side: spark.range(20_000).selectExpr("'s' as slot", f"concat('{side}', id % 2) as {side}")
+    none = spark.createDataFrame([], "slot string")
+    made = graph.delegate_fields(many("dst"), many("src"), none)
+    assert {tuple(r) for r in made.collect()} == {(f"src{a}", f"dst{b}") for a in (0, 1) for b in (0, 1)}
