@@ -219,31 +219,92 @@ def longest_chain(anchors: DataFrame, edges: DataFrame, rounds: int | None = Non
     return value.join(ends, "sym", "left").select("sym", F.when(F.col("endless"), F.lit(-1).cast("long")).otherwise(F.col("degree")).alias("degree"), F.when(F.col("endless").isNull(), F.col("next")).alias("next"))
 
 
-def call_tree(edges: DataFrame, root: str, max_depth: int = 50, max_nodes: int = 50_000) -> list[tuple[int, int, str, int, str]]:
-    """(node, parent, sym, depth, truncated) in pre-order; a symbol is expanded once.
-
-    The distributed closure bounds the subgraph by max_nodes before it is brought to the driver, which expands it.
+def numbered(symbols: DataFrame) -> DataFrame:
+    """(sym, id): symbols numbered from 0 without gaps, each part by itself."""
+    rows = settled(symbols.select("sym", F.monotonically_increasing_id().alias("m")))
+    part = F.shiftright("m", 33)
+    # A row for each part of the table.
+    sizes = sorted(tuple(r) for r in rows.groupBy(part.alias("p")).agg(F.count(F.lit(1))).collect())
+    base, seen = [], 0
+    for p, n in sizes:
+        base += [F.lit(p), F.lit(seen)]
+        seen += n
+    return rows.select("sym", (F.create_map(*base)[part] + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).cast("int").alias("id")) if base else rows.select("sym", F.col("m").cast("int").alias("id"))
+
+
+def _preorder(root: int, max_depth: int, max_nodes: int | None):
+    """Expands in pre-order from (id, children) in Arrow batches; holds four bytes a call, and no more of the tree than its way down."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        ids, sizes, parts = [], [], []
+        for b in batches:
+            lists = b.column(1)
+            ids.append(b.column(0).to_numpy(zero_copy_only=False))
+            sizes.append(np.diff(lists.offsets.to_numpy()))
+            parts.append(lists.flatten().to_numpy(zero_copy_only=False))
+        whole = lambda xs, kind: np.concatenate(xs).astype(kind, copy=False) if xs else np.empty(0, kind)
+        own, size, below = whole(ids, np.int64), whole(sizes, np.int64), whole(parts, np.int32)
+        del ids, sizes, parts
+        n = int(max(own.max(initial=root), below.max(initial=root), root)) + 1
+        start, end = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        upto = np.cumsum(size)
+        start[own], end[own] = upto - size, upto
+        done = bytearray(n)
+        rows, count = ([], [], [], [], []), 0
+        names = ("node", "parent", "id", "depth", "truncated")
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()))], names)
+        # Each frame: the next child, the last, and the number of its node; the first holds the root alone.
+        frames, first = [[0, 1, -1]], True
+        while frames:
+            top = frames[-1]
+            if top[0] == top[1]:
+                frames.pop()
+                continue
+            sym = root if first else int(below[top[0]])
+            first = False
+            top[0] += 1
+            depth = len(frames) - 1
+            lo, hi = int(start[sym]), int(end[sym])
+            why = "" if lo == hi else "AlreadyExpanded" if done[sym] else "DepthCapped" if depth >= max_depth else "BudgetCapped" if max_nodes is not None and count >= max_nodes else ""
+            for column, value in zip(rows, (count, top[2], sym, depth, why)):
+                column.append(value)
+            if lo != hi and not why:
+                done[sym] = 1
+                frames.append([lo, hi, count])
+            count += 1
+            if len(rows[0]) == 100_000:
+                yield batch()
+                for column in rows:
+                    column.clear()
+        if rows[0]:
+            yield batch()
+
+    return run
+
+
+def tree_rows(edges: DataFrame, root: str, max_depth: int = 50, max_nodes: int | None = None) -> DataFrame:
+    """(node, parent, sym, depth, truncated), numbered in pre-order; a symbol is expanded once, children by line and name.
+
+    What is expanded where depends on all that was before, so one task does it, over numbers; everything else, the reach,
+    the order of children and the names, is done by all. No limit on nodes unless one is given: then a larger reach raises.
     """
-    spark = edges.sparkSession
-    known = reach(edges, spark.createDataFrame([(0, root)], "seed int, sym string"), max_depth, max_nodes)
-    part = edges.join(known.select(F.col("sym").alias("src")), "src", "left_semi").select("src", "line", "dst").distinct()
-    children: dict[str, list[tuple[int, str]]] = {}
-    # As many rows as the nodes, whose number is bounded, have distinct calls.
-    for r in part.toLocalIterator():
-        children.setdefault(r["src"], []).append((r["line"], r["dst"]))
-    out: list[tuple[int, int, str, int, str]] = []
-    done: set[str] = set()
-    stack = [(root, 0, -1)]
-    while stack:
-        sym, depth, parent = stack.pop()
-        below = sorted(children.get(sym, []))
-        why = "" if not below else "AlreadyExpanded" if sym in done else "DepthCapped" if depth >= max_depth else "BudgetCapped" if len(out) >= max_nodes else ""
-        node = len(out)
-        out.append((node, parent, sym, depth, why))
-        if below and not why:
-            done.add(sym)
-            stack += [(d, depth + 1, node) for _, d in reversed(below)]
-    return out
+    known = settled(reach(edges, edges.sparkSession.createDataFrame([(0, root)], "seed int, sym string"), max_depth, max_nodes).select("sym"))
+    ids = settled(numbered(known))
+    part = edges.select("src", "line", "dst").distinct().join(ids.select(F.col("sym").alias("src"), F.col("id").alias("of")), "src")
+    # A call from the last level leads to what isn't in reach; its caller isn't expanded, but shown as cut.
+    part = part.join(ids.select(F.col("sym").alias("dst"), "id"), "dst", "left")
+    below = F.transform(F.array_sort(F.collect_list(F.struct("line", "dst", F.coalesce("id", F.lit(0)).alias("id")))), lambda x: x["id"])
+    children = part.groupBy("of").agg(below.alias("below")).repartition(1)
+    first = ids.where(F.col("sym") == root).first()["id"]
+    rows = settled(children.mapInArrow(_preorder(first, max_depth, max_nodes), "node long, parent long, id int, depth long, truncated string"))
+    return rows.join(ids, "id").select("node", "parent", "sym", "depth", "truncated")
+
+
+def call_tree(edges: DataFrame, root: str, max_depth: int = 50, max_nodes: int | None = 50_000) -> list[tuple[int, int, str, int, str]]:
+    """tree_rows for a user to read, on the driver."""
+    return [tuple(r) for r in tree_rows(edges, root, max_depth, max_nodes).orderBy("node").toLocalIterator()]
 
 
 def one_hop(calls: DataFrame, dispatch: DataFrame, seeds: DataFrame, max_depth: int | None = 20) -> DataFrame:

@@ -341,7 +341,7 @@ def _(f):
 @query("call_tree")
 def _(f):
     root = f.methods.where("part_key = 1").first()["symbol_id"]
-    return f.refs.sparkSession.createDataFrame(reach.call_tree(edges_of(f), root), "node long, parent long, sym string, depth long, truncated string")
+    return reach.tree_rows(edges_of(f), root)
 
 
 @query("type_closure", "select type_id, ancestor, cast(depth as bigint) as depth from closure", CLOSURE)

@@ -59,3 +59,34 @@ def test_busy_slot(spark):
     none = spark.createDataFrame([], "slot string")
     made = graph.delegate_fields(many("dst"), many("src"), none)
     assert {tuple(r) for r in made.collect()} == {(f"src{a}", f"dst{b}") for a in (0, 1) for b in (0, 1)}
+
+
+def plain_tree(calls, root, deepest):
+    below = {}
+    for s, d, line in sorted(set(calls), key=lambda c: (c[0], c[2], c[1])):
+        below.setdefault(s, []).append(d)
+    out, done = [], set()
+
+    def visit(sym, depth, parent):
+        node, under = len(out), below.get(sym, [])
+        why = "" if not under else "AlreadyExpanded" if sym in done else "DepthCapped" if depth >= deepest else ""
+        out.append((node, parent, sym, depth, why))
+        if under and not why:
+            done.add(sym)
+            for d in under:
+                visit(d, depth + 1, node)
+
+    visit(root, 0, -1)
+    return out
+
+
+def test_whole_tree(spark):
+    """More nodes than the limit that a user has by default, none of them cut; and any small tree as a plain walk has it."""
+    wide = spark.range(60_000).selectExpr("'r' as src", "concat('n', id) as dst", "cast(id as int) as line")
+    rows = reach.tree_rows(wide, "r")
+    assert rows.count() == 60_001 and rows.where("truncated <> ''").isEmpty()
+    dice = random.Random(3)
+    calls = [(f"m{dice.randrange(25)}", f"m{dice.randrange(25)}", dice.randrange(4)) for _ in range(70)]
+    edges = spark.createDataFrame(calls, "src string, dst string, line int")
+    for deepest in (2, 3, 50):
+        assert [tuple(r) for r in reach.tree_rows(edges, "m1", deepest).orderBy("node").collect()] == plain_tree(calls, "m1", deepest)
