@@ -3,6 +3,7 @@
 import random
 
 from factlattice.operators import graph, reach, reports
+from factlattice.sources import shared
 
 
 def dispatched(spark, n):
@@ -90,3 +91,16 @@ def test_whole_tree(spark):
     edges = spark.createDataFrame(calls, "src string, dst string, line int")
     for deepest in (2, 3, 50):
         assert [tuple(r) for r in reach.tree_rows(edges, "m1", deepest).orderBy("node").collect()] == plain_tree(calls, "m1", deepest)
+
+
+def test_tasks_by_size(spark):
+    conf = spark.conf
+    before = {k: conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        shared.fitted(spark, 100 * shared.TASK_BYTES)
+        assert conf.get("spark.sql.shuffle.partitions") == "100"
+        shared.fitted(spark, 1)
+        assert conf.get("spark.sql.shuffle.partitions") == "100" and int(conf.get("spark.sql.files.maxPartitionBytes")) == shared.TASK_BYTES
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
