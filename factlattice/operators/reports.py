@@ -147,9 +147,13 @@ def reach_changes(base: DataFrame, head: DataFrame, changed: DataFrame | None =
 
 
 def guard_changes(base: DataFrame, head: DataFrame) -> DataFrame:
-    """(src, dst, change) of edges on both sides whose guards, conditions as text, differ as sets of clauses."""
+    """(src, dst, change) of edges on both sides whose guards, conditions as text, differ as sets of clauses.
+
+    A condition is parsed once, however many edges have it.
+    """
     def clauses(rows: DataFrame, name: str) -> DataFrame:
-        each = rows.select("src", "dst", F.coalesce(docid.conjuncts(F.col("guard")), F.expr("cast(array() as array<string>)")).alias("c"))
+        parsed = rows.select("guard").distinct().select("guard", docid.conjuncts(F.col("guard")).alias("c"))
+        each = rows.select("src", "dst", "guard").join(parsed, "guard", "left").select("src", "dst", F.coalesce("c", F.expr("cast(array() as array<string>)")).alias("c"))
         return each.groupBy("src", "dst").agg(F.array_distinct(F.flatten(F.collect_set("c"))).alias(name))
 
     rows = clauses(base, "b").join(clauses(head, "h"), ["src", "dst"])
