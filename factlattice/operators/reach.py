@@ -16,6 +16,8 @@ from ..plans.steps import settled
 
 #: Levels after which the union of levels is written as one table.
 LEVELS = 32
+#: Edges of a graph that one task takes at once, numbers all; a larger one is first made smaller by all tasks.
+FEW = 1 << 20
 
 
 class BudgetExceeded(Exception):
@@ -31,8 +33,11 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = 20, max_no
 
     Levels up to max_depth are wanted; with None, all there are.
     """
-    edges = settled(edges.select("src", "dst").distinct())
-    known = settled(seeds.select("seed", "sym", F.lit(0).alias("depth")).distinct())
+    return _walk(settled(edges.select("src", "dst").distinct()), settled(seeds.select("seed", "sym", F.lit(0).alias("depth")).distinct()), max_depth, max_nodes)
+
+
+def _walk(edges: DataFrame, known: DataFrame, max_depth: int | None, max_nodes: int | None = None) -> DataFrame:
+    """reach over edges and from start points that are written and differ."""
     frontier = known
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         new = frontier.join(edges, frontier["sym"] == edges["src"]).select("seed", F.col("dst").alias("sym")).distinct()
@@ -143,40 +148,101 @@ def nearest(edges: DataFrame, sources: DataFrame, max_depth: int | None = None)
     return known
 
 
-def strong(edges: DataFrame) -> DataFrame:
-    """(sym, scc): the nodes on a cycle, with the least symbol of their strongly connected component.
-
-    Rounds of colouring: what has no way in or out goes; each node takes the least symbol that leads to it; a symbol that
-    is its own colour and what leads to it within that colour are a component, and edges between colours are on no
-    cycle. No node's reach is listed, so that the work grows with the edges, not with the pairs of nodes.
+def _coded(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sym, id) and edges of ids: symbols by 64-bit hashes, which move and compare cheaper; no two symbols share one."""
+    ends = edges.select("src", "dst").where("src is not null and dst is not null")
+    for salt in count():
+        code = lambda c: F.xxhash64(F.lit(salt), c)  # noqa: B023, E731
+        names = settled(ends.select(F.explode(F.array("src", "dst")).alias("sym")).distinct().select("sym", code("sym").alias("id")))
+        if names.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            return names, settled(ends.select(code("src").alias("src"), code("dst").alias("dst")).distinct())
+
+
+def _components(batches):
+    """(sym, scc) of all nodes of a graph (src, dst) of at most FEW edges: Tarjan's walk, with a stack of its own."""
+    import numpy as np
+    import pyarrow as pa
+
+    table = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+    if not table:
+        return
+    src, dst = (np.concatenate(x) for x in zip(*table))
+    ids, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    s, d, n = at[: len(src)], at[len(src):], len(ids)
+    below = d[np.argsort(s, kind="stable")].tolist()
+    first = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=n))]).tolist()
+    # 0: not met; n + 1: in a component already.
+    met, low, place, scc, held, clock = [0] * n, [0] * n, first[:n], [0] * n, [], 0
+    for root in range(n):
+        if met[root]:
+            continue
+        way = [root]
+        while way:
+            v = way[-1]
+            if not met[v]:
+                clock += 1
+                met[v] = low[v] = clock
+                held.append(v)
+            if place[v] < first[v + 1]:
+                w = below[place[v]]
+                place[v] += 1
+                if not met[w]:
+                    way.append(w)
+                elif met[w] <= n and met[w] < low[v]:
+                    low[v] = met[w]
+                continue
+            way.pop()
+            if way and low[v] < low[way[-1]]:
+                low[way[-1]] = low[v]
+            if low[v] == met[v]:
+                while True:
+                    w = held.pop()
+                    scc[w], met[w] = v, n + 1
+                    if w == v:
+                        break
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[np.asarray(scc)])], ["sym", "scc"])
+
+
+def _strong(left: DataFrame) -> DataFrame:
+    """(sym, scc) of the nodes on a cycle of a graph of ids, scc being any id for each component.
+
+    Rounds of colouring: what has no way in or out goes; each node takes the least id that leads to it; a node that is its
+    own colour and what leads to it within that colour are a component, and edges between colours are on no cycle. Only
+    nodes whose colour has changed pass it on. As soon as no more than FEW edges are left, one task takes them, so that
+    the last small rounds don't each cost jobs.
     """
-    left = settled(edges.select("src", "dst").distinct())
     loops = left.where("src = dst").select(F.col("src").alias("sym"))
-    out = None
+    out, thorough = None, False
+    add = lambda more: more if out is None else out.unionByName(more)
     while True:
         size = left.count()
-        while size:
+        while size > FEW:
             ins, outs = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
             left = settled(left.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select("src", "dst"))
             before, size = size, left.count()
-            if size == before:
+            # Next to nothing goes: the rest is colour's to part, unless that parted little before.
+            if before - size <= (0 if thorough else before // 64):
                 break
-        if not size:
+        if size <= FEW:
+            if size:
+                out = add(settled(left.repartition(1).mapInArrow(_components, "sym long, scc long")))
             break
         colour = settled(left.select(F.explode(F.array("src", "dst")).alias("sym")).distinct().select("sym", F.col("sym").alias("colour")))
+        moved = colour
         while True:
-            led = left.join(colour, F.col("src") == F.col("sym")).groupBy("dst").agg(F.min("colour").alias("led"))
-            new = colour.join(led, F.col("sym") == F.col("dst"), "left").select("sym", F.least("colour", "led").alias("new"), "colour")
-            new = settled(new)
-            colour = new.select("sym", F.col("new").alias("colour"))
-            if new.where("new <> colour").isEmpty():
+            led = left.join(moved, F.col("src") == F.col("sym")).groupBy("dst").agg(F.min("colour").alias("led"))
+            new = settled(colour.join(led, F.col("sym") == F.col("dst"), "left").select("sym", F.least("colour", "led").alias("colour"), F.coalesce(F.col("led") < F.col("colour"), F.lit(False)).alias("moved")))
+            colour, moved = new.select("sym", "colour"), settled(new.where("moved").select("sym", "colour"))
+            if moved.isEmpty():
                 break
         ends = left.join(colour.select(F.col("sym").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("sym").alias("dst"), F.col("colour").alias("b")), "dst")
         same = settled(ends.where("a = b").select("src", "dst"))
-        found = reach(reversed_edges(same), colour.where("sym = colour").select(F.col("sym").alias("seed"), "sym"), None).select("sym", F.col("seed").alias("scc"))
-        out = found if out is None else out.unionByName(found)
+        starts = settled(colour.where("sym = colour").select(F.col("sym").alias("seed"), "sym", F.lit(0).alias("depth")))
+        found = _walk(reversed_edges(same), starts, None).select("sym", F.col("seed").alias("scc"))
+        out = add(found)
         gone = found.select("sym")
         left = settled(same.join(gone.select(F.col("sym").alias("src")), "src", "left_anti").join(gone.select(F.col("sym").alias("dst")), "dst", "left_anti"))
+        thorough = left.count() * 2 > size
     if out is None:
         return left.select(F.col("src").alias("sym"), F.col("dst").alias("scc"))
     many = out.groupBy("scc").agg(F.count(F.lit(1)).alias("n"))
@@ -185,6 +251,16 @@ def strong(edges: DataFrame) -> DataFrame:
     return settled(kept.select("sym", "scc"))
 
 
+def strong(edges: DataFrame) -> DataFrame:
+    """(sym, scc): the nodes on a cycle, with the least symbol of their strongly connected component.
+
+    No node's reach is listed, so that the work grows with the edges, not with the pairs of nodes.
+    """
+    names, left = _coded(edges)
+    found = settled(_strong(left).select(F.col("sym").alias("id"), F.col("scc").alias("of")).join(names, "id").select("sym", "of"))
+    return settled(found.join(found.groupBy("of").agg(F.min("sym").alias("scc")), "of").select("sym", "scc"))
+
+
 def cycles(edges: DataFrame, marked: DataFrame) -> DataFrame:
     """(cycle, sym): the strongly connected components that hold a marked edge (src, dst); cycle is their least symbol."""
     scc = strong(edges)
@@ -200,21 +276,30 @@ def longest_chain(anchors: DataFrame, edges: DataFrame, rounds: int | None = Non
     anchors: (sym, weight). edges: between anchors. What is on no cycle is a finite chain, so values settle; more rounds
     than the given number raise, and nothing partial is returned.
     """
-    edges = settled(edges.select("src", "dst").distinct())
-    looped = strong(edges).select("sym")
-    endless = settled(reach(reversed_edges(edges), looped.select(F.lit(0).alias("seed"), "sym"), None).select("sym").distinct())
-    free = settled(edges.join(endless.select(F.col("sym").alias("src")), "src", "left_anti"))
+    names, left = _coded(edges)
+    looped = _strong(left).select(F.lit(0).alias("seed"), "sym", F.lit(0).alias("depth"))
+    ends = settled(_walk(reversed_edges(left), settled(looped.distinct()), None).select("sym"))
+    free = left.join(ends.select(F.col("sym").alias("src")), "src", "left_anti")
+    named = lambda c: names.select(F.col("id").alias(c), F.col("sym").alias(f"_{c}"))
+    free = settled(free.join(named("src"), "src").join(named("dst"), "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst")))
+    endless = settled(ends.withColumnRenamed("sym", "id").join(names, "id").select("sym"))
     value = settled(anchors.select("sym", F.col("weight").cast("long").alias("degree"), F.lit(None).cast("string").alias("next")))
+    # Only what has successors on no cycle can have another value than its weight.
+    heads = settled(anchors.join(free.select(F.col("src").alias("sym")).distinct(), "sym", "left_semi").select("sym", "weight"))
+    known = value.join(free.select(F.col("dst").alias("sym")).distinct(), "sym", "left_semi").unionByName(value.join(heads, "sym", "left_semi").select(*value.columns)).distinct()
+    known = settled(known.select("sym", "degree", "next"))
     for _ in count() if rounds is None else range(rounds):
-        best = free.join(value.select(F.col("sym").alias("dst"), "degree"), "dst").groupBy("src").agg(F.min(F.struct((-F.col("degree")).alias("less"), F.col("dst"))).alias("b"))
-        after = anchors.join(best, F.col("sym") == F.col("src"), "left").select("sym", (F.col("weight") - F.coalesce("b.less", F.lit(0))).cast("long").alias("degree"), F.col("b.dst").alias("next"))
+        best = free.join(known.select(F.col("sym").alias("dst"), "degree"), "dst").groupBy("src").agg(F.min(F.struct((-F.col("degree")).alias("less"), F.col("dst"))).alias("b"))
+        better = best.join(heads, F.col("sym") == F.col("src")).select("sym", (F.col("weight") - F.col("b.less")).cast("long").alias("most"), F.col("b.dst").alias("via"))
+        after = known.join(better, "sym", "left").select("sym", F.coalesce("most", "degree").alias("degree"), F.coalesce("via", "next").alias("next"), F.coalesce((F.col("most") != F.col("degree")) | ~F.col("via").eqNullSafe(F.col("next")), F.lit(False)).alias("moved"))
         after = settled(after)
-        same = after.exceptAll(value).isEmpty()
-        value = after
-        if same:
+        known = after.select("sym", "degree", "next")
+        if after.where("moved").isEmpty():
             break
     else:
         raise BudgetExceeded(f"degrees did not settle in {rounds} rounds")
+    better = known.join(heads.select("sym"), "sym", "left_semi").select("sym", F.col("degree").alias("most"), F.col("next").alias("via"))
+    value = value.join(better, "sym", "left").select("sym", F.coalesce("most", "degree").alias("degree"), F.col("via").alias("next"))
     ends = endless.withColumn("endless", F.lit(True))
     return value.join(ends, "sym", "left").select("sym", F.when(F.col("endless"), F.lit(-1).cast("long")).otherwise(F.col("degree")).alias("degree"), F.when(F.col("endless").isNull(), F.col("next")).alias("next"))
 
