@@ -28,16 +28,17 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = 20, max_nodes: int | None = None) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = 20, max_nodes: int | None = None, ready: bool = False) -> DataFrame:
     """(seed, sym, depth): least depth of each node from each seed; a seed is at depth 0. seeds: (seed, sym).
 
-    Levels up to max_depth are wanted; with None, all there are.
+    Levels up to max_depth are wanted; with None, all there are. ready: the edges are written already and are walked as
+    they are; the few that repeat cost a row each and change nothing, as each level is made distinct.
     """
-    return _walk(settled(edges.select("src", "dst").distinct()), settled(seeds.select("seed", "sym", F.lit(0).alias("depth")).distinct()), max_depth, max_nodes)
+    return _walk(edges.select("src", "dst") if ready else settled(edges.select("src", "dst").distinct()), settled(seeds.select("seed", "sym", F.lit(0).alias("depth")).distinct()), max_depth, max_nodes)
 
 
 def _walk(edges: DataFrame, known: DataFrame, max_depth: int | None, max_nodes: int | None = None) -> DataFrame:
-    """reach over edges and from start points that are written and differ."""
+    """reach over edges and from start points that are written."""
     frontier = known
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         new = frontier.join(edges, frontier["sym"] == edges["src"]).select("seed", F.col("dst").alias("sym")).distinct()
@@ -53,9 +54,9 @@ def _walk(edges: DataFrame, known: DataFrame, max_depth: int | None, max_nodes:
     return known
 
 
-def reach_from(edges: DataFrame, sources: DataFrame, max_depth: int | None = 20) -> DataFrame:
+def reach_from(edges: DataFrame, sources: DataFrame, max_depth: int | None = 20, ready: bool = False) -> DataFrame:
     """(sym, depth) from a set of sources (sym) taken together."""
-    return reach(edges, sources.select(F.lit(0).alias("seed"), "sym"), max_depth).select("sym", "depth")
+    return reach(edges, sources.select(F.lit(0).alias("seed"), "sym"), max_depth, ready=ready).select("sym", "depth")
 
 
 def reach_by(edges: DataFrame, into: DataFrame, out: DataFrame, seeds: DataFrame) -> DataFrame:

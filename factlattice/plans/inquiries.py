@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import generics, graph, reach, reports
 from . import registry as r
 from .registry import query
+from .steps import settled
 
 NARROW_HOPS = ("hops", """
 select distinct src, dst from edges union
@@ -71,7 +72,7 @@ def _(f):
 
 @query("allocations_reached", "select operation, resource, enclosing, file_path, cast(line as bigint) as line from allocations where enclosing in (select sym from w)", r.EDGES, r.closure_sql("w", r.SEEDS))
 def _(f):
-    known = reach.reach_from(r.pairs_of(f), r.seeds(f).select("sym"), None).select(F.col("sym").alias("enclosing"))
+    known = reach.reach_from(r.pairs_of(f), r.seeds(f).select("sym"), None, ready=True).select(F.col("sym").alias("enclosing"))
     return f.allocations.join(known, "enclosing", "left_semi").select("operation", "resource", "enclosing", "file_path", "line")
 
 
@@ -81,7 +82,7 @@ def _feet(name, edges):
 
 @query("entry_footprint", "select seed, provider, operation, n, in_loop from feet", r.EDGES, r.closure_sql("w", r.SEEDS), _feet("feet", "w"))
 def _(f):
-    return reports.entry_footprint(reach.reach(r.pairs_of(f), r.seeds(f), None), f.effect_events)
+    return reports.entry_footprint(reach.reach(r.pairs_of(f), r.seeds(f), None, ready=True), f.effect_events)
 
 
 @query("impact_entry_footprint", """
@@ -92,7 +93,7 @@ where coalesce(b.seed, h.seed) in (select seed from fb) and coalesce(b.seed, h.s
        r.EDGES, ("eb", "select src, dst from edges where line <= 20"), ("eh", "select src, dst from edges where line >= 10"), r.closure_sql("wb", r.SEEDS, "eb"), r.closure_sql("wh", r.SEEDS, "eh"), _feet("fb", "wb"), _feet("fh", "wh"))
 def _(f):
     edges = r.edges_of(f)
-    base, head = (reports.entry_footprint(reach.reach(edges.where(test), r.seeds(f), None), f.effect_events) for test in ("line <= 20", "line >= 10"))
+    base, head = (reports.entry_footprint(reach.reach(settled(edges.where(test).select("src", "dst")), r.seeds(f), None, ready=True), f.effect_events) for test in ("line <= 20", "line >= 10"))
     return reports.entry_changes(base, head)
 
 

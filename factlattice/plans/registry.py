@@ -14,6 +14,7 @@ from ..operators import generics, graph, hazards, reach, reports
 from ..sources import facts as source
 from ..sources import rules as rulebook
 from ..streaming import overlay
+from .steps import settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -292,23 +293,23 @@ def _(f):
 
 @query("reach_forward_depth", "select sym, cast(min(depth) as bigint) as depth from w group by sym", EDGES, closure_sql("w", SEEDS))
 def _(f):
-    return reach.reach_from(pairs_of(f), seeds(f).select("sym"), None)
+    return reach.reach_from(pairs_of(f), seeds(f).select("sym"), None, ready=True)
 
 
 @query("reach_reverse_depth", "select sym, cast(min(depth) as bigint) as depth from w group by sym", EDGES, ("back", "select dst as src, src as dst from edges"), closure_sql("w", SEEDS, "back"))
 def _(f):
-    return reach.reach_from(reach.reversed_edges(pairs_of(f)), seeds(f).select("sym"), None)
+    return reach.reach_from(reach.reversed_edges(pairs_of(f)), seeds(f).select("sym"), None, ready=True)
 
 
 @query("multi_seed_reach", "select seed, sym, cast(depth as bigint) as depth from w", EDGES, closure_sql("w", SEEDS))
 def _(f):
-    return reach.reach(pairs_of(f), seeds(f), None)
+    return reach.reach(pairs_of(f), seeds(f), None, ready=True)
 
 
 @query("entry_roots", "select distinct sym from w where not exists (select 1 from edges e where e.dst = w.sym)", EDGES, ("back", "select dst as src, src as dst from edges"), closure_sql("w", SEEDS, "back"))
 def _(f):
     edges = pairs_of(f)
-    return reach.roots(edges, reach.reach_from(reach.reversed_edges(edges), seeds(f).select("sym"), None))
+    return reach.roots(edges, reach.reach_from(reach.reversed_edges(edges), seeds(f).select("sym"), None, ready=True))
 
 
 @query("seeds_reach_target", "select seed, bool_or(sym in (select symbol_id from methods where part_key % 10 = 9)) as hit from w group by seed", EDGES, closure_sql("w", SEEDS))
@@ -764,13 +765,13 @@ select m.symbol_id, case when contains(concat(' ', modifiers, ' '), ' private ')
 from methods m left join (select dst, count(*) as n from edges group by 1) c on c.dst = m.symbol_id
 where not contains(modifiers, 'abstract') and not contains(modifiers, 'virtual') and not is_override and not regexp_matches(file_path, '[.]g[.]cs$') and symbol_id not in (select sym from w)""", EDGES, CLOSURE, ENTRIES, closure_sql("w", ENTRY_SEEDS))
 def _(f):
-    return hazards.dead_code(f.methods, reach.reach_from(pairs_of(f), entry_seeds(f), None), edges_of(f))
+    return hazards.dead_code(f.methods, reach.reach_from(pairs_of(f), entry_seeds(f), None, ready=True), edges_of(f))
 
 
 @query("file_effects", "select m.file_path, m.symbol_id, cast(min(w.depth) as bigint) as depth from w join methods m on m.symbol_id = w.sym group by 1, 2", EDGES, ("back", "select dst as src, src as dst from edges"), EFFECT_RULES, EFFECTS, closure_sql("w", "select distinct enclosing as seed, enclosing as sym, 0 as depth from effects where provider = 'queue'", "back"))
 def _(f):
     sources = effects_of(f).where("provider = 'queue'").select(F.col("enclosing").alias("sym")).distinct()
-    known = reach.reach_from(reach.reversed_edges(pairs_of(f)), sources, None)
+    known = reach.reach_from(reach.reversed_edges(pairs_of(f)), sources, None, ready=True)
     return f.methods.join(known, F.col("symbol_id") == F.col("sym")).select("file_path", "symbol_id", "depth")
 
 
@@ -818,7 +819,7 @@ select coalesce(m.seed, p.seed) as seed, coalesce(added, 0) as added, coalesce(r
 def _(f):
     edges = edges_of(f)
     changed = reports.changed_bodies(f.methods, other_bodies(f))
-    return reports.reach_changes(reach.reach(edges.where("line <= 40"), seeds(f), None), reach.reach(edges.where("line >= 20"), seeds(f), None), changed)
+    return reports.reach_changes(*(reach.reach(settled(edges.where(test).select("src", "dst")), seeds(f), None, ready=True) for test in ("line <= 40", "line >= 20")), changed)
 
 
 def other_bodies(f: source.Facts) -> DataFrame:
@@ -936,7 +937,7 @@ def _(f):
 @query("entry_point_effects", "select e.provider, e.operation, count(*) as n from effects e where e.enclosing in (select sym from w) group by 1, 2", EDGES, CLOSURE, EFFECT_RULES, EFFECTS, ENTRIES, closure_sql("w", ENTRY_SEEDS))
 def _(f):
     """What the entry points touch: their closure, and the effects in it."""
-    known = reach.reach_from(pairs_of(f), entry_seeds(f), None)
+    known = reach.reach_from(pairs_of(f), entry_seeds(f), None, ready=True)
     return fx.summary(effects_of(f).join(known.withColumnRenamed("sym", "enclosing"), "enclosing", "left_semi"))
 
 

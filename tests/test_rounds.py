@@ -32,3 +32,12 @@ def test_large_as_small(spark, monkeypatch, few):
     assert want[0]
     monkeypatch.setattr(reach, "FEW", few)
     assert rows() == want
+
+
+def test_ready_edges_are_not_written_again(spark, monkeypatch):
+    seen = counted(monkeypatch)
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "src string, dst string")
+    seeds = spark.createDataFrame([("a", "a")], "seed string, sym string")
+    rows = sorted(map(tuple, reach.reach(edges, seeds, None, ready=True).collect()))
+    # The start and three levels, the last of them empty.
+    assert rows == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2)] and len(seen) == 4
