@@ -2,8 +2,8 @@
 
 import random
 
-from factlattice.operators import graph, reach, reports
-from factlattice.sources import shared
+from factlattice.operators import effects, graph, reach, reports
+from factlattice.sources import rules, shared
 
 
 def dispatched(spark, n):
@@ -104,3 +104,28 @@ def test_tasks_by_size(spark):
     finally:
         for k, v in before.items():
             conf.set(k, v)
+
+
+def references(spark, *rows):
+    kinds = "enclosing string, target string, target_name string, ref_kind string, receiver_type string, type_arguments string, first_template string, first_type string, argument string, argument_names string, argument_templates string, in_expression_tree boolean, file_path string, line int, ref_id long"
+    made = lambda name, kind, receiver, ref_id: ("M:A.B.C()", f"M:D.E.{name}()", name, kind, receiver, None, None, None, None, None, None, False, "f", 1, ref_id)
+    return spark.createDataFrame([made(*r) for r in rows], kinds)
+
+
+def test_effects_stay_where_they_are(spark):
+    """The first rule is told without moving references; only ids that repeat are gathered, to one effect each."""
+    given = [
+        {"provider": "p", "operation": "any", "on": "throw", "methods": [], "resource": "receiver_type"},
+        {"provider": "p", "operation": "named", "on": "throw", "methods": ["Get"], "resource": "declaring_type"},
+        {"provider": "p", "operation": "late", "methods": ["Get", "Put"], "resource": "declaring_type"},
+        {"provider": "p", "operation": "later", "methods": ["Get"], "resource": "declaring_type"},
+        {"provider": "p", "operation": "base", "methods": ["Low"], "declaringTypeBaseTypes": ["T:Base"], "resource": "declaring_type"},
+    ]
+    table = rules.effect_rules(spark, {"effects": given})
+    above = spark.createDataFrame([("T:D.E", "T:Base"), ("T:D.E", "T:Else"), ("T:D.F", "T:Else")], "type_id string, ancestor string")
+    rows = [("Get", "throw", "R", 1), ("Get", "throw", None, 2), ("Get", "invocation", None, 3), ("Put", "invocation", None, 4), ("Low", "invocation", None, 5), ("No", "invocation", None, 6), ("No", "throw", "R", 7), ("No", "throw", None, 8)]
+    made = effects.by_rule(references(spark, *rows), table, above)
+    assert sorted((r.ref_id, r.operation, r.resource) for r in made.collect()) == [(1, "any", "R"), (2, "named", "D.E"), (3, "late", "D.E"), (4, "late", "D.E"), (5, "base", "D.E"), (7, "any", "R")]
+    assert "Window" not in made._jdf.queryExecution().optimizedPlan().toString()
+    twice = effects.by_rule(references(spark, ("Get", "throw", None, 1), ("No", "throw", "R", 1), ("Put", "invocation", None, None), ("Put", "invocation", None, None)), table, above)
+    assert sorted((r.ref_id or 0, r.operation) for r in twice.collect()) == [(0, "late"), (1, "any")]
