@@ -46,6 +46,9 @@ def fitted(spark: SparkSession, size: int) -> None:
     # Else each small file would be a task.
     if _bytes(spark, conf.get("spark.sql.files.openCostInBytes")) > TASK_BYTES // 16:
         conf.set("spark.sql.files.openCostInBytes", str(TASK_BYTES // 16))
+    # A table in a few parts is written without sorting whole rows by part.
+    if conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0":
+        conf.set("spark.sql.maxConcurrentOutputFileWriters", "16")
 
 
 def _bytes(spark: SparkSession, value: str) -> int:

@@ -129,3 +129,20 @@ def test_effects_stay_where_they_are(spark):
     assert "Window" not in made._jdf.queryExecution().optimizedPlan().toString()
     twice = effects.by_rule(references(spark, ("Get", "throw", None, 1), ("No", "throw", "R", 1), ("Put", "invocation", None, None), ("Put", "invocation", None, None)), table, above)
     assert sorted((r.ref_id or 0, r.operation) for r in twice.collect()) == [(0, "late"), (1, "any")]
+
+
+def test_parts_without_a_sort(spark):
+    """A table in parts is written by a writer a part, unless the user has set how; the rows stay the same."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "3")
+        shared.fitted(spark, 1)
+        assert spark.conf.get(name) == "3"
+        spark.conf.set(name, "0")
+        shared.fitted(spark, 1)
+        assert spark.conf.get(name) == "16"
+        rows = spark.range(200).selectExpr("id", "concat('k', id % 20) as kind")
+        assert sorted(map(tuple, shared.written(rows, "kind").collect())) == sorted(map(tuple, rows.collect()))
+    finally:
+        spark.conf.set(name, before)
