@@ -14,8 +14,13 @@ CALLS = ("invocation", "methodGroup", "ctor")
 
 def call_edges(refs: DataFrame) -> DataFrame:
     """First-party calls with a caller, one row per call site."""
+    return call_rows(refs).distinct()
+
+
+def call_rows(refs: DataFrame) -> DataFrame:
+    """call_edges as the references have them, some more than once: for what doesn't count calls."""
     rows = refs.where(F.col("enclosing").isNotNull() & F.col("target_in_source") & F.col("ref_kind").isin(*CALLS))
-    return rows.select(F.col("enclosing").alias("src"), F.col("target").alias("dst"), F.col("ref_kind").alias("kind"), "file_path", "line", "loop_kind", "receiver_type", "delegate_consumer").distinct()
+    return rows.select(F.col("enclosing").alias("src"), F.col("target").alias("dst"), F.col("ref_kind").alias("kind"), "file_path", "line", "loop_kind", "receiver_type", "delegate_consumer")
 
 
 def nodes(edges: DataFrame, dispatch: DataFrame, methods: DataFrame) -> DataFrame:

@@ -92,14 +92,14 @@ def missing_companions(anchors: DataFrame, companions: DataFrame, edges: DataFra
     return anchors.select("sym", "key").distinct().join(met, ["sym", "key"], "left_anti")
 
 
-def event_cycles(edges: DataFrame, joins: dict[str, str]) -> DataFrame:
+def event_cycles(edges: DataFrame, joins: dict[str, str], symbols: DataFrame | None = None) -> DataFrame:
     """(cycle, sym, confidence, deliveries): members of the cycles that a delivery closes, by their least member.
 
     edges: (src, dst, kind, tag, line), deliveries among them: handoffs whose tag is one of joins. A cycle is low if any
-    delivery in it is joined by a heuristic (low), else high.
+    delivery in it is joined by a heuristic (low), else high. Edges that repeat change nothing. symbols: as strong takes them.
     """
     given = edges.where((F.col("kind") == "handoff") & F.col("tag").isin(*joins))
-    scc = strong(edges)
+    scc = strong(edges, symbols)
     ends = given.join(scc.select(F.col("sym").alias("src"), "scc"), "src").join(scc.select(F.col("sym").alias("dst"), F.col("scc").alias("of_dst")), "dst").where("scc = of_dst")
     doubtful = F.col("tag").isin(*(t for t, sure in joins.items() if sure == "low"))
     closed = ends.groupBy("scc").agg(F.bool_or(doubtful).alias("low"), F.countDistinct("src", "dst", "line", "tag").alias("deliveries"))

@@ -18,6 +18,8 @@ from ..plans.steps import settled
 LEVELS = 32
 #: Edges of a graph that one task takes at once, numbers all; a larger one is first made smaller by all tasks.
 FEW = 1 << 20
+#: Edges a node in the part of a dense graph that is looked at first: enough for most of a component to hang together.
+SHARE = 3
 
 
 class BudgetExceeded(Exception):
@@ -149,12 +151,16 @@ def nearest(edges: DataFrame, sources: DataFrame, max_depth: int | None = None)
     return known
 
 
-def _coded(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sym, id) and edges of ids: symbols by 64-bit hashes, which move and compare cheaper; no two symbols share one."""
+def _coded(edges: DataFrame, symbols: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sym, id) and edges of ids: symbols by 64-bit hashes, which move and compare cheaper; no two symbols share one.
+
+    symbols (sym): where it is known which there are, so that they needn't be gathered from the edges' ends.
+    """
     ends = edges.select("src", "dst").where("src is not null and dst is not null")
+    symbols = (ends.select(F.explode(F.array("src", "dst")).alias("sym")) if symbols is None else symbols).distinct()
     for salt in count():
         code = lambda c: F.xxhash64(F.lit(salt), c)  # noqa: B023, E731
-        names = settled(ends.select(F.explode(F.array("src", "dst")).alias("sym")).distinct().select("sym", code("sym").alias("id")))
+        names = settled(symbols.select("sym", code("sym").alias("id")))
         if names.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
             return names, settled(ends.select(code("src").alias("src"), code("dst").alias("dst")).distinct())
 
@@ -204,15 +210,68 @@ def _components(batches):
     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[np.asarray(scc)])], ["sym", "scc"])
 
 
+def _coloured(left: DataFrame, least: int = 0) -> tuple[DataFrame, DataFrame]:
+    """A round of colouring: (sym, scc) of some components, and the edges within colours; other edges are on no cycle.
+
+    Each node takes the least id that leads to it; a node that is its own colour and what leads to it within that colour
+    are a component. Only nodes whose colour has changed pass it on. With least, no more is done when so few nodes still
+    change, and as many steps back: then what is found are parts of components, and the edges mean nothing.
+    """
+    colour = settled(left.select(F.explode(F.array("src", "dst")).alias("sym")).distinct().select("sym", F.col("sym").alias("colour")))
+    moved = colour
+    for rounds in count(1):
+        led = left.join(moved, F.col("src") == F.col("sym")).groupBy("dst").agg(F.min("colour").alias("led"))
+        new = settled(colour.join(led, F.col("sym") == F.col("dst"), "left").select("sym", F.least("colour", "led").alias("colour"), F.coalesce(F.col("led") < F.col("colour"), F.lit(False)).alias("moved")))
+        colour, moved = new.select("sym", "colour"), settled(new.where("moved").select("sym", "colour"))
+        if moved.count() <= least:
+            break
+    ends = left.join(colour.select(F.col("sym").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("sym").alias("dst"), F.col("colour").alias("b")), "dst")
+    same = settled(ends.where("a = b").select("src", "dst"))
+    starts = settled(colour.where("sym = colour").select(F.col("sym").alias("seed"), "sym", F.lit(0).alias("depth")))
+    return settled(_walk(reversed_edges(same), starts, rounds if least else None).select("sym", F.col("seed").alias("scc"))), same
+
+
+def _in_one(left: DataFrame) -> DataFrame:
+    return settled(left.repartition(1).mapInArrow(_components, "sym long, scc long"))
+
+
+def _folded(left: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """A dense graph of ids, its nodes folded to components that a part of its edges shows already; and these, (sym, scc)
+    of two nodes or more, scc one of them, each fold's by itself.
+
+    Components of some of the edges lie within those of all, so that most of a large one is one node before all edges are
+    gone through: that is done once a fold, not once a round. The part is told by hashes; nothing is left out, as what it
+    doesn't show is left in the graph that is returned.
+    """
+    folds: list[DataFrame] = []
+    while True:
+        size, nodes = left.agg(F.count(F.lit(1)), F.approx_count_distinct("src")).first()
+        part = max(SHARE * nodes, min(FEW, size // 4))
+        if size <= FEW or part * 3 > size * 2:
+            return left, folds
+        some = settled(left.where(F.pmod(F.xxhash64(F.lit(len(folds)), "dst", "src"), F.lit(1 << 20)) < F.lit((part << 20) // size)))
+        found = _in_one(some) if some.count() <= FEW else _coloured(some, max(1, nodes // 64))[0]
+        found = settled(found.join(found.groupBy("scc").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "scc", "left_semi").select("sym", "scc"))
+        if found.isEmpty():
+            return left, folds
+        ends = left
+        for c in ("src", "dst"):
+            ends = ends.join(found.select(F.col("sym").alias(c), F.col("scc").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c))
+        left = settled(ends.where("src <> dst").select("src", "dst").distinct())
+        folds.append(found)
+        # Each fold has to pay for the pass that it takes.
+        if left.count() * 2 > size:
+            return left, folds
+
+
 def _strong(left: DataFrame) -> DataFrame:
     """(sym, scc) of the nodes on a cycle of a graph of ids, scc being any id for each component.
 
-    Rounds of colouring: what has no way in or out goes; each node takes the least id that leads to it; a node that is its
-    own colour and what leads to it within that colour are a component, and edges between colours are on no cycle. Only
-    nodes whose colour has changed pass it on. As soon as no more than FEW edges are left, one task takes them, so that
-    the last small rounds don't each cost jobs.
+    A dense graph is folded first. Then, in rounds, what has no way in or out goes, and the rest is coloured. As soon as no
+    more than FEW edges are left, one task takes them, so that the last small rounds don't each cost jobs.
     """
     loops = left.where("src = dst").select(F.col("src").alias("sym"))
+    left, folds = _folded(left)
     out, thorough = None, False
     add = lambda more: more if out is None else out.unionByName(more)
     while True:
@@ -226,24 +285,20 @@ def _strong(left: DataFrame) -> DataFrame:
                 break
         if size <= FEW:
             if size:
-                out = add(settled(left.repartition(1).mapInArrow(_components, "sym long, scc long")))
+                out = add(_in_one(left))
             break
-        colour = settled(left.select(F.explode(F.array("src", "dst")).alias("sym")).distinct().select("sym", F.col("sym").alias("colour")))
-        moved = colour
-        while True:
-            led = left.join(moved, F.col("src") == F.col("sym")).groupBy("dst").agg(F.min("colour").alias("led"))
-            new = settled(colour.join(led, F.col("sym") == F.col("dst"), "left").select("sym", F.least("colour", "led").alias("colour"), F.coalesce(F.col("led") < F.col("colour"), F.lit(False)).alias("moved")))
-            colour, moved = new.select("sym", "colour"), settled(new.where("moved").select("sym", "colour"))
-            if moved.isEmpty():
-                break
-        ends = left.join(colour.select(F.col("sym").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("sym").alias("dst"), F.col("colour").alias("b")), "dst")
-        same = settled(ends.where("a = b").select("src", "dst"))
-        starts = settled(colour.where("sym = colour").select(F.col("sym").alias("seed"), "sym", F.lit(0).alias("depth")))
-        found = _walk(reversed_edges(same), starts, None).select("sym", F.col("seed").alias("scc"))
+        found, same = _coloured(left)
         out = add(found)
         gone = found.select("sym")
         left = settled(same.join(gone.select(F.col("sym").alias("src")), "src", "left_anti").join(gone.select(F.col("sym").alias("dst")), "dst", "left_anti"))
         thorough = left.count() * 2 > size
+    for fold in reversed(folds):
+        if out is None:
+            out = fold
+            continue
+        # What holds of the node that stood for a component holds of all its nodes, itself included.
+        whole = out.select(F.col("sym").alias("scc"), F.col("scc").alias("of"))
+        out = fold.join(whole, "scc", "left").select("sym", F.coalesce("of", "scc").alias("scc")).unionByName(out.join(fold.select("sym"), "sym", "left_anti").select("sym", "scc"))
     if out is None:
         return left.select(F.col("src").alias("sym"), F.col("dst").alias("scc"))
     many = out.groupBy("scc").agg(F.count(F.lit(1)).alias("n"))
@@ -252,12 +307,13 @@ def _strong(left: DataFrame) -> DataFrame:
     return settled(kept.select("sym", "scc"))
 
 
-def strong(edges: DataFrame) -> DataFrame:
+def strong(edges: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
     """(sym, scc): the nodes on a cycle, with the least symbol of their strongly connected component.
 
-    No node's reach is listed, so that the work grows with the edges, not with the pairs of nodes.
+    No node's reach is listed, so that the work grows with the edges, not with the pairs of nodes. symbols (sym): all ends
+    of edges, and maybe more, where they are known.
     """
-    names, left = _coded(edges)
+    names, left = _coded(edges, symbols)
     found = settled(_strong(left).select(F.col("sym").alias("id"), F.col("scc").alias("of")).join(names, "id").select("sym", "of"))
     return settled(found.join(found.groupBy("of").agg(F.min("sym").alias("scc")), "of").select("sym", "scc"))
 

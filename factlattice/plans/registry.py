@@ -707,8 +707,9 @@ def _(f):
 
 @query("hazard_event_cycle")
 def _(f):
-    marked = graph.handoffs(edges_of(f), rulebook.handoff_rules(f.refs.sparkSession))
-    return hazards.event_cycles(marked, {r["tag"]: r["delivery"] for r in rulebook.DEFAULT["handoffs"]})
+    """Call edges aren't made for this where no query has wanted them: both ends of each are methods, as references are."""
+    marked = graph.handoffs(edges_of(f) if f.has("edges") else graph.call_rows(f.refs), rulebook.handoff_rules(f.refs.sparkSession))
+    return hazards.event_cycles(marked, {r["tag"]: r["delivery"] for r in rulebook.DEFAULT["handoffs"]}, f.methods.select(F.col("symbol_id").alias("sym")))
 
 
 @query("amplification_degree")

@@ -72,3 +72,7 @@ def kept(spark: SparkSession, key: tuple, make: Callable[[], DataFrame], *by: st
     if key not in _KEPT:
         _KEPT[key] = written(make(), *by)
     return _KEPT[key]
+
+
+def is_kept(spark: SparkSession, key: tuple) -> bool:
+    return (spark.sparkContext.applicationId, *key) in _KEPT

@@ -3,7 +3,7 @@
 import random
 
 from factlattice.operators import effects, graph, reach, reports
-from factlattice.sources import rules, shared
+from factlattice.sources import facts, rules, shared
 
 
 def dispatched(spark, n):
@@ -146,3 +146,20 @@ def test_parts_without_a_sort(spark):
         assert sorted(map(tuple, shared.written(rows, "kind").collect())) == sorted(map(tuple, rows.collect()))
     finally:
         spark.conf.set(name, before)
+
+
+def test_references_are_kept_as_numbers(spark, small):
+    """No text is moved or written but the kind, and the references are the text's own, with parts that are missing or repeat."""
+    part = spark.read.parquet(f"{small}/part.parquet")
+    odd = part.where("p_partkey % 10 <> 4").unionByName(part.where("p_partkey % 10 = 5").selectExpr(*(c if c != "p_size" else "if(p_partkey % 20 = 5, null, p_size + 1) as p_size" for c in part.columns)))
+    lineitem, held = spark.read.parquet(f"{small}/lineitem.parquet"), []
+
+    def keep(make, *by):
+        held.append(make())
+        return shared.written(held[0], *by)
+
+    made = facts.references(spark, odd, lineitem, keep)
+    assert [f.name for f in held[0].schema if f.dataType.typeName() == "string"] == ["ref_kind"]
+    want = spark.sql(facts.REFERENCES.replace("from lineitem", "from {lineitem}").replace("join methods", "join {methods}"), lineitem=lineitem, methods=spark.sql(facts.METHODS.replace("from part", "from {part}"), part=odd))
+    assert made.dtypes == want.dtypes and want.count() > 100
+    assert made.exceptAll(want).isEmpty() and want.exceptAll(made).isEmpty()

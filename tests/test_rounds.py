@@ -41,3 +41,18 @@ def test_ready_edges_are_not_written_again(spark, monkeypatch):
     rows = sorted(map(tuple, reach.reach(edges, seeds, None, ready=True).collect()))
     # The start and three levels, the last of them empty.
     assert rows == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2)] and len(seen) == 4
+
+
+@pytest.mark.parametrize("few", [20, 150])
+def test_dense_graphs_are_folded(spark, monkeypatch, few):
+    """A part of the edges shows most of the components, by all tasks (20) or in one (150); the rest is as without folds."""
+    dice = random.Random(9)
+    rows = [(f"m{g}{dice.randrange(15):02}", f"m{g}{dice.randrange(15):02}") for g in range(3) for _ in range(150)] + [("m000", "m100"), ("in", "m000"), ("m200", "out"), ("x", "x"), ("y", "x")]
+    edges = spark.createDataFrame(rows, "src string, dst string")
+    want = sorted(map(tuple, reach.strong(edges).collect()))
+    assert len({s for _, s in want}) == 4 and len(want) > 40
+    monkeypatch.setattr(reach, "FEW", few)
+    symbols = edges.selectExpr("explode(array(src, dst, 'more')) as sym")
+    assert sorted(map(tuple, reach.strong(edges, symbols).collect())) == want
+    left, folds = reach._folded(reach._coded(edges)[1])
+    assert folds and left.count() < 100
