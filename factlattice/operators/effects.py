@@ -78,17 +78,23 @@ def _candidates(rows: DataFrame, rules: DataFrame) -> DataFrame:
     return rows.withColumn("_rules", F.coalesce("_2", "_1")).drop("_1", "_2").where("_rules is not null")
 
 
-def by_rule(refs: DataFrame, rules: DataFrame, ancestors: DataFrame | None = None) -> DataFrame:
+def by_rule(refs: DataFrame, rules: DataFrame, ancestors: DataFrame | None = None, provider: str | None = None) -> DataFrame:
     """One effect per reference, an invocation, construction or throw: of the first rule that matches and whose resource
     can be told.
 
     Rules are broadcast: there are as many as people have typed. A reference is met with all its rules at once, so that the
     first is chosen where it stands, and none moves. ancestors (type_id, ancestor) serve rules with base gates. A
-    reference is known by its ref_id, or, where facts have none, by all its columns.
+    reference is known by its ref_id, or, where facts have none, by all its columns. With a provider only its effects are
+    returned, and only references that a rule of it may match are looked at, with all their rules.
     """
     runs = (F.col("ref_kind") == "invocation") & ~F.col("in_expression_tree") | F.col("ref_kind").isin("ctor", "throw")
     kinds = refs.where(F.col("ref_kind").isin("invocation", "ctor", "throw"))
-    rows = _candidates(kinds.where(F.col("enclosing").isNotNull() & runs), rules).withColumn("_declaring", docid.declaring_type(F.col("target")))
+    once = "ref_id" not in refs.columns or kinds.groupBy("ref_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    wanted = lambda df: df if provider is None else df.where(F.col("provider") == provider)
+    rows = _candidates(kinds.where(F.col("enclosing").isNotNull() & runs), rules)
+    if provider is not None and once:
+        rows = rows.where(F.exists("_rules", lambda rule: rule["provider"] == provider))
+    rows = rows.withColumn("_declaring", docid.declaring_type(F.col("target")))
     if ancestors is None:
         rows = rows.withColumn("_above", F.lit(None).cast("array<string>"))
     else:
@@ -108,11 +114,11 @@ def by_rule(refs: DataFrame, rules: DataFrame, ancestors: DataFrame | None = Non
     hits = F.filter(F.transform("_rules", outcome), lambda x: x["resource"].isNotNull())
     found = rows.select(*refs.columns, F.inline(F.slice(hits, 1, 1)))
     if "ref_id" not in refs.columns:
-        return found.distinct()
-    if kinds.groupBy("ref_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        return found
+        return wanted(found).distinct()
+    if once:
+        return wanted(found)
     first = W.partitionBy("ref_id").orderBy("rule_no")
-    return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    return wanted(found.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"))
 
 
 def by_wrapper(refs: DataFrame, wrapped: list[str], provider: str, operation: str) -> DataFrame:

@@ -140,8 +140,8 @@ def edges_of(f: source.Facts) -> DataFrame:
 
 
 def pairs_of(f: source.Facts) -> DataFrame:
-    """Who calls whom, once each: what traversals walk."""
-    return f.kept("pairs", lambda: edges_of(f).select("src", "dst").distinct())
+    """Who calls whom, once each: what traversals walk. Call edges aren't made for that where no query has wanted them."""
+    return f.kept("pairs", lambda: (edges_of(f) if f.has("edges") else graph.call_rows(f.refs)).select("src", "dst").distinct())
 
 
 def ancestors_of(f: source.Facts) -> DataFrame:
@@ -156,6 +156,13 @@ def effects_of(f: source.Facts) -> DataFrame:
     return f.kept("effects", lambda: fx.by_rule(f.refs, rulebook.effect_rules(f.refs.sparkSession), ancestors_of(f)))
 
 
+def effects_by(f: source.Facts, provider: str) -> DataFrame:
+    """The effects of one provider; others aren't made for that where no query has wanted them."""
+    if f.has("effects"):
+        return effects_of(f).where(F.col("provider") == provider)
+    return fx.by_rule(f.refs, rulebook.effect_rules(f.refs.sparkSession), ancestors_of(f), provider)
+
+
 def observed_of(f: source.Facts) -> DataFrame:
     return f.kept("observed", lambda: fx.observations(effects_of(f)))
 
@@ -771,7 +778,7 @@ def _(f):
 
 @query("file_effects", "select m.file_path, m.symbol_id, cast(min(w.depth) as bigint) as depth from w join methods m on m.symbol_id = w.sym group by 1, 2", EDGES, ("back", "select dst as src, src as dst from edges"), EFFECT_RULES, EFFECTS, closure_sql("w", "select distinct enclosing as seed, enclosing as sym, 0 as depth from effects where provider = 'queue'", "back"))
 def _(f):
-    sources = effects_of(f).where("provider = 'queue'").select(F.col("enclosing").alias("sym")).distinct()
+    sources = effects_by(f, "queue").select(F.col("enclosing").alias("sym")).distinct()
     known = reach.reach_from(reach.reversed_edges(pairs_of(f)), sources, None, ready=True)
     return f.methods.join(known, F.col("symbol_id") == F.col("sym")).select("file_path", "symbol_id", "depth")
 

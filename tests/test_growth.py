@@ -3,6 +3,7 @@
 import random
 
 from factlattice.operators import effects, graph, reach, reports
+from factlattice.plans import registry
 from factlattice.sources import facts, rules, shared
 
 
@@ -163,3 +164,29 @@ def test_references_are_kept_as_numbers(spark, small):
     want = spark.sql(facts.REFERENCES.replace("from lineitem", "from {lineitem}").replace("join methods", "join {methods}"), lineitem=lineitem, methods=spark.sql(facts.METHODS.replace("from part", "from {part}"), part=odd))
     assert made.dtypes == want.dtypes and want.count() > 100
     assert made.exceptAll(want).isEmpty() and want.exceptAll(made).isEmpty()
+
+
+def test_what_is_not_asked_for_is_not_made(spark, small, tmp_path):
+    """Files that touch a queue need neither all effects nor call edges with their sites; nor do cycles. Results stay the same."""
+    (tmp_path / "x").symlink_to(small)
+    sf, rows = str(tmp_path / "x"), lambda q: sorted(map(tuple, registry.QUERIES[q](spark, sf).collect()))
+    alone = [rows(q) for q in ("file_effects", "hazard_event_cycle")]
+    f = facts.load(spark, sf)
+    assert f.has("pairs") and not f.has("effects") and not f.has("edges")
+    registry.effects_of(f), registry.edges_of(f)
+    assert [rows(q) for q in ("file_effects", "hazard_event_cycle")] == alone and alone[0]
+
+
+def test_effects_of_one_provider(spark):
+    """As if all had been made, also where another provider's rule comes first or an id repeats."""
+    given = [
+        {"provider": "p", "operation": "first", "methods": ["Get"], "resource": "receiver_type"},
+        {"provider": "q", "operation": "second", "methods": ["Get", "Put"], "resource": "declaring_type"},
+        {"provider": "p", "operation": "third", "methods": ["Low"], "resource": "declaring_type"},
+    ]
+    table = rules.effect_rules(spark, {"effects": given})
+    once = references(spark, ("Get", "invocation", "R", 1), ("Get", "invocation", None, 2), ("Put", "invocation", None, 3), ("Low", "invocation", None, 4))
+    twice = once.unionByName(references(spark, ("Get", "invocation", "R", 3)))
+    for refs, ids in ((once, [2, 3]), (twice, [2])):
+        got = effects.by_rule(refs, table, None, "q")
+        assert sorted(r.ref_id for r in got.collect()) == ids and got.exceptAll(effects.by_rule(refs, table).where("provider = 'q'")).isEmpty()
